@@ -1,0 +1,8 @@
+"""Operators over text corpora for training data; nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions run by executors travel by value, so that a cluster needs no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
