@@ -42,9 +42,9 @@ def block_of(doc_id: str, text: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(blocks)).cast("int")
 
 
-def blocked(docs: DataFrame, doc_id: str, text: str, blocks: int) -> DataFrame:
-    """doc_id, text and block of every row, under these names."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), block_of(doc_id, text, blocks).alias("block"))
+def blocked(docs: DataFrame, doc_id: str, text: str, blocks: int, *more: Column) -> DataFrame:
+    """doc_id, text and block of every row, under these names, and more columns."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), block_of(doc_id, text, blocks).alias("block"), *more)
 
 
 def by_bucket(block: int, keys: np.ndarray, buckets: int, schema: pa.Schema, **columns: np.ndarray) -> pa.Table:

@@ -1,10 +1,18 @@
 """Queries of the operators of this subpackage, and the SQL of those that SQL can express."""
 
-from pitrank.llm import op9_ngram_join
+from pitrank.llm import op1_substring_dedup, op2_decontamination, op4_token_counts, op7_sentencepiece, op8_line_dedup, op9_ngram_join
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup.op1_substring_dedup,
+    "op2_decontamination": op2_decontamination.op2_decontamination,
+    "op4_token_counts": op4_token_counts.op4_token_counts,
+    "op7_sentencepiece": op7_sentencepiece.op7_sentencepiece,
+    "op8_line_dedup": op8_line_dedup.op8_line_dedup,
     "op9_ngram_join": op9_ngram_join.op9_ngram_join,
 }
 ORACLE_SQL = {
+    "op1_substring_dedup": op1_substring_dedup.ORACLE_SQL,
+    "op2_decontamination": op2_decontamination.ORACLE_SQL,
+    "op8_line_dedup": op8_line_dedup.ORACLE_SQL,
     "op9_ngram_join": op9_ngram_join.ORACLE_SQL,
 }

@@ -87,6 +87,10 @@ class Words:
         at = np.flatnonzero(self.text[:m] == self.text[n - 1 :])
         return at, _runs(self.hashes, at, at + n, _STEP)
 
+    def runs(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n words from each of the given ones."""
+        return _runs(self.hashes, at, at + n, _STEP)
+
     def whole(self) -> np.ndarray:
         """Hash of each text's word sequence."""
         edge = self.first
@@ -177,3 +181,8 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, bytes_to: tuple[np.ndarray,
         edges.append(np.searchsorted(doc[new], np.arange(1, len(some) + 1)) + total)
         total += len(parts[-1])
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(edges)
+
+
+def unit_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans."""
+    return _runs(_LETTER[raw], starts, ends, _BASE)
