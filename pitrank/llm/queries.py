@@ -1,14 +1,16 @@
 """Queries of the operators of this subpackage, and the SQL of those that SQL can express."""
 
-from pitrank.llm import op1_substring_dedup, op2_decontamination, op4_token_counts, op7_sentencepiece, op8_line_dedup, op9_ngram_join
+from pitrank.llm import op10_quality_classifier, op1_substring_dedup, op2_decontamination, op4_token_counts, op6_quality_rules, op7_sentencepiece, op8_line_dedup, op9_ngram_join
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup.op1_substring_dedup,
     "op2_decontamination": op2_decontamination.op2_decontamination,
     "op4_token_counts": op4_token_counts.op4_token_counts,
+    "op6_quality_rules": op6_quality_rules.op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece.op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup.op8_line_dedup,
     "op9_ngram_join": op9_ngram_join.op9_ngram_join,
+    "op10_quality_classifier": op10_quality_classifier.op10_quality_classifier,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": op1_substring_dedup.ORACLE_SQL,
