@@ -1,11 +1,13 @@
 """Queries of the operators of this subpackage, and the SQL of those that SQL can express."""
 
-from pitrank.llm import op10_quality_classifier, op1_substring_dedup, op2_decontamination, op4_token_counts, op6_quality_rules, op7_sentencepiece, op8_line_dedup, op9_ngram_join
+from pitrank.llm import op10_quality_classifier, op1_substring_dedup, op2_decontamination, op3_lm_scoring, op4_token_counts, op5_pii, op6_quality_rules, op7_sentencepiece, op8_line_dedup, op9_ngram_join
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup.op1_substring_dedup,
     "op2_decontamination": op2_decontamination.op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring.op3_lm_scoring,
     "op4_token_counts": op4_token_counts.op4_token_counts,
+    "op5_pii": op5_pii.op5_pii,
     "op6_quality_rules": op6_quality_rules.op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece.op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup.op8_line_dedup,
