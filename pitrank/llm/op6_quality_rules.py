@@ -43,7 +43,9 @@ def _measured(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     again = "filter(sorted, (x, i) -> get(sorted, i - 1).h <=> x.h or get(sorted, i + 1).h <=> x.h)"
     d = d.withColumn("at", F.expr(f"array_sort(transform({again}, x -> x.i))")).drop("runs", "sorted")
     merged = "aggregate(at, named_struct('n', 0L, 'to', -3), (a, p) -> named_struct('n', a.n + least(3, p - a.to), 'to', p), a -> a.n)"
-    return d.withColumn("n_repeat_words", F.coalesce(F.expr(merged), F.lit(0)).cast("long")).drop("at")
+    d = d.withColumn("n_repeat_words", F.coalesce(F.expr(merged), F.lit(0)).cast("long")).drop("at")
+    # inline() keeps what follows from repeating these expressions: a filter would be pushed below and copy them
+    return d.select("row", F.inline(F.array(F.struct(*[c for c in d.columns if c != "row"]))))
 
 
 def _votes() -> dict[str, Column]:

@@ -205,6 +205,19 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     return out.select("doc_id", "n_shingles", F.when(F.col("of") == _NO_ID, F.lit(None)).otherwise(F.coalesce("of", "doc_id")).cast("long").alias("component_id"))
 
 
+def keep_smallest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` with one document of each component left: that with the smallest doc_id.
+
+    Rows that repeat a doc_id count as one document and one of them is left. Rows with a null doc_id, which can't be
+    told apart, all stay. Columns of any name pass through."""
+    linked = ngram_join(docs, doc_id, text, n, percent)
+    gone = linked.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    left = docs.join(gone, doc_id, "left_anti").select(docs.columns)
+    more = linked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(doc_id))
+    once = left.join(more, doc_id, "left_anti").select(docs.columns)
+    return once.union(left.join(more, doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id]))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
