@@ -1,5 +1,28 @@
 """All registered queries and their SQL."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pitrank.plans.fixtures import Tables, with_shapes
+
 FLAGSHIP = "C01_contiguous_windows"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of Tables as a query, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql is not None:
+            ORACLE_SQL[name] = with_shapes(sql)
+        return f
+
+    return add
+
+
+from pitrank.plans import pointintime  # noqa: E402, F401
