@@ -118,12 +118,12 @@ def similar(profiles: DataFrame, ident: str, values: list[str], bandwidth: float
     return j.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= count).select(ident, "other", "k", F.round("weight", 6).alias("weight"))
 
 
-def kernel_delta(history: DataFrame, kernel: DataFrame, keys: list[str], ordinal: str, place: str, value: str, limit: int) -> DataFrame:
+def kernel_delta(history: DataFrame, kernel: DataFrame, keys: list[str], ordinal: str, target: str, place: str, value: str, limit: int) -> DataFrame:
     """Kernel-weighted value at similar places minus the own mean over the latest ``limit`` known values."""
     known = history.filter(F.col(value).isNotNull())
     cut = known.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ordinal)))).filter(F.col("k") <= limit)
     base = cut.withColumn("base", F.avg(value).over(Window.partitionBy(*keys)))
-    j = base.join(F.broadcast(kernel), F.col(place) == F.col("other"))
+    j = base.join(F.broadcast(kernel.withColumnRenamed("other", place)), [target, place])
     return j.groupBy(*keys).agg(F.round(F.sum(F.col("weight") * (F.col(value) - F.col("base"))) / F.sum("weight"), 6).alias("delta"))
 
 

@@ -47,8 +47,8 @@ FROM (SELECT r.league, r.day, r.event_id, r.driver_id, r.constructor_id, r.cutof
     "laps": """
 SELECT session, user_id, driver_id, season, lap, round(80 + value / 100, 4) AS duration, lap % 8 = 1 AS out_lap, lap % 8 = 0 AS in_lap
 FROM (SELECT user_id, concat('d', CAST(user_id AS VARCHAR(9))) AS driver_id, CAST(2024 + floor((day(ts) - 1) / 15.0) AS BIGINT) AS season,
-    concat(CAST(floor(user_id / 20.0) AS VARCHAR(9)), '/', CAST(CAST(2024 + floor((day(ts) - 1) / 15.0) AS BIGINT) AS VARCHAR(9))) AS session, value,
-    row_number() OVER (PARTITION BY user_id, floor((day(ts) - 1) / 15.0) ORDER BY ts, event_id) AS lap FROM {events}) x""",
+    concat(CAST(CAST(floor(user_id / 20.0) AS BIGINT) AS VARCHAR(9)), '/', CAST(CAST(2024 + floor((day(ts) - 1) / 15.0) AS BIGINT) AS VARCHAR(9))) AS session, value,
+    CAST(row_number() OVER (PARTITION BY user_id, floor((day(ts) - 1) / 15.0) ORDER BY ts, event_id) AS BIGINT) AS lap FROM {events}) x""",
     "stints": """
 SELECT session, user_id, driver_id, season, block AS stint, block * 8 + 1 AS lap_start, block * 8 + 8 AS lap_end, block % 3 AS age_at_start,
   CASE block % 4 WHEN 0 THEN 'SOFT' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HARD' ELSE 'INTERMEDIATE' END AS compound
@@ -86,7 +86,7 @@ FROM (SELECT r.league, r.day, r.season, r.event_id, r.driver_id, r.constructor_i
     "utilities": "SELECT league, day, event_id, driver_id, constructor_id, ln(raw) AS utility, 0.05 + 0.01 * (qualifying_position % 10) AS p_dnf FROM {predictions} WHERE model = 'form' AND day <= 6",
     "profiles": "SELECT concat('c', CAST(p_partkey AS VARCHAR(9))) AS circuit_id, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM {part} WHERE p_partkey < 27",
 
-    "scores": "SELECT l.doc_id, l.quality AS y, least(greatest(d.n_chars / 5000.0, 0.001), 0.999) AS p FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id",
+    "scores": "SELECT l.doc_id, l.quality AS y, CAST(least(greatest(d.n_chars / 5000, 0.001), 0.999) AS DOUBLE) AS p FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id",
     "statuses": """
 SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'retired' ELSE 'dns' END AS first,
   CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'finished' WHEN o_orderpriority LIKE '3%' THEN 'dsq' ELSE 'retired' END AS second,

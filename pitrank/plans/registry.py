@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from pitrank.plans import pointintime  # noqa: E402, F401
+from pitrank.plans import evaluation, pointintime, points, sessions  # noqa: E402, F401
