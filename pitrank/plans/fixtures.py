@@ -57,7 +57,7 @@ FROM (SELECT DISTINCT session, user_id, driver_id, season, CAST(floor((lap - 1)
 SELECT session, user_id, driver_id, season, lap, round(20 + (duration - 80), 4) AS lane, CASE WHEN user_id % 17 = 0 THEN NULL ELSE round(2 + (duration - 80) / 5, 4) END AS stop
 FROM {laps} WHERE in_lap""",
     "forecast": """
-SELECT valid_at, count(*) FILTER (WHERE event_type = 'error') / 10 AS precipitation, round(avg(value) / 10, 6) AS temperature, round(stddev_pop(value) / 10, 6) AS wind
+SELECT valid_at, count(*) FILTER (WHERE event_type = 'error') / 10 AS precipitation, round(avg(value) / 10, 12) AS temperature, round(stddev_pop(value) / 10, 10) AS wind
 FROM (SELECT date_trunc('hour', ts) AS valid_at, event_type, value FROM {events}) x GROUP BY valid_at""",
     "rules": """
 SELECT s.season, k.first_round, k.last_round, CAST(b.place AS BIGINT) AS place, CAST(b.p * k.scale AS DOUBLE) AS points
