@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from pitrank.plans import datasets, evaluation, pointintime, points, publications, sessions  # noqa: E402, F401
+from pitrank.plans import datasets, evaluation, pointintime, points, publications, sessions, streams  # noqa: E402, F401
