@@ -106,8 +106,9 @@ def _counted(docs: DataFrame, index, text: str) -> DataFrame:
                 h = w.windows(k)[1]
                 total[k] += np.bincount(np.searchsorted(known, h[members(h, known)]), minlength=len(known))
         parts = [(k, np.flatnonzero(n), n[n > 0]) for k, n in total.items()]
-        k = np.concatenate([np.full(len(i), k) for k, i, _ in parts])
-        return pa.table({"k": k, "i": np.concatenate([i for _, i, _ in parts]), "n": np.concatenate([n for _, _, n in parts])})
+        none = np.zeros(0, np.int64)
+        k = np.concatenate([none, *(np.full(len(i), k) for k, i, _ in parts)])
+        return pa.table({"k": k, "i": np.concatenate([none, *(i for _, i, _ in parts)]), "n": np.concatenate([none, *(n for _, _, n in parts)])})
 
     return map_batches(docs.select(text), count, "k long, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n"))
 

@@ -57,8 +57,9 @@ def _valid(kind: str) -> str:
 
 
 def _shape(value: str) -> str:
-    """SQL: a token's outline; digits by number, letters as one."""
-    return f"regexp_replace(regexp_replace({value}, '[0-9]', '0'), '[^0-9@.:()+/_-]+', 'a')"
+    """SQL: a token's outline; short and long runs of digits are one mark each, and runs of letters too."""
+    digits = f"regexp_replace(regexp_replace({value}, '[0-9]{{5,}}', '#'), '[0-9]+', '0')"
+    return f"regexp_replace({digits}, '[^#0@.:()+/_-]+', 'a')"
 
 
 def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, support: int = 5, confidence: float = 0.9) -> DataFrame:
