@@ -9,7 +9,10 @@ from pitrank.operators import draws, evaluate
 from pitrank.plans.pointintime import EVENT
 from pitrank.plans.registry import query
 
-WON = F.coalesce(F.col("label_position") == 1, F.lit(False))
+def won():
+    return F.coalesce(F.col("label_position") == 1, F.lit(False))
+
+
 CLIP = "least(greatest(p_win, 1e-15), 1 - 1e-15)"
 U = "((('0x' || substr(md5({}), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
 LOSS = f"l AS (SELECT league, day, model, -ln({CLIP}) AS loss FROM {{predictions}} WHERE label_position = 1)"
@@ -21,12 +24,12 @@ def losses(t):
 
 @query("H01_binary_metrics", f"SELECT model, round(avg(-CASE WHEN coalesce(label_position = 1, false) THEN ln({CLIP}) ELSE ln(1 - {CLIP}) END), 6) AS log_loss, round(avg((p_win - CAST(coalesce(label_position = 1, false) AS INT)) ** 2), 6) AS brier, count(*) AS n, false AS insufficient FROM {{predictions}} GROUP BY model")
 def _(t):
-    return evaluate.binary_metrics(t("predictions"), ["model"], "p_win", WON)
+    return evaluate.binary_metrics(t("predictions"), ["model"], "p_win", won())
 
 
 @query("H02_winner_metrics", f"WITH r AS (SELECT *, coalesce(label_position = 1, false) AS won, row_number() OVER (PARTITION BY model, league, day ORDER BY p_win DESC, driver_id) AS r FROM {{predictions}}), e AS (SELECT model, league, day, sum(-ln({CLIP})) FILTER (WHERE won) AS loss, sum((p_win - CAST(won AS INT)) ** 2) AS brier, max(CAST(r = 1 AS INT)) FILTER (WHERE won) AS top1, max(CAST(r <= 3 AS INT)) FILTER (WHERE won) AS top3 FROM r GROUP BY ALL) SELECT model, round(avg(loss), 6) AS loss, round(avg(brier), 6) AS brier, round(avg(top1), 6) AS top1, round(avg(top3), 6) AS top3, count(*) AS events FROM e GROUP BY model")
 def _(t):
-    e = evaluate.winner_metrics(t("predictions"), ["model"], EVENT, "p_win", WON, "driver_id")
+    e = evaluate.winner_metrics(t("predictions"), ["model"], EVENT, "p_win", won(), "driver_id")
     return e.groupBy("model").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("loss", "brier", "top1", "top3")], F.count("*").alias("events"))
 
 
@@ -53,12 +56,12 @@ BINS = "b AS (SELECT model, CAST(least(floor(p_win * 10), 9) AS BIGINT) AS bin,
 
 @query("H06_reliability", f"WITH {BINS} SELECT * FROM b")
 def _(t):
-    return evaluate.reliability(t("predictions"), ["model"], "p_win", WON)
+    return evaluate.reliability(t("predictions"), ["model"], "p_win", won())
 
 
 @query("H06_calibration_error", f"WITH {BINS} SELECT model, round(sum(abs(mean_p - share) * n) / sum(n), 6) AS ece FROM b GROUP BY model")
 def _(t):
-    return evaluate.calibration_error(evaluate.reliability(t("predictions"), ["model"], "p_win", WON), ["model"])
+    return evaluate.calibration_error(evaluate.reliability(t("predictions"), ["model"], "p_win", won()), ["model"])
 
 
 @query("H06_document_scores", "SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS share, count(*) AS n FROM {scores} GROUP BY ALL")
@@ -69,18 +72,18 @@ def _(t):
 @query("H07_uneven_bins", "SELECT model, CAST(CASE WHEN p_win < 0.02 THEN 0 WHEN p_win < 0.05 THEN 1 WHEN p_win < 0.2 THEN 2 ELSE 3 END AS BIGINT) AS bin, round(avg(p_win), 6) AS mean_p, round(avg(CAST(coalesce(label_position = 1, false) AS INT)), 6) AS share, count(*) AS n FROM {predictions} GROUP BY ALL")
 def _(t):
     edges = F.expr("case when p_win < 0.02 then 0 when p_win < 0.05 then 1 when p_win < 0.2 then 2 else 3 end")
-    return evaluate.reliability(t("predictions"), ["model"], "p_win", WON, edges)
+    return evaluate.reliability(t("predictions"), ["model"], "p_win", won(), edges)
 
 
 @query("H07_top_choice", "SELECT model, round(avg(p), 6) AS confidence, round(avg(CAST(won AS INT)), 6) AS accuracy FROM (SELECT model, league, day, max(p_win) AS p, coalesce(arg_max(coalesce(label_position = 1, false), (p_win, driver_id)), false) AS won FROM {predictions} GROUP BY ALL) GROUP BY model")
 def _(t):
-    top = t("predictions").withColumn("won", WON).groupBy("model", *EVENT).agg(F.max("p_win").alias("p"), F.max_by("won", F.struct("p_win", "driver_id")).alias("won"))
+    top = t("predictions").withColumn("won", won()).groupBy("model", *EVENT).agg(F.max("p_win").alias("p"), F.max_by("won", F.struct("p_win", "driver_id")).alias("won"))
     return top.groupBy("model").agg(F.round(F.avg("p"), 6).alias("confidence"), F.round(F.avg(F.col("won").cast("int")), 6).alias("accuracy"))
 
 
 @query("H08_confident_errors", "SELECT model, count(*) FILTER (WHERE p_win > 0.25 AND NOT coalesce(label_position = 1, false)) AS errors, count(*) FILTER (WHERE p_win < 0.02 AND label_position = 1) AS unlikely_hits FROM {predictions} GROUP BY model")
 def _(t):
-    return t("predictions").groupBy("model").agg(F.count_if((F.col("p_win") > 0.25) & ~WON).alias("errors"), F.count_if((F.col("p_win") < 0.02) & WON).alias("unlikely_hits"))
+    return t("predictions").groupBy("model").agg(F.count_if((F.col("p_win") > 0.25) & ~won()).alias("errors"), F.count_if((F.col("p_win") < 0.02) & won()).alias("unlikely_hits"))
 
 
 SHARP = "s AS (SELECT model, league, day, sum(-p_win * ln(p_win)) AS h, max(p_win) AS m, avg(CAST(p_win < 0.02 AS INT)) AS sm FROM {predictions} GROUP BY ALL)"
@@ -138,7 +141,7 @@ def _(t):
 def _(t):
     d = t("predictions").withColumn("p_podium", F.least(3 * F.col("p_win"), F.lit(1.0)))
     podium = F.coalesce(F.col("label_position") <= 3, F.lit(False))
-    win = F.sum(F.when(WON, -F.log(evaluate.clipped("p_win"))).otherwise(0.0))
+    win = F.sum(F.when(won(), -F.log(evaluate.clipped("p_win"))).otherwise(0.0))
     return d.groupBy("model", *EVENT).agg(F.round(win + F.avg(evaluate.log_loss("p_podium", podium)) / 3, 6).alias("objective"))
 
 

@@ -13,7 +13,10 @@ KEY = ["session", "user_id"]
 CLEAN = """c AS (SELECT l.session, l.user_id, s.season, s.stint, s.compound, l.lap, l.duration, s.age_at_start + l.lap - s.lap_start AS age, median(l.duration) OVER (PARTITION BY l.session, l.user_id, s.stint) AS middle
 FROM {laps} l JOIN {stints} s ON s.session = l.session AND s.user_id = l.user_id AND l.lap BETWEEN s.lap_start AND s.lap_end WHERE NOT l.out_lap AND NOT l.in_lap AND l.lap > s.lap_start),
 k AS (SELECT * FROM c WHERE duration <= 1.05 * middle)"""
-USABLE = ~F.col("out_lap") & ~F.col("in_lap")
+
+
+def usable():
+    return ~F.col("out_lap") & ~F.col("in_lap")
 
 
 @query("C17_lap_summary", """WITH g AS (SELECT *, min(duration) OVER (PARTITION BY session, user_id) AS best FROM {laps} WHERE NOT out_lap AND lap NOT IN (SELECT lap FROM {pits} p WHERE p.session = session AND p.user_id = user_id))
@@ -25,7 +28,7 @@ def _(t):
 
 @query("C18_lap_summary_second_source", """SELECT session, user_id, lap % 3 AS compound, count(*) AS laps, round(median(duration), 6) AS median, min(duration) AS fastest FROM {laps} WHERE NOT out_lap AND NOT in_lap AND user_id % 5 <> 0 GROUP BY ALL""")
 def _(t):
-    good = t("laps").filter(USABLE & F.expr("user_id % 5 <> 0"))
+    good = t("laps").filter(usable() & F.expr("user_id % 5 <> 0"))
     return good.groupBy(*KEY, F.expr("lap % 3").alias("compound")).agg(F.count("*").alias("laps"), F.round(F.median("duration"), 6).alias("median"), F.min("duration").alias("fastest"))
 
 
@@ -45,13 +48,13 @@ def _(t):
 
 @query("C21_clean_laps", f"WITH {CLEAN} SELECT session, user_id, stint, lap, duration, age FROM k")
 def _(t):
-    return laps.clean_laps(t("laps"), t("stints"), KEY, USABLE).select(*KEY, "stint", "lap", "duration", "age")
+    return laps.clean_laps(t("laps"), t("stints"), KEY, usable()).select(*KEY, "stint", "lap", "duration", "age")
 
 
 @query("C22_degradation", f"""WITH {CLEAN}, s AS (SELECT session, user_id, stint, compound, count(*) AS n, regr_slope(duration, CAST(age AS DOUBLE)) AS slope FROM k GROUP BY ALL HAVING count(*) >= 5),
 m AS (SELECT session, compound, median(slope) AS middle FROM s GROUP BY ALL HAVING count(slope) >= 3) SELECT s.session, s.user_id, s.stint, s.compound, s.n, round(s.slope - m.middle, 6) AS relative FROM s JOIN m USING (session, compound)""")
 def _(t):
-    return laps.degradation(laps.clean_laps(t("laps"), t("stints"), KEY, USABLE), KEY, ["session"], least=5)
+    return laps.degradation(laps.clean_laps(t("laps"), t("stints"), KEY, usable()), KEY, ["session"], least=5)
 
 
 @query("C23_typical_stop", """WITH n AS (SELECT session, median(lane) AS normal FROM (SELECT *, min(lane) OVER (PARTITION BY session) AS low FROM {pits}) WHERE lane <= 1.3 * low GROUP BY session)
@@ -75,7 +78,7 @@ def _(t):
 
 @query("C26_long_runs", f"""WITH {CLEAN}, r AS (SELECT session, user_id, compound, median(duration) AS pace FROM k GROUP BY ALL HAVING count(*) >= 5), m AS (SELECT session, compound, median(pace) AS field FROM r GROUP BY ALL HAVING count(*) >= 3) SELECT session, user_id, round(avg(pace - field), 6) AS gap, count(*) AS compounds FROM r JOIN m USING (session, compound) GROUP BY ALL""")
 def _(t):
-    c = laps.clean_laps(t("laps"), t("stints"), KEY, USABLE)
+    c = laps.clean_laps(t("laps"), t("stints"), KEY, usable())
     r = c.groupBy(*KEY, "compound").agg(F.median("duration").alias("pace"), F.count("*").alias("n")).filter("n >= 5")
     m = r.groupBy("session", "compound").agg(F.median("pace").alias("field"), F.count("*").alias("k")).filter("k >= 3")
     return r.join(m, ["session", "compound"]).groupBy(*KEY).agg(F.round(F.avg(F.col("pace") - F.col("field")), 6).alias("gap"), F.count("*").alias("compounds"))
