@@ -28,6 +28,7 @@ from pitrank.llm.words import members, mix, shingle_sets, table
 
 _BYTES = table(lower=True)
 _NO_ID = 2**63 - 1
+BROADCAST_IDS = 1 << 20  #: ids of removed documents that are broadcast; more are joined by a shuffle
 _CUTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary()), ("many_n", pa.binary())])
 _COUNTED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("found", pa.binary()), ("df", pa.binary())])
@@ -210,10 +211,14 @@ def keep_smallest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
 
     Rows that repeat a doc_id count as one document and one of them is left. Rows with a null doc_id, which can't be
     told apart, all stay. Columns of any name pass through."""
-    linked = ngram_join(docs, doc_id, text, n, percent)
-    gone = linked.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    left = docs.join(gone, doc_id, "left_anti").select(docs.columns)
+    linked = cut(ngram_join(docs, doc_id, text, n, percent))
+    gone = cut(linked.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(side, doc_id, "left_anti").select(docs.columns)
     more = linked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(doc_id))
+    if more.isEmpty():
+        return left
+    more = cut(more)
     once = left.join(more, doc_id, "left_anti").select(docs.columns)
     return once.union(left.join(more, doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id]))
 
