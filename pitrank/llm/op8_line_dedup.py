@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitrank.llm.blocks import blocked, n_blocks
-from pitrank.llm.repeats import ANSWER_DDL, OFFER, OFFER_DDL, answer, bucket_key, covered, in_order, offer, repeated
+from pitrank.llm.repeats import ANSWER_DDL, OFFER_DDL, answer, bucket_key, covered, in_order, offer, repeated
 from pitrank.llm.words import Words, pieces, table, words_of
 
 _LINE = (np.arange(256, dtype=np.uint8), np.arange(256) != 0x0A)

@@ -129,10 +129,6 @@ def words_of(texts: pa.Array | pa.ChunkedArray, bytes_to: tuple[np.ndarray, np.n
     return Words(raw, offsets, starts, ends, text, _runs(_LETTER[mapped], starts, ends, _BASE))
 
 
-def pack(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
-
-
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stable order by key, the distinct keys, and where each begins in that order (with the end)."""
     order = np.argsort(keys, kind="stable")
