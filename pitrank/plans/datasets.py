@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitrank.operators import asof, folds, form, quality
+from pitrank.operators import asof, folds, quality
 from pitrank.plans.pointintime import EVENT, PRIOR, prior
 from pitrank.plans.registry import query
 

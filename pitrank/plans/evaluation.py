@@ -233,7 +233,6 @@ def _(t):
     return v.select(*EVENT, F.array_max("v").alias("latest"), F.when(F.size("v") > 1, old).alias("superseded"))
 
 
-NAME = "CAST(league * 100 + day AS VARCHAR)"
 RANKED = f"""u AS (SELECT league, league * 100 + day AS ev, driver_id, utility, p_dnf FROM {{utilities}}),
 x AS (SELECT u.*, d.draw, {U.format("'5|' || ev || '|' || d.draw || '|' || driver_id || '|dnf'")} < p_dnf AS retired, utility / 1.0 + round(-ln(-ln({U.format("'5|' || ev || '|' || d.draw || '|' || driver_id || '|order'")})), 9) AS key FROM u CROSS JOIN range(32) d(draw)),
 r AS (SELECT league, ev, driver_id, draw, retired, row_number() OVER (PARTITION BY ev, draw ORDER BY retired, key DESC, driver_id) AS place FROM x)"""

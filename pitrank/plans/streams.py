@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitrank.operators import draws, evaluate, folds, models
-from pitrank.plans.evaluation import GRID, NAME, RANKED, ranked, utilities  # noqa: F401
+from pitrank.plans.evaluation import RANKED, ranked, utilities
 from pitrank.plans.pointintime import EVENT
 from pitrank.plans.registry import query
 from pitrank.sources.store import scratch

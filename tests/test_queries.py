@@ -42,7 +42,5 @@ def test_entry_imports_without_a_session():
     import subprocess
     import sys
 
-    from tests.conftest import ROOT
-
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and int(done.stdout) > 100
