@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from pitrank.llm.words import buffers, pieces, unit_hashes
 
-TEXT_BYTES = 1 << 22  #: text that is split and encoded together
+TEXT_BYTES = 1 << 20  #: text that is split and encoded together
 INDEX_CHARS = 1 << 18  #: characters of one suffix array
-KNOWN_UNITS = 1 << 20  #: units whose pieces a task remembers
+KNOWN_UNITS = 1 << 18  #: units whose pieces a task remembers
 _LONG_UNIT = 96  #: characters beyond which a unit is relaxed by itself, with a heap
 _NONE = np.iinfo(np.int32).max
 _MARK = "▁"
