@@ -227,6 +227,12 @@ def _(t):
     return live.join(train, F.lit(True)).groupBy("vec_id").agg(F.round(F.min(gap), 6).alias("nearest"))
 
 
+@query("H25_ood_verdict")
+def _(t):
+    v = t("embeddings").select("vec_id", "label", "embedding", (F.col("label") < 8).alias("train"))
+    return evaluate.out_of_distribution(v, "vec_id", "embedding", "label", "train")
+
+
 @query("H27_season_forecast_errors", "WITH f AS (SELECT league, driver_id, sum(points) AS final FROM {points} WHERE version = 1 AND season = 2024 GROUP BY ALL), h AS (SELECT league, driver_id, sum(points) * 15.0 / 8 AS forecast FROM {points} WHERE version = 1 AND season = 2024 AND round <= 8 GROUP BY ALL) SELECT league, round(avg(abs(final - coalesce(forecast, 0))), 6) AS mae, count(*) AS n FROM f LEFT JOIN h USING (league, driver_id) GROUP BY league")
 def _(t):
     p = t("points").filter("version = 1 and season = 2024").groupBy("league", "driver_id")

@@ -54,3 +54,24 @@ def test_empty_tables_give_empty_results(spark):
     d = spark.createDataFrame([], "e int, u double, place int")
     assert folds.order_likelihood(d, ["e"], "u", "place").count() == 0
     assert evaluate.reliability(spark.createDataFrame([], "p double, y boolean"), [], "p", F.col("y")).count() == 0
+
+
+def test_ood_verdict_is_brute_force_over_all_rows(spark, data):
+    import numpy as np
+
+    from pitrank.plans import registry
+
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    v, label = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
+    gap = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2))
+    gap[:, label >= 8] = np.inf
+    gap[label[:, None] == label[None, :]] = np.inf
+    best = gap.min(axis=1)
+    threshold = np.quantile(best[label < 8], 0.99)
+    want = {r.vec_id: (x, x > threshold) for r, x in zip(rows, best, strict=True) if r.label >= 8}
+    got = registry.QUERIES["H25_ood_verdict"](spark, data).collect()
+    assert {r.vec_id for r in got} == set(want) and len(got) == len(want)
+    assert all(math.isclose(r.nearest, want[r.vec_id][0], abs_tol=1e-6) and r.far == want[r.vec_id][1] and math.isclose(r.threshold, threshold, abs_tol=1e-6) for r in got)
+    whole = spark.read.parquet(f"{data}/embeddings.parquet").withColumn("train", F.col("label") < 8)
+    dealt = {r.vec_id: r.nearest for r in evaluate.nearest(whole, "vec_id", "embedding", "label", "train", 100).collect()}
+    assert len(dealt) == len(rows) and all(math.isclose(dealt[r.vec_id], x, abs_tol=1e-9) for r, x in zip(rows, best, strict=True))
