@@ -82,6 +82,27 @@ def hashed(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with ``i``, from 0 on in that order: ranges are numbered by themselves, after an offset for each."""
+    d = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
+    start, table = 0, []
+    for p, n in sorted(d.groupBy("_p").count().collect()):  # one row for each partition
+        table.append((p, start))
+        start += n
+    starts = d.sparkSession.createDataFrame(table, "_p int, _s long")
+    w = Window.partitionBy("_p").orderBy(*order)
+    return d.withColumn("i", F.row_number().over(w)).join(F.broadcast(starts), "_p").withColumn("i", F.col("i") - 1 + F.col("_s")).drop("_p", "_s")
+
+
+def resampled(events: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
+    """how often each resample of all events (with replacement, hashed) took an event; those never taken are out."""
+    d = numbered(events.distinct(), keys)
+    n = d.count()
+    slots = d.select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    picks = slots.select("b", F.pmod(hashed(F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string")), F.lit(max(1, n))).alias("i"))
+    return picks.groupBy("b", "i").agg(F.count("*").alias("often")).join(d, "i").select(*keys, "b", "often")
+
+
 def bootstrap(deltas: DataFrame, ident: str, value: str, resamples: int, seed: int) -> DataFrame:
     """The 95 % interval of the mean over resampled events.
 

@@ -1,12 +1,12 @@
-"""Fits per fold by Spark ML, calibration, ratings over time, and assembled backtests.
+"""Fits by Spark ML or by sums of all folds at once, calibration, ratings over time, and assembled backtests.
 
-Loops here run over folds or rating rounds, never over rows; each fit is a Spark job over the fold's rows."""
+Loops here run over a fit's rounds or rating rounds, never over rows."""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -20,23 +20,10 @@ def vector(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
 
 
-def fit_binary(rows: DataFrame, label: str, penalty: float = 1.0):
-    """L2 logistic regression of known labels; the penalty is per row, as sums of losses have it."""
-    known = rows.filter(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    n = max(1, known.count())
-    return LogisticRegression(regParam=penalty / n, elasticNetParam=0.0, standardization=False, maxIter=100).fit(known)
-
-
 def probability(model, rows: DataFrame, name: str) -> DataFrame:
     return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def fit_ridge(rows: DataFrame, label: str, penalty: float = 1.0):
-    """ridge regression, solved exactly."""
-    known = rows.filter(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    return LinearRegression(regParam=penalty / max(1, known.count()), solver="normal", standardization=False).fit(known)
-
-
 def fit_trees(rows: DataFrame, label: str, binary: bool, trees: int = 80):
     """boosted trees of depth 3."""
     known = rows.filter(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
@@ -68,18 +55,87 @@ def calibrated(model, rows: DataFrame, p: str, kind: str, out: str) -> DataFrame
     return probability(model, d, out).drop("x", "features")
 
 
-def out_of_fold(rows: DataFrame, folds: list[tuple[str, str]], features: list[str], position: str, dnf: str) -> DataFrame:
-    """For each fold (a training and a test condition) the models' outputs on its test rows."""
-    d = vector(rows, features)
-    parts = []
-    for i, (train, test) in enumerate(folds):
-        fit, out = d.filter(train), d.filter(test)
-        winner = fit_binary(fit.withColumn("_won", F.coalesce(F.col(position) == 1, F.lit(False))), "_won")
-        out = probability(winner, out, "p_win")
-        out = fit_ridge(fit, position).transform(out).withColumnRenamed("prediction", "place_ridge")
-        out = probability(fit_binary(fit, dnf), out, "p_dnf")
-        parts.append(out.withColumn("fold", F.lit(i)).drop("features"))
-    return reduce(DataFrame.unionByName, parts)
+def ridge_by_fold(rows: DataFrame, fold: str, features: list[str], label: str, weight: str | None = None, penalty: float = 1.0) -> dict:
+    """F06 for many folds at once: intercept and weights of the ridge regression of known labels, by fold.
+
+    Only sums of products leave the rows, one row a fold; each fold's equations are solved from them. ``weight`` is how
+    often a row counts."""
+    x = [F.lit(1.0), *[F.col(f) for f in features]]
+    w, k = F.lit(1.0) if weight is None else F.col(weight).cast("double"), len(x)
+    sums = [F.sum(w * x[i] * x[j]) for i in range(k) for j in range(i, k)] + [F.sum(w * x[i] * F.col(label)) for i in range(k)]
+    got = rows.filter(F.col(label).isNotNull()).groupBy(fold).agg(F.array(*sums).alias("s")).collect()
+    out = {}
+    for key, s in got:
+        a = np.diag([1e-9, *[penalty] * (k - 1)])
+        a[np.triu_indices(k)] += s[: k * (k + 1) // 2]
+        out[key] = np.linalg.solve(np.triu(a) + np.triu(a, 1).T, s[k * (k + 1) // 2 :]).tolist()
+    return out
+
+
+def logistic_by_fold(rows: DataFrame, fold: str, features: list[str], labels: list[str], penalty: float = 1.0, rounds: int = 30) -> dict:
+    """F05 for many folds at once: intercept and weights of L2 logistic regressions of known labels (0 or 1), by fold
+    and label; a fold without both classes has none.
+
+    Newton's method: each round is one aggregate over the rows, of which loss, gradient and curvature come back (one row
+    a fold). A step that raises the loss is halved."""
+    k = len(features) + 1
+    x, upper = [F.lit(1.0), *[F.col(f) for f in features]], np.triu_indices(k)
+    classes = rows.groupBy(fold).agg(*[F.array(F.min(y), F.max(y)).alias(y) for y in labels]).collect()
+    todo = {(r[fold], y) for r in classes for y in labels if r[y][0] == 0 and r[y][1] == 1}
+    beta, step, least, done = {a: np.zeros(k) for a in todo}, {a: np.zeros(k) for a in todo}, dict.fromkeys(todo, np.inf), set()
+    if not todo:
+        return {}
+    keys = sorted({a for a, _ in todo})
+    fold_type = rows.schema[fold].dataType.simpleString()
+    for _ in range(rounds):
+        table = [(key, *[beta.get((key, y), np.zeros(k)).tolist() for y in labels]) for key in keys]
+        now = rows.sparkSession.createDataFrame(table, f"{fold} {fold_type}, " + ", ".join(f"_b_{y} array<double>" for y in labels))
+        d, aggs = rows.join(F.broadcast(now), fold), []
+        for y in labels:
+            d = d.withColumn(f"_u_{y}", sum((F.col(f"_b_{y}")[i] * x[i] for i in range(1, k)), F.col(f"_b_{y}")[0])).withColumn(f"_p_{y}", 1 / (1 + F.exp(-F.col(f"_u_{y}"))))
+            known, p, u = F.col(y).isNotNull(), F.col(f"_p_{y}"), F.col(f"_u_{y}")
+            loss = F.greatest(u, F.lit(0.0)) - u * F.col(y) + F.log1p(F.exp(-F.abs(u)))
+            parts = [loss, *[(p - F.col(y)) * x[i] for i in range(k)], *[p * (1 - p) * x[i] * x[j] for i, j in zip(*map(list, upper), strict=True)]]
+            aggs.append(F.array(*[F.sum(F.when(known, q)) for q in parts]).alias(y))
+        for r in d.groupBy(fold).agg(*aggs).collect():
+            for y in labels:
+                a = (r[fold], y)
+                if a not in todo or a in done:
+                    continue
+                s, own = np.array(r[y]), penalty * np.array([0.0, *[1.0] * (k - 1)])
+                loss = s[0] + (own * beta[a] ** 2).sum() / 2
+                if loss > least[a] + 1e-9 * abs(least[a]):
+                    step[a] = step[a] / 2
+                    beta[a] = beta[a] - step[a]
+                    continue
+                h = np.zeros((k, k))
+                h[upper] = s[1 + k :]
+                h = np.triu(h) + np.triu(h, 1).T + np.diag(own)
+                step[a] = -np.linalg.solve(h, s[1 : 1 + k] + own * beta[a])
+                if np.abs(step[a]).max() < 1e-8:
+                    done.add(a)
+                least[a], beta[a] = loss, beta[a] + step[a]
+        if done == todo:
+            break
+    return {a: b.tolist() for a, b in beta.items()}
+
+
+def with_fits(rows: DataFrame, fold: str, features: list[str], fits: dict[str, dict]) -> DataFrame:
+    """The linear predictor of each named fit at every row, by the row's fold; null where the fold has no fit."""
+    keys = sorted({k for f in fits.values() for k in f})
+    kind = rows.schema[fold].dataType.simpleString()
+    table = rows.sparkSession.createDataFrame([(k, *[f.get(k) for f in fits.values()]) for k in keys], f"{fold} {kind}, " + ", ".join(f"_b_{n} array<double>" for n in fits))
+    d = rows.join(F.broadcast(table), fold, "left")
+    return d.withColumns({n: sum((F.col(f"_b_{n}")[i + 1] * F.col(f) for i, f in enumerate(features)), F.col(f"_b_{n}")[0]) for n in fits}).drop(*[f"_b_{n}" for n in fits])
+
+
+def out_of_fold(rows: DataFrame, train: DataFrame, fold: str, features: list[str], position: str, dnf: str) -> DataFrame:
+    """The models' outputs on test rows (with their fold), fitted on the fold's rows in ``train``."""
+    known = train.withColumn("_won", F.coalesce(F.col(position) == 1, F.lit(False)).cast("double")).withColumn("_out", F.col(dnf).cast("double")).persist()
+    both = logistic_by_fold(known, fold, features, ["_won", "_out"])
+    fits = {"p_win": {k: b for (k, y), b in both.items() if y == "_won"}, "place_ridge": ridge_by_fold(known, fold, features, position), "p_dnf": {k: b for (k, y), b in both.items() if y == "_out"}}
+    known.unpersist()
+    return with_fits(rows, fold, features, fits).withColumns({p: 1 / (1 + F.exp(-F.col(p))) for p in ("p_win", "p_dnf")})
 
 
 def elo(rows: DataFrame, league: str, carry: float = 0.75, k: float = 24.0, scale: float = 400.0) -> DataFrame:

@@ -100,15 +100,27 @@ def matrix(t) -> DataFrame:
     """Rows with features known before the event: own mean finish so far, qualifying, activity."""
     w = Window.partitionBy("league", "driver_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     d = t("results").withColumn("form", F.coalesce(F.avg("label_position").over(w), F.lit(10.0)))
-    d = d.select(*KEY, *[F.col(f).cast("double").alias(f) for f in FEATURES], "label_position", "label_dnf", "label_available_at", "cutoff")
+    d = d.select(*KEY, *[F.col(f).cast("double").alias(f) for f in FEATURES], "label_position", "label_dnf", "label_available_at", "label_dnf_available_at", "cutoff")
     return d.repartition(8, "league").persist()
 
 
-TEST_DAYS = (20, 25, 30)
+def cohorts(t) -> DataFrame:
+    """all test events with five earlier ones whose labels were known by the cutoff."""
+    return folds.rolling_folds(t("starts"), ["league"], "day", "cutoff", "label_available_at", 5).persist()
+
+
+def fold_rows(t, d: DataFrame, f: DataFrame) -> DataFrame:
+    """training rows of all folds; a fold is a test day over all leagues."""
+    return folds.training_rows(d.drop("cutoff"), f, ["league"], "day", t("starts"), "label_dnf", "label_dnf_available_at").withColumnRenamed("test", "fold")
+
+
+def tested(d: DataFrame, f: DataFrame) -> DataFrame:
+    return d.join(f.select("league", F.col("test").alias("day")).distinct(), EVENT, "left_semi").withColumn("fold", F.col("day"))
 
 
 def oof(t) -> DataFrame:
-    return models.out_of_fold(matrix(t), [(f"day < {d - 3}", f"day = {d}") for d in TEST_DAYS], FEATURES, "label_position", "label_dnf")
+    d, f = matrix(t), cohorts(t)
+    return models.out_of_fold(tested(d, f), fold_rows(t, d, f), "fold", FEATURES, "label_position", "label_dnf")
 
 
 @query("F05_logistic_fits")
@@ -123,9 +135,9 @@ def _(t):
 
 @query("F07_boosted_trees")
 def _(t):
-    d = models.vector(matrix(t), FEATURES)
-    model = models.fit_trees(d.filter("day < 25"), "label_position", binary=False, trees=20)
-    return model.transform(d.filter("day = 30")).select(*KEY, F.round("prediction", 4).alias("place"))
+    d, f = matrix(t), cohorts(t).filter("test = 30")
+    model = models.fit_trees(models.vector(fold_rows(t, d, f), FEATURES).persist(), "label_position", binary=False)
+    return model.transform(models.vector(tested(d, f), FEATURES)).select(*KEY, F.round("prediction", 4).alias("place"))
 
 
 @query("F09_order_fit")
@@ -156,21 +168,35 @@ def _(t):
 
 @query("F18_bootstrap_spread")
 def _(t):
-    d = models.vector(matrix(t), FEATURES)
-    parts = []
-    for b in range(3):
-        often = F.pmod(evaluate.hashed(F.lit(str(b)), F.col("league").cast("string"), F.col("day").cast("string")), F.lit(3))
-        train = d.filter("day < 25").withColumn("often", often).filter("often > 0")
-        parts.append(models.fit_ridge(train, "label_position").transform(d.filter("day = 30")).select(*KEY, (-F.col("prediction")).alias("u")))
-    u = parts[0].union(parts[1]).union(parts[2])
-    return u.groupBy(*KEY).agg(F.round(F.stddev_pop("u"), 4).alias("spread"))
+    d, f = matrix(t), cohorts(t).filter("test = 30")
+    often = evaluate.resampled(f.select("league", "train"), ["league", "train"], 20, 99)
+    train = fold_rows(t, d, f).join(often, ["league", "train"])
+    fits = models.ridge_by_fold(train, "b", FEATURES, "label_position", "often")
+    u = models.with_fits(tested(d, f).crossJoin(F.broadcast(often.select("b").distinct())), "b", FEATURES, {"place": fits})
+    centred = u.withColumn("u", F.avg("place").over(Window.partitionBy("b", *EVENT)) - F.col("place"))
+    return centred.groupBy(*KEY).agg(F.round(F.stddev_pop("u"), 4).alias("spread"))
+
+
+TEMPERATURES = (0.5, 1.0, 2.0, 4.0)
 
 
 @query("F21_composed_model")
 def _(t):
-    o = oof(t)
-    w = Window.partitionBy("fold", *EVENT)
-    return o.select(*KEY, "fold", F.round(F.col("p_dnf"), 4).alias("p_dnf"), F.round(F.exp(-F.col("place_ridge")) / F.sum(F.exp(-F.col("place_ridge"))).over(w), 4).alias("p_win"))
+    d, f = matrix(t), cohorts(t)
+    role = folds.calibration_split(f, t("starts"), ["league"], "day", "cutoff", "label_available_at", 1)
+    all_ = fold_rows(t, d, f).persist()
+    rows = all_.join(role.withColumnRenamed("test", "fold"), ["league", "fold", "train"]).persist()
+    place = {"place": models.ridge_by_fold(rows.filter("role = 'fit'"), "fold", FEATURES, "label_position")}
+    known = all_.withColumn("_out", F.col("label_dnf").cast("double"))
+    out = {"p_dnf": {k: b for (k, _), b in models.logistic_by_fold(known, "fold", FEATURES, ["_out"]).items()}}
+    kept = models.with_fits(rows.filter("role = 'calibrate'"), "fold", FEATURES, place)
+    tried = kept.withColumn("tau", F.explode(F.array(*map(F.lit, TEMPERATURES))))
+    w = Window.partitionBy("fold", "league", "train", "tau")
+    won = tried.withColumn("loss", F.col("place") / F.col("tau") + F.log(F.sum(F.exp(-F.col("place") / F.col("tau"))).over(w))).filter("label_position = 1")
+    best = won.groupBy("fold", "tau").agg(F.round(F.avg("loss"), 9).alias("loss")).groupBy("fold").agg(F.min(F.struct("loss", "tau")).alias("m")).select("fold", F.col("m.tau").alias("tau"))
+    o = models.with_fits(tested(d, f), "fold", FEATURES, place | out).join(F.broadcast(best), "fold", "left").withColumn("e", F.exp(-F.col("place") / F.coalesce("tau", F.lit(1.0))))
+    p_win = F.col("e") / F.sum("e").over(Window.partitionBy("fold", *EVENT))
+    return o.select(*KEY, "fold", F.round(1 / (1 + F.exp(-F.col("p_dnf"))), 4).alias("p_dnf"), F.round(p_win, 4).alias("p_win"))
 
 
 @query("F22_backtest")
