@@ -238,12 +238,12 @@ x AS (SELECT u.*, d.draw, {U.format("'5|' || ev || '|' || d.draw || '|' || drive
 r AS (SELECT league, ev, driver_id, draw, retired, row_number() OVER (PARTITION BY ev, draw ORDER BY retired, key DESC, driver_id) AS place FROM x)"""
 
 
-def utilities(t):
-    return t("utilities").select("league", F.expr("league * 100 + day").alias("ev"), "driver_id", "utility", "p_dnf")
+def utilities(t, shape="utilities"):
+    return t(shape).select("league", F.expr("league * 100 + day").alias("ev"), "driver_id", "utility", "p_dnf")
 
 
-def ranked(t):
-    return draws.rankings(utilities(t), "ev", "driver_id", "utility", 32, 5, p_dnf="p_dnf")
+def ranked(t, shape="utilities"):
+    return draws.rankings(utilities(t, shape), "ev", "driver_id", "utility", 32, 5, p_dnf="p_dnf")
 
 
 @query("G01_rankings", f"WITH {RANKED} SELECT ev, driver_id, draw, retired, place FROM r WHERE draw < 4")
@@ -251,6 +251,11 @@ def _(t):
     return ranked(t).filter("draw < 4").withColumn("draw", F.col("draw").cast("long"))
 
 
+@query("G01_rankings_all_days")
+def _(t):
+    return ranked(t, "all_utilities").withColumn("draw", F.col("draw").cast("long"))
+
+
 @query("G02_marginals", f"WITH {RANKED} SELECT ev, driver_id, round(avg(CAST(place = 1 AS INT)), 6) AS win, round(avg(CAST(place <= 3 AS INT)), 6) AS podium, round(avg(place), 6) AS mean_place, round(avg(CAST(retired AS INT)), 6) AS retirement FROM r GROUP BY ev, driver_id")
 def _(t):
     return draws.marginals(ranked(t), "ev", "driver_id")
@@ -307,6 +312,23 @@ def _(t):
     return draws.standings(r, now, table, "league", "ev", "driver_id", 16, 3, 32)
 
 
+@query("G09_standings_at_cutoff")
+def _(t):
+    """As of the cutoff of each league's first event from the eighth round of its latest season on: that season's points
+    in effect by then, and draws of its events from then on."""
+    w = Window.partitionBy("league")
+    s = t("starts").withColumn("latest", F.max("season").over(w)).filter("season = latest").withColumn("at", F.min(F.when(F.col("round") >= 8, F.col("cutoff"))).over(w))
+    left = s.filter("cutoff >= at").select("league", F.expr("league * 100 + day").alias("ev"))
+    p = t("points").join(s.filter("cutoff < at").select(*EVENT, "at"), EVENT).filter("effective_at <= at")
+    p = p.groupBy(*EVENT, "driver_id").agg(F.max_by("points", "version").alias("p")).groupBy("league", "driver_id").agg(F.sum("p").alias("n"))
+    u = utilities(t, "all_utilities").select("league", "ev", "driver_id")
+    now = u.join(left, ["league", "ev"]).select("league", "driver_id").union(p.select("league", "driver_id")).distinct()
+    now = now.join(p, ["league", "driver_id"], "left").select("league", "driver_id", F.coalesce("n", F.lit(0.0)).alias("points_now"))
+    r = ranked(t, "all_utilities").join(u, ["ev", "driver_id"]).join(left, ["league", "ev"])
+    table = t("rules").filter("season = 2024 and first_round = 1").select("place", "points")
+    return draws.standings(r, now, table, "league", "ev", "driver_id", 16, 3, 32)
+
+
 @query("G10_draw_validation", f"WITH {RANKED} SELECT ev, count(*) FILTER (WHERE n <> k OR n <> top) AS broken, count(*) AS draws FROM (SELECT ev, draw, count(*) AS n, count(DISTINCT place) AS k, max(place) AS top FROM r GROUP BY ALL) GROUP BY ev")
 def _(t):
     d = ranked(t).groupBy("ev", "draw").agg(F.count("*").alias("n"), F.countDistinct("place").alias("k"), F.max("place").alias("top"))

@@ -84,6 +84,7 @@ FROM (SELECT r.league, r.day, r.season, r.event_id, r.driver_id, r.constructor_i
     CASE m.model WHEN 'grid' THEN 1.0 / r.qualifying_position ELSE exp(-0.15 * ((r.user_id * 7 + r.day * 3) % 20 + 1)) END AS raw
   FROM {results} r JOIN {starts} s ON r.league = s.league AND r.day = s.day CROSS JOIN (SELECT 'grid' AS model UNION ALL SELECT 'form') m) p""",
     "utilities": "SELECT league, day, event_id, driver_id, constructor_id, ln(raw) AS utility, 0.05 + 0.01 * (qualifying_position % 10) AS p_dnf FROM {predictions} WHERE model = 'form' AND day <= 6",
+    "all_utilities": "SELECT league, day, event_id, driver_id, constructor_id, ln(raw) AS utility, 0.05 + 0.01 * (qualifying_position % 10) AS p_dnf FROM {predictions} WHERE model = 'form'",
     "profiles": "SELECT concat('c', CAST(p_partkey AS VARCHAR(9))) AS circuit_id, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM {part} WHERE p_partkey < 27",
 
     "scores": "SELECT l.doc_id, l.quality AS y, CAST(least(greatest(d.n_chars / 5000, 0.001), 0.999) AS DOUBLE) AS p FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id",
@@ -100,10 +101,11 @@ _NAME = re.compile(r"\{(\w+)\}")
 class Tables:
     """DataFrames of shapes and of the given tables, by name."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.made = spark, folder, {}
+    def __init__(self, spark: SparkSession, folder: str, instead: dict[str, str] | None = None):
+        self.spark, self.folder, self.made, self.instead = spark, folder, {}, instead or {}
 
     def __call__(self, name: str) -> DataFrame:
+        name = self.instead.get(name, name)
         if name not in self.made:
             if name in SHAPES:
                 sql = SHAPES[name].replace("TSLIT", "TIMESTAMP_NTZ")

@@ -11,6 +11,8 @@ from pitrank.plans.fixtures import Tables, with_shapes
 FLAGSHIP = "C01_contiguous_windows"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries whose SQL takes the first six days only; beside each stands one over all days, without SQL.
+SIX_DAYS = ("G02_marginals", "G02_distribution", "G03_mixture", "G04_mixture_draws", "G05_two_stage", "G07_race_table", "G08_predicted_order", "G10_draw_validation", "G11_calibrated_marginals")
 
 
 def query(name: str, sql: str | None = None):
@@ -18,6 +20,8 @@ def query(name: str, sql: str | None = None):
 
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if name in SIX_DAYS:
+            QUERIES[f"{name}_all_days"] = lambda spark, folder: f(Tables(spark, folder, {"utilities": "all_utilities"}))
         if sql is not None:
             ORACLE_SQL[name] = with_shapes(sql)
         return f

@@ -216,7 +216,7 @@ def _(t):
 
 @query("H20_grid_fit")
 def _(t):
-    u, won = utilities(t), t("results").filter("label_position = 1 and day <= 6").select(F.expr("league * 100 + day").alias("ev"), "driver_id")
+    u, won = utilities(t, "all_utilities"), t("results").filter("label_position = 1").select(F.expr("league * 100 + day").alias("ev"), "driver_id")
     parts = []
     for i, (a, b) in enumerate([(0.8, 1.2), (1.0, 1.0), (1.2, 0.8)]):
         m = draws.two_stage(u, "ev", "driver_id", "utility", 8, 9, a, b).groupBy("ev", "driver_id").agg(F.avg((F.col("place") == 1).cast("int")).alias("p"))
