@@ -86,6 +86,7 @@ FROM (SELECT r.league, r.day, r.season, r.event_id, r.driver_id, r.constructor_i
     "utilities": "SELECT league, day, event_id, driver_id, constructor_id, ln(raw) AS utility, 0.05 + 0.01 * (qualifying_position % 10) AS p_dnf FROM {predictions} WHERE model = 'form' AND day <= 6",
     "all_utilities": "SELECT league, day, event_id, driver_id, constructor_id, ln(raw) AS utility, 0.05 + 0.01 * (qualifying_position % 10) AS p_dnf FROM {predictions} WHERE model = 'form'",
     "profiles": "SELECT concat('c', CAST(p_partkey AS VARCHAR(9))) AS circuit_id, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM {part} WHERE p_partkey < 27",
+    "all_profiles": "SELECT concat('c', CAST(p_partkey % 7 AS VARCHAR(9))) AS circuit_id, avg(CAST(p_size AS DOUBLE)) AS a, avg(p_retailprice) AS b FROM {part} GROUP BY p_partkey % 7",
 
     "scores": "SELECT l.doc_id, l.quality AS y, CAST(least(greatest(d.n_chars / 5000, 0.001), 0.999) AS DOUBLE) AS p FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id",
     "statuses": """

@@ -263,6 +263,19 @@ def _(t):
     return form.kernel_delta(h, kernel, [*EVENT, "driver_id"], "prior", "target_circuit", "circuit_id", "label_position", 40)
 
 
+@query("C12_venue_similarity_all_parts")
+def _(t):
+    """Each of the seven venues that host events has one profile, the mean over its share of all parts."""
+    return form.similar(t("all_profiles"), "circuit_id", ["a", "b"], 1.0, 5).withColumn("k", F.col("k").cast("long"))
+
+
+@query("C13_similar_venue_delta_all_parts")
+def _(t):
+    kernel = form.similar(t("all_profiles"), "circuit_id", ["a", "b"], 1.0, 5).select(F.col("circuit_id").alias("target_circuit"), "other", "weight")
+    h = prior(t).join(t("starts").select(*EVENT, F.col("circuit_id").alias("target_circuit")), EVENT)
+    return form.kernel_delta(h, kernel, [*EVENT, "driver_id"], "prior", "target_circuit", "circuit_id", "label_position", 40)
+
+
 @query("C14_practice_relative", "SELECT s.league, s.day, s.driver_id, rank() OVER w AS place, round(best / min(best) OVER (PARTITION BY league, day) - 1, 6) AS gap, round(best - (SELECT avg(m.best) FROM {sessions} m WHERE m.provider = 'a' AND m.league = s.league AND m.day = s.day AND m.constructor_id = s.constructor_id AND m.driver_id <> s.driver_id), 6) AS mate_gap, round((rank() OVER w - 1) / nullif(count(*) OVER (PARTITION BY league, day) - 1, 0), 6) AS share FROM {sessions} s WHERE provider = 'a' WINDOW w AS (PARTITION BY league, day ORDER BY best)")
 def _(t):
     return form.practice(t("sessions").filter("provider = 'a'"), EVENT, "constructor_id", "best").select(*EVENT, "driver_id", "place", "gap", "mate_gap", "share")
