@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _SPACE = np.array([0x20, *range(0x09, 0x0E)], np.uint8)
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
-_LETTER = np.random.default_rng(7).integers(1, 2**64 - 1, 256, np.uint64)
+_ODD, _PAIR, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)  # masks of the first k bytes
 
 
 def table(lower: bool = False, alphanumeric: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -37,26 +37,77 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _eights(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte spans in parts of eight bytes, the last one filled with zeros: values, number within the span, and where
+    each span's parts begin (with the end)."""
+    size = ends - starts
+    many = (size + 7) >> 3
+    edge = np.concatenate([[0], np.cumsum(many)])
+    if len(many) and many.max() <= 1 and many.min() == 1:
+        at, k, left = starts, np.zeros(len(starts), np.int64), size
+    else:
+        k = np.arange(edge[-1]) - np.repeat(edge[:-1], many)
+        at = np.repeat(starts, many) + 8 * k
+        left = np.repeat(size, many) - 8 * k
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    value = np.ndarray(len(raw) + 1, "<u8", padded, 0, (1,))[at] & _LOW[np.minimum(left, 8)]
+    return value, k, edge
 
 
-def _pow(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        have = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (base, inverse))
-        _powers[int(base)] = have
-    return have
+def unit_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: a sum of mixed parts of eight bytes, each mixed with its place.
+
+    The mixing isn't linear, so no family of texts collides by algebra, as it does for polynomials modulo 2**64."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    value, k, edge = _eights(raw, starts, ends)
+    part = mix(mix(value + _ODD) + k.astype(np.uint64) * _PAIR)
+    if len(part) != len(starts):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
+        part = total[edge[1:]] - total[edge[:-1]]
+    return mix(part + (ends - starts).astype(np.uint64) * _LAST)
+
+
+def same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw2: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+    """Which pairs of spans hold the same bytes."""
+    out = ends - starts == ends2 - starts2
+    at = np.flatnonzero(out & (ends > starts))
+    if len(at):
+        value, _, edge = _eights(raw, starts[at], ends[at])
+        other, _, _ = _eights(raw2, starts2[at], ends2[at])
+        out[at] = np.add.reduceat((value != other).astype(np.int64), edge[:-1]) == 0
+    return out
 
 
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Polynomial hash of values[start:end], the same wherever the run stands."""
-    up, down = _pow(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, mark: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First span of each distinct one, and for every span the number of its like. Bytes decide, and ``mark`` (small
+    numbers) if given: spans are sorted by hash, then compared; should two hashes collide, by a dictionary."""
+    h = unit_hashes(raw, starts, ends)
+    if mark is not None:
+        h = h + mark.astype(np.uint64)
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    like = first[of]
+    same = same_bytes(raw, starts, ends, raw, starts[like], ends[like])
+    if mark is not None:
+        same &= mark == mark[like]
+    if same.all():
+        return first, of
+    seen: dict[tuple[bytes, int], int] = {}
+    data, marks = raw.tobytes(), (mark if mark is not None else np.zeros(len(starts), np.int64)).tolist()
+    of = np.array([seen.setdefault((data[a:b], m), len(seen)) for a, b, m in zip(starts.tolist(), ends.tolist(), marks, strict=True)], np.int64)
+    return np.unique(of, return_index=True)[1], of
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two neighbouring runs from theirs."""
+    x = a * _ODD
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= _PAIR
+    x ^= x >> np.uint64(29)
+    x *= _LAST
+    x ^= x >> np.uint64(32)
+    return x
 
 
 @dataclass
@@ -70,6 +121,17 @@ class Words:
     text: np.ndarray
     hashes: np.ndarray
 
+    def __post_init__(self) -> None:
+        self._runs = {1: self.hashes}
+
+    def _of(self, n: int) -> np.ndarray:
+        """Hash of the n words from each word on, across texts too: runs of half the length are joined."""
+        if n not in self._runs:
+            a = 1 << ((n - 1).bit_length() - 1)
+            size = max(0, len(self.hashes) - n + 1)
+            self._runs[n] = _joined(self._of(a)[:size], self._of(n - a)[a : a + size])
+        return self._runs[n]
+
     @property
     def counts(self) -> np.ndarray:
         return np.bincount(self.text, minlength=len(self.offsets) - 1)
@@ -85,16 +147,11 @@ class Words:
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.text[:m] == self.text[n - 1 :])
-        return at, _runs(self.hashes, at, at + n, _STEP)
+        return at, self._of(n)[at]
 
     def runs(self, at: np.ndarray, n: int) -> np.ndarray:
         """Hash of the n words from each of the given ones."""
-        return _runs(self.hashes, at, at + n, _STEP)
-
-    def whole(self) -> np.ndarray:
-        """Hash of each text's word sequence."""
-        edge = self.first
-        return _runs(self.hashes, edge[:-1], edge[1:], _STEP)
+        return self._of(n)[at]
 
 
 def strings(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -126,7 +183,7 @@ def words_of(texts: pa.Array | pa.ChunkedArray, bytes_to: tuple[np.ndarray, np.n
     starts = np.flatnonzero(on[1:] & (~on[:-1] | cut))
     ends = np.flatnonzero(on[:-1] & (~on[1:] | cut))
     text = np.searchsorted(offsets, starts, side="right") - 1
-    return Words(raw, offsets, starts, ends, text, _runs(_LETTER[mapped], starts, ends, _BASE))
+    return Words(raw, offsets, starts, ends, text, unit_hashes(mapped, starts, ends))
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,9 +220,10 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, bytes_to: tuple[np.ndarray,
         w = words_of(some, bytes_to)
         at, h = w.windows(n)
         doc = w.text[at]
-        short = np.flatnonzero((w.counts > 0) & (w.counts < n))
-        if len(short):
-            h, doc = np.concatenate([h, w.whole()[short]]), np.concatenate([doc, short])
+        short = [(k, np.flatnonzero(w.counts == k)) for k in range(1, n)]
+        if any(len(of) for _, of in short):
+            h = np.concatenate([h, *(w.runs(w.first[of], k) for k, of in short if len(of))])
+            doc = np.concatenate([doc, *(of for _, of in short)])
             order = np.argsort(doc, kind="stable")
             h, doc = h[order], doc[order]
         edge = np.searchsorted(doc, np.arange(len(some) + 1))
@@ -177,8 +235,3 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, bytes_to: tuple[np.ndarray,
         edges.append(np.searchsorted(doc[new], np.arange(1, len(some) + 1)) + total)
         total += len(parts[-1])
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(edges)
-
-
-def unit_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans."""
-    return _runs(_LETTER[raw], starts, ends, _BASE)
