@@ -8,11 +8,13 @@ for each block. A frequent hash is sent once per block, so no bucket depends on
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitrank.llm.words import grouped
@@ -20,16 +22,31 @@ from pitrank.llm.words import grouped
 BLOCK_BYTES = 4 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows from a reliable checkpoint: lineage ends there, and lost executors cost nothing.
-
-    The folder is spark.checkpoint.dir; only where that is unset (tests) it is a local one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir names. Only a local session without that setting gets a temporary one."""
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="pitrank-")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pitrank-checkpoints")
+        spark.sparkContext.setCheckpointDir(top)
+    return top
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows from a reliable checkpoint: lineage ends there, and lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a Parquet table in the shared folder: compressed, and read by column, unlike a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def n_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     """As many blocks as the text needs, and one for each shuffle partition at least."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -3,7 +3,9 @@ posterior probability of good quality decides. DataFrame functions only.
 
 Each rule votes bad (-1), good (1) or abstains (0). Rows are counted by vote pattern; there are at most 3 ** rules
 patterns, whatever the input, and expectation-maximisation of a two-class model with independent rules runs over these
-counts. The estimate becomes a column: the sum of the log-odds of a row's votes.
+counts. The estimate becomes a column: the sum of the log-odds of a row's votes. Nothing holds a rule to a range: it may
+turn out to be wrong often, or to say nothing, and good votes of reliable rules outweigh a bad one of a poor rule.
+Classes are named by how estimation starts: rules are right more often than not.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitrank.llm.blocks import cut
+from pitrank.llm.blocks import cut, written
 
 _SPACE = r"[ \t\n\x0B\f\r]+"
+_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"  #: the base rules
+#: Frequent short words of English, French, German and Spanish prose.
+_COMMON = "the of and to in is that it for was on as with by be this are or an at from le la les de des et un une du en que qui pour dans il est der die das und zu den von ist mit im ein eine dem auf el los las y del se con por para lo".split()
 
 
 def _measured(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
@@ -26,15 +31,17 @@ def _measured(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
         "row",
         F.array_remove(F.split("text", _SPACE), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")).alias("lines"),
-        F.length("text").alias("n_chars"),
         (F.length("text") - left("[#*$%&|<>]+")).cast("long").alias("n_symbols"),
         left("[^A-Z]+").alias("n_upper"),
         (F.length("text") - left("[!]+")).alias("n_shouts"),
+        (F.length("text") - left(r"\p{L}+")).alias("n_letters"),
     )
     d = d.select(
-        "row", "n_chars", "n_symbols", "n_upper", "n_shouts",
+        "row", "n_symbols", "n_upper", "n_shouts", "n_letters",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.size(F.filter("words", lambda w: w.isin(_COMMON))).alias("n_common"),
+        F.size(F.filter("words", lambda w: w.endswith("."))).alias("n_ends"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr("transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2)))").alias("runs"),
@@ -49,36 +56,39 @@ def _measured(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
 
 
 def _votes() -> dict[str, Column]:
-    """What each rule says of a row's measures."""
+    """What each rule says of a row's measures. Rules that see the same thing are one: the model takes them as independent."""
     c = F.expr
     vote = lambda bad, good: F.when(c(bad), -1).when(c(good), 1).otherwise(0)
     return {
         "symbols": vote("n_symbols > 0.1 * n_words", "n_symbols <= 0.01 * n_words"),
-        "upper": vote("n_upper > 0.3 * word_chars", "n_upper <= 0.1 * word_chars"),
-        "shouts": vote("n_shouts > 0.1 * n_words", "n_shouts <= 0.01 * n_words"),
+        "loud": vote("n_upper > 0.3 * word_chars or n_shouts > 0.1 * n_words", "n_upper <= 0.1 * word_chars and n_shouts <= 0.01 * n_words"),
         "repeats": vote("n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.1 * n_words"),
         "lines": vote("n_lines > 3 and n_dup_lines > 0.5 * n_lines", "n_lines > 3 and n_dup_lines = 0"),
-        "lengths": vote("n_words > 0 and (word_chars > 15 * n_words or word_chars < 2 * n_words)", "word_chars between 3 * n_words and 10 * n_words and n_words > 0"),
+        "lengths": vote("word_chars > 12 * n_words or word_chars < 3 * n_words", "word_chars between 3.5 * n_words and 9 * n_words"),
+        "letters": vote("n_letters < 0.85 * word_chars", "n_letters >= 0.93 * word_chars"),
+        "common": vote("n_common < 0.04 * n_words", "n_common >= 0.1 * n_words"),
+        "ends": vote("n_ends < 0.01 * n_words or n_ends > 0.5 * n_words", "n_ends between 0.03 * n_words and 0.3 * n_words"),
     }
 
 
-#: Votes of a rule on good and on bad rows, before any row is seen: a rule seldom calls a good row bad.
-_START = {True: {-1: 0.01, 1: 0.99}, False: {-1: 0.4, 1: 0.6}}
-_WRONG = 0.001  #: most that a rule may be thought to call good rows bad; this names the classes
-_CAUGHT = (0.2, 0.4)  #: share of bad rows that a rule is thought to see; each sees one kind, so a good vote proves little
+Patterns = list[tuple[tuple[int, ...], int]]
 
 
-def _estimated(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100) -> tuple[float, list[dict[int, float]]]:
-    """Prior log-odds of good, and each rule's log-odds by vote; to abstain says nothing."""
-    rate = {good: [dict(_START[good]) for _ in range(rules)] for good in _START}
+def estimated(patterns: Patterns, rules: int, rounds: int = 200, prior: float = 0.8, right: float = 0.9, smooth: float = 1.0) -> tuple[float, list[dict[int, float]]]:
+    """Log-odds of good before any vote, and each rule's log-odds by vote; to abstain says nothing.
+
+    Starts from a share ``prior`` of good rows and rules that are right with probability ``right``. ``smooth`` votes
+    of each kind are added to what is counted, so that no estimate is 0 or 1."""
+    rate = {good: [{-1: 1 - right if good else right, 1: right if good else 1 - right} for _ in range(rules)] for good in (True, False)}
     weigh = lambda k, v: math.log(rate[True][k][v] / rate[False][k][v]) if v else 0.0
-    prior = 0.8
-    for _ in range(rounds):
-        mass = {True: 8.0, False: 2.0}
-        sums = {good: [{v: 10 * p for v, p in _START[good].items()} for _ in range(rules)] for good in _START}
+    for _ in range(rounds if patterns else 0):
+        odds = [{v: weigh(k, v) for v in (-1, 0, 1)} for k in range(rules)]
+        start, before = math.log(prior / (1 - prior)), (prior, rate)
+        mass = {True: smooth, False: smooth}
+        sums = {good: [{-1: smooth, 1: smooth} for _ in range(rules)] for good in mass}
         for votes, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(weigh(k, v) for k, v in enumerate(votes))
-            share = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+            total = start + sum(o[v] for o, v in zip(odds, votes, strict=True))
+            share = 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
             for good, part in ((True, share * n), (False, (1 - share) * n)):
                 mass[good] += part
                 for k, v in enumerate(votes):
@@ -86,9 +96,9 @@ def _estimated(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds:
                         sums[good][k][v] += part
         prior = mass[True] / (mass[True] + mass[False])
         rate = {good: [{v: x / sum(s.values()) for v, x in s.items()} for s in sums[good]] for good in sums}
-        for good, bad in zip(rate[True], rate[False], strict=True):
-            good[-1], bad[-1] = min(good[-1], _WRONG), min(max(bad[-1], _CAUGHT[0]), _CAUGHT[1])
-            good[1], bad[1] = 1 - good[-1], 1 - bad[-1]
+        moved = abs(prior - before[0]) + sum(abs(rate[g][k][1] - before[1][g][k][1]) for g in rate for k in range(rules))
+        if moved < 1e-9:
+            break
     return math.log(prior / (1 - prior)), [{v: weigh(k, v) for v in (-1, 0, 1)} for k in range(rules)]
 
 
@@ -97,15 +107,15 @@ def _judged(measured: DataFrame, votes: dict[str, Column], prior: float, odds: l
     total = F.lit(prior)
     for vote, of in zip(votes.values(), odds, strict=True):
         total = total + F.when(vote < 0, of[-1]).when(vote > 0, of[1]).otherwise(of[0])
-    d = measured.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    d = measured.withColumn("base_failed", F.expr(_FAILED))
     d = d.withColumn("posterior", F.lit(1.0) / (F.lit(1.0) + F.exp(-total)))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
 def _learned(measured: DataFrame) -> tuple[dict[str, Column], float, list[dict[int, float]]]:
     votes = _votes()
-    counts = measured.filter("n_words >= 50").groupBy(*[v.alias(k) for k, v in votes.items()]).count().collect()
-    return votes, *_estimated([(tuple(r[k] for k in votes), r["count"]) for r in counts], len(votes))
+    counts = measured.filter(~F.expr(_FAILED)).groupBy(*[v.alias(k) for k, v in votes.items()]).count().collect()
+    return votes, *estimated(sorted((tuple(r[k] for k in votes), r["count"]) for r in counts), len(votes))
 
 
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,16 +123,19 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Null and empty texts have no words and fail the base rules (fewer than 50 words, or over half of the words in
     three-word runs that occur twice). Repeated rows and null ids are judged like others; accuracies are estimated
-    over all rows of 50 words or more. Measures are written to the checkpoint folder, texts are not."""
+    over all rows that pass the base rules. Very long texts are measured whole: runs of three words are found again by sorting
+    their hashes within the text. Measures are written to the checkpoint folder, texts are not."""
     measured = cut(_measured(docs, text, [doc_id]))
     out = _judged(measured, *_learned(measured))
     return out.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that quality_report keeps, with all their columns, of any name."""
-    learned = _learned(_measured(docs, text, []))
-    out = _judged(_measured(docs, text, docs.columns), *learned)
+    """The rows of ``docs`` that quality_report keeps, with all their columns, of any name.
+
+    Rows and their measures are written to the checkpoint folder once, so that texts are measured in one pass."""
+    measured = written(_measured(docs, text, docs.columns))
+    out = _judged(measured, *_learned(measured))
     return out.filter("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
