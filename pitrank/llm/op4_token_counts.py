@@ -1,12 +1,15 @@
 """Token counts: lengths only, of batches balanced by bytes, with long texts split at safe boundaries.
 
-The tokenizer's own pattern never lets a token cross a place where a single space stands between two characters that
-are not white space: the space begins a new token. Texts are split there into units; the sum of the units' lengths is
-the text's length. Units repeat, so each distinct unit of a batch is encoded once.
+The tokenizer's own pattern has white space only at the start of a token, or alone. So a token always begins where
+white space follows a character that is none, in every script, and what lies before does not depend on what lies after
+there. Texts are cut at these places; long units, of scripts or tables without white space, are cut again where a
+letter or digit is followed by a character of another sort, which no token spans either. The sum of the units' lengths
+is the text's length. Units repeat, so each distinct unit of a batch is encoded once.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,28 +17,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitrank.llm.words import buffers, pieces, unit_hashes
+from pitrank.llm.words import buffers, distinct, pieces
 
-UNIT_BYTES = 1 << 22  #: text that is split and encoded together
-KNOWN_UNITS = 1 << 20  #: units whose length a task remembers
-_LATIN = 0xC3  #: lead byte of U+00C0 to U+00FF: letters and two signs, no white space
+UNIT_BYTES = 1 << 20  #: text that is split and encoded together
+KNOWN_UNITS = 1 << 19  #: units whose length a task remembers; longer ones than LONG_UNIT are not kept
+LONG_UNIT = 1 << 9  #: bytes of a unit beyond which it is cut again
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_SORT = np.zeros(256, np.uint8)  # 1 ASCII letter, 2 ASCII digit, 3 other printable ASCII
+_SORT[0x21:0x7F] = 3
+_SORT[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_SORT[0x30:0x3A] = 2
+
+
+def _three(raw: np.ndarray) -> np.ndarray:
+    """The 24 bits that end at each byte, 0 in the first ones."""
+    out = raw.astype(np.uint32)
+    out[1:] |= raw[:-1].astype(np.uint32) << 8
+    out[2:] |= raw[:-2].astype(np.uint32) << 16
+    return out
 
 
 def unit_edges(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte positions at which units begin (texts begin one too), with the end."""
-    solid = (raw > 0x20) & (raw < 0x7F)
-    before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
-    before[1:] = solid[:-1]
-    before[2:] |= (raw[1:-1] >= 0x80) & (raw[1:-1] < 0xC0) & (raw[:-2] == _LATIN)
-    after[:-1] = solid[1:] | (raw[1:] == _LATIN)
-    cut = (raw == 0x20) & before & after
+    solid = _SORT[raw] > 0  # bytes that end a character which surely is no white space
+    high = np.flatnonzero(raw >= 0x80)
+    if len(high):
+        three = _three(raw)[high]
+        two = three & 0xFFFF
+        # U+0085, U+00A0; U+1680, U+180E; U+2000 to U+206F; U+3000; U+FEFF: white space, or taken for it by some
+        blank = (two == 0xC285) | (two == 0xC2A0) | (three == 0xE19A80) | (three == 0xE1A08E) | ((three >= 0xE28080) & (three <= 0xE281AF)) | (three == 0xE38080) | (three == 0xEFBBBF)
+        solid[high] = ~blank
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = _SPACE[raw[1:]] & solid[:-1]
     cut[offsets[offsets < len(raw)]] = True
-    inner = np.flatnonzero(cut)
-    # a space that begins a text is no cut of the text before, and one that ends a text is a cut of its own at most
-    return np.append(inner, len(raw))
+    edge = np.append(np.flatnonzero(cut), len(raw))
+    if not (np.diff(edge) > LONG_UNIT).any():
+        return edge
+    inner = _inner(raw)
+    return np.union1d(edge, inner[np.repeat(np.diff(edge), np.diff(edge))[inner] > LONG_UNIT])
+
+
+def _inner(raw: np.ndarray) -> np.ndarray:
+    """Where characters of a sort that no token joins begin: after an ASCII letter or digit, or a letter of Japanese,
+    Chinese or Korean, one of another sort."""
+    sort = _SORT[raw].copy()
+    three = _three(raw)
+    cjk = ((three >= 0xE38181) & (three <= 0xE38296)) | ((three >= 0xE382A1) & (three <= 0xE383BA)) | ((three >= 0xE4B880) & (three <= 0xE9BE9F)) | ((three >= 0xEAB080) & (three <= 0xED9EA3))
+    cjk &= (raw >= 0x80) & (raw < 0xC0)
+    sort[cjk & (raw >= 0x80)] = 1  # the last byte of such a letter
+    mark = (three == 0xE38081) | (three == 0xE38082)  # ideographic comma and full stop
+    begins = np.zeros(len(raw) + 1, np.uint8)
+    begins[: len(raw)][_SORT[raw] > 0] = _SORT[raw][_SORT[raw] > 0]
+    begins[np.flatnonzero(cjk) - 2] = 1
+    begins[np.flatnonzero(mark) - 2] = 3
+    at = np.arange(1, len(raw))
+    left, right = sort[:-1], begins[1 : len(raw)]
+    return at[((left == 1) & (right > 1)) | ((left == 2) & ((right == 1) | (right == 3)))]
 
 
 def _encoder(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
@@ -51,17 +92,19 @@ def _lengths(texts: pa.Array, encoder, known: dict[bytes, int]) -> np.ndarray:
         return np.zeros(len(texts), np.int64)
     edge = unit_edges(raw, offsets)
     starts, ends = edge[:-1], edge[1:]
-    _, first, of = np.unique(unit_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    first, of = distinct(raw, starts, ends)
     data = raw.tobytes()
     units = [data[a:b] for a, b in zip(starts[first], ends[first], strict=True)]
-    new = [u for u in units if u not in known]
-    if len(known) + len(new) > KNOWN_UNITS:
-        known.clear()
-        new = units
+    new = [i for i, u in enumerate(units) if u not in known]
+    fresh = np.zeros(len(units), np.int64)
     for i in range(0, len(new), 4096):
         some = new[i : i + 4096]
-        known.update(zip(some, (len(e.ids) for e in encoder.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)), strict=True))
-    total = np.concatenate([[0], np.cumsum(np.array([known[u] for u in units], np.int64)[of])])
+        fresh[some] = [len(e.ids) for e in encoder.encode_batch_fast([units[k].decode() for k in some], add_special_tokens=False)]
+    size = np.array([known.get(u, 0) for u in units], np.int64) + fresh
+    if len(known) + len(new) > KNOWN_UNITS:
+        known.clear()
+    known.update((units[k], int(fresh[k])) for k in new[:KNOWN_UNITS] if len(units[k]) <= LONG_UNIT)
+    total = np.concatenate([[0], np.cumsum(size[of])])
     return total[np.searchsorted(starts, offsets[1:])] - total[np.searchsorted(starts, offsets[:-1])]
 
 
@@ -70,7 +113,8 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     ``path`` is a byte-level BPE file of the tokenizers library, readable on every executor; begin, end and added
     special tokens don't count, special strings inside texts are handled as the library does by default. Null and
-    empty texts have 0. Repeated rows and null ids are counted like others; other columns are not read."""
+    empty texts have 0. Very long texts are cut into units, except a single word of any length, which the library gets
+    whole. Repeated rows and null ids are counted like others; other columns are not read."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = _encoder(path), {}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitrank.llm.words import buffers, pieces, unit_hashes
+from pitrank.llm.words import buffers, distinct, pieces
 
 TEXT_BYTES = 1 << 20  #: text that is split and encoded together
 INDEX_CHARS = 1 << 18  #: characters of one suffix array
@@ -215,8 +215,7 @@ def encoded(texts: pa.Array, model: Model, known: dict) -> tuple[np.ndarray, np.
     starts, ends = edge[:-1], edge[1:]
     head = np.zeros(len(starts), bool)
     head[np.searchsorted(starts, offsets[:-1][offsets[1:] > offsets[:-1]])] = True
-    h = unit_hashes(raw, starts, ends) + head.astype(np.uint64)
-    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    first, of = distinct(raw, starts, ends, head.astype(np.int64))
     data = raw.tobytes()
     units = [(b" " if p else b"") + data[a:b] for a, b, p in zip(starts[first], ends[first], head[first], strict=True)]
     new = [u for u in units if u not in known]
