@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitrank.llm.blocks import map_batches
+from pitrank.llm.blocks import cut, map_batches
 from pitrank.llm.words import mix, pieces, table, unit_hashes, words_of
 
 DIMENSIONS = 1 << 18
 MAX_TRAINING_ROWS = 8000  #: labelled rows that fitting takes at most: those whose doc_id has the smallest hash
+MAX_TRAINING_BYTES = 96 << 20  #: bytes of their features that fitting takes at most, by the same order
 _EXACT, _FOLDED = table(), table(lower=True)
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("a") : ord("z") + 1] = _SHAPE[0x80:] = ord("a")
@@ -99,11 +100,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return float(a), float(b)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", label_id: str = "doc_id", folds: int = 5, threshold: float = 0.3, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", label_id: str = "doc_id", folds: int = 5, threshold: float = 0.3, max_rows: int = MAX_TRAINING_ROWS, max_bytes: int = MAX_TRAINING_BYTES) -> DataFrame:
     """Per row: doc_id, held_out (crc32 of the id's text modulo ``folds`` is 0), score (probability of label 1) and
     predicted (1 from ``threshold`` on).
 
-    Only labels of rows that are not held out are learned from, and of these at most ``max_rows``. Scores depend on the
+    Only labels of rows that are not held out are learned from, and of these at most ``max_rows`` with
+    features of at most ``max_bytes``, each text whole. Very long texts are scored whole. Scores depend on the
     text alone: null and empty texts share one score, repeated rows have equal ones. A null id counts as the id ''.
     Null labels are left out, an id with several labels has their majority (1 if even). Without labels of both
     classes every score is the share of label 1, smoothed."""
@@ -117,7 +119,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
         found, edge = features(batch["text"])
         return pa.table({"id": batch["id"], "y": batch["y"], "x": pa.array([found[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
 
-    got = sorted(map_batches(sample.select(F.col("id").cast("long"), "y", "text"), extract, "id long, y int, x binary").collect())
+    drawn = cut(map_batches(sample.select(F.col("id").cast("long"), "y", "text"), extract, "id long, y int, x binary"))
+    sizes = drawn.select("id", F.octet_length("x").alias("size"))  # max_rows small rows
+    fits = sizes.withColumn("sum", F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id"))).filter(F.col("sum") <= max_bytes).select("id")
+    got = sorted(drawn.join(F.broadcast(fits), "id").select("id", "y", "x").collect())
     model = spark.sparkContext.broadcast(fit([np.frombuffer(r.x, np.int32) for r in got], np.array([r.y for r in got], np.int64)))
 
     def score(batch: pa.RecordBatch) -> pa.Table:

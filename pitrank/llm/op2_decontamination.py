@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitrank.llm.blocks import cut, map_batches
-from pitrank.llm.words import Words, members, pieces, table, words_of
+from pitrank.llm.words import Words, distinct, members, pieces, same_bytes, table, words_of
 
 _BYTES = table(lower=True, alphanumeric=True)
-INDEX_BYTES = 16 << 20  #: text of benchmark items whose index one broadcast may hold
+INDEX_BYTES = 48 << 20  #: bytes that a broadcast index may have
+_PER_BYTE = 96  #: most bytes of index for a byte of item text: a window (80 bytes of hashes, 72 of shingles, 40 of links) begins at every second byte at most
 _SHINGLE = 3
 
 
@@ -38,6 +39,13 @@ class _Index:
         rows = np.zeros((len(at), window), np.uint64)
         for k in range(window):
             rows[n > k, k] = w.hashes[at[n > k] + k]
+        lower = _BYTES[0][w.raw]
+        first, _ = distinct(lower, w.starts, w.ends)
+        first = first[np.argsort(w.hashes[first], kind="stable")]
+        self.known, size = w.hashes[first], w.ends[first] - w.starts[first]
+        self.spelled = np.concatenate([np.zeros(0, np.uint8), *(lower[a:b] for a, b in zip(w.starts[first], w.ends[first], strict=True))])
+        self.ends = np.cumsum(size)
+        self.begins = self.ends - size
         self.words, which = np.unique(rows, axis=0, return_inverse=True) if len(at) else (rows, np.zeros(0, np.int64))
         self.length = np.zeros(len(self.words), np.int64)
         self.length[which] = n
@@ -91,7 +99,15 @@ class _Index:
                 same[live] = w.hashes[start[live] + j] == self.words[which[live], j]
             starts.append(start[same])
             found.append(which[same])
-        return np.concatenate(starts), np.concatenate(found)
+        start, which = np.concatenate(starts), np.concatenate(found)
+        if not len(start):
+            return start, which
+        n = self.length[which]
+        word = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at = np.searchsorted(self.known, w.hashes[word])
+        same = same_bytes(_BYTES[0][w.raw], w.starts[word], w.ends[word], self.spelled, self.begins[at], self.ends[at])
+        same = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        return start[same], which[same]
 
 
 def _counted(docs: DataFrame, index, text: str) -> DataFrame:
@@ -149,16 +165,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     a window covers it; items are those with such a window, as strings in order. Null and empty texts have no words;
     a null item_id counts as the item 'None', and repeated items count once.
 
-    The index is broadcast. A benchmark of more than ``index_bytes`` of text is taken in slices of about that size,
-    one pass each, with the rows written to the checkpoint folder between passes."""
+    The index is broadcast and has at most ``index_bytes``. A larger benchmark is taken in slices by a hash of item
+    and text, so that copies of one text, too, are dealt out; each slice is one pass over the documents, with the rows
+    written to the checkpoint folder between passes. Very long texts are read in whole, in pieces of whole texts."""
     spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    slices = max(1, math.ceil(size / index_bytes))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("None")).alias("id"), F.col(item_text).alias("text")).filter(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).distinct()
+    size = items.agg(F.sum(F.octet_length("text") * _PER_BYTE + F.octet_length("id") + 64)).first()[0] or 0
+    slices = max(1, math.ceil(1.25 * size / index_bytes)) if size > index_bytes else 1
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
     rows = docs.select(row.alias("row"), F.col(text).alias("text"), F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
     kinds = f"row {rows.schema['row'].dataType.simpleString()}, text string, hits binary, items array<string>, n_words long"
     for i in range(slices):
-        own = benchmark.filter(F.pmod(F.xxhash64(item_text), F.lit(slices)) == i).select(item_id, item_text).collect()
+        own = sorted(items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == i).collect())
         index = _Index([x[0] for x in own], [x[1] for x in own], window)
         shared = spark.sparkContext.broadcast(vars(index).copy())
         counts = {k: np.zeros(len(s[3]), np.int64) for k, s in index.shingles.items()}

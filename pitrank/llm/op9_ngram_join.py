@@ -9,6 +9,7 @@
    smallest class of its list (a star), then, as only components are asked for, only those whose components still
    differ. A large group of near copies therefore costs about a row per copy, not one per pair of copies.
 5. Each pair is verified once: the suffix filter bounds the overlap by parts of the hash range, then sets intersect.
+   The set of a class with many partners, a hub, travels once for each ``PARTNERS`` of them.
 
 Order and prefix hold whatever the frequencies are, so a collision of the 32-bit keys used for counting can't change
 the result. Sets are compared by 64-bit hashes of shingles.
@@ -29,6 +30,7 @@ from pitrank.llm.words import members, mix, shingle_sets, table
 _BYTES = table(lower=True)
 _NO_ID = 2**63 - 1
 BROADCAST_IDS = 1 << 20  #: ids of removed documents that are broadcast; more are joined by a shuffle
+PARTNERS = 256  #: partners (expected) that one copy of a hub's set is compared with
 _CUTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary()), ("many_n", pa.binary())])
 _COUNTED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("found", pa.binary()), ("df", pa.binary())])
@@ -123,24 +125,32 @@ def _post(docs: pa.Table, side: pa.Table, n: int, buckets: int, percent: int) ->
     return pa.table([pa.array(np.concatenate(tokens)), pa.array(owner, pa.binary()), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(blobs, pa.binary())], schema=_POSTED)
 
 
-def _linked(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    """The batch's pairs that reach the threshold."""
-    keep = []
-    for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True):
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        need = -(-percent * (len(a) + len(b)) // (100 + percent))
-        parts = [np.diff(np.searchsorted(s, _CUTS), prepend=0, append=len(s)) for s in (a, b)]
-        both = int(members(a, b).sum()) if np.minimum(*parts).sum() >= need else 0
-        keep.append(100 * both >= percent * (len(a) + len(b) - both))
-    return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _linked(batch: pa.RecordBatch, percent: int) -> pa.Table:
+    """The batch's pairs that reach the threshold. A row holds a set, and partners with theirs."""
+    left, right = [], []
+    counts = lambda s: np.diff(np.searchsorted(s, _CUTS), prepend=0, append=len(s))
+    for node, x, others in zip(batch["a"].to_pylist(), batch["sa"].to_pylist(), batch["others"].to_pylist(), strict=True):
+        a = np.frombuffer(x, np.uint64)
+        part = counts(a)
+        for other in others:
+            b = np.frombuffer(other["sb"], np.uint64)
+            need = -(-percent * (len(a) + len(b)) // (100 + percent))
+            both = int(members(a, b).sum()) if np.minimum(part, counts(b)).sum() >= need else 0
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                left.append(node)
+                right.append(other["b"])
+    return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) that are links. Sets travel with each side of a pair, by joins on the class."""
-    p = pairs.select("a", "b").distinct()
+    """The links among distinct pairs (a, b). b's set joins its pairs, which are then packed into rows of about
+    ``PARTNERS`` for each a; so a hub's set and its key appear in few rows, and no row grows with the hub."""
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > PARTNERS).select("a", F.expr(f"n div {PARTNERS} + 1").alias("parts"))
+    p = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(many, "a", "left")
+    p = p.withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))))
+    p = p.groupBy("a", "part").agg(F.collect_list(F.struct("b", "sb")).alias("others"))
     p = p.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    p = p.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return map_batches(p.select("a", "b", "sa", "sb"), lambda t: _linked(t, percent), "a binary, b binary")
+    return map_batches(p.select("a", "sa", "others"), lambda t: _linked(t, percent), "a binary, b binary")
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -187,7 +197,8 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
 
     heads = postings.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("x"), F.count("*").alias("k")).filter("k > 1")
     star = heads.join(postings.select("token", F.struct("node", "n", "pos").alias("y")), "token").filter("x.node != y.node").filter(_may_link("x", "y", percent))
-    links = cut(_verified(star.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sets, percent))
+    tried = cut(star.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    links = cut(_verified(tried, sets, percent))
     found = cut(components(links))
 
     at = postings.join(found, "node", "left").withColumn("of", F.coalesce("component", "node"))
@@ -196,8 +207,8 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     first = at.filter(F.expr(f"x.pos <= x.n - ceil({2 * percent} * x.n / {100 + percent})"))
     second = at.select("token", F.col("x").alias("y"))
     pairs = first.join(second, "token").filter("x.of != y.of and x.n <= y.n").filter(_may_link("x", "y", percent))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    more = _verified(pairs, sets, percent)
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    more = _verified(cut(pairs.join(tried, ["a", "b"], "left_anti")), sets, percent)
     found = components(links.union(more))
     named = classes.join(found, "node", "left").withColumn("of", F.coalesce("component", "node"))
     digits = F.conv(F.hex(F.substring("of", 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")

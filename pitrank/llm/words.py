@@ -127,7 +127,7 @@ class Words:
     def _of(self, n: int) -> np.ndarray:
         """Hash of the n words from each word on, across texts too: runs of half the length are joined."""
         if n not in self._runs:
-            a = 1 << ((n - 1).bit_length() - 1)
+            a = 1 << ((int(n) - 1).bit_length() - 1)
             size = max(0, len(self.hashes) - n + 1)
             self._runs[n] = _joined(self._of(a)[:size], self._of(n - a)[a : a + size])
         return self._runs[n]

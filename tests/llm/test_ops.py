@@ -94,7 +94,7 @@ def test_decontamination_and_its_slices(spark, docs, empty):
                         hit.update(range(q, q + n))
                         found.add(str(item))
         want.append((str(i), len(w), len(hit), sorted(found)))
-    for limit in (op2.INDEX_BYTES, 100):
+    for limit in (op2.INDEX_BYTES, 20_000):
         got = [(str(r.row.doc_id), r.n_words, r.n_hit, list(r["items"])) for r in op2.overlaps(docs, bench, index_bytes=limit).collect()]
         assert sorted(got) == sorted(want)
     assert sum(x[2] > 0 for x in want) >= 3
