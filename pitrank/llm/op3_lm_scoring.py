@@ -1,222 +1,271 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). Classes are the end of a text, the most frequent words (one
-each) and hashed groups of all other words. P(class | history) is a softmax over sums of weight rows, one for each
-feature of the history: the word before, the one before that (a skip), and the pair of both, hashed to ``ROWS`` rows
-each. P(word | class) is add-one smoothed from the corpus counts and leaves room for one unseen word per class, so the
-model is a proper distribution over all texts.
-
-Word counts go through the block exchange: each block sends its distinct words, and gets their totals back. Weights are
-learned in synchronous rounds: each task runs gradient steps over its part of the training texts from the shared
-weights, and the results are averaged, weighted by tokens, in groups of at most ``FAN_IN`` tasks, each of ``PARTS`` parts of the
-weights by itself.
+P(word | history) = P(class | history) * P(word | class, word before). Classes are the end of a text and hashed groups
+of words.
+
+* P(class | history) is a softmax over sums of weight rows, one for each feature of the history: the word before, the
+  one before that (a skip), and the pair of both, hashed to ``ROWS`` rows each. It is trained by distributed gradient
+  updates: every block of texts takes adaptive steps over its training texts, in the order of their ids, and rows are
+  averaged over blocks, each weighted by the squared gradients it saw. A block is a hash of id and text, so that the
+  model does not depend on how the input is laid out.
+* P(word | class, before) is a softmax over the words of a class with one indicator feature for each pair of neighbouring
+  words in training texts, so their number grows with the corpus. These features exclude one another once the word
+  before is known; with a conjugate prior the gradient is then zero in closed form: (n(before, word) + a q(word)) /
+  (n(before, class) + a), where q is the add-one unigram within the class and a = 1 + n(before, class) / 2.
+
+q leaves room for one unseen word per class, so the model is a proper distribution over all texts. Counts go through
+one exchange: each block sends its distinct words, pairs and (word, class) pairs to the buckets that own them and gets
+their totals back. Blocks' weights ride along, cut into as many parts as there are buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitrank.llm.blocks import block_of, by_bucket, cut, n_blocks, unpacked
+from pitrank.llm.blocks import block_of, cut
 from pitrank.llm.words import Words, grouped, mix, pieces, table, words_of
 
-CLASSES, FREQUENT, ROWS = 32, 20, 1 << 14
-FAN_IN, PARTS, STEP_TOKENS, BLOCK = 32, 16, 1 << 13, 8 << 20
+CLASSES, ROWS = 16, 1 << 14
+STEP_TOKENS, BLOCK = 1 << 13, 8 << 20
 _BYTES = table(lower=True)
 _END, _START = np.uint64(1), np.uint64(2)
-_ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
-_TOLD = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.binary()), ("top", pa.binary()), ("classes", pa.list_(pa.int64()))])
+_ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("h", pa.binary()), ("n", pa.binary()), ("none", pa.binary()), ("once", pa.binary()), ("many", pa.binary()), ("many_n", pa.binary()), ("w", pa.binary()), ("seen", pa.binary())])
+_TOLD = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.binary()), ("pairs", pa.binary()), ("w", pa.binary()), ("classes", pa.list_(pa.int64()))])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _hashed_class(h: np.ndarray) -> np.ndarray:
-    """Class of a word that is not among the most frequent."""
-    return (1 + FREQUENT + (h >> np.uint64(20)) % np.uint64(CLASSES - 1 - FREQUENT)).astype(np.int64)
+def _class_of(h: np.ndarray) -> np.ndarray:
+    """0 for the end, hashed groups for words."""
+    return np.where(h == _END, 0, 1 + (h >> np.uint64(20)) % np.uint64(CLASSES - 1)).astype(np.int64)
 
 
-def _class_of(h: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """``top``: hashes of the most frequent words."""
-    out = _hashed_class(h)
-    for i, x in enumerate(top):
-        out[h == x] = 1 + i
-    out[h == _END] = 0
-    return out
-
-
-def _sequences(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens with an end after each text, the text of each, and its feature rows."""
+def _sequences(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens with an end after each text, the word before each, its text, and its feature rows."""
     n = len(w.offsets) - 1
-    h = np.empty(len(w.hashes) + n, np.uint64)
     text = np.concatenate([w.text, np.arange(n)])
     order = np.argsort(text, kind="stable")
-    h[:] = np.concatenate([w.hashes, np.full(n, _END)])[order]
-    text = text[order]
+    h, text = np.concatenate([w.hashes, np.full(n, _END)])[order], text[order]
     one, two = np.full(len(h), _START), np.full(len(h), _START)
     one[1:] = np.where(text[1:] == text[:-1], h[:-1], _START)
     two[2:] = np.where(text[2:] == text[:-2], h[:-2], _START)
     rows = np.stack([mix(one) % np.uint64(ROWS), mix(two + np.uint64(7)) % np.uint64(ROWS) + np.uint64(ROWS), mix(one * np.uint64(3) + two) % np.uint64(ROWS) + np.uint64(2 * ROWS)])
-    return h, text, rows.astype(np.int32)
+    return h, one, text, rows.astype(np.int32)
+
+
+def _pair_keys(one: np.ndarray, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of (word before, word) and of (word before, class)."""
+    before = mix(one)
+    return mix(before * np.uint64(3) + h), mix(before * np.uint64(5) + kind.astype(np.uint64) + np.uint64(11))
 
 
 def _probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """P(class) of each token."""
-    x = bias + weights[rows[0]] + weights[rows[1]] + weights[rows[2]]
+    x = weights[rows[0]]
+    x += weights[rows[1]]
+    x += weights[rows[2]]
+    x += bias
     x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     return x
 
 
-def _ask(docs: pa.Table, buckets: int) -> pa.Table:
-    """A block's distinct words, with their number in its training texts."""
+def trained(tokens: list[tuple[np.ndarray, np.ndarray]], rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (the last row is the bias) after one pass of adaptive steps over (classes, feature rows), and the squared
+    gradient that each row saw."""
+    w, seen = np.zeros((3 * ROWS + 1, CLASSES), np.float32), np.zeros(3 * ROWS + 1, np.float32)
+    for kind, rows in tokens:
+        for a in range(0, len(kind), STEP_TOKENS):
+            own = rows[:, a : a + STEP_TOKENS]
+            g = _probabilities(w, w[-1], own)
+            g[np.arange(len(g)), kind[a : a + STEP_TOKENS]] -= 1
+            for f in own:
+                order, found, edge = grouped(f)
+                total = np.add.reduceat(g[order], edge[:-1], axis=0)
+                seen[found] += np.einsum("ij,ij->i", total, total) / CLASSES
+                w[found] -= rate * total / np.sqrt(1 + seen[found])[:, None]
+            total = g.sum(axis=0)
+            seen[-1] += (total**2).mean()
+            w[-1] -= rate * total / np.sqrt(1 + seen[-1])
+    return w, seen
+
+
+def _in_order(docs: pa.Table) -> pa.Table:
+    """A block's rows by id and text, so that steps have one order."""
+    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
+def _ask(docs: pa.Table, buckets: int, rate: float) -> pa.Table:
+    """For each bucket a block's distinct words with their number in training texts, its pair keys by that number, and
+    a part of the weights learned from the block."""
     if not docs.num_rows:
         return _ASK.empty_table()
+    docs = _in_order(docs)
     train = ~docs["held_out"].to_numpy()
-    hs, use = [np.full(docs.num_rows, _END)], [train]
+    words, pairs, steps = [], [], []
     for base, some in pieces(docs["text"]):
-        w = words_of(some, _BYTES)
-        hs.append(w.hashes)
-        use.append(train[base + w.text])
-    found, at = np.unique(np.concatenate(hs), return_inverse=True)
-    n = np.bincount(at, np.concatenate(use)).astype(np.int64)
-    return by_bucket(docs["block"][0].as_py(), found, buckets, _ASK, h=found, n=n)
+        h, one, text, rows = _sequences(words_of(some, _BYTES))
+        kind, use = _class_of(h), train[base + text]
+        words.append((h, use))
+        pairs += [(k, use) for k in _pair_keys(one, h, kind)]
+        steps.append((kind[use], rows[:, use]))
+    block = docs["block"][0].as_py()
+    found, n = _counted(words)
+    keys, m = _counted(pairs)
+    w, seen = trained(steps, rate)
+    touched = [np.flatnonzero(seen[part::buckets]) for part in range(buckets)]
+    order, edge = _dealt(found, buckets)
+    order2, edge2 = _dealt(keys, buckets)
+    out = {name: [] for name in _ASK.names}
+    for b in range(buckets):
+        own, mine = order[edge[b] : edge[b + 1]], order2[edge2[b] : edge2[b + 1]]
+        short, many = (keys[mine] // np.uint64(buckets)).astype(np.uint32), m[mine]
+        values = [b, block, found[own], n[own].astype(np.uint32), short[many == 0], short[many == 1], short[many > 1], many[many > 1].astype(np.uint32), w[b::buckets][touched[b]].astype(np.float16), seen[b::buckets]]
+        for name, v in zip(_ASK.names, values, strict=True):
+            out[name].append(v if isinstance(v, int) else np.ascontiguousarray(v).tobytes())
+    return pa.table(out, schema=_ASK)
+
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each occurs where its mark is set."""
+    keys, use = (np.concatenate(x) for x in zip(*parts, strict=True))
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, use, len(found)).astype(np.int64)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted keys by bucket, and where each bucket begins."""
+    bucket = keys % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _unpack(column: list[bytes | None], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    rows = [np.frombuffer(x or b"", kind) for x in column]
+    return np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+
+def _pack(values: np.ndarray) -> bytes:
+    most = values.max(initial=0)
+    return values.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint64).tobytes()
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, {n: np.uint8, 2 * n: np.uint16, 8 * n: np.uint64}[len(blob)])
 
 
 def _tell(t: pa.Table) -> pa.Table:
-    """Totals of a bucket's words for each block, in the order asked; on one row the bucket's most frequent words, and
-    tokens and distinct words by hashed class."""
-    h, row = unpacked(t["h"], np.uint64)
-    n, _ = unpacked(t["n"], np.int64)
+    """Totals of a bucket's words and pairs for each block, in the order asked; on the first row the average of this part
+    of the weights, and tokens and distinct words by class."""
+    t = t.sort_by([("block", "ascending")])
+    col = {name: t[name].to_pylist() for name in t.column_names}
+    h, row = _unpack(col["h"], np.uint64)
+    n, _ = _unpack(col["n"], np.uint32)
     found, at = np.unique(h, return_inverse=True)
-    total = np.bincount(at, n, minlength=len(found)).astype(np.int64)
-    words = np.flatnonzero((total > 0) & (found != _END))
-    best = words[np.lexsort((found[words], -total[words]))[:FREQUENT]]
-    top = np.stack([found[best], total[best].astype(np.uint64)]).T.tobytes()
-    kind = _hashed_class(found)
-    kind[found == _END] = 0
-    classes = np.concatenate([np.bincount(kind, total, minlength=CLASSES), np.bincount(kind[total > 0], minlength=CLASSES)]).astype(np.int64)
+    total = np.bincount(at, n, len(found)).astype(np.int64)
+    kind = _class_of(found)
+    classes = np.concatenate([np.bincount(kind, total, CLASSES), np.bincount(kind[total > 0], minlength=CLASSES)]).astype(np.int64)
     edge = np.searchsorted(row, np.arange(t.num_rows + 1))
-    size = np.uint32 if total.max(initial=0) < 2**32 else np.uint64
-    blobs = [total[at[a:b]].astype(size).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    words = [_pack(total[at[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+    parts = [_unpack(col[name], np.uint32) for name in ("none", "once", "many")]
+    key, row = np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
+    each = np.concatenate([np.zeros(len(parts[0][0])), np.ones(len(parts[1][0])), _unpack(col["many_n"], np.uint32)[0]])
+    found, at = np.unique(key, return_inverse=True)
+    total = np.bincount(at, each, len(found)).astype(np.int64)[at] if len(key) else np.zeros(0, np.int64)
+    order = np.argsort(row, kind="stable")
+    edge = np.searchsorted(row[order], np.arange(t.num_rows + 1))
+    pairs = [_pack(total[order[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+    mass, mean = 0.0, 0.0
+    for w, s in zip(col["w"], col["seen"], strict=True):
+        s = np.frombuffer(s, np.float32).astype(np.float64)
+        full = np.zeros((len(s), CLASSES))
+        full[s > 0] = np.frombuffer(w, np.float16).reshape(-1, CLASSES)
+        mass, mean = mass + s, mean + s[:, None] * full
+    mean = (mean / np.maximum(mass, 1e-9)[:, None]).astype(np.float32)
     last = [None] * (t.num_rows - 1)
-    return pa.table([t["block"], t["bucket"], pa.array(blobs, pa.binary()), pa.array([top, *last], pa.binary()), pa.array([classes.tolist(), *last], pa.list_(pa.int64()))], schema=_TOLD)
-
-
-def _trained(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: np.ndarray, top: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
-    """Weights after one task's gradient steps, and its tokens; adaptive steps by row."""
-    w, seen, tokens = weights.copy(), np.full(len(weights), 1.0, np.float32), 0
-    for batch in batches:
-        for _, some in pieces(batch["text"]):
-            h, _, rows = _sequences(words_of(some, _BYTES))
-            kind = _class_of(h, top)
-            for a in range(0, len(h), STEP_TOKENS):
-                own = rows[:, a : a + STEP_TOKENS]
-                g = _probabilities(w, bias, own)
-                g[np.arange(len(g)), kind[a : a + STEP_TOKENS]] -= 1
-                tokens += len(g)
-                for f in own:
-                    order, found, edge = grouped(f)
-                    total = np.add.reduceat(g[order], edge[:-1], axis=0)
-                    seen[found] += (total**2).mean(axis=1)
-                    w[found] -= rate * total / np.sqrt(seen[found])[:, None]
-    if tokens:
-        parts = [x.tobytes() for x in np.split(w, PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([tokens] * PARTS), pa.array(parts, pa.binary())], ["part", "n", "w"])
-
-
-def _averaged(t: pa.Table) -> pa.Table:
-    """One row: the mean of the rows' weights by tokens, summed in a fixed order. Rows hold one part of the weights."""
-    total, mass = None, 0
-    for n, w in sorted(zip(t["n"].to_pylist(), t["w"].to_pylist(), strict=True)):
-        part = np.frombuffer(w, np.float32) * np.float64(n)
-        total, mass = (part if total is None else total + part), mass + n
-    return pa.table({"part": t["part"].slice(0, 1), "g": t["g"].slice(0, 1), "n": pa.array([mass]), "w": pa.array([(total / mass).astype(np.float32).tobytes()], pa.binary())})
+    return pa.table([t["block"], t["bucket"], pa.array(words, pa.binary()), pa.array(pairs, pa.binary()), pa.array([mean.tobytes(), *last], pa.binary()), pa.array([classes.tolist(), *last], pa.list_(pa.int64()))], schema=_TOLD)
+
+
+def _answers(blobs: dict[int, bytes], bucket_of: np.ndarray, order: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(bucket_of), np.float64)
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        own = order[edge[b] : edge[b + 1]]
+        out[own] = _unpacked(blobs[b], len(own))
+    return out
 
 
 def _scored(docs: pa.Table, told: pa.Table, model: dict, buckets: int) -> pa.Table:
     if not docs.num_rows:
         return _SCORED.empty_table()
-    parts = [(base, words_of(some, _BYTES)) for base, some in pieces(docs["text"])]
-    found = np.unique(np.concatenate([np.full(1, _END), *(w.hashes for _, w in parts)]))
-    order, bucket, edge = grouped(found % np.uint64(buckets))
-    blobs = dict(zip(told["bucket"].to_pylist(), told["n"].to_pylist(), strict=True))
-    count = np.empty(len(found), np.float64)
-    for k, a, b in zip(bucket.tolist(), edge[:-1], edge[1:], strict=True):
-        blob = blobs[k]
-        count[order[a:b]] = np.frombuffer(blob, np.uint32 if len(blob) == 4 * (b - a) else np.uint64)
-    n, v, tokens, kinds = model["n"], model["v"], model["class_tokens"], model["class_words"]
+    docs = _in_order(docs)
+    train = ~docs["held_out"].to_numpy()
+    parts = [(base, *_sequences(words_of(some, _BYTES))) for base, some in pieces(docs["text"])]
+    kinds = [_class_of(h) for _, h, _, _, _ in parts]
+    both = [_pair_keys(one, h, kind) for (_, h, one, _, _), kind in zip(parts, kinds, strict=True)]
+    names = told["bucket"].to_pylist()
+    found = np.unique(np.concatenate([h for _, h, _, _, _ in parts]))
+    count = _answers(dict(zip(names, told["n"].to_pylist(), strict=True)), found, *_dealt(found, buckets))
+    use = [train[base + text] for base, _, _, text, _ in parts]
+    keys, m = _counted([(k, u) for ks, u in zip(both, use, strict=True) for k in ks])
+    order, edge = _dealt(keys, buckets)
+    order = np.concatenate([np.zeros(0, np.int64), *(o[np.argsort(np.minimum(m[o], 2), kind="stable")] for o in np.split(order, edge[1:-1]))])  # none, once, many: as asked
+    pair = _answers(dict(zip(names, told["pairs"].to_pylist(), strict=True)), keys, order, edge)
+    n, v, tokens, words = model["n"], model["v"], model["class_tokens"], model["class_words"]
     out = [[], [], [], []]
-    for _, w in parts:
-        h, text, rows = _sequences(w)
+    for (_, h, _, text, rows), kind, (k1, k2) in zip(parts, kinds, both, strict=True):
         c = count[np.searchsorted(found, h)]
-        kind = _class_of(h, model["top"])
         p = np.empty(len(h))
         for a in range(0, len(h), STEP_TOKENS):
-            some = _probabilities(model["weights"], model["bias"], rows[:, a : a + STEP_TOKENS])
-            p[a : a + STEP_TOKENS] = some[np.arange(len(some)), kind[a : a + STEP_TOKENS]]
-        inside = np.where(kind > FREQUENT, (c + 1) / (tokens[kind] + kinds[kind] + 1), 1.0)
-        size = len(w.offsets) - 1
+            some = _probabilities(model["weights"], model["bias"], rows[:, a : a + STEP_TOKENS]).astype(np.float64)
+            p[a : a + STEP_TOKENS] = some[np.arange(len(some)), kind[a : a + STEP_TOKENS]] / some.sum(axis=1)
+        q = np.where(kind > 0, (c + 1) / (tokens[kind] + words[kind] + 1), 1.0)
+        met, all_ = pair[np.searchsorted(keys, k1)], pair[np.searchsorted(keys, k2)]
+        a = 1 + all_ / 2
+        inside = (met + a * q) / (all_ + a)
+        size = int(text[-1]) + 1
         out[0].append(np.bincount(text, minlength=size))
         out[1].append(np.bincount(text[c > 0], minlength=size))
         out[2].append(np.bincount(text, np.log10((c + 1) / (n + (v + 1))), minlength=size))
-        out[3].append(np.bincount(text, np.log10(np.maximum(p, 1e-30) * inside), minlength=size))
+        out[3].append(np.bincount(text, np.log10(np.maximum(p, np.finfo(np.float64).tiny)) + np.log10(inside), minlength=size))
     columns = [np.concatenate(x) for x in out]
     return pa.table([docs["doc_id"], docs["held_out"], *(pa.array(x) for x in columns)], schema=_SCORED)
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rounds: int = 2, rate: float = 0.2) -> DataFrame:
+_DDL = {_ASK: "bucket int, block int, h binary, n binary, none binary, once binary, many binary, many_n binary, w binary, seen binary", _TOLD: "block int, bucket int, n binary, pairs binary, w binary, classes array<long>", _SCORED: "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"}
+
+
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rate: float = 0.2, block_bytes: int = BLOCK) -> DataFrame:
     """Per row: doc_id, held_out (crc32 of the id's text modulo ``folds`` is ``held``), n_tokens, n_known, train_tokens,
     base_score (add-one unigram) and score (the model), both log10 probabilities of the whole text.
 
-    A-Z fold; tokens are words between white space and one end per text. Counts, classes and weights come from all
-    rows that are not held out, each in one of ``rounds`` rounds. Null texts count as empty (one token, the end); a null
-    id counts as the id ''; repeated rows count as often as they occur. Without training rows counts are 0."""
+    A-Z fold; tokens are words between white space and one end per text. Counts and weights come from all rows that are
+    not held out. Null texts count as empty (one token, the end); a null id counts as the id ''; repeated rows count as
+    often as they occur; very long texts are read whole, a block may then exceed ``block_bytes``. Without training rows
+    counts are 0. Other columns are not read."""
     spark = docs.sparkSession
     number = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(folds))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (number == held).alias("held_out"))
-    buckets = n_blocks(docs, text, BLOCK)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(1, math.ceil(size / block_bytes))
     base = rows.withColumn("block", block_of("doc_id", "text", buckets))
-    asked = base.groupBy("block").applyInArrow(lambda t: _ask(t, buckets), "bucket int, block int, h binary, n binary")
-    told = cut(asked.groupBy("bucket").applyInArrow(_tell, "block int, bucket int, n binary, top binary, classes array<long>"))
-
-    first = told.filter("top is not null")
-    pairs = first.select(F.explode(F.expr("transform(sequence(0, octet_length(top) div 16 - 1), i -> substring(top, 16 * i + 1, 16))")).alias("x")).filter("octet_length(x) = 16")
-    most = pairs.select(F.hex("x").alias("x")).withColumn("n", F.conv(F.expr("array_join(reverse(transform(sequence(9, 16), j -> substr(x, 2 * j - 1, 2))), '')"), 16, 10).cast("long"))
-    best = [bytes.fromhex(r.x) for r in most.orderBy(F.desc("n"), "x").limit(FREQUENT).collect()]
-    top = np.frombuffer(b"".join(best), np.uint64).reshape(-1, 2)
-    sums = first.select(F.posexplode("classes").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
-    both = np.zeros(2 * CLASSES)
-    for i, n in sums:
-        both[i] = n
-    tokens, words = both[:CLASSES], both[CLASSES:]
-    n, v = tokens.sum(), words.sum()
-    np.subtract.at(tokens, _hashed_class(top[:, 0]), top[:, 1].astype(np.float64))
-    np.subtract.at(words, _hashed_class(top[:, 0]), 1)
-    tokens[1 : 1 + len(top)] = top[:, 1]
-    bias = np.log((tokens + 1) / (tokens.sum() + CLASSES)).astype(np.float32)
-
-    weights, hashes = np.zeros((3 * ROWS, CLASSES), np.float32), top[:, 0].copy()
-    train = rows.filter("not held_out").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("r"))
-    levels = max(1, int(np.ceil(np.log(max(2, train.rdd.getNumPartitions())) / np.log(FAN_IN) - 1e-9)))
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, bias, hashes))
-
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            yield from _trained(batches, *shared.value, rate)
-
-        got = train.filter(F.col("r") == r).select("text").mapInArrow(learn, "part int, n long, w binary").withColumn("g", F.spark_partition_id())
-        for _ in range(levels):
-            got = got.withColumn("g", F.expr(f"g div {FAN_IN}").cast("int")).groupBy("part", "g").applyInArrow(_averaged, "part int, g int, n long, w binary")
-        parts = sorted(got.collect())  # one row for each part of the weights, whatever the input
-        if parts:
-            weights = np.frombuffer(b"".join(x.w for x in parts), np.float32).reshape(weights.shape)
-
-    model = spark.sparkContext.broadcast({"weights": weights, "bias": bias, "top": hashes, "n": n, "v": v, "class_tokens": tokens, "class_words": words})
-    out = base.groupBy("block").cogroup(told.select("block", "bucket", "n").groupBy("block")).applyInArrow(lambda d, t: _scored(d, t, model.value, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    asked = base.groupBy("block").applyInArrow(lambda t: _ask(t, buckets, rate), _DDL[_ASK])
+    told = cut(asked.groupBy("bucket").applyInArrow(_tell, _DDL[_TOLD]))
+    first = told.filter("w is not null").select("bucket", "w", "classes")  # one row a bucket, together one set of weights
+    weights, both = np.zeros((3 * ROWS + 1, CLASSES), np.float32), np.zeros(2 * CLASSES)
+    for r in first.toLocalIterator():
+        weights[r.bucket :: buckets] = np.frombuffer(r.w, np.float32).reshape(-1, CLASSES)
+        both += r.classes
+    n, v = both[:CLASSES].sum(), both[CLASSES:].sum()
+    model = spark.sparkContext.broadcast({"weights": weights[:-1], "bias": weights[-1], "n": n, "v": v, "class_tokens": both[:CLASSES], "class_words": both[CLASSES:]})
+    answers = told.select("block", "bucket", "n", "pairs")
+    out = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, t: _scored(d, t, model.value, buckets), _DDL[_SCORED])
     return out.withColumn("train_tokens", F.lit(int(n)).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
