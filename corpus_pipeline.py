@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitrank.llm import op2_decontamination, op6_quality_rules, op7_sentencepiece, op8_line_dedup, op9_ngram_join
+from pitrank.llm import blocks, op2_decontamination, op6_quality_rules, op7_sentencepiece, op8_line_dedup, op9_ngram_join
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,16 +52,19 @@ STAGES = [
     ("SentencePiece encoding", sentencepiece),
 ]
 
-#: Weak supervision and the tokenizer's pieces have no SQL; tests hold run() against a brute-force version.
+#: Weak supervision and the tokenizer's pieces have no SQL; tests hold run() against plain Python for every stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written under the shared folder spark.checkpoint.dir names."""
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pitrank-checkpoints"
-    folder = f"{top}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each result is written under the shared folder spark.checkpoint.dir names, and
+    removed once the next one is written."""
+    folder = f"{blocks.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
