@@ -76,16 +76,32 @@ def at_most(rows: DataFrame, keys: list[str], p: str, places: int) -> DataFrame:
     return d.select(*keys, "ident", F.round(F.when(F.col("i") < F.col("cut.i"), 1.0).otherwise(F.col(p) * F.col("cut.scale")), 6).alias("capped"))
 
 
-def standings(ranked: DataFrame, totals: DataFrame, points: DataFrame, league: str, event: str, ident: str, scenarios: int, seed: int, draws: int) -> DataFrame:
+def finals(ranked: DataFrame, totals: DataFrame, points: DataFrame, league: str, event: str, ident: str, scenarios: int, seed: int, draws: int) -> DataFrame:
     """Each scenario takes one whole draw of every remaining event, adds points by place to the totals, and ranks:
-    shares of sole and tied titles, mean points, and the mean place with ties split evenly."""
+    total, place and the number of those with the same total."""
     events = ranked.select(league, event).distinct()
     pick = events.select("*", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario")).withColumn("draw", F.pmod(hashed(F.lit(str(seed)), F.col(event).cast("string"), F.col("scenario").cast("string"), F.lit("pick")), F.lit(draws)).cast("int"))
     got = pick.join(ranked, [league, event, "draw"]).join(F.broadcast(points), "place", "left").groupBy(league, "scenario", ident).agg(F.sum(F.coalesce("points", F.lit(0.0))).alias("won"))
     d = got.join(totals, [league, ident]).withColumn("total", F.col("won") + F.col("points_now"))
     w = Window.partitionBy(league, "scenario")
     same = F.count("*").over(Window.partitionBy(league, "scenario", "total"))
-    d = d.withColumn("place", F.rank().over(w.orderBy(F.desc("total")))).withColumn("same", same)
+    return d.withColumn("place", F.rank().over(w.orderBy(F.desc("total")))).withColumn("same", same)
+
+
+def final_places(finals: DataFrame, league: str, ident: str, scenarios: int) -> DataFrame:
+    """Share of each final position; tied entrants share their positions evenly."""
+    d = finals.select(league, ident, F.explode(F.expr("sequence(cast(place as long), place + same - 1)")).alias("position"), (1.0 / F.col("same")).alias("share"))
+    return d.groupBy(league, ident, "position").agg(F.round(F.sum("share") / scenarios, 6).alias("p"))
+
+
+def unresolved(finals: DataFrame, league: str, scenarios: int) -> DataFrame:
+    """Share of scenarios that end with a tie for the title."""
+    return finals.groupBy(league).agg(F.round(F.countDistinct(F.when((F.col("place") == 1) & (F.col("same") > 1), F.col("scenario"))) / scenarios, 6).alias("unresolved"))
+
+
+def standings(ranked: DataFrame, totals: DataFrame, points: DataFrame, league: str, event: str, ident: str, scenarios: int, seed: int, draws: int) -> DataFrame:
+    """Shares of sole and tied titles, mean points, and the mean place with ties split evenly."""
+    d = finals(ranked, totals, points, league, event, ident, scenarios, seed, draws)
     first = F.col("place") == 1
     return d.groupBy(league, ident).agg(
         F.round(F.avg((first & (F.col("same") == 1)).cast("int")), 6).alias("sole_title"),

@@ -106,17 +106,24 @@ def resampled(events: DataFrame, keys: list[str], resamples: int, seed: int) ->
 def bootstrap(deltas: DataFrame, ident: str, value: str, resamples: int, seed: int) -> DataFrame:
     """The 95 % interval of the mean over resampled events.
 
-    Draws come from a hash of (seed, resample, slot), so they don't depend on partitions. Events are numbered and
-    joined to the draws; only sums per resample are kept."""
-    numbered = deltas.withColumn("i", F.row_number().over(Window.orderBy(ident)) - 1)
-    n = deltas.agg(F.count("*").alias("n"))
-    slots = numbered.select(F.col("i").alias("slot"))
-    picks = slots.sparkSession.range(resamples).withColumnRenamed("id", "b").crossJoin(F.broadcast(slots)).crossJoin(F.broadcast(n))
-    picks = picks.select("b", F.pmod(hashed(F.lit(str(seed)), F.col("b").cast("string"), F.col("slot").cast("string")), F.col("n")).alias("i"))
-    means = picks.join(F.broadcast(numbered.select("i", value)), "i").groupBy("b").agg(F.avg(value).alias("m"))
+    Draws come from a hash of (seed, resample, slot), so they don't depend on partitions. Events are numbered by ranges
+    and joined to the draws by number; only sums per resample are kept."""
+    d = numbered(deltas.select(ident, value), [ident]).persist()
+    n = d.count()
+    slots = d.select(F.col("i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    picks = slots.select("b", F.pmod(hashed(F.lit(str(seed)), F.col("b").cast("string"), F.col("slot").cast("string")), F.lit(max(1, n))).alias("i"))
+    means = picks.join(d.select("i", value), "i").groupBy("b").agg(F.avg(value).alias("m"))
     return means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"), F.round(F.avg("m"), 6).alias("middle"))
 
 
+def two_runs(old: DataFrame, new: DataFrame, keys: list[str], event: list[str], p: str) -> DataFrame:
+    """Mean log loss of the new run less the old one's over the events that both have, and events of one only."""
+    j = old.select(*keys, *event, F.col(p).alias("a")).join(new.select(*keys, *event, F.col(p).alias("b")), [*keys, *event], "full")
+    lost = lambda c: -F.log(F.greatest(F.col(c), F.lit(1e-15)))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return j.groupBy(*keys).agg(F.count_if(F.col("a").isNull()).alias("only_new"), F.count_if(F.col("b").isNull()).alias("only_old"), F.count_if(both).alias("events"), F.round(F.avg(F.when(both, lost("b") - lost("a"))), 6).alias("delta"))
+
+
 def common(rows: DataFrame, event: list[str], model: str, models: int) -> DataFrame:
     """Events that every model has."""
     return rows.groupBy(*event).agg(F.countDistinct(model).alias("k")).filter(F.col("k") == models).select(*event)
@@ -162,13 +169,14 @@ def mean_rank(losses: DataFrame, task: str, model: str, loss: str) -> DataFrame:
     return m.withColumn("chosen", F.row_number().over(Window.orderBy("mean_rank", model)) == 1)
 
 
-def nearest(rows: DataFrame, ident: str, vector: str, event: str, train: str, block: int = 1 << 14) -> DataFrame:
-    """The distance of every row to the nearest training row of another event; rows without one are left out.
+def nearest(rows: DataFrame, ident: str, vector: str, event: str, train: str, block: int = 1 << 14, ask: str | None = None) -> DataFrame:
+    """The distance of every row (of those that ``ask`` marks) to the nearest training row of another event; rows
+    without one are left out.
 
     Rows are dealt into blocks of about ``block`` by a hash of their identity, and each pair of blocks is one group:
     pairs of rows are never rows of a frame, and no task holds more than two blocks."""
     n = max(1, -(-rows.count() // block))
-    d = rows.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(event).cast("string").alias("e"), F.col(train).alias("t"))
+    d = rows.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(event).cast("string").alias("e"), F.col(train).alias("t"), (F.lit(True) if ask is None else F.col(ask)).alias("q")).filter("t or q")
     d = d.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     d = d.withColumns({"a": F.least("k", "other"), "b": F.greatest("k", "other")})
     found = d.groupBy("a", "b").applyInArrow(_nearest_in_pair, f"id {dict(rows.dtypes)[ident]}, nearest double")
@@ -177,7 +185,7 @@ def nearest(rows: DataFrame, ident: str, vector: str, event: str, train: str, bl
 
 def _nearest_in_pair(t: pa.Table) -> pa.Table:
     """Nearest training rows across the two blocks of a group, or within its only one."""
-    k, train = t["k"].to_numpy(), t["t"].to_numpy()
+    k, train, asked = t["k"].to_numpy(), t["t"].to_numpy(), t["q"].to_numpy()
     v = t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
     e = np.unique(np.array(t["e"].to_pylist(), str), return_inverse=True)[1]
     first = k == k.min()
@@ -185,7 +193,7 @@ def _nearest_in_pair(t: pa.Table) -> pa.Table:
     sides = [(first, first)] if within else [(first, ~first), (~first, first)]
     at, gaps = [np.empty(0, int)], [np.empty(0)]
     for own, others in sides:
-        own, others = np.flatnonzero(own), np.flatnonzero(others & train)
+        own, others = np.flatnonzero(own & asked), np.flatnonzero(others & train)
         if not len(others):
             continue
         to, square = v[others], (v[others] ** 2).sum(axis=1)

@@ -166,3 +166,61 @@ def elo(rows: DataFrame, league: str, carry: float = 0.75, k: float = 24.0, scal
         return pd.DataFrame(out, columns=["league", "day", "driver_id", "rating"])
 
     return rows.groupBy(league).applyInPandas(run, "league long, day long, driver_id string, rating double")
+
+
+def team_elo(rows: DataFrame, league: str, resets: tuple[int, ...] = (), carry: float = 0.75, team_carry: float = 0.5, reset_carry: float = 0.2, k: float = 24.0, scale: float = 400.0, mate_weight: float = 2.0) -> DataFrame:
+    """C11: entrant and team ratings before each event, and the number of rated events.
+
+    An entrant's strength is its rating plus its team's distance to the base. All pairs of an event's classified entrants
+    are compared at once: team mates count ``mate_weight`` for entrants and nothing for teams. Between seasons ratings
+    go back towards the base, teams further, and further still before a season in ``resets``. An event counts once all its
+    labels are known before a cutoff. Ratings depend on their order, so one task takes a league."""
+
+    def step(names: np.ndarray, teams: np.ndarray, place: np.ndarray, rating: dict[str, float], team: dict[str, float]) -> None:
+        strength = np.array([rating.get(d, 1500.0) + team.get(c, 1500.0) - 1500.0 for d, c in zip(names, teams, strict=True)])
+        surprise = (place[:, None] < place) - 1 / (1 + np.power(10.0, (strength - strength[:, None]) / scale))
+        mates = teams[:, None] == teams
+        weight = np.where(mates, mate_weight, 1.0)
+        np.fill_diagonal(weight, 0.0)
+        own = k * (weight * surprise).sum(axis=1) / weight.sum(axis=1)
+        for d, c, x in zip(names, teams, own, strict=True):
+            rating[d] = rating.get(d, 1500.0) + x
+            team.setdefault(c, 1500.0)
+        for c in np.unique(teams):
+            of = teams == c
+            others = (~of).sum() * of.sum()
+            if others:
+                team[c] += k * surprise[of][:, ~of].sum() / others
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        rating: dict[str, float] = {}
+        team: dict[str, float] = {}
+        rated: dict[str, int] = {}
+        season, out, waiting = None, [], []
+        for day, event in own.sort_values(["day", "driver_id"]).groupby("day"):
+            cutoff, now = event["cutoff"].iloc[0], event["season"].iloc[0]
+            due = [w for w in waiting if w[0] < cutoff]
+            waiting = [w for w in waiting if not w[0] < cutoff]
+            for _, of, names, teams, place in due:
+                season = regress(rating, team, season, of)
+                if len(names) > 1:
+                    step(names, teams, place, rating, team)
+                    for d in names:
+                        rated[d] = rated.get(d, 0) + 1
+            season = regress(rating, team, season, now)
+            for d, c in zip(event["driver_id"], event["constructor_id"], strict=True):
+                out.append((own["league"].iloc[0], day, d, c, round(rating.get(d, 1500.0), 6), round(team.get(c, 1500.0), 6), rated.get(d, 0)))
+            known = event[event["label_position"].notna()]
+            waiting.append((event["label_available_at"].max(), now, *(known[x].to_numpy() for x in ("driver_id", "constructor_id", "label_position"))))
+        return pd.DataFrame(out, columns=["league", "day", "driver_id", "constructor_id", "rating", "team_rating", "rated"])
+
+    def regress(rating: dict[str, float], team: dict[str, float], season, now):
+        """The season reached, after regression where a later one begins; late labels of an older season don't go back."""
+        if season is None or now <= season:
+            return now if season is None else season
+        for of, share in ((rating, carry), (team, reset_carry if now in resets else team_carry)):
+            for name in of:
+                of[name] = 1500.0 + share * (of[name] - 1500.0)
+        return now
+
+    return rows.groupBy(league).applyInPandas(run, "league long, day long, driver_id string, constructor_id string, rating double, team_rating double, rated long")

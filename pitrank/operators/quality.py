@@ -49,6 +49,33 @@ def outcome_problems(rows: DataFrame, event: list[str], entrant: str, position:
     )
 
 
+def row_problems(rows: DataFrame, cohort: list[str], position: str, winner: Column, podium: Column, values: list[str]) -> DataFrame:
+    """Per cohort whether it has not one winner, positions that repeat or leave 1..n, a podium flag unlike the
+    position, or a value that is infinite."""
+    infinite = F.lit(False)
+    for v in values:
+        infinite = infinite | F.coalesce(F.abs(F.col(v)) == float("inf"), F.lit(False))
+    outside = F.coalesce((F.min(position) < 1) | (F.max(position) > F.count("*")), F.lit(False))
+    return rows.groupBy(*cohort).agg(
+        (F.count_if(winner) != 1).alias("winners"),
+        ((F.count(position) != F.countDistinct(position)) | outside).alias("positions"),
+        F.bool_or(podium != F.coalesce(F.col(position) <= 3, F.lit(False))).alias("podium"),
+        F.bool_or(infinite).alias("infinite"),
+    )
+
+
+def coherent(places: DataFrame, marginals: DataFrame, event: list[str], entrant: str, tolerance: float = 1e-6) -> DataFrame:
+    """Per event the sums of win and podium shares, and whether rows and columns of the finish distribution sum to
+    1, podiums to 3 (or to the field), and the marginals agree with the distribution."""
+    row = places.groupBy(*event, entrant).agg(F.sum("p").alias("s"), F.sum(F.when(F.col("place") == 1, F.col("p")).otherwise(0.0)).alias("w"), F.sum(F.when(F.col("place") <= 3, F.col("p")).otherwise(0.0)).alias("q"))
+    off = lambda a, b: F.abs(F.col(a) - F.col(b)) > tolerance
+    row = row.withColumn("one", F.lit(1.0)).join(marginals, [*event, entrant], "full")
+    rows = row.groupBy(*event).agg(F.round(F.sum("win"), 6).alias("wins"), F.round(F.sum("podium"), 6).alias("podiums"), F.count("*").alias("n"), F.bool_and(F.coalesce(~(off("s", "one") | off("w", "win") | off("q", "podium")), F.lit(False))).alias("rows_fit"))
+    columns = places.groupBy(*event, "place").agg(F.sum("p").alias("s")).groupBy(*event).agg(F.max(F.abs(F.col("s") - 1)).alias("columns_off"))
+    fits = F.col("rows_fit") & (F.col("columns_off") <= tolerance) & (F.abs(F.col("podiums") - F.least(F.lit(3), "n")) <= tolerance)
+    return rows.join(columns, event).select(*event, "wins", "podiums", fits.alias("coherent"))
+
+
 def assembled(features: DataFrame, labels: DataFrame, event: list[str], entrant: str, cutoff: str, label: str) -> DataFrame:
     """Features joined to labels; events whose rosters differ or with a label not after its cutoff are left out."""
     both = features.select(*event, entrant, F.lit(1).alias("a")).join(labels.select(*event, entrant, F.lit(1).alias("b")), [*event, entrant], "full")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitrank.operators import asof, folds, quality
+from pitrank.operators import asof, draws, folds, quality
+from pitrank.plans.evaluation import RANKED, ranked
 from pitrank.plans.pointintime import EVENT, PRIOR, prior
 from pitrank.plans.registry import query
 
@@ -51,6 +52,14 @@ def _(t):
     return quality.outcome_problems(t("results"), EVENT, "driver_id", "label_position", F.col("label_position") == 1, podium)
 
 
+@query("E07_row_validation", """WITH r AS (SELECT *, CASE WHEN league % 3 = 0 AND day % 7 = 0 THEN label_position + 1 ELSE label_position END AS place, CASE WHEN user_id % 29 = 0 THEN 'inf'::DOUBLE ELSE score END AS x FROM {results})
+SELECT league, day, count(*) FILTER (WHERE label_position = 1) <> 1 AS winners, count(place) <> count(DISTINCT place) OR coalesce(min(place) < 1 OR max(place) > count(*), false) AS positions,
+  bool_or(coalesce(label_position <= 3, false) <> coalesce(place <= 3, false)) AS podium, bool_or(isinf(x)) AS infinite FROM r GROUP BY league, day""")
+def _(t):
+    r = t("results").withColumns({"place": F.expr("case when league % 3 = 0 and day % 7 = 0 then label_position + 1 else label_position end"), "x": F.expr("case when user_id % 29 = 0 then double('infinity') else cast(score as double) end")})
+    return quality.row_problems(r, EVENT, "place", F.col("label_position") == 1, F.coalesce(F.col("label_position") <= 3, F.lit(False)), ["x"])
+
+
 @query("E08_assembly", "SELECT r.league, r.day, r.driver_id, r.label_position FROM {results} r WHERE (r.league, r.day) NOT IN (SELECT (league, day) FROM {results} WHERE user_id % 37 = 5) AND r.day % 6 <> 0")
 def _(t):
     r = t("results").withColumn("label_available_at", F.expr("case when day % 6 = 0 then cutoff else label_available_at end"))
@@ -156,6 +165,15 @@ def _(t):
     return quality.incoherent(d, EVENT, "driver_id", "place", "p").filter("kind = 'entrant'")
 
 
+@query("E24_marginal_coherence", f"""WITH {RANKED}, d AS (SELECT ev, driver_id, place, count(*) / 32.0 AS p FROM r GROUP BY ALL), n AS (SELECT ev, count(DISTINCT driver_id) AS n FROM r GROUP BY ev),
+c AS (SELECT ev, max(abs(s - 1)) AS columns_off FROM (SELECT ev, place, sum(p) AS s FROM d GROUP BY ALL) GROUP BY ev), w AS (SELECT ev, max(abs(s - 1)) AS rows_off FROM (SELECT ev, driver_id, sum(p) AS s FROM d GROUP BY ALL) GROUP BY ev)
+SELECT d.ev, round(sum(p) FILTER (WHERE place = 1), 6) AS wins, round(sum(p) FILTER (WHERE place <= 3), 6) AS podiums, sum(p) FILTER (WHERE place <= 3) BETWEEN least(3, any_value(n)) - 1e-9 AND least(3, any_value(n)) + 1e-9 AND any_value(rows_off) < 1e-9 AND any_value(columns_off) < 1e-9 AS coherent
+FROM d JOIN n USING (ev) JOIN c USING (ev) JOIN w USING (ev) GROUP BY d.ev""")
+def _(t):
+    m = ranked(t).groupBy("ev", "driver_id").agg(F.avg((F.col("place") == 1).cast("int")).alias("win"), F.avg((F.col("place") <= 3).cast("int")).alias("podium"))
+    return quality.coherent(draws.distribution(ranked(t), "ev", "driver_id"), m, ["ev"], "driver_id")
+
+
 @query("E25_standings_coherence", "SELECT league, driver_id, sum(points) AS now, sum(points) + 5 >= sum(points) AS coherent FROM {points} WHERE version = 1 GROUP BY ALL")
 def _(t):
     d = t("points").filter("version = 1").groupBy("league", "driver_id").agg(F.sum("points").alias("now")).withColumn("mean", F.col("now") + 5)
@@ -272,9 +290,9 @@ def _(t):
     return weekend.unionByName(r.select(*KEY, F.lit("grid").alias("contract"), F.col("qualifying_position").alias("grid"), "label_position"))
 
 
-@query("B20_live_rows", f"WITH {PRIOR} SELECT league, day, driver_id, round(avg(label_position), 6) AS form, CASE WHEN count(label_position) = 0 THEN 'no_known_finish' END AS form_reason FROM p WHERE day = 30 GROUP BY ALL")
+@query("B20_live_rows", f"WITH {PRIOR} SELECT league, day, driver_id, round(avg(label_position), 6) AS form, CASE WHEN count(label_position) = 0 THEN 'no_known_finish' END AS form_reason FROM p GROUP BY ALL")
 def _(t):
-    h = prior(t).filter("day = 30").groupBy(*KEY)
+    h = prior(t).groupBy(*KEY)
     return h.agg(F.round(F.avg("label_position"), 6).alias("form"), F.when(F.count("label_position") == 0, "no_known_finish").alias("form_reason"))
 
 

@@ -107,11 +107,11 @@ def _(t):
 
 
 @query("H12_bootstrap", f"""WITH {LOSS}, d AS (SELECT a.league * 100 + a.day AS e, round(a.loss - b.loss, 6) AS delta, row_number() OVER (ORDER BY a.league * 100 + a.day) - 1 AS i FROM l a JOIN l b USING (league, day) WHERE a.model = 'form' AND b.model = 'grid'),
-k AS (SELECT b.b, ('0x' || substr(md5('7|' || b.b || '|' || d.i), 1, 8))::BIGINT % (SELECT count(*) FROM d) AS i FROM range(200) b(b) CROSS JOIN d), m AS (SELECT k.b, avg(d.delta) AS m FROM k JOIN d USING (i) GROUP BY k.b)
+k AS (SELECT b.b, ('0x' || substr(md5('7|' || b.b || '|' || d.i), 1, 8))::BIGINT % (SELECT count(*) FROM d) AS i FROM range(2000) b(b) CROSS JOIN d), m AS (SELECT k.b, avg(d.delta) AS m FROM k JOIN d USING (i) GROUP BY k.b)
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(m), 6) AS middle FROM m""")
 def _(t):
     d = evaluate.paired(losses(t), EVENT, "model", "loss", "form", "grid").select(F.expr("league * 100 + day").alias("e"), F.round("delta", 6).alias("delta"))
-    return evaluate.bootstrap(d, "e", "delta", 200, 7)
+    return evaluate.bootstrap(d, "e", "delta", 2000, 7)
 
 
 @query("H13_common_cohort", "SELECT league, day FROM {predictions} WHERE model = 'grid' OR day % 2 = 0 GROUP BY league, day HAVING count(DISTINCT model) = 2")
@@ -170,10 +170,10 @@ def _(t):
 
 
 @query("H22_cluster_bootstrap", """WITH c AS (SELECT driver_id, avg(CAST(qualifying_position - label_position AS DOUBLE)) AS x, row_number() OVER (ORDER BY driver_id) - 1 AS i FROM {results} WHERE label_position IS NOT NULL GROUP BY driver_id),
-k AS (SELECT b.b, ('0x' || substr(md5('11|' || b.b || '|' || c.i), 1, 8))::BIGINT % (SELECT count(*) FROM c) AS i FROM range(100) b(b) CROSS JOIN c), m AS (SELECT k.b, avg(c.x) AS m FROM k JOIN c USING (i) GROUP BY k.b) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(m), 6) AS middle FROM m""")
+k AS (SELECT b.b, ('0x' || substr(md5('11|' || b.b || '|' || c.i), 1, 8))::BIGINT % (SELECT count(*) FROM c) AS i FROM range(200) b(b) CROSS JOIN c), m AS (SELECT k.b, avg(c.x) AS m FROM k JOIN c USING (i) GROUP BY k.b) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(m), 6) AS middle FROM m""")
 def _(t):
     c = t("results").filter("label_position is not null").groupBy("driver_id").agg(F.avg(F.expr("cast(qualifying_position - label_position as double)")).alias("x"))
-    return evaluate.bootstrap(c, "driver_id", "x", 100, 11)
+    return evaluate.bootstrap(c, "driver_id", "x", 200, 11)
 
 
 @query("H23_outside_training_range", "WITH s AS (SELECT min(score) AS a, max(score) AS b, min(n) AS c, max(n) AS d FROM {results} WHERE season = 2024) SELECT event_id || '/' || driver_id AS row_id, 'score' AS feature FROM {results}, s WHERE season = 2025 AND (score < a OR score > b) UNION ALL SELECT event_id || '/' || driver_id, 'n' FROM {results}, s WHERE season = 2025 AND (n < c OR n > d)")
@@ -246,9 +246,9 @@ def ranked(t, shape="utilities"):
     return draws.rankings(utilities(t, shape), "ev", "driver_id", "utility", 32, 5, p_dnf="p_dnf")
 
 
-@query("G01_rankings", f"WITH {RANKED} SELECT ev, driver_id, draw, retired, place FROM r WHERE draw < 4")
+@query("G01_rankings", f"WITH {RANKED} SELECT ev, driver_id, draw, retired, place FROM r")
 def _(t):
-    return ranked(t).filter("draw < 4").withColumn("draw", F.col("draw").cast("long"))
+    return ranked(t).withColumn("draw", F.col("draw").cast("long"))
 
 
 @query("G01_rankings_all_days")
@@ -300,16 +300,34 @@ def _(t):
     return m.select("ev", "driver_id", F.row_number().over(Window.partitionBy("ev").orderBy("e", F.desc("w"), "driver_id")).cast("long").alias("predicted"))
 
 
-@query("G09_standings_from_draws", f"""WITH {RANKED}, k AS (SELECT e.league, e.ev, s.scenario, ('0x' || substr(md5('3|' || e.ev || '|' || s.scenario || '|pick'), 1, 8))::BIGINT % 32 AS draw FROM (SELECT DISTINCT league, ev FROM r) e CROSS JOIN range(16) s(scenario)),
+FINALS = f"""{RANKED}, k AS (SELECT e.league, e.ev, s.scenario, ('0x' || substr(md5('3|' || e.ev || '|' || s.scenario || '|pick'), 1, 8))::BIGINT % 32 AS draw FROM (SELECT DISTINCT league, ev FROM r WHERE ev % 100 > 9) e CROSS JOIN range(16) s(scenario)),
 w AS (SELECT k.league, k.scenario, r.driver_id, sum(coalesce(p.points, 0)) AS won FROM k JOIN r ON r.ev = k.ev AND r.draw = k.draw LEFT JOIN (SELECT place, points FROM {{rules}} WHERE season = 2024 AND first_round = 1) p ON p.place = r.place GROUP BY ALL),
-c AS (SELECT league, driver_id, sum(points) AS now FROM {{points}} WHERE version = 1 AND day > 6 AND day <= 9 GROUP BY ALL), t AS (SELECT w.league, w.scenario, w.driver_id, w.won + c.now AS total FROM w JOIN c USING (league, driver_id)),
-z AS (SELECT *, rank() OVER (PARTITION BY league, scenario ORDER BY total DESC) AS place, count(*) OVER (PARTITION BY league, scenario, total) AS same FROM t)
+c AS (SELECT league, driver_id, sum(points) AS now FROM {{points}} WHERE version = 1 AND day <= 9 GROUP BY ALL), t AS (SELECT w.league, w.scenario, w.driver_id, w.won + c.now AS total FROM w JOIN c USING (league, driver_id)),
+z AS (SELECT *, rank() OVER (PARTITION BY league, scenario ORDER BY total DESC) AS place, count(*) OVER (PARTITION BY league, scenario, total) AS same FROM t)"""
+
+
+def remaining(t):
+    """Draws of the events after the ninth day, points in effect until then, and the table of points."""
+    r = ranked(t).join(utilities(t).select("league", "ev", "driver_id"), ["ev", "driver_id"]).filter("ev % 100 > 9")
+    now = t("points").filter("version = 1 and day <= 9").groupBy("league", "driver_id").agg(F.sum("points").alias("points_now"))
+    return r, now, t("rules").filter("season = 2024 and first_round = 1").select("place", "points")
+
+
+@query("G09_standings_from_draws", f"""WITH {FINALS}
 SELECT league, driver_id, round(avg(CAST(place = 1 AND same = 1 AS INT)), 6) AS sole_title, round(avg(CAST(place = 1 AND same > 1 AS INT)), 6) AS tied_title, round(avg(total), 6) AS mean_points, round(avg(place + (same - 1) / 2), 6) AS mean_place FROM z GROUP BY ALL""")
 def _(t):
-    r = ranked(t).join(utilities(t).select("league", "ev", "driver_id"), ["ev", "driver_id"])
-    now = t("points").filter("version = 1 and day > 6 and day <= 9").groupBy("league", "driver_id").agg(F.sum("points").alias("points_now"))
-    table = t("rules").filter("season = 2024 and first_round = 1").select("place", "points")
-    return draws.standings(r, now, table, "league", "ev", "driver_id", 16, 3, 32)
+    return draws.standings(*remaining(t), "league", "ev", "driver_id", 16, 3, 32)
+
+
+@query("G09_place_distribution", f"""WITH {FINALS}, s AS (SELECT league, driver_id, unnest(range(place, place + same)) AS position, 1.0 / same AS share FROM z)
+SELECT league, driver_id, position, round(sum(share) / 16, 6) AS p FROM s GROUP BY ALL""")
+def _(t):
+    return draws.final_places(draws.finals(*remaining(t), "league", "ev", "driver_id", 16, 3, 32), "league", "driver_id", 16)
+
+
+@query("G09_unresolved_title", f"WITH {FINALS} SELECT league, round(count(DISTINCT scenario) FILTER (WHERE place = 1 AND same > 1) / 16.0, 6) AS unresolved FROM z GROUP BY league")
+def _(t):
+    return draws.unresolved(draws.finals(*remaining(t), "league", "ev", "driver_id", 16, 3, 32), "league", 16)
 
 
 @query("G09_standings_at_cutoff")

@@ -83,9 +83,9 @@ SELECT p.*, p.raw / sum(p.raw) OVER (PARTITION BY league, day, model) AS p_win
 FROM (SELECT r.league, r.day, r.season, r.event_id, r.driver_id, r.constructor_id, r.circuit_id, r.label_position, r.label_dnf, r.qualifying_position, s.entrants, m.model,
     CASE m.model WHEN 'grid' THEN 1.0 / r.qualifying_position ELSE exp(-0.15 * ((r.user_id * 7 + r.day * 3) % 20 + 1)) END AS raw
   FROM {results} r JOIN {starts} s ON r.league = s.league AND r.day = s.day CROSS JOIN (SELECT 'grid' AS model UNION ALL SELECT 'form') m) p""",
-    "utilities": "SELECT league, day, event_id, driver_id, constructor_id, ln(raw) AS utility, 0.05 + 0.01 * (qualifying_position % 10) AS p_dnf FROM {predictions} WHERE model = 'form' AND day <= 6",
+    "utilities": "SELECT league, day, event_id, driver_id, constructor_id, ln(raw) AS utility, 0.05 + 0.01 * (qualifying_position % 10) AS p_dnf FROM {predictions} WHERE model = 'form'",
     "all_utilities": "SELECT league, day, event_id, driver_id, constructor_id, ln(raw) AS utility, 0.05 + 0.01 * (qualifying_position % 10) AS p_dnf FROM {predictions} WHERE model = 'form'",
-    "profiles": "SELECT concat('c', CAST(p_partkey AS VARCHAR(9))) AS circuit_id, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM {part} WHERE p_partkey < 27",
+    "profiles": "SELECT concat('c', CAST(p_partkey % 7 AS VARCHAR(9))) AS circuit_id, round(avg(CAST(p_size AS DOUBLE)), 9) AS a, round(avg(CAST(p_retailprice AS DOUBLE)), 9) AS b FROM {part} GROUP BY p_partkey % 7",
     "all_profiles": "SELECT concat('c', CAST(p_partkey % 7 AS VARCHAR(9))) AS circuit_id, avg(CAST(p_size AS DOUBLE)) AS a, avg(p_retailprice) AS b FROM {part} GROUP BY p_partkey % 7",
 
     "scores": "SELECT l.doc_id, l.quality AS y, CAST(least(greatest(d.n_chars / 5000, 0.001), 0.999) AS DOUBLE) AS p FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id",

@@ -155,6 +155,18 @@ def _(t):
     return asof.lagged(t("starts"), ["league", "season"], "day", 8)
 
 
+@query("B22_lagged_features", f"""WITH {PRIOR}, k AS (SELECT a.league, a.day AS cutoff_event, b.day AS target_event FROM {{starts}} a JOIN {{starts}} b ON a.league = b.league AND a.season = b.season AND b.day - a.day BETWEEN 0 AND 8),
+f AS (SELECT league, day, driver_id, round(avg(label_position), 6) AS form, count(label_position) AS known, round(avg(CAST(label_dnf AS INT)), 6) AS dnf_rate FROM p GROUP BY ALL)
+SELECT k.league, k.cutoff_event, k.target_event, r.driver_id, f.form, f.dnf_rate, coalesce(f.known, 0) AS known FROM k JOIN {{results}} r ON r.league = k.league AND r.day = k.target_event LEFT JOIN f ON f.league = k.league AND f.day = k.cutoff_event AND f.driver_id = r.driver_id""")
+def _(t):
+    """History features of each target's roster as of the earlier cutoff event: never as of the target's own."""
+    pairs = asof.lagged(t("starts"), ["league", "season"], "day", 8).select("league", "cutoff_event", "target_event")
+    f = prior(t).groupBy("league", F.col("day").alias("cutoff_event"), "driver_id").agg(F.round(F.avg("label_position"), 6).alias("form"), F.count("label_position").alias("known"), F.round(F.avg(F.col("label_dnf").cast("int")), 6).alias("dnf_rate"))
+    roster = t("results").select("league", F.col("day").alias("target_event"), "driver_id")
+    d = pairs.join(roster, ["league", "target_event"]).join(f, ["league", "cutoff_event", "driver_id"], "left")
+    return d.select("league", "cutoff_event", "target_event", "driver_id", "form", "dnf_rate", F.coalesce("known", F.lit(0)).alias("known"))
+
+
 @query("B24_label_merge", "SELECT r.league, r.day, r.driver_id, CASE WHEN r.label_dnf_available_at <= r.cutoff + INTERVAL 30 HOUR THEN r.label_dnf END AS label_dnf FROM {results} r")
 def _(t):
     r = t("results")
@@ -256,9 +268,9 @@ def _(t):
     return form.similar(t("profiles"), "circuit_id", ["a", "b"], 1.0, 5).withColumn("k", F.col("k").cast("long"))
 
 
-@query("C13_similar_venue_delta", f"WITH {PRIOR}, {KERNEL}, w AS (SELECT circuit_id AS target_circuit, other, round(weight, 6) AS weight FROM n WHERE k <= 20), c AS (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY prior DESC) AS k FROM p WHERE label_position IS NOT NULL), b AS (SELECT *, avg(label_position) OVER (PARTITION BY league, day, driver_id) AS base FROM c WHERE k <= 40) SELECT league, day, driver_id, round(sum(weight * (label_position - base)) / sum(weight), 6) AS delta FROM b JOIN w ON w.target_circuit = b.target_circuit AND w.other = b.circuit_id GROUP BY ALL")
+@query("C13_similar_venue_delta", f"WITH {PRIOR}, {KERNEL}, w AS (SELECT circuit_id AS target_circuit, other, round(weight, 6) AS weight FROM n WHERE k <= 5), c AS (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY prior DESC) AS k FROM p WHERE label_position IS NOT NULL), b AS (SELECT *, avg(label_position) OVER (PARTITION BY league, day, driver_id) AS base FROM c WHERE k <= 40) SELECT league, day, driver_id, round(sum(weight * (label_position - base)) / sum(weight), 6) AS delta FROM b JOIN w ON w.target_circuit = b.target_circuit AND w.other = b.circuit_id GROUP BY ALL")
 def _(t):
-    kernel = form.similar(t("profiles"), "circuit_id", ["a", "b"], 1.0, 20).select(F.col("circuit_id").alias("target_circuit"), "other", "weight")
+    kernel = form.similar(t("profiles"), "circuit_id", ["a", "b"], 1.0, 5).select(F.col("circuit_id").alias("target_circuit"), "other", "weight")
     h = prior(t).join(t("starts").select(*EVENT, F.col("circuit_id").alias("target_circuit")), EVENT)
     return form.kernel_delta(h, kernel, [*EVENT, "driver_id"], "prior", "target_circuit", "circuit_id", "label_position", 40)
 

@@ -124,9 +124,9 @@ def _(t):
     return normalise.session_match(s, sessions, ["league"], "cutoff", "at", "session").drop("cutoff")
 
 
-@query("A14_number_crosswalk", "SELECT league, n % 20 AS number, CASE WHEN count(DISTINCT driver_id) = 1 THEN min(driver_id) END AS driver_id, count(DISTINCT driver_id) > 1 AS conflict FROM {results} WHERE day <= 2 GROUP BY league, n % 20")
+@query("A14_number_crosswalk", "SELECT league, day, n % 20 AS number, CASE WHEN count(DISTINCT driver_id) = 1 THEN min(driver_id) END AS driver_id, count(DISTINCT driver_id) > 1 AS conflict FROM {results} GROUP BY league, day, n % 20")
 def _(t):
-    return normalise.crosswalk(t("results").filter("day <= 2").withColumn("number", F.expr("n % 20")), ["league"], "number", "driver_id")
+    return normalise.crosswalk(t("results").withColumn("number", F.expr("n % 20")), ["league", "day"], "number", "driver_id")
 
 
 @query("A14_number_crosswalk_by_event")
@@ -194,10 +194,12 @@ def _(t):
     return normalise.display_names(n.select("ident"), names, "ident")
 
 
-@query("A25_points_arrays", "SELECT season, first_round, string_agg(CAST(CAST(points AS BIGINT) AS VARCHAR), ',' ORDER BY place) AS points FROM {rules} GROUP BY season, first_round")
+@query("A25_points_arrays", "SELECT league, season, string_agg(CAST(CAST(points AS BIGINT) AS VARCHAR), ',' ORDER BY place) AS points FROM (SELECT league, season, position AS place, max(points) AS points FROM {points} WHERE version = 1 AND position IS NOT NULL GROUP BY ALL) GROUP BY league, season HAVING max(place) = count(*)")
 def _(t):
-    d = normalise.points_table(t("rules"), ["season", "first_round"])
-    return d.select("season", "first_round", F.array_join(F.transform("points", lambda x: x.cast("long").cast("string")), ",").alias("points"))
+    """The schedule that the awards of a league's season imply."""
+    awarded = t("points").filter("version = 1 and position is not null").groupBy("league", "season", F.col("position").alias("place")).agg(F.max("points").alias("points"))
+    d = normalise.points_table(awarded, ["league", "season"])
+    return d.select("league", "season", F.array_join(F.transform("points", lambda x: x.cast("long").cast("string")), ",").alias("points"))
 
 
 @query("A24_session_enrichment", "SELECT r.league, r.day, count(*) AS kept, CAST(max(available_at) AS VARCHAR) AS available_at FROM {sessions} s JOIN {results} r USING (league, day, driver_id) WHERE r.user_id % 9 <> 0 AND s.available_at <= s.cutoff GROUP BY r.league, r.day")

@@ -11,7 +11,7 @@ from pitrank.plans.fixtures import Tables, with_shapes
 FLAGSHIP = "C01_contiguous_windows"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Queries whose SQL takes the first six days only; beside each stands one over all days, without SQL.
+#: Queries that were once cut to the first days; their names over all days stay, and give the same rows.
 SIX_DAYS = ("G02_marginals", "G02_distribution", "G03_mixture", "G04_mixture_draws", "G05_two_stage", "G07_race_table", "G08_predicted_order", "G10_draw_validation", "G11_calibrated_marginals")
 
 

@@ -49,6 +49,15 @@ def _(t):
     return drained(out).filter("league >= 0").select(*KEY, "version", "position")
 
 
+@query("S01_slot_collisions", "SELECT league, day, driver_id, version, CAST(2 AS BIGINT) AS contents FROM {publications} WHERE day > 10 AND day <= 20 AND league % 2 = 0")
+def _(t):
+    """Some replays carry another position than the slot already holds."""
+    p = t("publications").select(*KEY, "version", "position", F.col("available_at").cast("timestamp").alias("available_at"), F.lit(1).alias("copy"))
+    again = p.filter(CUTS[1]).withColumns({"copy": F.lit(2), "position": F.expr("case when league % 2 = 0 then position + 100 else position end")})
+    out = stream.idempotent(fed(p.union(again), "day", [*(f"copy = 1 and {c}" for c in CUTS), "copy = 2"]), [*KEY, "version"], "position", "available_at")
+    return stream.collisions(drained(out), [*KEY, "version"])
+
+
 @query("S02_freeze_at_cutoff", "SELECT league, day, driver_id, version, position FROM (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY available_at DESC) AS k FROM {publications} WHERE available_at <= cutoff) WHERE k = 1")
 def _(t):
     return drained(stream.frozen(feed(t), KEY, "available_at", "cutoff", ["version", "position"])).filter("league >= 0").select(*KEY, "version", "position")
@@ -101,7 +110,7 @@ def matrix(t) -> DataFrame:
     w = Window.partitionBy("league", "driver_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     d = t("results").withColumn("form", F.coalesce(F.avg("label_position").over(w), F.lit(10.0)))
     d = d.select(*KEY, *[F.col(f).cast("double").alias(f) for f in FEATURES], "label_position", "label_dnf", "label_available_at", "label_dnf_available_at", "cutoff")
-    return d.repartition(8, "league").persist()
+    return d.repartition("league").persist()
 
 
 def cohorts(t) -> DataFrame:
@@ -156,9 +165,13 @@ def _(t):
 
 @query("F15_isotonic_calibration")
 def _(t):
-    s = t("scores")
-    model, _reason = models.fit_calibrator(s, "p", "y", "isotonic")
-    return models.calibrated(model, s.select("doc_id", F.col("p").alias("score")), "score", "isotonic", "q").select("doc_id", F.round("q", 4).alias("q"))
+    """Cross-fitted: each half of the rows, by a hash, is calibrated by the fit on the other half."""
+    s = t("scores").withColumn("half", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)))
+    done = []
+    for half in (0, 1):
+        model, _reason = models.fit_calibrator(s.filter(F.col("half") != half), "p", "y", "isotonic")
+        done.append(models.calibrated(model, s.filter(F.col("half") == half).select("doc_id", F.col("p").alias("score")), "score", "isotonic", "q"))
+    return done[0].union(done[1]).select("doc_id", F.round("q", 4).alias("q"))
 
 
 @query("F16_out_of_fold")
@@ -214,6 +227,14 @@ def _(t):
     return models.elo(r, "league")
 
 
+@query("C11_team_ratings")
+def _(t):
+    """Entrant and team ratings before each event; teams keep half of their distance to the base over a season, and a
+    fifth where the rules were reset (2025)."""
+    r = t("results").select("league", "day", "season", "driver_id", "constructor_id", F.col("label_position").cast("double").alias("label_position"), F.col("cutoff").cast("timestamp").alias("cutoff"), F.col("label_available_at").cast("timestamp").alias("label_available_at"))
+    return models.team_elo(r, "league", resets=(2025,))
+
+
 @query("H20_grid_fit")
 def _(t):
     u, won = utilities(t, "all_utilities"), t("results").filter("label_position = 1").select(F.expr("league * 100 + day").alias("ev"), "driver_id")
@@ -245,12 +266,10 @@ def _(t):
     return m.select("ev", "driver_id", F.round(0.8 * F.col("win") + 0.2 / n, 6).alias("win"), F.round(0.8 * F.col("podium") + 0.2 * F.least(F.lit(1.0), 3 / n), 6).alias("podium"))
 
 
-@query("H25_nearest_distance", "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 5 = 0), d AS (SELECT a.vec_id, round(min(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) ** 2)))), 6) AS nearest FROM v a JOIN v b ON a.label >= 8 AND b.label < 8 GROUP BY a.vec_id) SELECT * FROM d")
+@query("H25_nearest_distance", "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), d AS (SELECT a.vec_id, round(min(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) ** 2)))), 6) AS nearest FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.label >= 8 AND b.label < 8 GROUP BY a.vec_id) SELECT * FROM d")
 def _(t):
-    v = t("embeddings").filter("vec_id % 5 = 0").select("vec_id", "label", F.expr("transform(embedding, x -> cast(x as double))").alias("e"))
-    live, train = v.filter("label >= 8"), v.filter("label < 8").select(F.col("e").alias("b"))
-    gap = F.expr("sqrt(aggregate(zip_with(e, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
-    return live.join(train, F.lit(True)).groupBy("vec_id").agg(F.round(F.min(gap), 6).alias("nearest"))
+    v = t("embeddings").select("vec_id", "label", "embedding", (F.col("label") < 8).alias("train"), F.expr("label >= 8 and vec_id % 20 = 0").alias("live"))
+    return evaluate.nearest(v, "vec_id", "embedding", "label", "train", ask="live").select("vec_id", F.round("nearest", 6).alias("nearest"))
 
 
 @query("H25_ood_verdict")
@@ -274,6 +293,15 @@ def _(t):
     return d.groupBy("stage").agg(F.round(F.avg("delta"), 6).alias("delta"))
 
 
+@query("H32_two_runs", f"""WITH o AS (SELECT model, league, day, p_win * 0.6 + 0.4 / entrants AS p FROM {{predictions}} WHERE label_position = 1 AND (league + day) % 17 <> 0), n AS (SELECT model, league, day, p_win AS p FROM {{predictions}} WHERE label_position = 1),
+b AS (SELECT coalesce(o.model, n.model) AS model, o.p AS a, n.p AS b FROM o FULL JOIN n ON o.model = n.model AND o.league = n.league AND o.day = n.day)
+SELECT model, count(*) FILTER (WHERE a IS NULL) AS only_new, count(*) FILTER (WHERE b IS NULL) AS only_old, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS events, round(avg(ln(greatest(a, 1e-15)) - ln(greatest(b, 1e-15))) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL), 6) AS delta FROM b GROUP BY model""")
+def _(t):
+    won = t("predictions").filter("label_position = 1")
+    old = won.filter("(league + day) % 17 <> 0").select("model", *EVENT, F.expr("p_win * 0.6 + 0.4 / entrants").alias("p"))
+    return evaluate.two_runs(old, won.select("model", *EVENT, F.col("p_win").alias("p")), ["model"], EVENT, "p")
+
+
 @query("H35_run_summary", "SELECT league, string_agg(CAST(day AS VARCHAR) || ':' || CAST(entrants AS VARCHAR), ',' ORDER BY day) AS path, count(*) AS runs FROM {starts} GROUP BY league")
 def _(t):
     g = t("starts").groupBy("league").agg(F.array_sort(F.collect_list(F.struct("day", "entrants"))).alias("p"), F.count("*").alias("runs"))

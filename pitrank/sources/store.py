@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitrank.sources.normalise import row_hash
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir names. Only a local session without that setting gets a temporary one."""
+    context = spark.sparkContext
+    top = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="pitrank-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(top)
+    return top
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
-    import uuid
-
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pitrank-checkpoints"
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(rows: DataFrame) -> DataFrame:
     """The rows from a reliable checkpoint, so that what they were read from may be overwritten."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/pitrank-checkpoints")
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
@@ -32,23 +50,21 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
 def write_changed(rows: DataFrame, folder: str, keys: list[str], version: int) -> DataFrame:
     """Rewrites the partitions whose rows or schema version changed; the written keys come back.
 
-    A partition's fingerprint is the sum of its rows' hashes, kept in a side table."""
+    A partition's fingerprint is the sum of its rows' hashes; it is kept with their number and the schema version in a
+    side table. Partitions that the input no longer has stay as they are, as a season's earlier ones do."""
     spark = rows.sparkSession
     h = F.conv(F.substring(F.col("h"), 1, 8), 16, 10).cast("long")
-    new = rows.withColumn("h", row_hash(rows)).groupBy(*keys).agg((F.sum(h) + version).alias("fingerprint"), F.count("*").alias("n"))
-    try:
-        old = spark.read.parquet(f"{folder}/fingerprints").select(*keys, F.col("fingerprint").alias("f"), F.col("n").alias("m"))
-        changed = new.join(old, keys, "left").filter("f is null or f <> fingerprint or m <> n").select(new["*"])
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        changed = new
+    new = rows.withColumn("h", row_hash(rows)).groupBy(*keys).agg(F.sum(h).alias("fingerprint"), F.count("*").alias("n"), F.lit(version).alias("version"))
+    changed = new
+    if exists(spark, f"{folder}/fingerprints"):
+        old = spark.read.parquet(f"{folder}/fingerprints").select(*keys, F.struct("fingerprint", "n", "version").alias("was"))
+        changed = new.join(old, keys, "left").filter(~F.struct("fingerprint", "n", "version").eqNullSafe(F.col("was"))).drop("was")
     changed = settled(changed)
     out = rows.join(changed.select(*keys), keys, "left_semi")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{folder}/rows")
-    written = changed.select(*keys, "fingerprint", "n")
+    written = changed.select(*keys, "fingerprint", "n", "version")
     written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{folder}/fingerprints")
-    return written
+    return written.select(*keys, "fingerprint", "n")
 
 
 def append_versions(store: DataFrame | None, incoming: DataFrame, key: list[str], payload: str, at: str) -> DataFrame:
