@@ -17,6 +17,7 @@ def prose(n=80):
 
 def corpus():
     """(documents, benchmark texts) with copies, shared lines, leaks, junk, nulls, empty and long texts, repeated rows."""
+    R.seed(5)
     passage, item = [prose(12) for _ in range(4)], prose(25)
     rows = [prose() for _ in range(60)] + [prose(8000), None, "", " \n\t ", "few words"]
     rows += ["\n".join([prose(60), *passage, prose(30)]) for _ in range(4)] + ["\n".join(passage * 3)]
