@@ -109,6 +109,27 @@ def heuristic(rows: DataFrame, event: list[str], values: list[str], entrant: str
     return d.withColumn("p_win", normalised("inverse", event)).withColumn("rank", F.row_number().over(w.orderBy("value", entrant)).cast("long")).withColumn("podium", F.col("rank") <= 3).drop("inverse")
 
 
+def baseline(rows: DataFrame, event: list[str], values: list[str], entrant: str, rate: str) -> DataFrame:
+    """the heuristic model's predictions: win share, podium flag, place, and the recent retirement rate within 0..1
+    (0 if unknown)."""
+    d = heuristic(rows, event, values, entrant)
+    dnf = F.least(F.greatest(F.coalesce(F.col(rate).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return d.select(*event, entrant, "p_win", F.col("podium").cast("double").alias("p_podium"), dnf.alias("p_dnf"), F.col("rank").cast("double").alias("expected"))
+
+
+def predicted(rows: DataFrame, event: list[str], entrant: str, model: str) -> DataFrame:
+    """a model's rows with the expected place held within 1..n and ranked within the event."""
+    w = Window.partitionBy(*event)
+    d = rows.withColumn("expected", F.least(F.greatest("expected", F.lit(1.0)), F.count("*").over(w).cast("double")))
+    return d.withColumn("place", F.row_number().over(w.orderBy("expected", entrant)).cast("long")).withColumn("model", F.lit(model))
+
+
+def observations(rows: DataFrame, folds: DataFrame, keys: list[str], ordinal: str, labels: list[str]) -> DataFrame:
+    """per test event its rows, how many know each label, and the training events behind it."""
+    train = folds.groupBy(*keys, F.col("test").alias(ordinal)).agg(F.count("*").alias("train_events"))
+    return rows.groupBy(*keys, ordinal).agg(F.count("*").alias("n"), *[F.count(x).alias(f"n_{x}") for x in labels]).join(train, [*keys, ordinal])
+
+
 def normalised(value: str, keys: list[str]) -> Column:
     """shares of a group; equal ones if the total is not positive."""
     w = Window.partitionBy(*keys)

@@ -102,6 +102,15 @@ def reason_counts(rows: DataFrame, reasons: str) -> DataFrame:
     return rows.select(F.explode(reasons).alias("feature", "reason")).groupBy("feature", "reason").agg(F.count("*").alias("n"))
 
 
+def missing_reasons(cases: dict[str, list[tuple[Column, str]]]) -> Column:
+    """A map from each feature that is null to its first reason that holds, in order of priority."""
+    entries = []
+    for feature, ordered in cases.items():
+        reason = F.coalesce(*[F.when(holds, F.lit(name)) for holds, name in ordered], F.lit("unknown"))
+        entries.append(F.when(F.col(feature).isNull(), F.struct(F.lit(feature).alias("key"), reason.alias("value"))))
+    return F.map_from_entries(F.array_compact(F.array(*entries)))
+
+
 def shortlist(rows: DataFrame, eligible: Column, score: Column, ident: str, limit: int) -> DataFrame:
     """Eligible candidates by score; those beyond the limit and the others have a reason."""
     d = rows.withColumn("_ok", eligible).withColumn("score", score)

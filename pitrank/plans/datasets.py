@@ -267,6 +267,36 @@ def _(t):
     return folds.heuristic(r, EVENT, ["grid", "recent"], "driver_id").select(*KEY, "value", F.round("p_win", 6).alias("p_win"), "rank", "podium")
 
 
+FORM = f"""{PRIOR}, v AS (SELECT league, day, driver_id, avg(label_position) AS recent, avg(CASE WHEN label_dnf_available_at < target_cutoff THEN CAST(label_dnf AS INT) END) AS rate FROM p GROUP BY ALL)"""
+
+
+def with_form(t):
+    """Rows with the mean place and the retirement rate that were known by their cutoff."""
+    known = F.when(F.col("label_dnf_available_at") < F.col("target_cutoff"), F.col("label_dnf").cast("int"))
+    f = prior(t).groupBy(*KEY).agg(F.avg("label_position").alias("recent"), F.avg(known).alias("rate"))
+    return t("results").join(f, KEY, "left").withColumn("grid", F.expr("case when user_id % 10 <> 0 then qualifying_position else 0 end"))
+
+
+@query("F22_heuristic_baseline", f"""WITH {FORM}, h AS (SELECT r.league, r.day, r.driver_id, coalesce(CASE WHEN r.user_id % 10 <> 0 THEN CAST(r.qualifying_position AS DOUBLE) END, CASE WHEN recent > 0 THEN recent END, count(*) OVER (PARTITION BY r.league, r.day) + 1) AS value, least(greatest(coalesce(rate, 0), 0), 1) AS p_dnf FROM {{results}} r LEFT JOIN v ON v.league = r.league AND v.day = r.day AND v.driver_id = r.driver_id),
+q AS (SELECT *, row_number() OVER (PARTITION BY league, day ORDER BY value, driver_id) AS place FROM h)
+SELECT league, day, driver_id, round((1 / value) / sum(1 / value) OVER (PARTITION BY league, day), 6) AS p_win, CAST(place <= 3 AS DOUBLE) AS p_podium, round(p_dnf, 6) AS p_dnf, place, 'heuristic' AS model FROM q""")
+def _(t):
+    d = folds.predicted(folds.baseline(with_form(t), EVENT, ["grid", "recent"], "driver_id", "rate"), EVENT, "driver_id", "heuristic")
+    return d.select(*KEY, F.round("p_win", 6).alias("p_win"), "p_podium", F.round("p_dnf", 6).alias("p_dnf"), "place", "model")
+
+
+@query("F22_observations", f"WITH {FOLDS}, k AS (SELECT league, test, count(*) AS train_events FROM f WHERE n >= 5 GROUP BY ALL) SELECT r.league, r.day, count(*) AS n, count(label_position) AS n_label_position, count(label_dnf) AS n_label_dnf, any_value(train_events) AS train_events FROM {{results}} r JOIN k ON k.league = r.league AND k.test = r.day GROUP BY r.league, r.day")
+def _(t):
+    return folds.observations(t("results"), rolling(t), ["league"], "day", ["label_position", "label_dnf"])
+
+
+@query("F22_skipped_cohorts", f"WITH {FOLDS} SELECT s.league, s.day, 'insufficient_prior_labelled_events' AS reason, count(f.train) AS available_train_events FROM {{starts}} s LEFT JOIN f ON f.league = s.league AND f.test = s.day GROUP BY s.league, s.day HAVING count(f.train) < 5")
+def _(t):
+    every = folds.rolling_folds(t("starts"), ["league"], "day", "cutoff", "label_available_at", 1).groupBy("league", F.col("test").alias("day")).agg(F.count("*").alias("k"))
+    d = t("starts").select(*EVENT).join(every, EVENT, "left").withColumn("available_train_events", F.coalesce("k", F.lit(0)))
+    return d.filter("available_train_events < 5").select(*EVENT, F.lit("insufficient_prior_labelled_events").alias("reason"), "available_train_events")
+
+
 @query("F12_normalised", "SELECT league, day, driver_id, round(CASE WHEN sum(v) OVER w > 0 THEN v / sum(v) OVER w ELSE 1 / count(*) OVER w END, 6) AS share FROM (SELECT *, CASE WHEN day % 5 = 0 THEN 0 ELSE n END AS v FROM {results}) WINDOW w AS (PARTITION BY league, day)")
 def _(t):
     return t("results").withColumn("v", F.expr("case when day % 5 = 0 then 0 else n end")).select(*KEY, F.round(folds.normalised("v", EVENT), 6).alias("share"))
@@ -296,6 +326,22 @@ def _(t):
     return h.agg(F.round(F.avg("label_position"), 6).alias("form"), F.when(F.count("label_position") == 0, "no_known_finish").alias("form_reason"))
 
 
+@query("B20_live_features", f"""WITH {PRIOR}, a AS (SELECT league, day, driver_id, avg(label_position) AS form, avg(CASE WHEN label_dnf_available_at < target_cutoff THEN CAST(label_dnf AS INT) END) AS dnf_rate, avg(label_position) FILTER (WHERE circuit_id = target_circuit) AS venue_form, avg(qualifying_position) AS qualifying_form, count(*) AS seen FROM p GROUP BY ALL)
+SELECT r.league, r.day, r.driver_id, round(form, 6) AS form, round(dnf_rate, 6) AS dnf_rate, round(venue_form, 6) AS venue_form, round(qualifying_form, 6) AS qualifying_form,
+  concat_ws(',', CASE WHEN dnf_rate IS NULL THEN 'dnf_rate=' || CASE WHEN seen IS NULL THEN 'no_prior_event' ELSE 'no_known_label' END END, CASE WHEN form IS NULL THEN 'form=' || CASE WHEN seen IS NULL THEN 'no_prior_event' ELSE 'no_known_finish' END END,
+    CASE WHEN qualifying_form IS NULL THEN 'qualifying_form=no_prior_event' END, CASE WHEN venue_form IS NULL THEN 'venue_form=' || CASE WHEN seen IS NULL THEN 'no_prior_event' ELSE 'venue_not_seen' END END) AS reasons
+FROM {{results}} r LEFT JOIN a ON a.league = r.league AND a.day = r.day AND a.driver_id = r.driver_id""")
+def _(t):
+    """All features of the contract without labels, and for each that is null the reason."""
+    known = F.when(F.col("label_dnf_available_at") < F.col("target_cutoff"), F.col("label_dnf").cast("int"))
+    at = prior(t).join(t("starts").select(*EVENT, F.col("circuit_id").alias("target_circuit")), EVENT)
+    a = at.groupBy(*KEY).agg(F.avg("label_position").alias("form"), F.avg(known).alias("dnf_rate"), F.avg(F.when(F.col("circuit_id") == F.col("target_circuit"), F.col("label_position"))).alias("venue_form"), F.avg("qualifying_position").alias("qualifying_form"), F.count("*").alias("seen"))
+    d = t("results").select(*KEY).join(a, KEY, "left")
+    why = {"form": "no_known_finish", "dnf_rate": "no_known_label", "venue_form": "venue_not_seen", "qualifying_form": "no_prior_event"}
+    reasons = quality.missing_reasons({f: [(F.col("seen").isNull(), "no_prior_event"), (F.lit(True), r)] for f, r in why.items()})
+    return d.select(*KEY, *[F.round(f, 6).alias(f) for f in why], F.array_join(F.array_sort(F.transform(F.map_entries(reasons), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("reasons"))
+
+
 @query("B21_missing_reasons", "SELECT league, day, driver_id, coalesce(CASE WHEN label_position IS NULL THEN 'ledger' END, CASE WHEN label_dnf IS NULL THEN 'constructor' END, CASE WHEN user_id % 4 = 0 THEN 'window' END, 'none') AS reason FROM {results}")
 def _(t):
     c = F.expr
