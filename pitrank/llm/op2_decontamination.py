@@ -3,25 +3,28 @@
 A document contains a window only if it contains all of the window's shingles, so the one that is rarest in the corpus
 is enough of a prefix. A first pass counts the benchmark's shingles in all documents; a second one looks up only the
 rarest of each window. Where it occurs, the place of the window follows; it must lie inside the document (length and
-positional bounds) and its words are then compared.
+positional bounds) and its words are then compared, byte by byte.
+
+A benchmark whose index has a bounded size is broadcast. A larger one is joined by shuffles: documents send only those
+shingles that a bit map of fixed size doesn't rule out, windows choose their rarest shingle by a join with the counts,
+and occurrences of these shingles, with the words around them, meet the windows in a join on the shingle.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitrank.llm.blocks import cut, map_batches
+from pitrank.llm.blocks import map_batches, written
 from pitrank.llm.words import Words, distinct, members, pieces, same_bytes, table, words_of
 
 _BYTES = table(lower=True, alphanumeric=True)
 INDEX_BYTES = 48 << 20  #: bytes that a broadcast index may have
 _PER_BYTE = 96  #: most bytes of index for a byte of item text: a window (80 bytes of hashes, 72 of shingles, 40 of links) begins at every second byte at most
 _SHINGLE = 3
+_BITS = 1 << 27  #: bits of the map of shingles that a shuffled join sends to the documents
 
 
 class _Index:
@@ -130,31 +133,113 @@ def _counted(docs: DataFrame, index, text: str) -> DataFrame:
 
 
 def _searched(rows: DataFrame, index, kinds: str) -> DataFrame:
-    """Adds to each row's hit words and items those of one index."""
+    """Each row's number of words, of hit words, and its items."""
 
     def search(batch: pa.RecordBatch) -> pa.Table:
-        hits, items, counts, look = [], [], [], _Index.of(index)
-        old_hits, old_items = batch["hits"].to_pylist(), batch["items"].to_pylist()
-        for base, some in pieces(batch["text"]):
+        hits, items, counts, look = [], [], [np.zeros(0, np.int64)], _Index.of(index)
+        for _, some in pieces(batch["text"]):
             w = words_of(some, _BYTES)
             start, which = look.find(w)
             counts.append(w.counts)
             by = np.argsort(w.text[start], kind="stable")
             start, which = start[by], which[by]
             edge = np.searchsorted(w.text[start], np.arange(len(some) + 1))
-            for i in range(len(some)):
-                hits.append(old_hits[base + i])
-                items.append(old_items[base + i])
-                own = slice(edge[i], edge[i + 1])
-                if own.start < own.stop:
-                    span = np.concatenate([np.arange(a, b) for a, b in zip(start[own], start[own] + look.length[which[own]], strict=True)]) - w.first[i]
-                    hits[-1] = np.union1d(np.frombuffer(hits[-1], np.int32), span).astype(np.int32).tobytes()
-                    new = {look.items[k] for x in np.unique(which[own]) for k in look.item[look.edge[x] : look.edge[x + 1]]}
-                    items[-1] = sorted(new.union(items[-1]))
-        n = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))
-        return pa.table({"row": batch["row"], "text": batch["text"], "hits": pa.array(hits, pa.binary()), "items": pa.array(items, pa.list_(pa.string())), "n_words": n})
+            covered = np.bincount(start, minlength=len(w.starts) + 1) - np.bincount(start + look.length[which], minlength=len(w.starts) + 1)
+            hits.append(np.bincount(w.text[np.cumsum(covered)[: len(w.starts)] > 0], minlength=len(some)))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                items.append(sorted({look.items[k] for x in np.unique(which[a:b]) for k in look.item[look.edge[x] : look.edge[x + 1]]}))
+        n_hit = np.concatenate([np.zeros(0, np.int64), *hits])
+        return pa.table({"row": batch["row"], "n_hit": n_hit, "items": pa.array(items, pa.list_(pa.string())), "n_words": np.concatenate(counts)})
+
+    return map_batches(rows, search, kinds)
+
+
+def _spelled(w: Words, start: int, end: int, raw: bytes) -> list[str]:
+    return [raw[a:b].decode() for a, b in zip(w.starts[start:end].tolist(), w.ends[start:end].tolist(), strict=True)]
+
+
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """id, words (array) and shingles (array of hashes) of every window of every item."""
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        ids, words, shingles = [], [], []
+        for base, some in pieces(batch["text"]):
+            w = words_of(some, _BYTES)
+            raw = _BYTES[0][w.raw].tobytes()
+            for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                n = min(window, b - a)
+                k = min(_SHINGLE, n)
+                for at in range(a, b - n + 1) if n else ():
+                    ids.append(batch["id"][base + i].as_py())
+                    words.append(_spelled(w, at, at + n, raw))
+                    shingles.append((w.runs(np.arange(at, at + n - k + 1), k) + np.uint64(k)).view(np.int64))
+        return pa.table({"id": pa.array(ids, pa.string()), "words": pa.array(words, pa.list_(pa.string())), "shingles": pa.array(shingles, pa.list_(pa.int64()))})
+
+    return map_batches(items.select("id", "text"), run, "id string, words array<string>, shingles array<long>")
+
+
+def _joined(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """row, n_words, n_hit and items by shuffled joins."""
+    spark = rows.sparkSession
+    kept = written(rows.select(F.monotonically_increasing_id().alias("key"), "row", "text"))
+    windows = written(_windows(items, window).withColumn("wid", F.xxhash64("words")))
+    each = windows.select("wid", "words", "shingles").dropDuplicates(["wid", "words"])
+
+    def sizes(batch: pa.RecordBatch) -> pa.Table:
+        return pa.table({"key": batch["key"], "n_words": pa.array(np.concatenate([np.zeros(0, np.int64), *(words_of(some, _BYTES).counts for _, some in pieces(batch["text"]))]))})
+
+    def shingled(allowed, context: bool):
+        """Occurrences of shingles that the map allows: their counts, or place and words around."""
+
+        def run(batch: pa.RecordBatch) -> pa.Table:
+            bits = np.frombuffer(allowed.value, np.uint64)
+            out: dict[str, list] = {"s": [], "n": []} if not context else {"s": [], "key": [], "at": [], "from": [], "words": []}
+            for base, some in pieces(batch["text"]):
+                w = words_of(some, _BYTES)
+                raw = _BYTES[0][w.raw].tobytes()
+                for k in range(1, _SHINGLE + 1):
+                    at, h = w.windows(k)
+                    h = h + np.uint64(k)
+                    bit = h.view(np.int64) % _BITS
+                    hit = (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+                    at, h = at[hit], h[hit].view(np.int64)
+                    if not context:
+                        found, n = np.unique(h, return_counts=True)
+                        out["s"].append(found)
+                        out["n"].append(n)
+                        continue
+                    for p, x in zip(at.tolist(), h.tolist(), strict=True):
+                        i = int(w.text[p])
+                        low, high = max(int(w.first[i]), p - window + 1), min(int(w.first[i + 1]), p + window)
+                        for name, v in zip(out, (x, batch["key"][base + i].as_py(), p - int(w.first[i]), low - int(w.first[i]), _spelled(w, low, high, raw)), strict=True):
+                            out[name].append(v)
+            if context:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+                return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
+            return pa.table({c: np.concatenate([np.zeros(0, np.int64), *v]) for c, v in out.items()})
+
+        return run
+
+    def sent(shingles: DataFrame):
+        """A broadcast bit map of the shingles; its words of 64 bits that hold any are collected, a fixed number at most."""
+        slots = shingles.select(F.pmod("s", F.lit(_BITS)).alias("b")).select(F.expr("b div 64").alias("w"), F.expr("cast(b % 64 as int)").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("x"))
+        map_ = np.zeros(_BITS // 64, np.uint64)
+        for batch in slots.toArrow().to_batches():
+            map_[batch["w"].to_numpy()] = batch["x"].to_numpy().view(np.uint64)
+        return spark.sparkContext.broadcast(map_.tobytes())
 
-    return map_batches(rows.select("row", "text", "hits", "items"), search, kinds)
+    parts = each.select("wid", "words", F.posexplode("shingles").alias("off", "s"))
+    counts = map_batches(kept.select("text"), shingled(sent(parts.select("s").distinct()), False), "s long, n long").groupBy("s").agg(F.sum("n").alias("df"))
+    rarest = parts.join(counts, "s", "left").groupBy("wid", "words").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "s")).alias("r")).filter("r.df > 0")
+    prefix = written(rarest.select("wid", F.col("words").alias("wanted"), "r.off", "r.s"))
+    seen = map_batches(kept.select("key", "text"), shingled(sent(prefix.select("s").distinct()), True), "s long, key long, at int, from int, words array<string>")
+    met = seen.join(prefix, "s").filter("at - off >= from and slice(words, at - off - from + 1, size(wanted)) = wanted")
+    met = written(met.select("key", F.expr("at - off").alias("start"), F.expr("size(wanted)").alias("n"), "wid", "wanted").distinct())
+    hit = met.select("key", F.explode(F.expr("sequence(start, start + n - 1)")).alias("p")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
+    owners = windows.select("wid", F.col("words").alias("wanted"), "id").distinct()
+    of = met.select("key", "wid", "wanted").distinct().join(owners, ["wid", "wanted"]).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    out = kept.select("key", "row").join(map_batches(kept.select("key", "text"), sizes, "key long, n_words long"), "key").join(hit, "key", "left").join(of, "key", "left")
+    return out.select("row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, carry: list[str] | None = None, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -163,30 +248,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     Words are runs of ASCII letters and digits, A-Z folded, and of all other characters. A window is ``window``
     consecutive words of an item; an item of fewer words is one window. A document's word is hit if any occurrence of
     a window covers it; items are those with such a window, as strings in order. Null and empty texts have no words;
-    a null item_id counts as the item 'None', and repeated items count once.
+    a null item_id counts as the item 'None', and repeated items count once. Very long texts are read whole.
 
-    The index is broadcast and has at most ``index_bytes``. A larger benchmark is taken in slices by a hash of item
-    and text, so that copies of one text, too, are dealt out; each slice is one pass over the documents, with the rows
-    written to the checkpoint folder between passes. Very long texts are read in whole, in pieces of whole texts."""
+    An index of at most ``index_bytes`` is broadcast; beyond that, windows and documents meet in shuffled joins."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("None")).alias("id"), F.col(item_text).alias("text")).filter(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).distinct()
     size = items.agg(F.sum(F.octet_length("text") * _PER_BYTE + F.octet_length("id") + 64)).first()[0] or 0
-    slices = max(1, math.ceil(1.25 * size / index_bytes)) if size > index_bytes else 1
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
-    rows = docs.select(row.alias("row"), F.col(text).alias("text"), F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
-    kinds = f"row {rows.schema['row'].dataType.simpleString()}, text string, hits binary, items array<string>, n_words long"
-    for i in range(slices):
-        own = sorted(items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == i).collect())
-        index = _Index([x[0] for x in own], [x[1] for x in own], window)
-        shared = spark.sparkContext.broadcast(vars(index).copy())
-        counts = {k: np.zeros(len(s[3]), np.int64) for k, s in index.shingles.items()}
-        for k, j, n in _counted(docs, shared, text).collect():
-            counts[k][j] = n
-        index.look_up(counts)
-        rows = _searched(rows, spark.sparkContext.broadcast(vars(index)), kinds)
-        if i + 1 < slices:
-            rows = cut(rows)
-    return rows.select("row", "n_words", F.expr("octet_length(hits) div 4").alias("n_hit"), "items")
+    rows = docs.select(row.alias("row"), F.col(text).alias("text"))
+    if size > index_bytes:
+        return _joined(rows, items, window)
+    own = sorted(items.collect())
+    index = _Index([x[0] for x in own], [x[1] for x in own], window)
+    shared = spark.sparkContext.broadcast(vars(index).copy())
+    counts = {k: np.zeros(len(s[3]), np.int64) for k, s in index.shingles.items()}
+    for k, j, n in _counted(docs, shared, text).collect():
+        counts[k][j] = n
+    index.look_up(counts)
+    kinds = f"row {rows.schema['row'].dataType.simpleString()}, n_hit long, items array<string>, n_words long"
+    return _searched(rows, spark.sparkContext.broadcast(vars(index)), kinds).select("row", "n_words", "n_hit", "items")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
