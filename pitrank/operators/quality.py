@@ -102,6 +102,16 @@ def reason_counts(rows: DataFrame, reasons: str) -> DataFrame:
     return rows.select(F.explode(reasons).alias("feature", "reason")).groupBy("feature", "reason").agg(F.count("*").alias("n"))
 
 
+def one_schema(parts: list[DataFrame]) -> DataFrame:
+    """The union of contracts, which must have the same columns of the same types."""
+    want = [(f.name, f.dataType) for f in parts[0].schema]
+    for d in parts[1:]:
+        have = [(f.name, f.dataType) for f in d.schema]
+        if have != want:
+            raise ValueError(f"contracts differ: {sorted(set(map(str, have)) ^ set(map(str, want)))}")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def missing_reasons(cases: dict[str, list[tuple[Column, str]]]) -> Column:
     """A map from each feature that is null to its first reason that holds, in order of priority."""
     entries = []

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitrank.operators import asof, draws, folds, quality
+from pitrank.operators import asof, draws, folds, ledger, quality
 from pitrank.plans.evaluation import RANKED, ranked
-from pitrank.plans.pointintime import EVENT, PRIOR, prior
+from pitrank.plans.pointintime import EVENT, PRIOR, _venue, prior
+from pitrank.plans.points import LATEST
 from pitrank.plans.registry import query
 
 KEY = [*EVENT, "driver_id"]
@@ -320,6 +322,62 @@ def _(t):
     return weekend.unionByName(r.select(*KEY, F.lit("grid").alias("contract"), F.col("qualifying_position").alias("grid"), "label_position"))
 
 
+CONTRACTS = {"pre_weekend": 48, "qualifying": 4, "grid": 0}  #: hours before the event's cutoff
+
+
+@query("B19_contract_features", """WITH c AS (SELECT s.league, s.day, s.circuit_id AS target_circuit, k.contract, s.cutoff - k.h * INTERVAL 1 HOUR AS due FROM {starts} s CROSS JOIN (VALUES ('pre_weekend', 48), ('qualifying', 4), ('grid', 0)) k(contract, h)),
+p AS (SELECT c.league, c.day, c.contract, c.due, r.driver_id, r.label_position, r.label_dnf, r.label_dnf_available_at, e.circuit_id = c.target_circuit AS here FROM c JOIN {starts} e ON e.league = c.league AND e.day < c.day AND e.label_available_at < c.due JOIN {results} r ON r.league = e.league AND r.day = e.day),
+a AS (SELECT league, day, contract, driver_id, round(avg(label_position), 6) AS form, round(avg(CASE WHEN label_dnf_available_at < due THEN CAST(label_dnf AS INT) END), 6) AS dnf_rate, round(avg(label_position) FILTER (WHERE here), 6) AS venue_form, count(*) AS history FROM p GROUP BY ALL)
+SELECT r.league, r.day, r.driver_id, c.contract AS cutoff_kind, CAST(c.due AS VARCHAR) AS prediction_timestamp, form, dnf_rate, venue_form, coalesce(history, 0) AS history, CASE WHEN c.contract <> 'pre_weekend' THEN r.qualifying_position END AS qualifying_position,
+  CASE WHEN c.contract = 'grid' AND r.user_id % 10 <> 0 THEN r.qualifying_position END AS grid_position, r.label_position, CASE WHEN r.label_available_at > c.due THEN r.label_dnf END AS label_dnf
+FROM {results} r JOIN c ON c.league = r.league AND c.day = r.day LEFT JOIN a ON a.league = r.league AND a.day = r.day AND a.contract = c.contract AND a.driver_id = r.driver_id""")
+def _(t):
+    """Every event under every contract: history as of the contract's own cutoff, weekend values where it has them, and
+    labels. All contracts have one schema."""
+    r, parts = t("results").withColumn("grid", F.expr("case when user_id % 10 <> 0 then qualifying_position end")), []
+    for contract, hours in CONTRACTS.items():
+        targets = t("starts").withColumn("cutoff", F.col("cutoff") - F.expr(f"INTERVAL {hours} HOUR"))
+        pairs = asof.earlier_events(targets, t("starts"), ["league"], "day", "cutoff", "label_available_at", ["circuit_id"])
+        rows = r.select("league", F.col("day").alias("prior"), "driver_id", "label_position", "label_dnf", "label_dnf_available_at")
+        here = t("starts").select(*EVENT, F.col("circuit_id").alias("target_circuit"))
+        h = pairs.select("league", "day", "target_cutoff", "prior", "circuit_id").join(rows, ["league", "prior"]).join(here, EVENT)
+        known = F.when(F.col("label_dnf_available_at") < F.col("target_cutoff"), F.col("label_dnf").cast("int"))
+        at_venue = F.when(F.col("circuit_id") == F.col("target_circuit"), F.col("label_position"))
+        a = h.groupBy(*KEY).agg(F.round(F.avg("label_position"), 6).alias("form"), F.round(F.avg(known), 6).alias("dnf_rate"), F.round(F.avg(at_venue), 6).alias("venue_form"), F.count("*").alias("history"))
+        weekend = {"qualifying_position": contract != "pre_weekend", "grid_position": contract == "grid"}
+        own = r.drop("cutoff").join(targets.select(*EVENT, "cutoff"), EVENT).withColumn("grid_position", F.col("grid")).join(a, KEY, "left")
+        own = own.withColumns({c: F.when(F.lit(has), F.col(c)) for c, has in weekend.items()})
+        own = own.withColumn("label_dnf", F.when(F.col("label_available_at") > F.col("cutoff"), F.col("label_dnf")))
+        parts.append(own.select(*KEY, F.lit(contract).alias("cutoff_kind"), F.col("cutoff").cast("string").alias("prediction_timestamp"), "form", "dnf_rate", "venue_form", F.coalesce("history", F.lit(0)).alias("history"), "qualifying_position", "grid_position", "label_position", "label_dnf"))
+    return quality.one_schema(parts)
+
+
+@query("B16_full_snapshot", f"""WITH {LATEST}, m AS (SELECT league, day, driver_id, sum(points) AS total FROM s GROUP BY ALL), l AS (SELECT league, day, max(total) AS lead FROM m GROUP BY ALL), {PRIOR},
+o AS (SELECT league, day, driver_id, max_by(constructor_id, available_at) AS team, max_by(position, available_at) AS position FROM {{publications}} WHERE available_at <= cutoff GROUP BY ALL),
+b AS (SELECT league, day, driver_id, min(best) AS best FROM {{sessions}} WHERE available_at <= cutoff AND provider = 'a' GROUP BY ALL),
+h AS (SELECT league, day, driver_id, round(avg(label_position), 6) AS form, count(label_position) AS finishes, round(avg(label_position) FILTER (WHERE circuit_id = target_circuit), 6) AS venue_finish FROM p GROUP BY ALL),
+rate AS (SELECT league, day, round(avg(CAST(label_dnf AS INT)) FILTER (WHERE circuit_id = target_circuit AND label_dnf_available_at < target_cutoff), 6) AS venue_dnf, max(CAST(circuit_id = target_circuit AS BIGINT)) AS seen FROM p GROUP BY league, day),
+w AS (SELECT valid_at, precipitation, temperature FROM {{forecast}})
+SELECT r.league, r.day, r.driver_id, o.team, o.position, round(b.best, 6) AS best, round(b.best / min(b.best) OVER (PARTITION BY r.league, r.day) - 1, 6) AS gap, h.form, coalesce(h.finishes, 0) AS finishes, h.venue_finish, rate.venue_dnf, coalesce(rate.seen, 0) = 1 AS venue_seen, CASE WHEN g.rounds IS NOT NULL THEN coalesce(m.total, 0) END AS points_before, CASE WHEN g.rounds IS NOT NULL THEN l.lead - m.total END AS points_gap,
+  round(w.precipitation, 6) AS precipitation, round(w.temperature, 6) AS temperature, h.form IS NULL AS form_missing, b.best IS NULL AS best_missing, w.precipitation IS NULL AS precipitation_missing
+FROM {{results}} r LEFT JOIN o USING (league, day, driver_id) LEFT JOIN b USING (league, day, driver_id) LEFT JOIN h USING (league, day, driver_id) LEFT JOIN rate USING (league, day) LEFT JOIN g USING (league, day) LEFT JOIN m USING (league, day, driver_id) LEFT JOIN l USING (league, day) LEFT JOIN w ON w.valid_at = date_trunc('hour', r.cutoff)""")
+def _(t):
+    """Entrant rows with every leg as of the event's cutoff: roster, qualifying, practice, history, venue, standings and
+    forecast. Each leg is one row per entrant or event before it joins."""
+    o = asof.latest(t("publications"), KEY, "available_at", ["constructor_id", "position"], "cutoff").select(*KEY, F.col("constructor_id").alias("team"), "position")
+    b = t("sessions").filter(asof.known_by("available_at", "cutoff") & (F.col("provider") == "a")).groupBy(*KEY).agg(F.min("best").alias("best"))
+    h = prior(t).groupBy(*KEY).agg(F.round(F.avg("label_position"), 6).alias("form"), F.count("label_position").alias("finishes"))
+    own, rate = _venue(t)
+    points = ledger.standings(t("points"), t("starts"), t("results"), ["league", "season"], "round", EVENT, "cutoff", "driver_id").select(*KEY, "points_before", F.col("gap").alias("points_gap"))
+    w = asof.in_hour(t("starts"), t("forecast"), "cutoff", "valid_at", EVENT, ["precipitation", "temperature"])
+    d = t("results").select(*KEY)
+    for leg, on in ((o, KEY), (b, KEY), (h, KEY), (own.select(*KEY, "venue_finish"), KEY), (rate, EVENT), (points, KEY), (w, EVENT)):
+        d = d.join(leg, on, "left")
+    gap = F.round(F.col("best") / F.min("best").over(Window.partitionBy(*EVENT)) - 1, 6)
+    d = d.select(*KEY, "team", "position", F.round("best", 6).alias("best"), gap.alias("gap"), "form", F.coalesce("finishes", F.lit(0)).alias("finishes"), "venue_finish", "venue_dnf", (F.coalesce("seen", F.lit(0)) == 1).alias("venue_seen"), "points_before", "points_gap", F.round("precipitation", 6).alias("precipitation"), F.round("temperature", 6).alias("temperature"))
+    return d.withColumns({f"{c}_missing": F.col(c).isNull() for c in ("form", "best", "precipitation")})
+
+
 @query("B20_live_rows", f"WITH {PRIOR} SELECT league, day, driver_id, round(avg(label_position), 6) AS form, CASE WHEN count(label_position) = 0 THEN 'no_known_finish' END AS form_reason FROM p GROUP BY ALL")
 def _(t):
     h = prior(t).groupBy(*KEY)
