@@ -131,11 +131,11 @@ def with_fits(rows: DataFrame, fold: str, features: list[str], fits: dict[str, d
 
 def out_of_fold(rows: DataFrame, train: DataFrame, fold: str, features: list[str], position: str, dnf: str) -> DataFrame:
     """The models' outputs on test rows (with their fold), fitted on the fold's rows in ``train``."""
-    known = train.withColumn("_won", F.coalesce(F.col(position) == 1, F.lit(False)).cast("double")).withColumn("_out", F.col(dnf).cast("double")).persist()
-    both = logistic_by_fold(known, fold, features, ["_won", "_out"])
-    fits = {"p_win": {k: b for (k, y), b in both.items() if y == "_won"}, "place_ridge": ridge_by_fold(known, fold, features, position), "p_dnf": {k: b for (k, y), b in both.items() if y == "_out"}}
+    known = train.withColumn("_won", F.coalesce(F.col(position) == 1, F.lit(False)).cast("double")).withColumn("_podium", F.coalesce(F.col(position) <= 3, F.lit(False)).cast("double")).withColumn("_out", F.col(dnf).cast("double")).persist()
+    both = logistic_by_fold(known, fold, features, ["_won", "_podium", "_out"])
+    fits = {"p_podium": {k: b for (k, y), b in both.items() if y == "_podium"}, "p_win": {k: b for (k, y), b in both.items() if y == "_won"}, "place_ridge": ridge_by_fold(known, fold, features, position), "p_dnf": {k: b for (k, y), b in both.items() if y == "_out"}}
     known.unpersist()
-    return with_fits(rows, fold, features, fits).withColumns({p: 1 / (1 + F.exp(-F.col(p))) for p in ("p_win", "p_dnf")})
+    return with_fits(rows, fold, features, fits).withColumns({p: 1 / (1 + F.exp(-F.col(p))) for p in ("p_win", "p_podium", "p_dnf")})
 
 
 def elo(rows: DataFrame, league: str, carry: float = 0.75, k: float = 24.0, scale: float = 400.0) -> DataFrame:

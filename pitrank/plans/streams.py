@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitrank.operators import draws, evaluate, folds, models
+from pitrank.plans import datasets
 from pitrank.plans.evaluation import RANKED, ranked, utilities
 from pitrank.plans.pointintime import EVENT
 from pitrank.plans.registry import query
@@ -134,7 +135,7 @@ def oof(t) -> DataFrame:
 
 @query("F05_logistic_fits")
 def _(t):
-    return oof(t).select(*KEY, "fold", F.round("p_win", 4).alias("p_win"), F.round("p_dnf", 4).alias("p_dnf"))
+    return oof(t).select(*KEY, "fold", *[F.round(p, 4).alias(p) for p in ("p_win", "p_podium", "p_dnf")])
 
 
 @query("F06_ridge_positions")
@@ -190,6 +191,29 @@ def _(t):
     return centred.groupBy(*KEY).agg(F.round(F.stddev_pop("u"), 4).alias("spread"))
 
 
+def predictions_of_all(t) -> DataFrame:
+    """The long table of the backtest: every model's prediction of every test row, places held within 1..n and ranked."""
+    o = oof(t)
+    share = folds.normalised("p_win", EVENT)
+    fitted = o.select(*KEY, share.alias("p_win"), "p_podium", "p_dnf", F.col("place_ridge").alias("expected"))
+    plain = folds.baseline(datasets.with_form(t), EVENT, ["grid", "recent"], "driver_id", "rate").join(o.select(*KEY), KEY, "left_semi")
+    both = folds.predicted(fitted, EVENT, "driver_id", "linear").unionByName(folds.predicted(plain, EVENT, "driver_id", "heuristic"))
+    return both.select(*KEY, "model", *[F.round(c, 4).alias(c) for c in ("p_win", "p_podium", "p_dnf", "expected")], "place")
+
+
+@query("F22_predictions")
+def _(t):
+    return predictions_of_all(t)
+
+
+@query("F22_metrics")
+def _(t):
+    """Losses of every model of the backtest on the same rows: winner log loss, retirement Brier score, place error."""
+    d = predictions_of_all(t).join(t("results").select(*KEY, "label_position", "label_dnf"), KEY)
+    won = F.coalesce(F.col("label_position") == 1, F.lit(False))
+    return d.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(F.when(won, -F.log(evaluate.clipped("p_win")))), 4).alias("winner_loss"), F.round(F.avg((F.col("p_dnf") - F.col("label_dnf").cast("int")) ** 2), 4).alias("dnf_brier"), F.round(F.avg(F.abs(F.col("place") - F.col("label_position"))), 4).alias("place_mae"))
+
+
 TEMPERATURES = (0.5, 1.0, 2.0, 4.0)
 
 

@@ -72,3 +72,21 @@ def test_bootstrap_and_trees_and_temperatures_cover_their_test_events(spark, dat
     composed = registry.QUERIES["F21_composed_model"](spark, data)
     assert composed.select("day").distinct().count() > 20
     assert all(abs(r.p - 1) < 1e-2 for r in composed.groupBy("league", "day").agg(F.sum("p_win").alias("p")).collect())
+
+
+def test_backtest_has_every_model_on_every_test_row(spark, data):
+    rows = registry.QUERIES["F22_predictions"](spark, data).collect()
+    fits = {(r.league, r.day, r.driver_id): r for r in registry.QUERIES["F05_logistic_fits"](spark, data).collect()}
+    by = {m: {(r.league, r.day, r.driver_id): r for r in rows if r.model == m} for m in ("linear", "heuristic")}
+    assert set(by["linear"]) == set(by["heuristic"]) == set(fits) and len(rows) == 2 * len(fits)
+    for own in by.values():
+        events = {}
+        for (league, day, _), r in own.items():
+            events.setdefault((league, day), []).append(r)
+        for e in events.values():
+            assert sorted(r.place for r in e) == list(range(1, len(e) + 1)) and abs(sum(r.p_win for r in e) - 1) < 0.01
+            assert all(1 <= r.expected <= len(e) for r in e)
+    for k, r in by["linear"].items():
+        assert abs(r.p_podium - fits[k].p_podium) < 1e-3 and 0 <= r.p_dnf <= 1
+    metrics = {r.model: r for r in registry.QUERIES["F22_metrics"](spark, data).collect()}
+    assert metrics["linear"].n == metrics["heuristic"].n == len(fits) and all(r.winner_loss > 0 for r in metrics.values())
