@@ -116,6 +116,14 @@ def bootstrap(deltas: DataFrame, ident: str, value: str, resamples: int, seed: i
     return means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"), F.round(F.avg("m"), 6).alias("middle"))
 
 
+def objective(shares: DataFrame, keys: list[str], event: str, won: Column, podium: Column) -> DataFrame:
+    """Mean over events of -ln p(winner) plus a third of the podium log loss; shares are win and podium."""
+    p, q = clipped("win"), clipped("podium")
+    each = F.when(podium, -F.log(q)).otherwise(-F.log(1 - q))
+    e = shares.groupBy(*keys, event).agg((F.sum(F.when(won, -F.log(p))) + F.avg(each) / 3).alias("loss"))
+    return e.groupBy(*keys).agg(F.round(F.avg("loss"), 6).alias("loss"), F.count("loss").alias("events"))
+
+
 def two_runs(old: DataFrame, new: DataFrame, keys: list[str], event: list[str], p: str) -> DataFrame:
     """Mean log loss of the new run less the old one's over the events that both have, and events of one only."""
     j = old.select(*keys, *event, F.col(p).alias("a")).join(new.select(*keys, *event, F.col(p).alias("b")), [*keys, *event], "full")

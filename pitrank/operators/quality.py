@@ -102,6 +102,15 @@ def reason_counts(rows: DataFrame, reasons: str) -> DataFrame:
     return rows.select(F.explode(reasons).alias("feature", "reason")).groupBy("feature", "reason").agg(F.count("*").alias("n"))
 
 
+def replayed(frozen: DataFrame, again: DataFrame, keys: list[str], values: list[str], end: str, available: str, margin: Column) -> DataFrame:
+    """Keys whose frozen values differ from recomputed ones, that only one side has, or whose clock isn't the end of
+    the source plus the margin."""
+    a = frozen.select(*keys, F.struct(*values).alias("a"), (F.col(available) != F.col(end) + margin).alias("late"))
+    j = a.join(again.select(*keys, F.struct(*values).alias("b")), keys, "full")
+    d = j.select(*keys, (~F.col("a").eqNullSafe(F.col("b"))).alias("values_differ"), F.coalesce("late", F.lit(False)).alias("clock_differs"))
+    return d.filter("values_differ or clock_differs")
+
+
 def one_schema(parts: list[DataFrame]) -> DataFrame:
     """The union of contracts, which must have the same columns of the same types."""
     want = [(f.name, f.dataType) for f in parts[0].schema]

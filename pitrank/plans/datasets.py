@@ -215,6 +215,18 @@ def _(t):
     return bad.crossJoin(frozen.agg(F.count("*").alias("compared")))
 
 
+@query("E31_margin_replay", """WITH n AS (SELECT league, day, count(*) AS n, round(avg(best), 6) AS best FROM {sessions} WHERE provider = 'a' GROUP BY ALL),
+z AS (SELECT league, day, n, CASE WHEN league % 4 = 1 AND day % 5 = 0 THEN round(best + 0.5, 6) ELSE best END AS best FROM n WHERE day % 11 <> 0)
+SELECT n.league, n.day, z.n IS DISTINCT FROM n.n OR z.best IS DISTINCT FROM n.best AS values_differ, z.n IS NOT NULL AND s.label_available_at <> s.cutoff + INTERVAL 18 HOUR AS clock_differs FROM n JOIN {starts} s USING (league, day) LEFT JOIN z USING (league, day)
+WHERE z.n IS DISTINCT FROM n.n OR z.best IS DISTINCT FROM n.best OR s.label_available_at <> s.cutoff + INTERVAL 18 HOUR""")
+def _(t):
+    """A frozen copy of session summaries, some changed and some gone, against the retained sessions."""
+    again = t("sessions").filter("provider = 'a'").groupBy(*EVENT).agg(F.count("*").alias("n"), F.round(F.avg("best"), 6).alias("best"))
+    frozen = again.filter("day % 11 <> 0").withColumn("best", F.expr("case when league % 4 = 1 and day % 5 = 0 then round(best + 0.5, 6) else best end"))
+    clocks = t("starts").select(*EVENT, "cutoff", "label_available_at")
+    return quality.replayed(frozen.join(clocks, EVENT), again, EVENT, ["n", "best"], "cutoff", "label_available_at", F.expr("INTERVAL 18 HOUR"))
+
+
 FOLDS = "f AS (SELECT t.league, t.day AS test, e.day AS train, e.cutoff, e.label_available_at, count(*) OVER (PARTITION BY t.league, t.day) AS n FROM {starts} t JOIN {starts} e ON e.league = t.league AND e.cutoff < t.cutoff AND e.label_available_at <= t.cutoff)"
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitrank.operators import draws, evaluate, folds, models
+from pitrank.operators import draws, evaluate, folds, laps, models
 from pitrank.plans import datasets
-from pitrank.plans.evaluation import RANKED, ranked, utilities
+from pitrank.plans.evaluation import RANKED, U, ranked, utilities
 from pitrank.plans.pointintime import EVENT
 from pitrank.plans.registry import query
 from pitrank.sources.store import scratch
@@ -270,6 +270,38 @@ def _(t):
     return grid.withColumn("chosen", F.row_number().over(Window.orderBy("loss", "cell")) == 1)
 
 
+WET_WEIGHTS = (0.0, 0.1, 0.2, 0.4)
+WET = f"""g AS (SELECT league, day, driver_id, qualifying_position - label_position AS gain, day % 3 = 0 AS wet FROM {{results}}),
+k AS (SELECT a.league, a.day, a.driver_id, round((avg(b.gain) FILTER (WHERE b.wet) - avg(b.gain) FILTER (WHERE NOT b.wet)) * count(b.day) FILTER (WHERE b.wet) / (count(b.day) FILTER (WHERE b.wet) + 5), 6) AS skill FROM g a LEFT JOIN g b ON a.league = b.league AND a.driver_id = b.driver_id AND b.day < a.day GROUP BY ALL),
+q AS (SELECT s.league, s.day FROM {{starts}} s WHERE s.day % 3 = 0 AND (SELECT count(*) FROM {{starts}} e WHERE e.league = s.league AND e.day < s.day AND e.day % 3 = 0) >= 3),
+u AS (SELECT a.league, a.day, a.league * 100 + a.day AS ev, a.driver_id, c.weight, a.utility + c.weight * coalesce(k.skill, 0) AS utility FROM {{utilities}} a JOIN q USING (league, day) LEFT JOIN k USING (league, day, driver_id) CROSS JOIN (SELECT unnest([0.0, 0.1, 0.2, 0.4]) AS weight) c),
+x AS (SELECT u.*, d.draw, utility / 1.0 + round(-ln(-ln({U.format("'9|' || ev || '|' || d.draw || '|' || driver_id || '|order'")})), 9) AS key FROM u CROSS JOIN range(16) d(draw)),
+r AS (SELECT *, row_number() OVER (PARTITION BY ev, weight, draw ORDER BY key DESC, driver_id) AS place FROM x),
+m AS (SELECT league, day, ev, weight, driver_id, avg(CAST(place = 1 AS INT)) AS w, avg(CAST(place <= 3 AS INT)) AS p FROM r GROUP BY ALL),
+c AS (SELECT *, greatest(least(0.9 * w + 0.1 / count(*) OVER (PARTITION BY ev, weight), 1 - 1e-15), 1e-15) AS win, greatest(least(0.9 * p + 0.1 * least(1, 3 / count(*) OVER (PARTITION BY ev, weight)), 1 - 1e-15), 1e-15) AS podium FROM m),
+l AS (SELECT c.weight, c.ev, sum(-ln(win)) FILTER (WHERE label_position = 1) + avg(-ln(CASE WHEN coalesce(label_position <= 3, false) THEN podium ELSE 1 - podium END)) / 3 AS loss FROM c JOIN {{results}} USING (league, day, driver_id) GROUP BY c.weight, c.ev)"""
+
+
+@query("H20_wet_skill_fit", f"WITH {WET} SELECT CAST(weight AS DOUBLE) AS weight, round(avg(loss), 6) AS loss, count(loss) AS events, row_number() OVER (ORDER BY round(avg(loss), 6), weight) = 1 AS chosen FROM l GROUP BY weight")
+def _(t):
+    """The weight of shrunk wet-weather gains with the least objective over wet events with three wet ones before them."""
+    g = t("results").select(*KEY, F.expr("qualifying_position - label_position").alias("gain"), F.expr("day % 3 = 0").alias("wet"))
+    skill = laps.wet_gain(g, ["league", "driver_id"], "day", "gain", "wet").select(*KEY, "skill")
+    before = F.count(F.when(F.col("day") % 3 == 0, 1)).over(Window.partitionBy("league").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    scored = t("starts").select(*EVENT, before.alias("before")).filter("day % 3 = 0 and before >= 3").select(*EVENT)
+    u = t("utilities").join(scored, EVENT, "left_semi").join(skill, KEY, "left").withColumn("ev", F.expr("league * 100 + day"))
+    truth = t("results").select(F.expr("league * 100 + day").alias("ev"), "driver_id", "label_position")
+    n, parts = F.count("*").over(Window.partitionBy("ev")), []
+    for weight in WET_WEIGHTS:
+        own = u.select("ev", "driver_id", (F.col("utility") + weight * F.coalesce("skill", F.lit(0.0))).alias("utility"))
+        m = draws.rankings(own, "ev", "driver_id", "utility", 16, 9).groupBy("ev", "driver_id").agg(F.avg((F.col("place") == 1).cast("int")).alias("w"), F.avg((F.col("place") <= 3).cast("int")).alias("p"))
+        parts.append(m.select("ev", "driver_id", F.lit(weight).alias("weight"), (0.9 * F.col("w") + 0.1 / n).alias("win"), (0.9 * F.col("p") + 0.1 * F.least(F.lit(1.0), 3 / n)).alias("podium")))
+    shares = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).join(truth, ["ev", "driver_id"])
+    won, podium = (F.coalesce(c, F.lit(False)) for c in (F.col("label_position") == 1, F.col("label_position") <= 3))
+    grid = evaluate.objective(shares, ["weight"], "ev", won, podium)
+    return grid.withColumn("chosen", F.row_number().over(Window.orderBy("loss", "weight")) == 1)  # one row for each weight
+
+
 MIX = RANKED.replace("utility / 1.0 +", "CASE WHEN ('0x' || substr(md5('4|' || ev || '|' || d.draw), 1, 8))::BIGINT % 2 = 0 THEN utility ELSE utility / 2 END +")
 
 
