@@ -21,7 +21,10 @@ def collisions(log: DataFrame, slot: list[str]) -> DataFrame:
 
 
 def frozen(feed: DataFrame, keys: list[str], clock: str, cutoff: str, values: list[str], delay: str = "0 seconds") -> DataFrame:
-    """Per key one row: its newest version known by the cutoff, written when the watermark passes the cutoff."""
+    """Per key one row: its newest version known by the cutoff, written when the watermark passes the cutoff.
+
+    Rows may come out of order by as much as ``delay`` of cutoffs; what comes later than that is dropped by the stream, so
+    that a frozen row never changes. Spark counts it as numRowsDroppedByWatermark."""
     known = feed.withWatermark(cutoff, delay).filter(F.col(clock) <= F.col(cutoff))
     top = known.groupBy(*keys, cutoff).agg(F.max(F.struct(clock, *values)).alias("v"))
     return top.select(*keys, cutoff, *[F.col(f"v.{c}").alias(c) for c in (clock, *values)])
