@@ -1,21 +1,21 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, word before). Classes are the end of a text and hashed groups
-of words.
+P(word | history) is proportional to P(class | history) * q(word | class) * exp(weight of (word before, word)). Classes are
+the end of a text and hashed groups of words; q is the add-one unigram within a class, with room for one unseen word.
 
 * P(class | history) is a softmax over sums of weight rows, one for each feature of the history: the word before, the
   one before that (a skip), and the pair of both, hashed to ``ROWS`` rows each. It is trained by distributed gradient
   updates: every block of texts takes adaptive steps over its training texts, in the order of their ids, and rows are
   averaged over blocks, each weighted by the squared gradients it saw. A block is a hash of id and text, so that the
   model does not depend on how the input is laid out.
-* P(word | class, before) is a softmax over the words of a class with one indicator feature for each pair of neighbouring
-  words in training texts, so their number grows with the corpus. These features exclude one another once the word
-  before is known; with a conjugate prior the gradient is then zero in closed form: (n(before, word) + a q(word)) /
-  (n(before, class) + a), where q is the add-one unigram within the class and a = 1 + n(before, class) / 2.
-
-q leaves room for one unseen word per class, so the model is a proper distribution over all texts. Counts go through
-one exchange: each block sends its distinct words, pairs and (word, class) pairs to the buckets that own them and gets
-their totals back. Blocks' weights ride along, cut into as many parts as there are buckets.
+* Every pair of neighbouring words in training texts has a weight of its own, so that their number grows with the corpus
+  and history tells words of a class apart. These features exclude one another once the word before is known; with the
+  class-factored model p as the centre of a conjugate prior of strength a, the gradient is zero in closed form:
+  P(word | history) = (n(before, word) + a p(word | history)) / (n(before) + a), where a = 1 + n(before).
+
+Every training word is followed by exactly one token, so the model is a proper distribution over all texts. Counts go
+through one exchange: each block sends its distinct words and pairs to the buckets that own them and gets their totals
+back. Blocks' weights ride along, cut into as many parts as there are buckets.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitrank.llm.blocks import block_of, cut
+from pitrank.llm.blocks import block_of, written
 from pitrank.llm.words import Words, grouped, mix, pieces, table, words_of
 
-CLASSES, ROWS = 16, 1 << 14
+CLASSES, ROWS = 16, 1 << 13
 STEP_TOKENS, BLOCK = 1 << 13, 8 << 20
 _BYTES = table(lower=True)
 _END, _START = np.uint64(1), np.uint64(2)
@@ -57,10 +57,9 @@ def _sequences(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return h, one, text, rows.astype(np.int32)
 
 
-def _pair_keys(one: np.ndarray, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of (word before, word) and of (word before, class)."""
-    before = mix(one)
-    return mix(before * np.uint64(3) + h), mix(before * np.uint64(5) + kind.astype(np.uint64) + np.uint64(11))
+def _pair_keys(one: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """64-bit keys of (word before, word)."""
+    return mix(mix(one) * np.uint64(3) + h)
 
 
 def _probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -112,7 +111,7 @@ def _ask(docs: pa.Table, buckets: int, rate: float) -> pa.Table:
         h, one, text, rows = _sequences(words_of(some, _BYTES))
         kind, use = _class_of(h), train[base + text]
         words.append((h, use))
-        pairs += [(k, use) for k in _pair_keys(one, h, kind)]
+        pairs.append((_pair_keys(one, h), use))
         steps.append((kind[use], rows[:, use]))
     block = docs["block"][0].as_py()
     found, n = _counted(words)
@@ -125,9 +124,9 @@ def _ask(docs: pa.Table, buckets: int, rate: float) -> pa.Table:
     for b in range(buckets):
         own, mine = order[edge[b] : edge[b + 1]], order2[edge2[b] : edge2[b + 1]]
         short, many = (keys[mine] // np.uint64(buckets)).astype(np.uint32), m[mine]
-        values = [b, block, found[own], n[own].astype(np.uint32), short[many == 0], short[many == 1], short[many > 1], many[many > 1].astype(np.uint32), w[b::buckets][touched[b]].astype(np.float16), seen[b::buckets]]
+        values = [b, block, found[own], _pack(n[own]), short[many == 0], short[many == 1], short[many > 1], _pack(many[many > 1]), w[b::buckets][touched[b]].astype(np.float16), seen[b::buckets]]
         for name, v in zip(_ASK.names, values, strict=True):
-            out[name].append(v if isinstance(v, int) else np.ascontiguousarray(v).tobytes())
+            out[name].append(v if isinstance(v, int | bytes) else np.ascontiguousarray(v).tobytes())
     return pa.table(out, schema=_ASK)
 
 
@@ -165,7 +164,8 @@ def _tell(t: pa.Table) -> pa.Table:
     t = t.sort_by([("block", "ascending")])
     col = {name: t[name].to_pylist() for name in t.column_names}
     h, row = _unpack(col["h"], np.uint64)
-    n, _ = _unpack(col["n"], np.uint32)
+    sizes = np.bincount(row, minlength=t.num_rows).tolist()
+    n = np.concatenate([_unpacked(blob, k) for blob, k in zip(col["n"], sizes, strict=True)])
     found, at = np.unique(h, return_inverse=True)
     total = np.bincount(at, n, len(found)).astype(np.int64)
     kind = _class_of(found)
@@ -175,7 +175,7 @@ def _tell(t: pa.Table) -> pa.Table:
 
     parts = [_unpack(col[name], np.uint32) for name in ("none", "once", "many")]
     key, row = np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
-    each = np.concatenate([np.zeros(len(parts[0][0])), np.ones(len(parts[1][0])), _unpack(col["many_n"], np.uint32)[0]])
+    each = np.concatenate([np.zeros(len(parts[0][0])), np.ones(len(parts[1][0])), *(_unpacked(blob, len(keys) // 4) for blob, keys in zip(col["many_n"], col["many"], strict=True))])
     found, at = np.unique(key, return_inverse=True)
     total = np.bincount(at, each, len(found)).astype(np.int64)[at] if len(key) else np.zeros(0, np.int64)
     order = np.argsort(row, kind="stable")
@@ -208,32 +208,33 @@ def _scored(docs: pa.Table, told: pa.Table, model: dict, buckets: int) -> pa.Tab
     train = ~docs["held_out"].to_numpy()
     parts = [(base, *_sequences(words_of(some, _BYTES))) for base, some in pieces(docs["text"])]
     kinds = [_class_of(h) for _, h, _, _, _ in parts]
-    both = [_pair_keys(one, h, kind) for (_, h, one, _, _), kind in zip(parts, kinds, strict=True)]
+    both = [_pair_keys(one, h) for _, h, one, _, _ in parts]
     names = told["bucket"].to_pylist()
     found = np.unique(np.concatenate([h for _, h, _, _, _ in parts]))
     count = _answers(dict(zip(names, told["n"].to_pylist(), strict=True)), found, *_dealt(found, buckets))
     use = [train[base + text] for base, _, _, text, _ in parts]
-    keys, m = _counted([(k, u) for ks, u in zip(both, use, strict=True) for k in ks])
+    keys, m = _counted(list(zip(both, use, strict=True)))
     order, edge = _dealt(keys, buckets)
     order = np.concatenate([np.zeros(0, np.int64), *(o[np.argsort(np.minimum(m[o], 2), kind="stable")] for o in np.split(order, edge[1:-1]))])  # none, once, many: as asked
     pair = _answers(dict(zip(names, told["pairs"].to_pylist(), strict=True)), keys, order, edge)
     n, v, tokens, words = model["n"], model["v"], model["class_tokens"], model["class_words"]
     out = [[], [], [], []]
-    for (_, h, _, text, rows), kind, (k1, k2) in zip(parts, kinds, both, strict=True):
+    for (_, h, one, text, rows), kind, key in zip(parts, kinds, both, strict=True):
         c = count[np.searchsorted(found, h)]
         p = np.empty(len(h))
         for a in range(0, len(h), STEP_TOKENS):
             some = _probabilities(model["weights"], model["bias"], rows[:, a : a + STEP_TOKENS]).astype(np.float64)
             p[a : a + STEP_TOKENS] = some[np.arange(len(some)), kind[a : a + STEP_TOKENS]] / some.sum(axis=1)
         q = np.where(kind > 0, (c + 1) / (tokens[kind] + words[kind] + 1), 1.0)
-        met, all_ = pair[np.searchsorted(keys, k1)], pair[np.searchsorted(keys, k2)]
-        a = 1 + all_ / 2
-        inside = (met + a * q) / (all_ + a)
+        met = pair[np.searchsorted(keys, key)]
+        before = np.where(one == _START, tokens[0], count[np.minimum(np.searchsorted(found, one), len(found) - 1)])
+        strength = 1 + before
+        p = (met + strength * p * q) / (before + strength)
         size = int(text[-1]) + 1
         out[0].append(np.bincount(text, minlength=size))
         out[1].append(np.bincount(text[c > 0], minlength=size))
         out[2].append(np.bincount(text, np.log10((c + 1) / (n + (v + 1))), minlength=size))
-        out[3].append(np.bincount(text, np.log10(np.maximum(p, np.finfo(np.float64).tiny)) + np.log10(inside), minlength=size))
+        out[3].append(np.bincount(text, np.log10(np.maximum(p, np.finfo(np.float64).tiny)), minlength=size))
     columns = [np.concatenate(x) for x in out]
     return pa.table([docs["doc_id"], docs["held_out"], *(pa.array(x) for x in columns)], schema=_SCORED)
 
@@ -241,7 +242,7 @@ def _scored(docs: pa.Table, told: pa.Table, model: dict, buckets: int) -> pa.Tab
 _DDL = {_ASK: "bucket int, block int, h binary, n binary, none binary, once binary, many binary, many_n binary, w binary, seen binary", _TOLD: "block int, bucket int, n binary, pairs binary, w binary, classes array<long>", _SCORED: "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"}
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rate: float = 0.2, block_bytes: int = BLOCK) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rate: float = 0.1, block_bytes: int = BLOCK) -> DataFrame:
     """Per row: doc_id, held_out (crc32 of the id's text modulo ``folds`` is ``held``), n_tokens, n_known, train_tokens,
     base_score (add-one unigram) and score (the model), both log10 probabilities of the whole text.
 
@@ -256,7 +257,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
     buckets = max(1, math.ceil(size / block_bytes))
     base = rows.withColumn("block", block_of("doc_id", "text", buckets))
     asked = base.groupBy("block").applyInArrow(lambda t: _ask(t, buckets, rate), _DDL[_ASK])
-    told = cut(asked.groupBy("bucket").applyInArrow(_tell, _DDL[_TOLD]))
+    told = written(asked.groupBy("bucket").applyInArrow(_tell, _DDL[_TOLD]))
     first = told.filter("w is not null").select("bucket", "w", "classes")  # one row a bucket, together one set of weights
     weights, both = np.zeros((3 * ROWS + 1, CLASSES), np.float32), np.zeros(2 * CLASSES)
     for r in first.toLocalIterator():
