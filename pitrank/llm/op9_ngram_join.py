@@ -31,6 +31,7 @@ _BYTES = table(lower=True)
 _NO_ID = 2**63 - 1
 BROADCAST_IDS = 1 << 20  #: ids of removed documents that are broadcast; more are joined by a shuffle
 PARTNERS = 256  #: partners (expected) that one copy of a hub's set is compared with
+HOT, SALTS = 200, 64  #: a class with more than 1 / HOT of all rows is named in SALTS parts
 _CUTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary()), ("many_n", pa.binary())])
 _COUNTED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("found", pa.binary()), ("df", pa.binary())])
@@ -174,13 +175,16 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     Two documents link when 100 * intersection >= percent * union of their distinct n-word shingles (A-Z folded, white
     space separates); one with fewer words is a single shingle. Null or empty texts have no shingle and link with
     nothing: they are their own component. Rows that repeat a doc_id are linked like others, by their texts. A null
-    doc_id never names a component unless all of the component's are null. Other columns are not read."""
+    doc_id never names a component unless all of the component's are null. Very long texts have all
+    their shingles compared. Other columns, of any name, are not read."""
     blocks = n_blocks(docs, text)
     base = blocked(docs, doc_id, text, blocks)
     rows = cut(map_batches(base, lambda b: _classes(b, n), "doc_id long, block int, n_shingles long, c binary"))
     key = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "block")
     sign = F.unhex(F.lpad(F.hex(F.col("k.rep").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
-    classes = rows.filter("n_shingles > 0").groupBy("c").agg(F.min(key).alias("k")).select("c", F.concat(sign, "c").alias("node"), "k.rep", "k.block")
+    grouped = cut(rows.filter("n_shingles > 0").groupBy("c").agg(F.min(key).alias("k"), F.count("*").alias("copies")))
+    hot = [r.c for r in grouped.filter(F.col("copies") * HOT > rows.count()).select("c").collect()]  # fewer than HOT
+    classes = grouped.select("c", F.concat(sign, "c").alias("node"), "k.rep", "k.block")
     reps = classes.select("block", "node")
 
     def send(docs: pa.Table, reps: pa.Table) -> pa.Table:
@@ -213,7 +217,11 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     named = classes.join(found, "node", "left").withColumn("of", F.coalesce("component", "node"))
     digits = F.conv(F.hex(F.substring("of", 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")
     named = named.select("c", digits.cast("long").alias("of"))
-    out = rows.join(named, "c", "left")
+    if hot:
+        often = F.col("c").isin(hot)
+        rows = rows.withColumn("s", F.when(often, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0))
+        named = named.withColumn("s", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    out = rows.join(named, ["c", "s"] if hot else "c", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("of") == _NO_ID, F.lit(None)).otherwise(F.coalesce("of", "doc_id")).cast("long").alias("component_id"))
 
 
