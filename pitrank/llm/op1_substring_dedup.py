@@ -128,7 +128,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A word goes if a run of ``window`` words (at least 13) that covers it also starts earlier: in a smaller doc_id, or
     in the same row. Windows are judged on the input. Null and empty texts have no words and keep ''. A null doc_id
     comes after all others; rows that share a doc_id (or null) don't precede one another, so both keep what only they
-    share. Other columns are not read."""
+    share. Very long texts are taken whole, in one block each if need be. Other columns, of any name, are not read."""
     if window < _PERIOD:
         raise ValueError(f"window must be {_PERIOD} or more")
     buckets = n_blocks(docs, text)

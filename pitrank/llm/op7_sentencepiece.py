@@ -237,7 +237,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", carry: list[str] | No
 
     ``path`` is a SentencePiece BPE model, readable on every executor. ids are those of the library's encode(); decoded
     is the text that they stand for. It equals the text, except that a space mark U+2581 in a text reads as a space.
-    Null texts have null ids and text, empty ones no ids. Nothing else of a row is read."""
+    Null texts have null ids and text, empty ones no ids. Repeated rows are encoded alike, columns of any name may be
+    carried, and very long texts are encoded whole, unit by unit. Nothing else of a row is read."""
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
     rows = docs.select(row.alias("row"), F.col(text).alias("text"))
 

@@ -92,7 +92,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     Lines are those between newlines that hold more than white space; blank ones stay and are not counted. A line goes
     if ``window`` consecutive lines that cover it also start earlier: in a smaller doc_id, or in the same row. So the
     first occurrence stays, and lines in shorter passages stay. Null texts stay null; a null doc_id comes after all
-    others, and rows that share a doc_id don't precede one another. Columns of any name pass through."""
+    others, and rows that share a doc_id don't precede one another. Very long texts and lines are taken whole. Columns of any
+    name pass through."""
     carry = [c for c in docs.columns if c != text]
     out = _deduped(docs, doc_id, text, window, carry)
     of = {c: F.col(f"row.c{i}") for i, c in enumerate(carry)} | {text: F.col("text")}

@@ -218,6 +218,22 @@ def test_pii_discovers_over_several_rounds(spark):
     assert not check_pii(d, list(enumerate(rows)), support=300)
 
 
+def test_token_counts_of_long_texts_in_other_scripts():
+    """Units stay short in every script, also where hardly any or no white space stands, and counts are the library's."""
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, encoder = Tokenizer.from_file(path), op4._encoder(path)
+    some = ["привет мир как дела " * 3000, "日本語のテキスト。これは、" * 2000, "word\n" * 20_000, "한국어 문장、가나다。" * 3000, "aGVs+bG8/9z==," * 8000, "x　y\u00a0z\u2003 w\u0085 " * 3000]
+    some += ["".join(R.choice("日本語、。一가a1.'s　\u200b\ufeff ") for _ in range(2000)) for _ in range(30)]
+    assert op4._lengths(pa.array(some, pa.large_string()), encoder, {}).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in some]
+    for x in some[:5]:
+        raw = np.frombuffer(x.encode(), np.uint8)
+        assert np.diff(op4.unit_edges(raw, np.array([0, len(raw)]))).max() <= 64
+
+
 LONG = [("1" * 300_000, []), ("1." * 150_000, [(8 * i, 1, 8 * i + 7, "ip") for i in range(37_500)]), ("a@b" + ".c" * 150_000, [(0, 0, 300_003, "email")])]
 LONG += [("a@b.cd " * 40_000, [(7 * i, 0, 7 * i + 6, "email") for i in range(40_000)]), ("+1" + "(" * 300_000, []), ("." * 200_000 + "1" + "." * 99_999, [])]
 
@@ -345,7 +361,9 @@ def test_ngram_join(docs, empty):
     assert len(ids) == len(set(ids)) == len({c for _, n, c in want if n} | {a for a, n, _ in want if not n}) - ("None" in {a for a, _, _ in want})
 
 
-def test_ngram_join_finds_every_link_in_groups_of_near_copies(spark):
+@pytest.mark.parametrize("partners", [op9.PARTNERS, 3])
+def test_ngram_join_finds_every_link_in_groups_of_near_copies(spark, monkeypatch, partners):
+    monkeypatch.setattr(op9, "PARTNERS", partners)
     rows = []
     for g in range(4):
         base = prose(70).split()
@@ -366,6 +384,10 @@ def test_quality_classifier(spark, docs, empty):
     for i, r in got.items():
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1
         assert r.predicted == (r.score >= 0.3) == (i % 2)
+    long = spark.createDataFrame([(1, None), (2, ""), (3, rows[0]), (3, rows[0]), (None, rows[0]), (4, (rows[1] + " ") * 3000)], "doc_id long, text string").withColumn("score", F.lit("x"))
+    odd = sorted((str(r.doc_id), r.score) for r in op10.quality_scores(long, labels.union(labels.limit(0))).collect())
+    assert len(odd) == 6 and all(0 <= x <= 1 for _, x in odd) and len({x for i, x in odd if i in ("1", "2")}) == 1 and len({x for i, x in odd if i in ("3", "None")}) == 1
+    assert {r.score for r in op10.quality_scores(d, labels, max_bytes=0).collect()} == {0.5}  # no row fits the bound
     assert op10.quality_scores(docs, labels).count() == docs.count()
     assert op10.quality_scores(empty, labels).count() == 0
     assert {r.score for r in op10.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
