@@ -30,7 +30,7 @@ from pitrank.llm.words import members, mix, shingle_sets, table
 _BYTES = table(lower=True)
 _NO_ID = 2**63 - 1
 BROADCAST_IDS = 1 << 20  #: ids of removed documents that are broadcast; more are joined by a shuffle
-PARTNERS = 256  #: partners (expected) that one copy of a hub's set is compared with
+PARTNERS = 32  #: partners (expected) that one copy of a hub's set is compared with
 HOT, SALTS = 200, 64  #: a class with more than 1 / HOT of all rows is named in SALTS parts
 _CUTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary()), ("many_n", pa.binary())])
@@ -130,10 +130,10 @@ def _linked(batch: pa.RecordBatch, percent: int) -> pa.Table:
     """The batch's pairs that reach the threshold. A row holds a set, and partners with theirs."""
     left, right = [], []
     counts = lambda s: np.diff(np.searchsorted(s, _CUTS), prepend=0, append=len(s))
-    for node, x, others in zip(batch["a"].to_pylist(), batch["sa"].to_pylist(), batch["others"].to_pylist(), strict=True):
-        a = np.frombuffer(x, np.uint64)
+    for row in range(batch.num_rows):  # one row at a time, as sets may be long
+        node, a = batch["a"][row].as_py(), np.frombuffer(batch["sa"][row].as_buffer(), np.uint64)
         part = counts(a)
-        for other in others:
+        for other in batch["others"][row].as_py():
             b = np.frombuffer(other["sb"], np.uint64)
             need = -(-percent * (len(a) + len(b)) // (100 + percent))
             both = int(members(a, b).sum()) if np.minimum(part, counts(b)).sum() >= need else 0
