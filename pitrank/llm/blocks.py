@@ -47,6 +47,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Removes a table that ``written`` made, once nothing reads it any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def n_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     """As many blocks as the text needs, and one for each shuffle partition at least."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
