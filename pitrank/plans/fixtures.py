@@ -37,6 +37,11 @@ SELECT r.league, r.day, r.event_id, r.driver_id, r.constructor_id, r.cutoff, v.v
 FROM {results} r JOIN {starts} s ON r.league = s.league AND r.day = s.day
 JOIN (SELECT CAST(1 AS BIGINT) AS version UNION ALL SELECT 2 UNION ALL SELECT 3) v
   ON v.version = 1 OR (v.version = 2 AND (r.league + r.day) % 4 = 0) OR (v.version = 3 AND (r.league + r.day) % 6 = 0)""",
+    "signals": """
+SELECT league, day, 'schedule' AS kind, CAST(NULL AS VARCHAR(9)) AS value, cutoff - INTERVAL 9 HOUR AS scheduled, cutoff AS start, cutoff - INTERVAL 48 HOUR AS seen_at FROM {starts}
+UNION ALL SELECT league, day, 'schedule', NULL, cutoff + INTERVAL 15 HOUR, cutoff + INTERVAL 24 HOUR, cutoff - INTERVAL 21 HOUR + INTERVAL '1' HOUR * ((league + 3 * day) % 24) FROM {starts} WHERE (league + day) % 10 = 0
+UNION ALL SELECT league, day, 'first', concat('a', CAST(entrants AS VARCHAR(9))), cutoff, cutoff, cutoff - INTERVAL 9 HOUR + INTERVAL '1' HOUR * ((league * 7 + day) % 11) FROM {starts} WHERE (league + 2 * day) % 3 <> 1
+UNION ALL SELECT league, day, 'second', concat('b', CAST(entrants AS VARCHAR(9))), cutoff, cutoff, cutoff - INTERVAL 9 HOUR + INTERVAL '1' HOUR * ((league + 5 * day) % 7) FROM {starts} WHERE (league + day) % 2 = 0""",
     "sessions": """
 SELECT league, day, event_id, driver_id, constructor_id, cutoff, provider, best,
   CASE provider WHEN 'a' THEN cutoff - INTERVAL 3 HOUR ELSE cutoff - INTERVAL 2 HOUR END AS available_at, CASE provider WHEN 'a' THEN 1 ELSE 2 END AS tier

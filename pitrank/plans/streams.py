@@ -11,27 +11,36 @@ from pitrank.plans.evaluation import RANKED, U, ranked, utilities
 from pitrank.plans.pointintime import EVENT
 from pitrank.plans.registry import query
 from pitrank.sources.store import scratch
+from pitrank.streaming import machines
 from pitrank.streaming import publications as stream
 
 KEY = [*EVENT, "driver_id"]
 
 
-def fed(rows: DataFrame, order: str, cuts: list[str], closing: DataFrame | None = None) -> DataFrame:
-    """The rows as a stream of files, one for each condition, in that order, and a closing file."""
+FILES = 4  #: files of one step of a feed; a trigger takes as many
+
+
+def fed(rows: DataFrame, cuts: list[str], closing: DataFrame | None = None, files: int = FILES) -> DataFrame:
+    """The rows as a stream of files, a step for each condition, in that order, and a closing row."""
     folder = scratch(rows.sparkSession, "feed")
     for c in cuts:
-        rows.filter(c).coalesce(1).write.mode("append").parquet(folder)
+        rows.filter(c).repartition(files).write.mode("append").parquet(folder)
     if closing is not None:
-        closing.coalesce(1).write.mode("append").parquet(folder)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        closing.write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def drained(out: DataFrame) -> DataFrame:
-    """What a stream has written once all its input is read."""
-    spark = out.sparkSession
+    """What a stream has written once all its input is read. State is kept in RocksDB, as timers need it."""
+    spark, provider = out.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     folder, state = scratch(spark, "sink"), scratch(spark, "state")
-    q = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(folder)
-    q.awaitTermination()
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(folder)
+        q.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.schema(out.schema).parquet(folder)
 
 
@@ -41,7 +50,7 @@ CUTS = ["day <= 10", "day > 10 and day <= 20", "day > 20"]
 def feed(t, replays: bool = False) -> DataFrame:
     p = t("publications").select(*KEY, "version", "position", F.col("available_at").cast("timestamp").alias("available_at"), F.col("cutoff").cast("timestamp").alias("cutoff"))
     last = p.limit(1).withColumns({"league": F.lit(-1).cast("long"), "cutoff": F.col("cutoff") + F.expr("INTERVAL 3 YEAR")})
-    return fed(p, "day", [*CUTS, CUTS[1]] if replays else CUTS, last)
+    return fed(p, [*CUTS, CUTS[1]] if replays else CUTS, last)
 
 
 @query("S01_idempotent_feed", "SELECT league, day, driver_id, version, position FROM {publications}")
@@ -50,13 +59,24 @@ def _(t):
     return drained(out).filter("league >= 0").select(*KEY, "version", "position")
 
 
+def replayed(t) -> DataFrame:
+    """A stream in which some replays, two months later, carry another position than the slot already holds."""
+    p = t("publications").select(*KEY, "version", "position", F.col("available_at").cast("timestamp").alias("available_at"), F.lit(1).alias("copy"))
+    again = p.filter(CUTS[1]).withColumns({"copy": F.lit(2), "available_at": F.col("available_at") + F.expr("INTERVAL 60 DAY"), "position": F.expr("case when league % 2 = 0 then position + 100 else position end")})
+    return fed(p.union(again), [*(f"copy = 1 and {c}" for c in CUTS), "copy = 2"])
+
+
 @query("S01_slot_collisions", "SELECT league, day, driver_id, version, CAST(2 AS BIGINT) AS contents FROM {publications} WHERE day > 10 AND day <= 20 AND league % 2 = 0")
 def _(t):
-    """Some replays carry another position than the slot already holds."""
-    p = t("publications").select(*KEY, "version", "position", F.col("available_at").cast("timestamp").alias("available_at"), F.lit(1).alias("copy"))
-    again = p.filter(CUTS[1]).withColumns({"copy": F.lit(2), "position": F.expr("case when league % 2 = 0 then position + 100 else position end")})
-    out = stream.idempotent(fed(p.union(again), "day", [*(f"copy = 1 and {c}" for c in CUTS), "copy = 2"]), [*KEY, "version"], "position", "available_at")
-    return stream.collisions(drained(out), [*KEY, "version"])
+    out = drained(machines.slots(replayed(t), EVENT, ["driver_id", "version"], "position", "available_at"))
+    return out.filter("outcome = 'collision'").groupBy(*KEY, "version").agg((F.countDistinct("position") + 1).alias("contents"))
+
+
+@query("S01_slot_errors", "SELECT league, day, driver_id, version, position + 100 AS position, sha256(CAST(position AS VARCHAR)) AS accepted_hash FROM {publications} WHERE day > 10 AND day <= 20 AND league % 2 = 0")
+def _(t):
+    """The error output of the slots: rejected rows, and the hash of what their slot holds."""
+    out = drained(machines.slots(replayed(t), EVENT, ["driver_id", "version"], "position", "available_at"))
+    return out.filter("outcome = 'collision'").select(*KEY, "version", "position", "accepted_hash")
 
 
 @query("S02_freeze_at_cutoff", "SELECT league, day, driver_id, version, position FROM (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY available_at DESC) AS k FROM {publications} WHERE available_at <= cutoff) WHERE k = 1")
@@ -93,14 +113,55 @@ def _(t):
     return stream.fallback(s, "first", "second", "scheduled", "cutoff", F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")).select(*EVENT, "value")
 
 
-@query("S08_late_labels", "SELECT s.league, s.day, s.entrants, CASE WHEN s.label_available_at <= s.cutoff + INTERVAL 48 HOUR THEN 1 END AS labelled FROM {starts} s")
+SIGNALS = """WITH e AS (SELECT league, day, cutoff AS s, cutoff - INTERVAL 9 HOUR AS q, cutoff - INTERVAL 7 HOUR AS w, concat('a', CAST(entrants AS VARCHAR)) AS a, concat('b', CAST(entrants AS VARCHAR)) AS b,
+  min(seen_at) FILTER (WHERE kind = 'first') AS tf, min(seen_at) FILTER (WHERE kind = 'second') AS ts, min(seen_at) FILTER (WHERE kind = 'schedule' AND start <> cutoff) AS tr FROM {starts} JOIN {signals} USING (league, day) GROUP BY ALL),
+c AS (SELECT *, coalesce(tr < s, false) AS rev, coalesce(tf < s AND NOT coalesce(tr < s AND tr <= tf, false), false) AS got, CASE WHEN ts IS NOT NULL THEN greatest(ts, w) END AS tp FROM e),
+d AS (SELECT *, coalesce(tp < s AND NOT (got AND tf <= tp) AND NOT (rev AND tr <= tp), false) AS stood FROM c),
+x AS (SELECT league, day, s - INTERVAL 48 HOUR AS changed, 'waiting_for_qualifying' AS status, NULL AS value FROM d
+UNION ALL SELECT league, day, q, 'waiting_for_qualifying_results', NULL FROM d WHERE NOT (got AND tf <= q) AND NOT (rev AND tr <= q)
+UNION ALL SELECT league, day, tp, 'provisional', b FROM d WHERE stood
+UNION ALL SELECT league, day, tf, 'captured', a FROM d WHERE got
+UNION ALL SELECT league, day, tr, 'schedule_changed_review_required', CASE WHEN got AND tf < tr THEN a WHEN stood AND tp < tr THEN b END FROM d WHERE rev
+UNION ALL SELECT league, day, s, CASE WHEN got THEN 'closed' ELSE 'missed' END, CASE WHEN got THEN a WHEN stood THEN b END FROM d)"""
+
+
+def changes(t) -> DataFrame:
+    """Status changes of all events, from a feed whose steps mix early and late rows."""
+    d = t("signals").select(*EVENT, "kind", "value", *[F.col(c).cast("timestamp").alias(c) for c in ("scheduled", "start", "seen_at")])
+    last = d.limit(1).withColumns({"league": F.lit(-1).cast("long"), "kind": F.lit("tick"), "seen_at": F.col("seen_at") + F.expr("INTERVAL 3 YEAR")})
+    return drained(machines.captures(fed(d, [f"(league * 31 + day * 17 + hour(seen_at)) % 3 = {k}" for k in (1, 0, 2)], last), EVENT, "seen_at", "60 days"))
+
+
+@query("S07_status_changes", f"{SIGNALS} SELECT league, day, strftime(changed, '%Y-%m-%d %H:%M:%S') AS changed_at, status, value FROM x")
+def _(t):
+    return changes(t).select(*EVENT, F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("changed_at"), "status", "value")
+
+
+@query("S05_reschedule_reviews", f"{SIGNALS} SELECT league, day, strftime(changed, '%Y-%m-%d %H:%M:%S') AS changed_at FROM x WHERE status = 'schedule_changed_review_required'")
+def _(t):
+    return changes(t).filter("status = 'schedule_changed_review_required'").select(*EVENT, F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("changed_at"))
+
+
+def attached(t) -> DataFrame:
+    """Late labels of all events, whose frozen versions come in other steps than their labels."""
+    p = t("publications").filter("version <= 2").groupBy(*EVENT, "version").agg(F.min("available_at").cast("timestamp").alias("at"), F.min("cutoff").cast("timestamp").alias("start"))
+    labels = t("starts").select(*EVENT, F.col("label_available_at").cast("timestamp").alias("label_at"), F.col("entrants").cast("string").alias("value"))
+    last = p.limit(1).withColumns({"league": F.lit(-1).cast("long"), "at": F.col("at") + F.expr("INTERVAL 3 YEAR")})
+    frozen, late = fed(p, CUTS, last), fed(labels, [CUTS[1], CUTS[2], CUTS[0]])
+    return drained(machines.late_labels(frozen, late, EVENT, "version", "start", "at", "value", "label_at", "40 days")).filter("league >= 0")
+
+
+@query("S08_late_labels", "SELECT s.league, s.day, s.entrants, 1 AS labelled FROM {starts} s")
+def _(t):
+    """Every event's label, those of 72 hours too."""
+    got = attached(t).filter("what = 'attached'").select(*EVENT, F.col("value").cast("long").alias("entrants"), F.lit(1).alias("labelled"))
+    return got.distinct()
+
+
+@query("S08_labels_by_version", "SELECT p.league, p.day, p.version, CAST(s.entrants AS VARCHAR) AS value, strftime(s.label_available_at, '%Y-%m-%d %H:%M:%S') AS label_at, CAST((SELECT count(*) FROM range(1, 12) n(n) WHERE s.cutoff + INTERVAL 6 HOUR * (2 ** n - 1) <= s.label_available_at) AS BIGINT) AS attempts FROM (SELECT DISTINCT league, day, version FROM {publications} WHERE version <= 2) p JOIN {starts} s USING (league, day)")
 def _(t):
-    s = t("starts").select(*EVENT, "entrants", F.col("cutoff").cast("timestamp").alias("cutoff"))
-    labels = t("starts").select(*EVENT, F.col("label_available_at").cast("timestamp").alias("at"), F.lit(1).alias("labelled"))
-    end = F.expr("INTERVAL 3 YEAR")
-    a = fed(s, "day", CUTS, s.limit(1).withColumns({"league": F.lit(-1).cast("long"), "cutoff": F.col("cutoff") + end}))
-    b = fed(labels, "day", CUTS, labels.limit(1).withColumns({"league": F.lit(-2).cast("long"), "at": F.col("at") + end}))
-    return drained(stream.labelled(a, b, EVENT, "cutoff", "at", "48 HOURS")).filter("league >= 0").select(*EVENT, "entrants", "labelled")
+    """Labels at each frozen version, with the retries due until they came."""
+    return attached(t).filter("what = 'attached'").select(*EVENT, "version", "value", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("label_at"), "attempts")
 
 
 FEATURES = ["qualifying_position", "form", "n"]

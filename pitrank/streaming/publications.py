@@ -1,4 +1,4 @@
-"""Publication feeds as streams: idempotent replays, freezing at a cutoff, late versions, late labels.
+"""Publication feeds as streams: idempotent replays, freezing at a cutoff, late versions.
 
 A freeze is an append-mode aggregation keyed by the cutoff itself, with the watermark on the cutoff: a key leaves the
 state, once and for ever, when a later cutoff has been seen. So it needs a closing row after the last event."""
@@ -15,11 +15,6 @@ def idempotent(feed: DataFrame, slot: list[str], payload: str, clock: str, delay
     return d.dropDuplicatesWithinWatermark([*slot, "hash"])
 
 
-def collisions(log: DataFrame, slot: list[str]) -> DataFrame:
-    """Slots that hold differing content."""
-    return log.groupBy(*slot).agg(F.countDistinct("hash").alias("contents")).filter("contents > 1")
-
-
 def frozen(feed: DataFrame, keys: list[str], clock: str, cutoff: str, values: list[str], delay: str = "0 seconds") -> DataFrame:
     """Per key one row: its newest version known by the cutoff, written when the watermark passes the cutoff.
 
@@ -59,15 +54,3 @@ def fallback(rows: DataFrame, first: str, second: str, scheduled: str, start: st
     value = F.coalesce(F.col(first), F.when(open_, F.col(second)))
     status = F.when(F.col(first).isNotNull(), "final").when(value.isNotNull(), "provisional").when(F.col(start) <= now, "missed").otherwise("waiting")
     return rows.withColumn("value", value).withColumn("status", status)
-
-
-def labelled(frozen_: DataFrame, labels: DataFrame, keys: list[str], cutoff: str, at: str, within: str) -> DataFrame:
-    """Frozen rows joined with labels that come within a time; two streams, left outer."""
-    left = frozen_.withWatermark(cutoff, "0 seconds").alias("f")
-    right = labels.withWatermark(at, "0 seconds").alias("l")
-    on = [F.col(f"f.{k}") == F.col(f"l.{k}") for k in keys]
-    close = (F.col(f"l.{at}") >= F.col(f"f.{cutoff}")) & (F.col(f"l.{at}") <= F.col(f"f.{cutoff}") + F.expr(f"INTERVAL {within}"))
-    cond = close
-    for c in on:
-        cond = cond & c
-    return left.join(right, cond, "leftOuter").select("f.*", *[F.col(f"l.{c}").alias(c) for c in labels.columns if c not in keys])
