@@ -94,13 +94,17 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return d.withColumn("i", F.row_number().over(w)).join(F.broadcast(starts), "_p").withColumn("i", F.col("i") - 1 + F.col("_s")).drop("_p", "_s")
 
 
-def resampled(events: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
-    """how often each resample of all events (with replacement, hashed) took an event; those never taken are out."""
-    d = numbered(events.distinct(), keys)
-    n = d.count()
-    slots = d.select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    picks = slots.select("b", F.pmod(hashed(F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string")), F.lit(max(1, n))).alias("i"))
-    return picks.groupBy("b", "i").agg(F.count("*").alias("often")).join(d, "i").select(*keys, "b", "often")
+def resampled(events: DataFrame, keys: list[str], resamples: int, seed: int, fold: str | None = None) -> DataFrame:
+    """how often each resample of all events (with replacement, hashed) took an event; those never taken are out.
+    With a ``fold`` column each fold's events are resampled by themselves."""
+    by = [fold] if fold else []
+    d = numbered(events.distinct(), [*by, *keys])
+    size = d.groupBy(*by).agg(F.count("*").alias("_n"), F.min("i").alias("_least"))
+    d = (d.join(F.broadcast(size), by) if by else d.crossJoin(F.broadcast(size))).withColumn("i", F.col("i") - F.col("_least"))  # a row for each fold
+    slots = d.select(*by, "i", "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    name = [F.col(c).cast("string") for c in (*by, "b", "i")]
+    picks = slots.select(*by, "b", F.pmod(hashed(F.lit(str(seed)), *name), F.col("_n")).alias("i"))
+    return picks.groupBy(*by, "b", "i").agg(F.count("*").alias("often")).join(d, [*by, "i"]).select(*by, *keys, "b", "often")
 
 
 def bootstrap(deltas: DataFrame, ident: str, value: str, resamples: int, seed: int) -> DataFrame:

@@ -69,33 +69,6 @@ def order_gradient(rows: DataFrame, event: list[str], utility: str, place: str,
     return d.agg(F.sum("ll").alias("ll"), *[F.sum(F.col("g") * F.col(f)).alias(f) for f in features])
 
 
-def fit_order(rows: DataFrame, event: list[str], place: str, features: list[str], penalty: float = 1.0, rounds: int = 30, rate: float = 1.0) -> list[float]:
-    """feature weights of the order model: gradient steps with halving; each step is one aggregate over the rows,
-    and only the gradient (one number per feature) comes back."""
-    known = rows.filter(F.col(place).isNotNull()).select(*event, place, *features)
-    n = max(1, known.select(*event).distinct().count())
-
-    def at(w: list[float]):
-        u = sum((F.lit(x) * F.col(f) for x, f in zip(w, features, strict=True)), F.lit(0.0))
-        r = order_gradient(known.withColumn("_u", u), event, "_u", place, features).first()
-        loss = (-(r.ll or 0.0) + penalty / 2 * sum(x * x for x in w)) / n
-        return loss, [((r[f] or 0.0) + penalty * x) / n for x, f in zip(w, features, strict=True)]
-
-    w = [0.0] * len(features)
-    loss, g = at(w)
-    for _ in range(rounds):
-        step = [x - rate * y for x, y in zip(w, g, strict=True)]
-        new, h = at(step)
-        if new <= loss:
-            done = abs(loss - new) < 1e-7
-            w, loss, g, rate = step, new, h, rate * 1.2
-            if done:
-                break
-        else:
-            rate /= 2
-    return w
-
-
 def smoothed_rate(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(1 + events) / (2 + known)."""
     return rows.groupBy(*keys).agg(F.round((1 + F.coalesce(F.sum(F.col(value).cast("int")), F.lit(0))) / (2 + F.count(value)), 6).alias("rate"))

@@ -1,4 +1,4 @@
-"""Fits by Spark ML or by sums of all folds at once, calibration, ratings over time, and assembled backtests.
+"""Fits of all folds at once from sums, and ratings over time.
 
 Loops here run over a fit's rounds or rating rounds, never over rows."""
 
@@ -8,53 +8,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def vector(rows: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
-
-
-def probability(model, rows: DataFrame, name: str) -> DataFrame:
-    return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-
-
-def fit_trees(rows: DataFrame, label: str, binary: bool, trees: int = 80):
-    """boosted trees of depth 3."""
-    known = rows.filter(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    kind = GBTClassifier if binary else GBTRegressor
-    return kind(maxIter=trees, maxDepth=3, stepSize=0.05, seed=0).fit(known)
-
-
-def fit_calibrator(rows: DataFrame, p: str, label: str, kind: str):
-    """a sigmoid on the logit, or an isotonic step function; too few labels give None and the reason."""
-    d = rows.filter(F.col(label).isNotNull()).select(F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6)).alias("p"), F.col(label).cast("double").alias("label"))
-    n, k, scores = d.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0)), F.countDistinct("p")).first()
-    least, by_class = (10, 2) if kind == "sigmoid" else (100, 10)
-    if n < least or min(k, n - k) < by_class or (kind == "isotonic" and scores < 3):
-        return None, "insufficient_labels"
-    if kind == "isotonic":
-        return IsotonicRegression(featuresCol="p").fit(d.withColumn("weight", F.lit(1.0))), None
-    return LogisticRegression(regParam=0.0).fit(vector(d.withColumn("x", F.log(F.col("p") / (1 - F.col("p")))), ["x"])), None
-
-
-def calibrated(model, rows: DataFrame, p: str, kind: str, out: str) -> DataFrame:
-    """Calibrated probabilities, clipped; without a calibrator the given ones."""
-    if model is None:
-        return rows.withColumn(out, F.col(p))
-    q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
-    if kind == "isotonic":
-        d = model.transform(rows.withColumn("p", q)).withColumnRenamed("prediction", "_q").drop("p")
-        return d.withColumn(out, F.least(F.greatest("_q", F.lit(1e-6)), F.lit(1 - 1e-6))).drop("_q")
-    d = vector(rows.withColumn("x", F.log(q / (1 - q))), ["x"])
-    return probability(model, d, out).drop("x", "features")
-
-
 def ridge_by_fold(rows: DataFrame, fold: str, features: list[str], label: str, weight: str | None = None, penalty: float = 1.0) -> dict:
     """F06 for many folds at once: intercept and weights of the ridge regression of known labels, by fold.
 
@@ -64,12 +21,28 @@ def ridge_by_fold(rows: DataFrame, fold: str, features: list[str], label: str, w
     w, k = F.lit(1.0) if weight is None else F.col(weight).cast("double"), len(x)
     sums = [F.sum(w * x[i] * x[j]) for i in range(k) for j in range(i, k)] + [F.sum(w * x[i] * F.col(label)) for i in range(k)]
     got = rows.filter(F.col(label).isNotNull()).groupBy(fold).agg(F.array(*sums).alias("s")).collect()
-    out = {}
-    for key, s in got:
-        a = np.diag([1e-9, *[penalty] * (k - 1)])
-        a[np.triu_indices(k)] += s[: k * (k + 1) // 2]
-        out[key] = np.linalg.solve(np.triu(a) + np.triu(a, 1).T, s[k * (k + 1) // 2 :]).tolist()
-    return out
+    return {key: solved(s, k, penalty) for key, s in got}
+
+
+def solved(s: list[float], k: int, penalty: float = 1.0) -> list[float]:
+    """Intercept and weights from sums of products (upper triangle, then with the label)."""
+    a = np.diag([1e-9, *[penalty] * (k - 1)])
+    a[np.triu_indices(k)] += s[: k * (k + 1) // 2]
+    return np.linalg.solve(np.triu(a) + np.triu(a, 1).T, s[k * (k + 1) // 2 :]).tolist()
+
+
+def event_sums(rows: DataFrame, event: list[str], features: list[str], label: str) -> DataFrame:
+    """per event the sums of products of its known rows: all that a ridge regression needs of it."""
+    x = [F.lit(1.0), *[F.col(f) for f in features]]
+    sums = [F.sum(a * b) for i, a in enumerate(x) for b in x[i:]] + [F.sum(a * F.col(label)) for a in x]
+    return rows.filter(F.col(label).isNotNull()).groupBy(*event).agg(F.array(*sums).alias("sums"))
+
+
+def resampled_sums(often: DataFrame, sums: DataFrame, event: list[str], keys: list[str]) -> DataFrame:
+    """the sums of each resample, an event counting as often as it was drawn; no row is repeated. Also rows drawn."""
+    size = sums.schema["sums"].dataType and len(sums.first().sums)
+    d = often.join(sums, event)
+    return d.groupBy(*keys).agg(F.array(*[F.sum(F.col("often") * F.col("sums")[i]) for i in range(size)]).alias("sums"))
 
 
 def logistic_by_fold(rows: DataFrame, fold: str, features: list[str], labels: list[str], penalty: float = 1.0, rounds: int = 30) -> dict:

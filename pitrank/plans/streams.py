@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitrank.operators import draws, evaluate, folds, laps, models
+from pitrank.operators import calibrate, draws, evaluate, folds, laps, models, orders, trees
 from pitrank.plans import datasets
 from pitrank.plans.evaluation import RANKED, U, ranked, utilities
 from pitrank.plans.pointintime import EVENT
-from pitrank.plans.registry import query
-from pitrank.sources.store import scratch
+from pitrank.plans.fixtures import with_shapes
+from pitrank.plans.registry import ORACLE_SQL, query
+from pitrank.sources.store import scratch, settled
 from pitrank.streaming import machines
 from pitrank.streaming import publications as stream
 
@@ -204,35 +205,127 @@ def _(t):
     return oof(t).select(*KEY, "fold", F.round("place_ridge", 4).alias("place"))
 
 
+EDGES = {"qualifying_position": [k + 0.5 for k in range(1, 20)], "form": [1.0137 + 0.6 * k for k in range(31)], "n": [k + 0.5 for k in range(1, 16)]}
+BINS = 1 + max(map(len, EDGES.values()))
+KINDS = {"share": ("share", None), "dnf": ("label_dnf", "label_dnf_available_at")}
+
+
+def tree_cells(t, d: DataFrame, f: DataFrame) -> DataFrame:
+    """F02 for trees: labels of both kinds (place over field size, retirement) that each test day may learn from."""
+    at = t("starts").select("league", F.col("day").alias("test"), F.col("cutoff").alias("at"))
+    own = f.join(at, ["league", "test"]).groupBy("league", F.col("train").alias("day")).agg(F.collect_list(F.struct(F.col("test").alias("fold"), "at")).alias("folds"))
+    rows = trees.binned(d, EDGES).withColumn("share", F.col("label_position") / F.count("*").over(Window.partitionBy(*EVENT)))
+    return trees.cells(rows.join(own, EVENT), "folds", KINDS)
+
+
+def forest_of(t, d: DataFrame, f: DataFrame, number: int = 80):
+    table = settled(tree_cells(t, d, f))
+    return table, trees.grow(table, {"dnf"}, BINS, number)
+
+
 @query("F07_boosted_trees")
 def _(t):
-    d, f = matrix(t), cohorts(t).filter("test = 30")
-    model = models.fit_trees(models.vector(fold_rows(t, d, f), FEATURES).persist(), "label_position", binary=False)
-    return model.transform(models.vector(tested(d, f), FEATURES)).select(*KEY, F.round("prediction", 4).alias("place"))
+    """Both trees at all test days: the expected place and the retirement probability."""
+    d, f = matrix(t), cohorts(t)
+    _, forest = forest_of(t, d, f)
+    size = F.count("*").over(Window.partitionBy(*EVENT))
+    out = trees.predicted(trees.binned(tested(d, f), EDGES), forest, "fold", list(KINDS))
+    return out.select(*KEY, "fold", F.round(F.col("share") * size, 4).alias("place"), F.round("dnf", 4).alias("p_dnf"))
+
+
+def tree_sql() -> str:
+    """The first tree of each test day and kind: three levels of best splits, each from sums by feature and bin."""
+    bins = ", ".join(f"(SELECT count(*) FROM (SELECT unnest([{', '.join(map(str, e))}]) AS e) WHERE x.{f} > e) AS b{j}" for j, (f, e) in enumerate(EDGES.items()))
+    parts = [
+        "q AS (SELECT * FROM (SELECT league, test, train, count(*) OVER (PARTITION BY league, test) AS k FROM f0) WHERE k >= 5)",
+        "x AS (SELECT league, day, driver_id, CAST(qualifying_position AS DOUBLE) AS qualifying_position, CAST(n AS DOUBLE) AS n, coalesce(avg(label_position) OVER (PARTITION BY league, driver_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 10) AS form, label_position / count(*) OVER (PARTITION BY league, day) AS share, label_dnf, label_dnf_available_at FROM {results})",
+        f"y AS (SELECT x.*, {bins} FROM x)",
+        "z AS (SELECT q.test AS fold, 'share' AS kind, b0, b1, b2, share AS y FROM y JOIN q ON q.league = y.league AND q.train = y.day WHERE share IS NOT NULL UNION ALL SELECT q.test, 'dnf', b0, b1, b2, CAST(label_dnf AS INT) FROM y JOIN q ON q.league = y.league AND q.train = y.day JOIN {starts} s ON s.league = q.league AND s.day = q.test WHERE label_dnf IS NOT NULL AND label_dnf_available_at <= s.cutoff)",
+        "m AS (SELECT fold, kind, avg(y) AS m FROM z GROUP BY ALL HAVING kind = 'share' OR (min(y) = 0 AND max(y) = 1))",
+        "n0 AS (SELECT z.*, m - y AS g, CASE kind WHEN 'dnf' THEN m * (1 - m) ELSE 1 END AS h, 0 AS node FROM z JOIN m USING (fold, kind))",
+    ]
+    for k in range(3):
+        parts += [
+            f"h{k} AS (SELECT fold, kind, node, j, b, sum(g) AS g, sum(h) AS h, count(*) AS c FROM (SELECT fold, kind, node, g, h, unnest([0, 1, 2]) AS j, unnest([b0, b1, b2]) AS b FROM n{k}) GROUP BY ALL)",
+            f"c{k} AS (SELECT *, sum(g) OVER l AS gl, sum(h) OVER l AS hl, sum(c) OVER l AS cl, sum(g) OVER a AS ga, sum(h) OVER a AS ha, sum(c) OVER a AS ca FROM h{k} WINDOW l AS (PARTITION BY fold, kind, node, j ORDER BY b), a AS (PARTITION BY fold, kind, node, j))",
+            f"s{k} AS (SELECT fold, kind, node, arg_min(struct_pack(j := j, b := b), struct_pack(g := -gain, j := j, b := b)) AS s FROM (SELECT *, round(gl * gl / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga * ga / (ha + 1), 9) AS gain FROM c{k} WHERE cl >= 5 AND ca - cl >= 5) WHERE gain > 0 GROUP BY ALL)",
+            f"n{k + 1} AS (SELECT n.* EXCLUDE (node), 2 * n.node + CASE WHEN coalesce(CASE s.s.j WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END > s.s.b, false) THEN 1 ELSE 0 END AS node FROM n{k} n LEFT JOIN s{k} s USING (fold, kind, node))",
+        ]
+    return f"WITH {FOLDS_SQL}, {', '.join(parts)} SELECT fold, kind, CAST(node AS BIGINT) AS leaf, count(*) AS n, round(sum(-g), 6) AS residual FROM n3 GROUP BY ALL"
+
+
+FOLDS_SQL = "f0 AS (SELECT t.league, t.day AS test, e.day AS train FROM {starts} t JOIN {starts} e ON e.league = t.league AND e.cutoff < t.cutoff AND e.label_available_at <= t.cutoff)"
+
+
+@query("F07_first_trees", tree_sql())
+def _(t):
+    """The leaves of the first tree of all test days and both kinds: rows, and what their labels are above the mean."""
+    d, f = matrix(t), cohorts(t)
+    table, forest = forest_of(t, d, f, 1)
+    return trees.leaves(table, forest).withColumn("residual", F.round("residual", 6))
+
+
+def learning(t, f: DataFrame) -> DataFrame:
+    """The test days (folds) that learn from each event."""
+    return f.groupBy("league", F.col("train").alias("day")).agg(F.array_sort(F.collect_list("test")).alias("folds"))
+
+
+def order_fits(t, d: DataFrame, f: DataFrame) -> DataFrame:
+    events = orders.packed(d.join(learning(t, f), EVENT), EVENT, "label_position", "driver_id", FEATURES, "folds")
+    return orders.fit_orders(events, FEATURES)
 
 
 @query("F09_order_fit")
 def _(t):
-    d = matrix(t).withColumns({f: F.col(f) / 10 for f in FEATURES}).filter("day < 25")
-    w = folds.fit_order(d, EVENT, "label_position", FEATURES, rounds=15, rate=0.3)
-    return t("starts").sparkSession.createDataFrame(list(zip(FEATURES, map(float, w), strict=True)), "feature string, weight double")
+    """The order models of all test days."""
+    return order_fits(t, matrix(t), cohorts(t)).select("fold", "feature", F.round("weight", 6).alias("weight"), F.round("scale", 6).alias("scale"))
+
+
+@query("F09_gradient_check", f"WITH {FOLDS_SQL}, q AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY league, test) AS k FROM f0) WHERE k >= 5), e AS (SELECT league, day, count(*) AS n FROM {{results}} GROUP BY ALL HAVING count(label_position) > 0 AND count(*) > 1) SELECT q.test AS fold, count(*) AS events, CAST(sum(n) AS BIGINT) AS rows, true AS converged FROM q JOIN e ON e.league = q.league AND e.day = q.train GROUP BY q.test")
+def _(t):
+    """At the weights of each test day's fit no component of the gradient, recomputed by windows, exceeds 1e-6."""
+    d, f = matrix(t), cohorts(t)
+    rows = d.join(learning(t, f), EVENT)
+    g = orders.gradients(rows, EVENT, "label_position", "driver_id", FEATURES, "folds", order_fits(t, d, f))
+    return g.select("fold", "events", "rows", (F.col("largest") < 1e-6).alias("converged"))
+
+
+SIGMOID = """WITH RECURSIVE {shapes}p AS (SELECT league, day, driver_id, ln(least(greatest(p_win, 1e-6), 1 - 1e-6) / (1 - least(greatest(p_win, 1e-6), 1 - 1e-6))) AS x, CAST(coalesce(label_position = 1, false) AS INT) AS y FROM predictions WHERE model = 'grid'),
+b(k, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT k + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT k, a, b, sum(q - y) AS g0, sum((q - y) * x) + b AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * x) AS h01, sum(q * (1 - q) * x * x) + 1 AS h11 FROM (SELECT b.*, x, y, 1 / (1 + exp(-(a + b * x))) AS q FROM b, p WHERE k < 25 AND day < 20) GROUP BY k, a, b))
+SELECT league, day, driver_id, round(1 / (1 + exp(-(a + b * x))), 4) AS q FROM p, b WHERE day >= 20 AND k = 25"""
 
 
 @query("F14_sigmoid_calibration")
 def _(t):
     p = t("predictions").filter("model = 'grid'").withColumn("won", F.coalesce(F.col("label_position") == 1, F.lit(False)))
-    model, _reason = models.fit_calibrator(p.filter("day < 20"), "p_win", "won", "sigmoid")
-    return models.calibrated(model, p.filter("day >= 20").select(*KEY, "p_win"), "p_win", "sigmoid", "q").select(*KEY, F.round("q", 4).alias("q"))
+    fit, _reason = calibrate.fit_sigmoid(p.filter("day < 20"), "p_win", "won")
+    return calibrate.apply_sigmoid(p.filter("day >= 20").select(*KEY, "p_win"), fit, "p_win", "q").select(*KEY, F.round("q", 4).alias("q"))
+
 
+ORACLE_SQL["F14_sigmoid_calibration"] = SIGMOID.replace("{shapes}", with_shapes("WITH _ AS (SELECT 1 FROM {predictions}) SELECT 1").removeprefix("WITH ").removesuffix("_ AS (SELECT 1 FROM predictions) SELECT 1"))
 
-@query("F15_isotonic_calibration")
+
+#: Halves of the rows by crc32, made from its polynomial; then the max-min formula of isotonic regression.
+ISOTONIC = """WITH t AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+s AS (SELECT doc_id, y, least(greatest(p, 1e-6), 1 - 1e-6) AS p, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 2 AS half FROM {scores}, t),
+d AS (SELECT half, p, count(*) AS w, sum(y) AS s FROM s GROUP BY half, p),
+c AS (SELECT *, sum(w) OVER o AS cw, sum(s) OVER o AS cs FROM d WINDOW o AS (PARTITION BY half ORDER BY p)),
+m AS (SELECT a.half, a.p AS i, b.p AS j, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.half, a.p ORDER BY b.p DESC) AS m FROM c a JOIN c b ON a.half = b.half AND b.p >= a.p),
+f AS (SELECT half, j AS p, max(m) AS v FROM m GROUP BY half, j),
+x AS (SELECT s.doc_id, s.p, max(f.p) FILTER (WHERE f.p <= s.p) AS lo, min(f.p) FILTER (WHERE f.p >= s.p) AS hi FROM s JOIN f ON f.half <> s.half GROUP BY s.doc_id, s.p, s.half),
+y AS (SELECT x.*, a.v AS a, b.v AS b FROM x JOIN s USING (doc_id) LEFT JOIN f a ON a.half <> s.half AND a.p = lo LEFT JOIN f b ON b.half <> s.half AND b.p = hi)
+SELECT doc_id, round(least(greatest(CASE WHEN a IS NULL THEN b WHEN b IS NULL OR hi = lo THEN a ELSE a + (b - a) * (p - lo) / (hi - lo) END, 1e-6), 1 - 1e-6), 4) AS q FROM y"""
+
+
+@query("F15_isotonic_calibration", ISOTONIC)
 def _(t):
     """Cross-fitted: each half of the rows, by a hash, is calibrated by the fit on the other half."""
     s = t("scores").withColumn("half", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)))
     done = []
     for half in (0, 1):
-        model, _reason = models.fit_calibrator(s.filter(F.col("half") != half), "p", "y", "isotonic")
-        done.append(models.calibrated(model, s.filter(F.col("half") == half).select("doc_id", F.col("p").alias("score")), "score", "isotonic", "q"))
+        fit, _reason = calibrate.fit_isotonic(s.filter(F.col("half") != half), "p", "y")
+        done.append(calibrate.apply_isotonic(s.filter(F.col("half") == half).select("doc_id", "p"), fit, "p", "q"))
     return done[0].union(done[1]).select("doc_id", F.round("q", 4).alias("q"))
 
 
@@ -241,13 +334,36 @@ def _(t):
     return oof(t).select(*KEY, "fold", F.round(folds.utility("probability", "p_win", "n"), 4).alias("logistic"), F.round(folds.utility("position", "place_ridge", "n"), 4).alias("ridge"))
 
 
+RESAMPLES = 20
+
+
+def resamples(t, d: DataFrame, f: DataFrame) -> DataFrame:
+    """fold, b and the sums of products of each resample of the events that a test day learns from."""
+    often = evaluate.resampled(f.select(F.col("test").alias("fold"), "league", F.col("train").alias("day")), EVENT, RESAMPLES, 99, "fold")
+    return models.resampled_sums(often, models.event_sums(d, EVENT, FEATURES, "label_position"), EVENT, ["fold", "b"])
+
+
+@query("F18_resampled_sums", f"""WITH {FOLDS_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY test ORDER BY league, train) - 1 AS i, count(*) OVER (PARTITION BY test) AS m FROM (SELECT *, count(*) OVER (PARTITION BY league, test) AS k FROM f0) WHERE k >= 5),
+p AS (SELECT test, b, ('0x' || substr(md5('99|' || test || '|' || b || '|' || i), 1, 8))::BIGINT % m AS i FROM q, range({RESAMPLES}) r(b)),
+x AS (SELECT league, day, CAST(qualifying_position AS DOUBLE) AS q, CAST(n AS DOUBLE) AS n, label_position AS y, coalesce(avg(label_position) OVER (PARTITION BY league, driver_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 10) AS f FROM {{results}}),
+s AS (SELECT league, day, count(y) AS c, sum(q) AS q, sum(f * f) AS ff, sum(f * y) AS fy, sum(y) AS y FROM x WHERE y IS NOT NULL GROUP BY ALL)
+SELECT p.test AS fold, CAST(p.b AS INT) AS b, CAST(sum(c) AS BIGINT) AS rows, CAST(sum(s.q) AS BIGINT) AS sum_qualifying, round(sum(ff) / sum(c), 9) AS mean_form_form, round(sum(fy) / sum(c), 9) AS mean_form_place, CAST(sum(y) AS BIGINT) AS sum_place FROM p JOIN q ON q.test = p.test AND q.i = p.i JOIN s ON s.league = q.league AND s.day = q.train GROUP BY ALL""")
+def _(t):
+    """Some of the sums that the refits are solved from, for each test day and resample."""
+    s = resamples(t, matrix(t), cohorts(t)).select("fold", "b", "sums")
+    at = lambda i: F.col("sums")[i]
+    return s.select("fold", "b", at(0).cast("long").alias("rows"), at(1).cast("long").alias("sum_qualifying"), F.round(at(7) / at(0), 9).alias("mean_form_form"), F.round(at(12) / at(0), 9).alias("mean_form_place"), at(10).cast("long").alias("sum_place"))
+
+
 @query("F18_bootstrap_spread")
 def _(t):
-    d, f = matrix(t), cohorts(t).filter("test = 30")
-    often = evaluate.resampled(f.select("league", "train"), ["league", "train"], 20, 99)
-    train = fold_rows(t, d, f).join(often, ["league", "train"])
-    fits = models.ridge_by_fold(train, "b", FEATURES, "label_position", "often")
-    u = models.with_fits(tested(d, f).crossJoin(F.broadcast(often.select("b").distinct())), "b", FEATURES, {"place": fits})
+    """Deviation of each entrant's centred utility over the refits, at all test days."""
+    d, f = matrix(t), cohorts(t)
+    k = len(FEATURES) + 1
+    fits = [(r.fold, r.b, models.solved(r.sums, k)) for r in resamples(t, d, f).collect()]  # test days times resamples
+    table = t.spark.createDataFrame(fits, "fold long, b int, w array<double>").groupBy("fold").agg(F.collect_list("w").alias("fits"))
+    u = tested(d, f).join(F.broadcast(table), "fold").select(*KEY, *FEATURES, F.posexplode("fits").alias("b", "w"))
+    u = u.withColumn("place", sum((F.col("w")[i + 1] * F.col(x) for i, x in enumerate(FEATURES)), F.col("w")[0]))
     centred = u.withColumn("u", F.avg("place").over(Window.partitionBy("b", *EVENT)) - F.col("place"))
     return centred.groupBy(*KEY).agg(F.round(F.stddev_pop("u"), 4).alias("spread"))
 
