@@ -3,13 +3,19 @@
 The tokenizer's own pattern has white space only at the start of a token, or alone. So a token always begins where
 white space follows a character that is none, in every script, and what lies before does not depend on what lies after
 there. Texts are cut at these places; long units, of scripts or tables without white space, are cut again where a
-letter or digit is followed by a character of another sort, which no token spans either. The sum of the units' lengths
-is the text's length. Units repeat, so each distinct unit of a batch is encoded once.
+letter or digit is followed by a character of another sort, which no token spans either. Special strings that the file
+adds are found first, as the library does: each is a unit of its own and is never cut. The sum of the units' lengths is the
+text's length. Units repeat, so each distinct unit of a batch is encoded once.
+
+All this holds for the byte-level pattern and for special strings that are taken literally. Where the file asks for anything
+else (a normaliser, another pattern, special strings that take white space along), texts go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +43,39 @@ def _three(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def unit_edges(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte positions at which units begin (texts begin one too), with the end."""
+def special_strings(settings: dict) -> re.Pattern | None:
+    """What finds the file's special strings, the longest first; None if texts of this file must not be cut."""
+    pattern, added = settings.get("pre_tokenizer") or {}, settings.get("added_tokens") or []
+    plain = settings.get("normalizer") is None and pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and not pattern.get("add_prefix_space")
+    if not plain or (settings.get("model") or {}).get("type") != "BPE" or any(a.get(k) for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    names = sorted((a["content"].encode() for a in added), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, names)) if names else b"(?!)")
+
+
+def special_spans(data: bytes, offsets: np.ndarray, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """Where special strings are, leftmost and longest, within each text."""
+    out, at = [], 0
+    while (m := pattern.search(data, at)) is not None:
+        end = int(offsets[np.searchsorted(offsets, m.start(), side="right")])
+        m = pattern.search(data, m.start(), end)  # not beyond the text
+        at = m.end() if m else end
+        if m:
+            out.append(m.span())
+    return out
+
+
+def unit_edges(raw: np.ndarray, offsets: np.ndarray, whole: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """Byte positions at which units begin (texts begin one too), with the end; spans in ``whole`` are units."""
+    edge = _edges(raw, offsets)
+    if not whole:
+        return edge
+    a, b = np.array(whole).T
+    at = np.searchsorted(a, edge, side="right") - 1
+    return np.unique(np.concatenate([edge[(at < 0) | (edge >= b[at])], a, b]))
+
+
+def _edges(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     solid = _SORT[raw] > 0  # bytes that end a character which surely is no white space
     high = np.flatnonzero(raw >= 0x80)
     if len(high):
@@ -76,24 +113,26 @@ def _inner(raw: np.ndarray) -> np.ndarray:
 
 
 def _encoder(path: str):
+    """The library's encoder, and what finds special strings."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
     made.no_truncation()
     made.no_padding()
-    return made
+    with open(path, encoding="utf-8") as f:
+        return made, special_strings(json.load(f))
 
 
-def _lengths(texts: pa.Array, encoder, known: dict[bytes, int]) -> np.ndarray:
+def _lengths(texts: pa.Array, encoder, pattern: re.Pattern | None, known: dict[bytes, int]) -> np.ndarray:
     """Tokens of each text."""
     raw, offsets = buffers(texts)
     if not len(raw):
         return np.zeros(len(texts), np.int64)
-    edge = unit_edges(raw, offsets)
+    data = raw.tobytes()
+    edge = np.unique(offsets) if pattern is None else unit_edges(raw, offsets, special_spans(data, offsets, pattern))
     starts, ends = edge[:-1], edge[1:]
     first, of = distinct(raw, starts, ends)
-    data = raw.tobytes()
     units = [data[a:b] for a, b in zip(starts[first], ends[first], strict=True)]
     new = [i for i, u in enumerate(units) if u not in known]
     fresh = np.zeros(len(units), np.int64)
@@ -111,15 +150,15 @@ def _lengths(texts: pa.Array, encoder, known: dict[bytes, int]) -> np.ndarray:
 def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """Per row: doc_id, n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens).
 
-    ``path`` is a byte-level BPE file of the tokenizers library, readable on every executor; begin, end and added
+    ``path`` is a file of the tokenizers library, readable on every executor; begin, end and added
     special tokens don't count, special strings inside texts are handled as the library does by default. Null and
-    empty texts have 0. Very long texts are cut into units, except a single word of any length, which the library gets
-    whole. Repeated rows and null ids are counted like others; other columns are not read."""
+    empty texts have 0. Very long texts are cut into units, except a single word of any length and all texts of files that
+    aren't plain byte-level BPE, which the library gets whole. Repeated rows and null ids are counted like others; other columns are not read."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = _encoder(path), {}
+        (encoder, pattern), known = _encoder(path), {}
         for batch in batches:
-            n = [np.zeros(0, np.int64)] + [_lengths(some, encoder, known) for _, some in pieces(batch["text"], UNIT_BYTES)]
+            n = [np.zeros(0, np.int64)] + [_lengths(some, encoder, pattern, known) for _, some in pieces(batch["text"], UNIT_BYTES)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(np.concatenate(n))], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))

@@ -182,7 +182,30 @@ def test_token_counts_at_odd_boundaries():
     odd = ["a <|endoftext|> b", "x<|endoftext|>y  z", "don't  stop  a b é é à b　 c", "1 2 33 'll 've", " lead", "tail ", "", " "]
     odd += ["".join(R.choice("ab  é \n1'.ls à　") for _ in range(R.randint(0, 200))) for _ in range(200)]
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert op4._lengths(op4.pieces(pa.array(odd))[0][1], t, {}).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in odd]
+    counts = lambda texts: [n for _, some in op4.pieces(pa.array(texts), 1 << 20) for n in op4._lengths(some, *op4._encoder(public_tokenizers.path("byte_bpe_50k.json")), {}).tolist()]
+    assert counts(odd) == [len(t.encode(x, add_special_tokens=False).ids) for x in odd]
+    special = "<|endoftext|>"
+    long = ["abc," * 200 + special + "abc," * 200, "a" * 600 + special + "x", special * 60, special[:-1] * 80 + special, "<|" * 400 + special[2:], special[5:] + "x" * 600, "y" * 600 + special[:5]]
+    parts = [special, special[:7], special[7:], "a", "bc ", "7", ".,", " ", "\n", "é", "日本", "|>", "<|", "'ll", "　"]
+    for _ in range(3000):
+        some, size = R.sample(parts, R.randint(1, len(parts))), R.choice([20, 200, 3000])
+        text = ""
+        while len(text) < size:
+            text += R.choice(some)
+        long.append(text)
+    assert counts(long) == [len(t.encode(x, add_special_tokens=False).ids) for x in long]
+    huge = [("word, " * 90 + "x9" * 400 + special) * 900, "a.b" * 400_000 + special]
+    assert min(map(len, huge)) > 1 << 20
+    assert counts(huge) == [len(t.encode(x, add_special_tokens=False).ids) for x in huge]
+
+
+def test_token_counts_of_a_file_with_another_pattern(docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    want = sorted((str(i), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows_of(docs))
+    assert sorted((str(r.doc_id), r.n_tokens) for r in op4.token_counts(docs, path).collect()) == want
 
 
 def check_pii(d, texts, **parameters):
@@ -228,7 +251,7 @@ def test_token_counts_of_long_texts_in_other_scripts():
     t, encoder = Tokenizer.from_file(path), op4._encoder(path)
     some = ["привет мир как дела " * 3000, "日本語のテキスト。これは、" * 2000, "word\n" * 20_000, "한국어 문장、가나다。" * 3000, "aGVs+bG8/9z==," * 8000, "x　y\u00a0z\u2003 w\u0085 " * 3000]
     some += ["".join(R.choice("日本語、。一가a1.'s　\u200b\ufeff ") for _ in range(2000)) for _ in range(30)]
-    assert op4._lengths(pa.array(some, pa.large_string()), encoder, {}).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in some]
+    assert op4._lengths(pa.array(some, pa.large_string()), *encoder, {}).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in some]
     for x in some[:5]:
         raw = np.frombuffer(x.encode(), np.uint8)
         assert np.diff(op4.unit_edges(raw, np.array([0, len(raw)]))).max() <= 64
