@@ -43,6 +43,48 @@ def two_stage(rows: DataFrame, event: str, ident: str, utility: str, draws: int,
     return d.select(event, ident, "draw", F.row_number().over(Window.partitionBy(event, "draw").orderBy(F.desc("wins"), F.desc("b"), ident)).cast("long").alias("place"))
 
 
+def noisy(rows: DataFrame, event: str, ident: str, draws: int, seed: int, salts: list[str], p_dnf: str | None) -> DataFrame:
+    """Draws made once, for any number of temperatures: the noise of each salt, and who retires."""
+    d = exploded(rows, draws).withColumns({f"_{s}": gumbel(seed, s, event, "draw", ident) for s in salts})
+    return d.withColumn("_out", F.lit(False) if p_dnf is None else uniform(seed, "dnf", event, "draw", ident) < F.col(p_dnf))
+
+
+def winners_by_temperature(rows: DataFrame, event: str, ident: str, utility: str, draws: int, seed: int, temperatures: tuple[float, ...], p_dnf: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """per draw the winner at every temperature (columns t0, t1, ...), from the same random numbers.
+
+    ``by`` keeps apart rows of one event that are predicted several times, with the same noise."""
+    d = noisy(rows, event, ident, draws, seed, ["order"], p_dnf)
+    first = [F.min_by(ident, F.struct("_out", -(F.col(utility) / t + F.col("_order")), ident)).alias(f"t{i}") for i, t in enumerate(temperatures)]
+    return d.groupBy(*(by or []), event, "draw").agg(*first)
+
+
+def temperature_losses(rows: DataFrame, event: str, ident: str, utility: str, won: str, draws: int, seed: int, temperatures: tuple[float, ...], p_dnf: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """temperature and loss (-ln of the winner's share of wins, at least 1e-15) of every event with one winner."""
+    keys = [*(by or []), event]
+    truth = rows.filter(F.col(won)).groupBy(*keys).agg(F.max(ident).alias("_truth"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    d = winners_by_temperature(rows, event, ident, utility, draws, seed, temperatures, p_dnf, by).join(truth, keys)
+    share = [F.struct(F.lit(float(t)).alias("temperature"), F.avg((F.col(f"t{i}") == F.col("_truth")).cast("int")).alias("p")) for i, t in enumerate(temperatures)]
+    d = d.groupBy(*keys).agg(F.array(*share).alias("s")).select(*keys, F.explode("s").alias("s"))
+    return d.select(*keys, "s.temperature", (-F.log(F.greatest("s.p", F.lit(1e-15)))).alias("loss"))
+
+
+def two_stage_cells(rows: DataFrame, event: str, ident: str, utility: str, draws: int, seed: int, firsts: tuple[float, ...], rests: tuple[float, ...], p_dnf: str | None = None) -> DataFrame:
+    """Shares of wins and podiums of every (first, rest) pair of temperatures, from draws that are made once.
+
+    A draw keeps its winner at each first temperature and its first three at each other one; the podium of a pair is the
+    winner and the first two of the rest. Retired entrants come last."""
+    d = noisy(rows, event, ident, draws, seed, ["win", "rest"], p_dnf)
+    won = [F.struct(F.lit(float(t)).alias("first"), F.min_by(ident, F.struct("_out", -(F.col(utility) / t + F.col("_win")), ident)).alias("w")) for t in firsts]
+    top = [F.struct(F.lit(float(t)).alias("rest"), F.slice(F.array_sort(F.collect_list(F.struct(F.col("_out").alias("o"), (-(F.col(utility) / t + F.col("_rest"))).alias("k"), F.col(ident).alias("i")))), 1, 3)["i"].alias("t")) for t in rests]
+    g = d.groupBy(event, "draw").agg(F.array(*won).alias("won"), F.array(*top).alias("top"))
+    g = g.select(event, F.explode("won").alias("a"), "top").select(event, "a.*", F.explode("top").alias("b")).select(event, "first", "w", "b.*")
+    podium = F.concat(F.array("w"), F.slice(F.filter("t", lambda x: x != F.col("w")), 1, 2))
+    g = g.select(event, "first", "rest", "w", F.explode(podium).alias(ident))
+    got = g.groupBy(event, "first", "rest", ident).agg((F.sum((F.col(ident) == F.col("w")).cast("int")) / draws).alias("win"), (F.count("*") / draws).alias("podium"))
+    cells = rows.select(event, ident, F.explode(F.array(*[F.struct(F.lit(float(a)).alias("first"), F.lit(float(b)).alias("rest")) for a in firsts for b in rests])).alias("c")).select(event, ident, "c.*")
+    return cells.join(got, [event, "first", "rest", ident], "left").fillna(0.0, ["win", "podium"])
+
+
 def marginals(ranked: DataFrame, event: str, ident: str, podium: int = 3) -> DataFrame:
     """Shares of wins, podiums and retirements, and the mean place."""
     return ranked.groupBy(event, ident).agg(

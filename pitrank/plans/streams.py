@@ -392,25 +392,58 @@ def _(t):
 
 
 TEMPERATURES = (0.5, 1.0, 2.0, 4.0)
+DRAWS = 64
+CHOICE = f"""{FOLDS_SQL}, q AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY league, test) AS k FROM f0) WHERE k >= 5),
+u AS (SELECT u.league, u.day, u.league * 100 + u.day AS ev, u.driver_id, utility, p_dnf, coalesce(label_position = 1, false) AS won FROM {{utilities}} u JOIN {{results}} USING (league, day, driver_id)),
+x AS (SELECT u.*, d.draw, {U.format("'21|' || ev || '|' || d.draw || '|' || driver_id || '|dnf'")} < p_dnf AS out, round(-ln(-ln({U.format("'21|' || ev || '|' || d.draw || '|' || driver_id || '|order'")})), 9) AS noise FROM u CROSS JOIN range({DRAWS}) d(draw)),
+r AS (SELECT *, row_number() OVER (PARTITION BY ev, draw, temperature ORDER BY out, utility / temperature + noise DESC, driver_id) AS place FROM x CROSS JOIN (SELECT unnest([0.5, 1.0, 2.0, 4.0])::DOUBLE AS temperature)),
+l AS (SELECT league, day, temperature, -ln(greatest(avg(CAST(won AS INT)), 1e-15)) AS loss FROM r WHERE place = 1 AND ev IN (SELECT ev FROM u GROUP BY ev HAVING count(*) FILTER (WHERE won) = 1) GROUP BY ALL),
+c AS (SELECT league, test, max(train) AS day FROM q GROUP BY ALL)"""
+
+
+def calibration_events(t, f: DataFrame) -> DataFrame:
+    """the latest training event of each test event."""
+    role = folds.calibration_split(f, t("starts"), ["league"], "day", "cutoff", "label_available_at", 1)
+    return role.filter("role = 'calibrate'").select("league", "test", F.col("train").alias("day"))
+
+
+def best_temperature(losses: DataFrame, keys: list[str]) -> DataFrame:
+    """The temperature with the least mean loss, the lower one of equals."""
+    mean = losses.groupBy(*keys, "temperature").agg(F.round(F.avg("loss"), 9).alias("loss"))
+    return mean.groupBy(*keys).agg(F.min(F.struct("loss", "temperature")).alias("m")).select(*keys, "m.temperature", "m.loss")
+
+
+@query("F21_temperature_choice", f"WITH {CHOICE} SELECT league, test AS day, temperature, loss FROM (SELECT c.league, c.test, temperature, round(loss, 6) AS loss, row_number() OVER (PARTITION BY c.league, c.test ORDER BY round(loss, 9), temperature) AS k FROM c JOIN l USING (league, day)) WHERE k = 1")
+def _(t):
+    """Each test event's temperature, by draws with retirements of its latest known event, all from the same noise."""
+    u = t("utilities").join(t("results").select(*KEY, F.coalesce(F.col("label_position") == 1, F.lit(False)).alias("won")), KEY).withColumn("ev", F.expr("league * 100 + day"))
+    loss = draws.temperature_losses(u, "ev", "driver_id", "utility", "won", DRAWS, 21, TEMPERATURES, "p_dnf")
+    at = calibration_events(t, cohorts(t)).withColumn("ev", F.expr("league * 100 + day")).select("league", F.col("test").alias("day"), "ev")
+    return best_temperature(at.join(loss, "ev"), EVENT).select(*EVENT, "temperature", F.round("loss", 6).alias("loss"))
 
 
 @query("F21_composed_model")
 def _(t):
+    """A ridge fit of places and a logistic fit of retirements for every test day; the temperature is the one whose draws,
+    with retirements, lose least on the day's calibration events; win shares and places are those of the draws."""
     d, f = matrix(t), cohorts(t)
     role = folds.calibration_split(f, t("starts"), ["league"], "day", "cutoff", "label_available_at", 1)
     all_ = fold_rows(t, d, f).persist()
-    rows = all_.join(role.withColumnRenamed("test", "fold"), ["league", "fold", "train"]).persist()
+    rows = all_.join(role.withColumnRenamed("test", "fold"), ["league", "fold", "train"])
     place = {"place": models.ridge_by_fold(rows.filter("role = 'fit'"), "fold", FEATURES, "label_position")}
     known = all_.withColumn("_out", F.col("label_dnf").cast("double"))
-    out = {"p_dnf": {k: b for (k, _), b in models.logistic_by_fold(known, "fold", FEATURES, ["_out"]).items()}}
-    kept = models.with_fits(rows.filter("role = 'calibrate'"), "fold", FEATURES, place)
-    tried = kept.withColumn("tau", F.explode(F.array(*map(F.lit, TEMPERATURES))))
-    w = Window.partitionBy("fold", "league", "train", "tau")
-    won = tried.withColumn("loss", F.col("place") / F.col("tau") + F.log(F.sum(F.exp(-F.col("place") / F.col("tau"))).over(w))).filter("label_position = 1")
-    best = won.groupBy("fold", "tau").agg(F.round(F.avg("loss"), 9).alias("loss")).groupBy("fold").agg(F.min(F.struct("loss", "tau")).alias("m")).select("fold", F.col("m.tau").alias("tau"))
-    o = models.with_fits(tested(d, f), "fold", FEATURES, place | out).join(F.broadcast(best), "fold", "left").withColumn("e", F.exp(-F.col("place") / F.coalesce("tau", F.lit(1.0))))
-    p_win = F.col("e") / F.sum("e").over(Window.partitionBy("fold", *EVENT))
-    return o.select(*KEY, "fold", F.round(1 / (1 + F.exp(-F.col("p_dnf"))), 4).alias("p_dnf"), F.round(p_win, 4).alias("p_win"))
+    out = {"logit": {k: b for (k, _), b in models.logistic_by_fold(known, "fold", FEATURES, ["_out"]).items()}}
+
+    def composed(x: DataFrame) -> DataFrame:
+        x = models.with_fits(x, "fold", FEATURES, place | out)
+        return x.withColumns({"ev": F.expr("league * 100 + day"), "utility": F.round(-F.col("place"), 9), "p_dnf": F.round(F.coalesce(1 / (1 + F.exp(-F.col("logit"))), F.lit(0.5)), 9)})
+
+    kept = composed(rows.filter("role = 'calibrate'").withColumnRenamed("train", "day")).withColumn("won", F.coalesce(F.col("label_position") == 1, F.lit(False)))
+    best = best_temperature(draws.temperature_losses(kept, "ev", "driver_id", "utility", "won", DRAWS, 21, TEMPERATURES, "p_dnf", ["fold"]), ["fold"])
+    o = composed(tested(d, f)).join(F.broadcast(best), "fold", "left").withColumn("u", F.col("utility") / F.coalesce("temperature", F.lit(1.0)))
+    m = draws.marginals(draws.rankings(o, "ev", "driver_id", "u", DRAWS, 21, p_dnf="p_dnf"), "ev", "driver_id")
+    all_.unpersist()
+    return o.select(*KEY, "fold", "ev", "temperature", F.round("p_dnf", 4).alias("p_dnf")).join(m, ["ev", "driver_id"]).select(*KEY, "fold", "temperature", "p_dnf", F.col("win").alias("p_win"), "podium", "mean_place")
 
 
 @query("F22_backtest")
@@ -436,15 +469,38 @@ def _(t):
     return models.team_elo(r, "league", resets=(2025,))
 
 
-@query("H20_grid_fit")
-def _(t):
-    u, won = utilities(t, "all_utilities"), t("results").filter("label_position = 1").select(F.expr("league * 100 + day").alias("ev"), "driver_id")
-    parts = []
-    for i, (a, b) in enumerate([(0.8, 1.2), (1.0, 1.0), (1.2, 0.8)]):
-        m = draws.two_stage(u, "ev", "driver_id", "utility", 8, 9, a, b).groupBy("ev", "driver_id").agg(F.avg((F.col("place") == 1).cast("int")).alias("p"))
-        parts.append(m.join(won, ["ev", "driver_id"]).agg(F.round(F.avg(-F.log(0.9 * F.col("p") + 0.1 / 15)), 6).alias("loss")).withColumn("cell", F.lit(i)))
-    grid = parts[0].union(parts[1]).union(parts[2])
-    return grid.withColumn("chosen", F.row_number().over(Window.orderBy("loss", "cell")) == 1)
+#: The temperatures of winners and of the rest, and the shares of equal chances, that are tried.
+WINNER_TEMPERATURES = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.15)
+REST_TEMPERATURES = (0.7, 0.8, 0.9, 1.0, 1.15, 1.3, 1.5)
+SHRINKAGE = (0.0, 0.02, 0.05)
+GRID_DRAWS = 32
+TWO_STAGE = f"""q AS (SELECT league, day FROM (SELECT league, day, row_number() OVER (PARTITION BY league ORDER BY day) AS k FROM {{starts}}) WHERE k > 5),
+u AS (SELECT league, day, league * 100 + day AS ev, driver_id, utility, p_dnf FROM {{utilities}} JOIN q USING (league, day)),
+x AS (SELECT u.*, d.draw, {U.format("'20|' || ev || '|' || d.draw || '|' || driver_id || '|dnf'")} < p_dnf AS out, round(-ln(-ln({U.format("'20|' || ev || '|' || d.draw || '|' || driver_id || '|win'")})), 9) AS a, round(-ln(-ln({U.format("'20|' || ev || '|' || d.draw || '|' || driver_id || '|rest'")})), 9) AS b FROM u CROSS JOIN range({GRID_DRAWS}) d(draw)),
+w AS (SELECT ev, draw, f AS first, arg_min(driver_id, struct_pack(o := out, k := -(utility / f + a), i := driver_id)) AS w FROM x CROSS JOIN (SELECT unnest([{', '.join(map(str, WINNER_TEMPERATURES))}])::DOUBLE AS f) GROUP BY ALL),
+t AS (SELECT * FROM (SELECT ev, draw, r AS rest, driver_id, row_number() OVER (PARTITION BY ev, draw, r ORDER BY out, utility / r + b DESC, driver_id) AS k FROM x CROSS JOIN (SELECT unnest([{', '.join(map(str, REST_TEMPERATURES))}])::DOUBLE AS r)) WHERE k <= 3),
+p AS (SELECT ev, first, rest, driver_id, 0 AS wins FROM (SELECT w.ev, w.draw, first, rest, driver_id, row_number() OVER (PARTITION BY w.ev, w.draw, first, rest ORDER BY k) AS k FROM w JOIN t ON t.ev = w.ev AND t.draw = w.draw AND t.driver_id <> w.w) WHERE k <= 2
+  UNION ALL SELECT ev, first, r, w, 1 FROM w CROSS JOIN (SELECT unnest([{', '.join(map(str, REST_TEMPERATURES))}])::DOUBLE AS r)),
+m AS (SELECT ev, first, rest, driver_id, sum(wins) / {GRID_DRAWS} AS win, count(*) / {GRID_DRAWS} AS podium FROM p GROUP BY ALL),
+g AS (SELECT u.ev, u.league, u.day, u.driver_id, f.first, f.rest, s.shrink, count(*) OVER (PARTITION BY u.ev, f.first, f.rest, s.shrink) AS n, coalesce(m.win, 0) AS win, coalesce(m.podium, 0) AS podium FROM u CROSS JOIN (SELECT DISTINCT first, rest FROM p) f CROSS JOIN (SELECT unnest([{', '.join(map(str, SHRINKAGE))}])::DOUBLE AS shrink) s LEFT JOIN m ON m.ev = u.ev AND m.driver_id = u.driver_id AND m.first = f.first AND m.rest = f.rest),
+c AS (SELECT *, greatest(least((1 - shrink) * win + shrink / n, 1 - 1e-15), 1e-15) AS pw, greatest(least((1 - shrink) * podium + shrink * least(1, 3 / n), 1 - 1e-15), 1e-15) AS pp FROM g),
+l AS (SELECT c.first, c.rest, c.shrink, c.ev, sum(-ln(pw)) FILTER (WHERE label_position = 1) + avg(-ln(CASE WHEN coalesce(label_position <= 3, false) THEN pp ELSE 1 - pp END)) / 3 AS loss FROM c JOIN {{results}} USING (league, day, driver_id) GROUP BY ALL)"""
+
+
+@query("H20_grid_fit", f"WITH {TWO_STAGE} SELECT first, rest, shrink, round(avg(loss), 6) AS loss, count(loss) AS events, row_number() OVER (ORDER BY round(avg(loss), 6), first, rest, shrink) = 1 AS chosen FROM l GROUP BY first, rest, shrink")
+def _(t):
+    """The objective of every cell of the two-stage grid over all events that have five earlier ones, and the best cell."""
+    k = F.row_number().over(Window.partitionBy("league").orderBy("day"))
+    scored = t("starts").select(*EVENT, k.alias("k")).filter("k > 5").select(*EVENT)
+    u = t("utilities").join(scored, EVENT, "left_semi").withColumn("ev", F.expr("league * 100 + day")).select("ev", "driver_id", "utility", "p_dnf")
+    m = draws.two_stage_cells(u, "ev", "driver_id", "utility", GRID_DRAWS, 20, WINNER_TEMPERATURES, REST_TEMPERATURES, "p_dnf")
+    m = m.withColumn("n", F.count("*").over(Window.partitionBy("ev", "first", "rest"))).withColumn("shrink", F.explode(F.array(*map(F.lit, SHRINKAGE))))
+    keep, equal = 1 - F.col("shrink"), F.col("shrink")
+    shares = m.select("ev", "driver_id", "first", "rest", "shrink", (keep * F.col("win") + equal / F.col("n")).alias("win"), (keep * F.col("podium") + equal * F.least(F.lit(1.0), 3 / F.col("n"))).alias("podium"))
+    truth = t("results").select(F.expr("league * 100 + day").alias("ev"), "driver_id", "label_position")
+    won, podium = (F.coalesce(c, F.lit(False)) for c in (F.col("label_position") == 1, F.col("label_position") <= 3))
+    grid = evaluate.objective(shares.join(truth, ["ev", "driver_id"]), ["first", "rest", "shrink"], "ev", won, podium)
+    return grid.withColumn("chosen", F.row_number().over(Window.orderBy("loss", "first", "rest", "shrink")) == 1)  # one row for each cell
 
 
 WET_WEIGHTS = (0.0, 0.1, 0.2, 0.4)
