@@ -88,7 +88,6 @@ def provenance(versions: DataFrame, keys: list[str], ordinal: str, ident: str) -
 
 def lagged(events: DataFrame, keys: list[str], ordinal: str, most: int) -> DataFrame:
     """Each event as a cutoff with the events 0..most later in its key, to be featured as of the first."""
-    a = events.select(*keys, F.col(ordinal).alias("cutoff_event"))
+    a = events.select(*keys, F.col(ordinal).alias("cutoff_event"), F.explode(F.expr(f"sequence(0L, {most}L)")).alias("lag"))
     b = events.select(*keys, F.col(ordinal).alias("target_event"))
-    gap = F.col("target_event") - F.col("cutoff_event")
-    return a.join(b, keys).filter(gap.between(0, most)).withColumn("lag", gap)
+    return a.withColumn("target_event", F.col("cutoff_event") + F.col("lag")).join(b, [*keys, "target_event"])

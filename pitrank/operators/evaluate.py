@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitrank.operators.near import nearest
+from pitrank.sources.store import settled
+
 
 def clipped(p: str, low: float = 1e-15) -> Column:
     return F.least(F.greatest(F.col(p), F.lit(low)), F.lit(1 - low))
@@ -181,49 +182,10 @@ def mean_rank(losses: DataFrame, task: str, model: str, loss: str) -> DataFrame:
     return m.withColumn("chosen", F.row_number().over(Window.orderBy("mean_rank", model)) == 1)
 
 
-def nearest(rows: DataFrame, ident: str, vector: str, event: str, train: str, block: int = 1 << 14, ask: str | None = None) -> DataFrame:
-    """The distance of every row (of those that ``ask`` marks) to the nearest training row of another event; rows
-    without one are left out.
-
-    Rows are dealt into blocks of about ``block`` by a hash of their identity, and each pair of blocks is one group:
-    pairs of rows are never rows of a frame, and no task holds more than two blocks."""
-    n = max(1, -(-rows.count() // block))
-    d = rows.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(event).cast("string").alias("e"), F.col(train).alias("t"), (F.lit(True) if ask is None else F.col(ask)).alias("q")).filter("t or q")
-    d = d.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    d = d.withColumns({"a": F.least("k", "other"), "b": F.greatest("k", "other")})
-    found = d.groupBy("a", "b").applyInArrow(_nearest_in_pair, f"id {dict(rows.dtypes)[ident]}, nearest double")
-    return found.groupBy("id").agg(F.min("nearest").alias("nearest")).withColumnRenamed("id", ident)
-
-
-def _nearest_in_pair(t: pa.Table) -> pa.Table:
-    """Nearest training rows across the two blocks of a group, or within its only one."""
-    k, train, asked = t["k"].to_numpy(), t["t"].to_numpy(), t["q"].to_numpy()
-    v = t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-    e = np.unique(np.array(t["e"].to_pylist(), str), return_inverse=True)[1]
-    first = k == k.min()
-    within = t["a"][0].as_py() == t["b"][0].as_py()
-    sides = [(first, first)] if within else [(first, ~first), (~first, first)]
-    at, gaps = [np.empty(0, int)], [np.empty(0)]
-    for own, others in sides:
-        own, others = np.flatnonzero(own & asked), np.flatnonzero(others & train)
-        if not len(others):
-            continue
-        to, square = v[others], (v[others] ** 2).sum(axis=1)
-        for i in range(0, len(own), 512):
-            some = own[i : i + 512]
-            x = square - 2 * (v[some] @ to.T)
-            x[e[some][:, None] == e[others]] = np.inf
-            best = x.argmin(axis=1)
-            ok = np.isfinite(x[np.arange(len(some)), best])
-            at.append(some[ok])
-            gaps.append(np.sqrt(((v[some[ok]] - to[best[ok]]) ** 2).sum(axis=1)))
-    return pa.table({"id": t["id"].take(pa.array(np.concatenate(at))), "nearest": pa.array(np.concatenate(gaps))})
-
-
 def out_of_distribution(rows: DataFrame, ident: str, vector: str, event: str, train: str, share: float = 0.99) -> DataFrame:
     """Live rows with their nearest training distance, and whether it is beyond the ``share`` quantile of the
     distances from training rows to the nearest one of another event."""
-    d = rows.select(ident, train).join(nearest(rows, ident, vector, event, train), ident).persist()
+    d = settled(rows.select(ident, train).join(nearest(rows, ident, vector, event, train), ident))
     limit = d.filter(train).agg(F.percentile("nearest", F.lit(share)).alias("threshold"))
     out = d.filter(~F.col(train)).crossJoin(F.broadcast(limit))
     return out.select(ident, F.round("nearest", 6).alias("nearest"), F.round("threshold", 6).alias("threshold"), (F.col("nearest") > F.col("threshold")).alias("far"))

@@ -40,34 +40,6 @@ def team_window(rows: DataFrame, events: DataFrame, keys: list[str], team: str,
     return j.select(*keys, team, ordinal, F.when(F.col("complete"), F.round("mean", 6)).alias("team_finish"), F.when(F.col("complete"), F.round("rate", 6)).alias("team_dnf"))
 
 
-def last_appearances(history: DataFrame, keys: list[str], ordinal: str, value: str, count: int, first: int) -> DataFrame:
-    """Of the latest ``count`` rows those with a value; the mean of all of them and of the first ``first``."""
-    latest = Window.partitionBy(*keys).orderBy(F.desc(ordinal))
-    cut = history.withColumn("k", F.row_number().over(latest)).filter(F.col("k") <= count).filter(F.col(value).isNotNull())
-    cut = cut.withColumn("j", F.row_number().over(latest))
-    return cut.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean_all"), F.round(F.avg(F.when(F.col("j") <= first, F.col(value))), 6).alias("mean_first"), F.count("*").alias("observations"))
-
-
-def rate_of_latest(history: DataFrame, keys: list[str], ordinal: str, value: str, known: Column, count: int, by_event: bool = False) -> DataFrame:
-    """A rate over the latest ``count`` rows with a label known in time; ``by_event`` counts events instead,
-    before the labels are looked at."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(ordinal))
-    fits = known & F.col(value).isNotNull()
-    if by_event:
-        cut = history.withColumn("k", F.dense_rank().over(order)).filter(F.col("k") <= count).filter(fits)
-    else:
-        cut = history.filter(fits).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= count)
-    return cut.groupBy(*keys).agg(F.round(F.avg(F.col(value).cast("int")), 6).alias("rate"), F.count("*").alias("observations"))
-
-
-def venue(history: DataFrame, keys: list[str], entrant: str, same: Column, position: str, dnf: str, known: Column) -> tuple[DataFrame, DataFrame]:
-    """Per entrant its mean finish at the venue; per event the venue's retirement rate and whether it was seen."""
-    at = history.withColumn("same", same)
-    own = at.filter("same").groupBy(*keys, entrant).agg(F.round(F.avg(position), 6).alias("venue_finish"), F.count(position).alias("venue_count"))
-    rate = at.groupBy(*keys).agg(F.round(F.avg(F.when(F.col("same") & known, F.col(dnf).cast("int"))), 6).alias("venue_dnf"), F.max(F.col("same").cast("int")).cast("long").alias("seen"))
-    return own, rate
-
-
 def mate_delta(rows: DataFrame, event: list[str], team: str, value: str) -> Column:
     """Own value minus the mean of the team mates' known ones, from one window's sums."""
     w = Window.partitionBy(*event, team)
@@ -75,17 +47,6 @@ def mate_delta(rows: DataFrame, event: list[str], team: str, value: str) -> Colu
     return F.col(value) - (F.sum(value).over(w) - F.col(value)) / F.when(others > 0, others)
 
 
-def head_to_head(history: DataFrame, keys: list[str], event: list[str], team: str, entrant: str, value: str, ordinal: str, window: int = 10) -> DataFrame:
-    """Share of the latest ``window`` comparable appearances ahead of the best team mate; a tie counts half.
-
-    ``history`` has each earlier row of a target; the best mate comes from the event's own rows (``mate``)."""
-    known = history.filter(F.col(value).isNotNull() & F.col("mate").isNotNull())
-    order = Window.partitionBy(*keys, entrant).orderBy(F.desc(ordinal))
-    cut = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= window)
-    won = F.when(F.col(value) < F.col("mate"), 1.0).when(F.col(value) == F.col("mate"), 0.5).otherwise(0.0)
-    return cut.groupBy(*keys, entrant).agg(F.round(F.avg(won), 6).alias("share"), F.count("*").alias("comparable"))
-
-
 def best_mate(rows: DataFrame, event: list[str], team: str, entrant: str, value: str) -> DataFrame:
     """Each row with the smallest value of the others of its team in the event, from the two smallest of the team."""
     two = F.array_sort(F.collect_list(F.struct(value, entrant)).over(Window.partitionBy(*event, team)))
@@ -118,15 +79,6 @@ def similar(profiles: DataFrame, ident: str, values: list[str], bandwidth: float
     return j.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= count).select(ident, "other", "k", F.round("weight", 6).alias("weight"))
 
 
-def kernel_delta(history: DataFrame, kernel: DataFrame, keys: list[str], ordinal: str, target: str, place: str, value: str, limit: int) -> DataFrame:
-    """Kernel-weighted value at similar places minus the own mean over the latest ``limit`` known values."""
-    known = history.filter(F.col(value).isNotNull())
-    cut = known.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ordinal)))).filter(F.col("k") <= limit)
-    base = cut.withColumn("base", F.avg(value).over(Window.partitionBy(*keys)))
-    j = base.join(F.broadcast(kernel.withColumnRenamed("other", place)), [target, place])
-    return j.groupBy(*keys).agg(F.round(F.sum(F.col("weight") * (F.col(value) - F.col("base"))) / F.sum("weight"), 6).alias("delta"))
-
-
 def practice(rows: DataFrame, event: list[str], team: str, best: str) -> DataFrame:
     """C14: position, relative gap to the fastest, difference to the team mates, and rank over field size less one."""
     w = Window.partitionBy(*event)

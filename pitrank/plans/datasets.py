@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitrank.operators import asof, draws, folds, ledger, quality
+from pitrank.operators import asof, draws, folds, history, ledger, quality
 from pitrank.plans.evaluation import RANKED, ranked
-from pitrank.plans.pointintime import EVENT, PRIOR, _venue, prior
+from pitrank.plans.pointintime import EVENT, PRIOR, _venue, asked, facts, running
 from pitrank.plans.points import LATEST
 from pitrank.plans.registry import query
 
@@ -286,8 +286,7 @@ FORM = f"""{PRIOR}, v AS (SELECT league, day, driver_id, avg(label_position) AS
 
 def with_form(t):
     """Rows with the mean place and the retirement rate that were known by their cutoff."""
-    known = F.when(F.col("label_dnf_available_at") < F.col("target_cutoff"), F.col("label_dnf").cast("int"))
-    f = prior(t).groupBy(*KEY).agg(F.avg("label_position").alias("recent"), F.avg(known).alias("rate"))
+    f = running(t).select(*KEY, history.mean("places", "finishes").alias("recent"), history.mean("out", "judged").alias("rate"))
     return t("results").join(f, KEY, "left").withColumn("grid", F.expr("case when user_id % 10 <> 0 then qualifying_position else 0 end"))
 
 
@@ -349,13 +348,7 @@ def _(t):
     r, parts = t("results").withColumn("grid", F.expr("case when user_id % 10 <> 0 then qualifying_position end")), []
     for contract, hours in CONTRACTS.items():
         targets = t("starts").withColumn("cutoff", F.col("cutoff") - F.expr(f"INTERVAL {hours} HOUR"))
-        pairs = asof.earlier_events(targets, t("starts"), ["league"], "day", "cutoff", "label_available_at", ["circuit_id"])
-        rows = r.select("league", F.col("day").alias("prior"), "driver_id", "label_position", "label_dnf", "label_dnf_available_at")
-        here = t("starts").select(*EVENT, F.col("circuit_id").alias("target_circuit"))
-        h = pairs.select("league", "day", "target_cutoff", "prior", "circuit_id").join(rows, ["league", "prior"]).join(here, EVENT)
-        known = F.when(F.col("label_dnf_available_at") < F.col("target_cutoff"), F.col("label_dnf").cast("int"))
-        at_venue = F.when(F.col("circuit_id") == F.col("target_circuit"), F.col("label_position"))
-        a = h.groupBy(*KEY).agg(F.round(F.avg("label_position"), 6).alias("form"), F.round(F.avg(known), 6).alias("dnf_rate"), F.round(F.avg(at_venue), 6).alias("venue_form"), F.count("*").alias("history"))
+        a = running(t, asked(t, events=targets)).select(*KEY, F.round(history.mean("places", "finishes"), 6).alias("form"), F.round(history.mean("out", "judged"), 6).alias("dnf_rate"), F.round(history.mean("venue_places", "venue_finishes"), 6).alias("venue_form"), F.col("rows").alias("history"))
         weekend = {"qualifying_position": contract != "pre_weekend", "grid_position": contract == "grid"}
         own = r.drop("cutoff").join(targets.select(*EVENT, "cutoff"), EVENT).withColumn("grid_position", F.col("grid")).join(a, KEY, "left")
         own = own.withColumns({c: F.when(F.lit(has), F.col(c)) for c, has in weekend.items()})
@@ -378,7 +371,7 @@ def _(t):
     forecast. Each leg is one row per entrant or event before it joins."""
     o = asof.latest(t("publications"), KEY, "available_at", ["constructor_id", "position"], "cutoff").select(*KEY, F.col("constructor_id").alias("team"), "position")
     b = t("sessions").filter(asof.known_by("available_at", "cutoff") & (F.col("provider") == "a")).groupBy(*KEY).agg(F.min("best").alias("best"))
-    h = prior(t).groupBy(*KEY).agg(F.round(F.avg("label_position"), 6).alias("form"), F.count("label_position").alias("finishes"))
+    h = running(t).select(*KEY, F.round(history.mean("places", "finishes"), 6).alias("form"), "finishes")
     own, rate = _venue(t)
     points = ledger.standings(t("points"), t("starts"), t("results"), ["league", "season"], "round", EVENT, "cutoff", "driver_id").select(*KEY, "points_before", F.col("gap").alias("points_gap"))
     w = asof.in_hour(t("starts"), t("forecast"), "cutoff", "valid_at", EVENT, ["precipitation", "temperature"])
@@ -392,8 +385,7 @@ def _(t):
 
 @query("B20_live_rows", f"WITH {PRIOR} SELECT league, day, driver_id, round(avg(label_position), 6) AS form, CASE WHEN count(label_position) = 0 THEN 'no_known_finish' END AS form_reason FROM p GROUP BY ALL")
 def _(t):
-    h = prior(t).groupBy(*KEY)
-    return h.agg(F.round(F.avg("label_position"), 6).alias("form"), F.when(F.count("label_position") == 0, "no_known_finish").alias("form_reason"))
+    return running(t).select(*KEY, F.round(history.mean("places", "finishes"), 6).alias("form"), F.when(F.col("finishes") == 0, "no_known_finish").alias("form_reason"))
 
 
 @query("B20_live_features", f"""WITH {PRIOR}, a AS (SELECT league, day, driver_id, avg(label_position) AS form, avg(CASE WHEN label_dnf_available_at < target_cutoff THEN CAST(label_dnf AS INT) END) AS dnf_rate, avg(label_position) FILTER (WHERE circuit_id = target_circuit) AS venue_form, avg(qualifying_position) AS qualifying_form, count(*) AS seen FROM p GROUP BY ALL)
@@ -403,9 +395,7 @@ SELECT r.league, r.day, r.driver_id, round(form, 6) AS form, round(dnf_rate, 6)
 FROM {{results}} r LEFT JOIN a ON a.league = r.league AND a.day = r.day AND a.driver_id = r.driver_id""")
 def _(t):
     """All features of the contract without labels, and for each that is null the reason."""
-    known = F.when(F.col("label_dnf_available_at") < F.col("target_cutoff"), F.col("label_dnf").cast("int"))
-    at = prior(t).join(t("starts").select(*EVENT, F.col("circuit_id").alias("target_circuit")), EVENT)
-    a = at.groupBy(*KEY).agg(F.avg("label_position").alias("form"), F.avg(known).alias("dnf_rate"), F.avg(F.when(F.col("circuit_id") == F.col("target_circuit"), F.col("label_position"))).alias("venue_form"), F.avg("qualifying_position").alias("qualifying_form"), F.count("*").alias("seen"))
+    a = running(t).select(*KEY, history.mean("places", "finishes").alias("form"), history.mean("out", "judged").alias("dnf_rate"), history.mean("venue_places", "venue_finishes").alias("venue_form"), history.mean("grids", "rows").alias("qualifying_form"), F.col("rows").alias("seen"))
     d = t("results").select(*KEY).join(a, KEY, "left")
     why = {"form": "no_known_finish", "dnf_rate": "no_known_label", "venue_form": "venue_not_seen", "qualifying_form": "no_prior_event"}
     reasons = quality.missing_reasons({f: [(F.col("seen").isNull(), "no_prior_event"), (F.lit(True), r)] for f, r in why.items()})
@@ -452,7 +442,7 @@ def _(t):
 @query("B29_roster_precedence", f"WITH {PRIOR}, l AS (SELECT league, day, driver_id, max_by(constructor_id, prior) AS known FROM p GROUP BY ALL) SELECT r.league, r.day, r.driver_id, coalesce(CASE WHEN r.user_id % 3 = 0 THEN r.constructor_id END, l.known, r.constructor_id) AS team, CASE WHEN r.user_id % 3 = 0 THEN 'session' WHEN l.known IS NOT NULL THEN 'latest_roster' ELSE 'entry' END AS source FROM {{results}} r LEFT JOIN l USING (league, day, driver_id)")
 def _(t):
     session = t("results").filter("user_id % 3 = 0").select(*KEY, F.col("constructor_id").alias("own"))
-    known = prior(t).groupBy(*KEY).agg(F.max_by("constructor_id", "prior").alias("known"))
+    known = history.known(facts(t), asked(t), ["league", "driver_id"], "label_available_at", "target_cutoff", latest={"h": (1, ["prior", "constructor_id"])}).filter(F.size("h") > 0).select(*KEY, F.col("h")[0]["constructor_id"].alias("known"))
     j = t("results").select(*KEY, "constructor_id").join(session, KEY, "left").join(known, KEY, "left")
     return j.select(*KEY, F.coalesce("own", "known", "constructor_id").alias("team"), F.when(F.col("own").isNotNull(), "session").when(F.col("known").isNotNull(), "latest_roster").otherwise("entry").alias("source"))
 
@@ -460,4 +450,4 @@ def _(t):
 @query("B30_sprint_rows", f"WITH {PRIOR} SELECT p.league, p.day, p.driver_id, round(avg(p.label_position), 6) AS form, CASE WHEN max(r.season) < 2025 THEN max(r.qualifying_position) ELSE max(r.qualifying_position) + 1 END AS grid FROM p JOIN {{results}} r ON r.league = p.league AND r.day = p.day AND r.driver_id = p.driver_id WHERE r.round % 4 = 0 GROUP BY ALL")
 def _(t):
     r = t("results").filter("round % 4 = 0").select(*KEY, F.expr("case when season < 2025 then qualifying_position else qualifying_position + 1 end").alias("grid"))
-    return prior(t).groupBy(*KEY).agg(F.round(F.avg("label_position"), 6).alias("form")).join(r, KEY)
+    return running(t).select(*KEY, F.round(history.mean("places", "finishes"), 6).alias("form")).join(r, KEY)

@@ -5,18 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitrank.operators import asof, form
+from pitrank.operators import asof, form, history
 from pitrank.plans.fixtures import Tables
 from pitrank.plans.registry import query
 
 EVENT = ["league", "day"]
 
 
-def prior(t: Tables) -> DataFrame:
-    """Earlier entrant rows of every target event whose labels were all known before its cutoff."""
-    pairs = asof.earlier_events(t("starts"), t("starts"), ["league"], "day", "cutoff", "label_available_at", ["circuit_id"])
-    rows = t("results").select("league", F.col("day").alias("prior"), "driver_id", "constructor_id", "label_position", "label_dnf", "label_dnf_available_at", "qualifying_position")
-    return pairs.select("league", "day", "target_cutoff", "prior", "circuit_id").join(rows, ["league", "prior"])
+def facts(t: Tables) -> DataFrame:
+    """Entrant rows of all events with the clock at which their event's labels are known."""
+    r = t("results").select(*EVENT, F.col("day").alias("prior"), "driver_id", "constructor_id", "circuit_id", "label_position", F.col("label_dnf").cast("int").alias("label_dnf"), "label_dnf_available_at", "qualifying_position")
+    both = F.when(F.col("label_dnf_available_at").isNotNull(), F.greatest("label_available_at", "label_dnf_available_at"))
+    return r.join(t("starts").select(*EVENT, "label_available_at"), EVENT).withColumn("both_at", both)
+
+
+def asked(t: Tables, who: str | None = "driver_id", events: DataFrame | None = None) -> DataFrame:
+    """Every event as a target, for everyone (or every team) of its league."""
+    e = (t("starts") if events is None else events).select(*EVENT, F.col("cutoff").alias("target_cutoff"), F.col("circuit_id").alias("target_circuit"))
+    return e if who is None else e.join(t("results").select("league", who).distinct(), "league")
+
+
+BOTH = "both_at"  #: clock at which both the event's labels and the row's own are known
+
+
+def running(t: Tables, targets: DataFrame | None = None) -> DataFrame:
+    """Targets with sums over what was known of each entrant: rows, places, retirements, qualifying, and places at the
+    target's venue. Targets without any known row are left out."""
+    f, who = facts(t), ["league", "driver_id"]
+    d = asked(t) if targets is None else targets
+    place = F.col("label_position")
+    d = history.known(f, d, who, "label_available_at", "target_cutoff", {"rows": F.lit(1), "places": place, "finishes": place.isNotNull().cast("int"), "grids": F.col("qualifying_position"), "all_out": F.col("label_dnf"), "all_judged": F.col("label_dnf").isNotNull().cast("int")})
+    d = history.known(f.filter("label_dnf is not null"), d, who, BOTH, "target_cutoff", {"out": F.col("label_dnf"), "judged": F.lit(1)})
+    f = f.withColumnRenamed("circuit_id", "target_circuit")
+    d = history.known(f, d, [*who, "target_circuit"], "label_available_at", "target_cutoff", {"here": F.lit(1), "venue_places": place, "venue_finishes": place.isNotNull().cast("int")})
+    return d.filter("rows > 0")
 
 
 PRIOR = """p AS (SELECT t.league, t.day, t.cutoff AS target_cutoff, t.circuit_id AS target_circuit, e.circuit_id, e.day AS prior, r.driver_id, r.constructor_id, r.label_position, r.label_dnf, r.label_dnf_available_at, r.qualifying_position
@@ -130,7 +152,7 @@ def _(t):
     key = [*EVENT, "driver_id"]
     q = asof.latest(t("publications"), key, "available_at", ["position"], "cutoff").select(*key, "position")
     s = t("sessions").filter(asof.known_by("available_at", "cutoff") & (F.col("provider") == "a")).groupBy(*key).agg(F.round(F.min("best"), 6).alias("best"))
-    h = prior(t).groupBy(*key).agg(F.count("*").alias("n"), F.round(F.avg("label_position"), 6).alias("history_mean"))
+    h = running(t).select(*key, F.col("rows").alias("n"), F.round(history.mean("places", "finishes"), 6).alias("history_mean"))
     f = asof.in_hour(t("starts"), t("forecast"), "cutoff", "valid_at", EVENT, ["precipitation"])
     d = t("results").select(*key).join(q, key, "left").join(s, key, "left").join(h, key, "left").join(f, EVENT, "left")
     d = d.select(*key, "position", "best", "history_mean", F.coalesce("n", F.lit(0)).alias("history_count"), "precipitation")
@@ -161,7 +183,7 @@ SELECT k.league, k.cutoff_event, k.target_event, r.driver_id, f.form, f.dnf_rate
 def _(t):
     """History features of each target's roster as of the earlier cutoff event: never as of the target's own."""
     pairs = asof.lagged(t("starts"), ["league", "season"], "day", 8).select("league", "cutoff_event", "target_event")
-    f = prior(t).groupBy("league", F.col("day").alias("cutoff_event"), "driver_id").agg(F.round(F.avg("label_position"), 6).alias("form"), F.count("label_position").alias("known"), F.round(F.avg(F.col("label_dnf").cast("int")), 6).alias("dnf_rate"))
+    f = running(t).select("league", F.col("day").alias("cutoff_event"), "driver_id", F.round(history.mean("places", "finishes"), 6).alias("form"), F.col("finishes").alias("known"), F.round(history.mean("all_out", "all_judged"), 6).alias("dnf_rate"))
     roster = t("results").select("league", F.col("day").alias("target_event"), "driver_id")
     d = pairs.join(roster, ["league", "target_event"]).join(f, ["league", "cutoff_event", "driver_id"], "left")
     return d.select("league", "cutoff_event", "target_event", "driver_id", "form", "dnf_rate", F.coalesce("known", F.lit(0)).alias("known"))
@@ -202,22 +224,31 @@ def _(t):
 
 @query("C03_last_appearances", f"WITH {PRIOR}, k AS (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY prior DESC) AS k FROM p), f AS (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY prior DESC) AS j FROM k WHERE k <= 10 AND label_position IS NOT NULL) SELECT league, day, driver_id, round(avg(label_position), 6) AS mean_all, round(avg(label_position) FILTER (WHERE j <= 5), 6) AS mean_first, count(*) AS observations FROM f GROUP BY ALL")
 def _(t):
-    return form.last_appearances(prior(t), [*EVENT, "driver_id"], "prior", "label_position", 10, 5)
+    d = history.last_appearances(facts(t), asked(t), ["league", "driver_id"], "label_available_at", "target_cutoff", "prior", "label_position", 10, 5)
+    return d.select(*EVENT, "driver_id", "mean_all", "mean_first", "observations")
 
 
 @query("C04_entrant_dnf_rate", f"WITH {PRIOR}, k AS (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY prior DESC) AS k FROM p WHERE label_dnf IS NOT NULL AND label_dnf_available_at < target_cutoff) SELECT league, day, driver_id, round(avg(CAST(label_dnf AS INT)), 6) AS rate, count(*) AS observations FROM k WHERE k <= 10 GROUP BY ALL")
 def _(t):
-    return form.rate_of_latest(prior(t), [*EVENT, "driver_id"], "prior", "label_dnf", asof.known_by("label_dnf_available_at", "target_cutoff", True), 10)
+    d = history.rate_of_latest(facts(t), asked(t), ["league", "driver_id"], BOTH, "target_cutoff", "prior", "label_dnf", 10)
+    return d.select(*EVENT, "driver_id", "rate", "observations")
 
 
 @query("C05_team_dnf_rate", f"WITH {PRIOR}, k AS (SELECT *, dense_rank() OVER (PARTITION BY league, day, constructor_id ORDER BY prior DESC) AS k FROM p) SELECT league, day, constructor_id, round(avg(CAST(label_dnf AS INT)), 6) AS rate, count(*) AS observations FROM k WHERE k <= 10 AND label_dnf IS NOT NULL AND label_dnf_available_at < target_cutoff GROUP BY ALL")
 def _(t):
-    return form.rate_of_latest(prior(t), [*EVENT, "constructor_id"], "prior", "label_dnf", asof.known_by("label_dnf_available_at", "target_cutoff", True), 10, by_event=True)
+    d = history.rate_of_latest_events(facts(t), asked(t, "constructor_id"), ["league", "constructor_id"], "label_available_at", "label_dnf_available_at", "target_cutoff", "prior", "label_dnf", 10)
+    return d.select(*EVENT, "constructor_id", "rate", "observations")
 
 
 def _venue(t):
-    h = prior(t).join(t("starts").select(*EVENT, F.col("circuit_id").alias("target_circuit")), EVENT)
-    return form.venue(h, EVENT, "driver_id", F.col("circuit_id") == F.col("target_circuit"), "label_position", "label_dnf", asof.known_by("label_dnf_available_at", "target_cutoff", True))
+    """Each entrant's places at the target's venue; each event's retirement rate there and whether the venue was seen."""
+    own = running(t).filter("here > 0").select(*EVENT, "driver_id", F.round(history.mean("venue_places", "venue_finishes"), 6).alias("venue_finish"), F.col("venue_finishes").alias("venue_count"))
+    f = facts(t).withColumnRenamed("circuit_id", "target_circuit")
+    e = f.select(*EVENT, "target_circuit", "label_available_at").distinct()
+    d = history.known(e, asked(t, None), ["league"], "label_available_at", "target_cutoff", {"events": F.lit(1)}).filter("events > 0")
+    d = history.known(e, d, ["league", "target_circuit"], "label_available_at", "target_cutoff", {"here": F.lit(1)})
+    d = history.known(f.filter("label_dnf is not null"), d, ["league", "target_circuit"], BOTH, "target_cutoff", {"out": F.col("label_dnf"), "judged": F.lit(1)})
+    return own, d.select(*EVENT, F.round(history.mean("out", "judged"), 6).alias("venue_dnf"), (F.col("here") > 0).cast("long").alias("seen"))
 
 
 @query("C06_entrant_at_venue", f"WITH {PRIOR} SELECT league, day, driver_id, round(avg(label_position), 6) AS venue_finish, count(label_position) AS venue_count FROM p WHERE circuit_id = target_circuit GROUP BY ALL")
@@ -232,11 +263,13 @@ def _(t):
 
 @query("C07_recent_form", f"WITH {PRIOR}, d AS (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY prior DESC) AS k FROM p), c AS (SELECT *, dense_rank() OVER (PARTITION BY league, day, constructor_id ORDER BY prior DESC) AS k FROM p) SELECT x.league, x.day, x.driver_id, x.m AS driver_form, y.m AS team_form FROM (SELECT league, day, driver_id, any_value(constructor_id) AS constructor_id, round(avg(label_position), 6) AS m FROM d WHERE k <= 5 GROUP BY league, day, driver_id) x JOIN (SELECT league, day, constructor_id, round(avg(label_position), 6) AS m FROM c WHERE k <= 5 GROUP BY ALL) y USING (league, day, constructor_id)")
 def _(t):
-    from pyspark.sql import Window
-
-    h = prior(t)
-    own = h.withColumn("k", F.row_number().over(Window.partitionBy(*EVENT, "driver_id").orderBy(F.desc("prior")))).filter("k <= 5").groupBy(*EVENT, "driver_id", "constructor_id").agg(F.round(F.avg("label_position"), 6).alias("driver_form"))
-    team = h.withColumn("k", F.dense_rank().over(Window.partitionBy(*EVENT, "constructor_id").orderBy(F.desc("prior")))).filter("k <= 5").groupBy(*EVENT, "constructor_id").agg(F.round(F.avg("label_position"), 6).alias("team_form"))
+    f = facts(t)
+    own = history.known(f, asked(t), ["league", "driver_id"], "label_available_at", "target_cutoff", latest={"h": (5, ["prior", "constructor_id", "label_position"])})
+    own = own.select(*EVENT, "driver_id", F.explode("h").alias("h")).groupBy(*EVENT, "driver_id", "h.constructor_id").agg(F.round(F.avg("h.label_position"), 6).alias("driver_form"))
+    per = f.groupBy("league", "constructor_id", "prior", "label_available_at").agg(F.sum("label_position").alias("s"), F.count("label_position").alias("c"))
+    team = history.known(per, asked(t, "constructor_id"), ["league", "constructor_id"], "label_available_at", "target_cutoff", latest={"h": (5, ["prior", "s", "c"])})
+    total = lambda c: F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[c], F.lit(0)))
+    team = team.filter(F.size("h") > 0).select(*EVENT, "constructor_id", F.round(total("s") / F.when(total("c") > 0, total("c")), 6).alias("team_form"))
     return own.join(team, [*EVENT, "constructor_id"]).drop("constructor_id")
 
 
@@ -248,8 +281,9 @@ def _(t):
 
 @query("C09_head_to_head", f"WITH {PRIOR}, m AS (SELECT a.*, (SELECT min(b.qualifying_position) FROM p b WHERE b.league = a.league AND b.day = a.day AND b.prior = a.prior AND b.constructor_id = a.constructor_id AND b.driver_id <> a.driver_id) AS mate FROM p a), k AS (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY prior DESC) AS k FROM m WHERE mate IS NOT NULL) SELECT league, day, driver_id, round(avg(CASE WHEN qualifying_position < mate THEN 1.0 WHEN qualifying_position = mate THEN 0.5 ELSE 0.0 END), 6) AS share, count(*) AS comparable FROM k WHERE k <= 10 GROUP BY ALL")
 def _(t):
-    rows = form.best_mate(t("results"), EVENT, "constructor_id", "driver_id", "qualifying_position").select("league", F.col("day").alias("prior"), "driver_id", "mate")
-    return form.head_to_head(prior(t).join(rows, ["league", "prior", "driver_id"]), EVENT, ["league", "prior"], "constructor_id", "driver_id", "qualifying_position", "prior")
+    mates = form.best_mate(t("results"), EVENT, "constructor_id", "driver_id", "qualifying_position").select(*EVENT, "driver_id", "mate")
+    d = history.head_to_head(facts(t).join(mates, [*EVENT, "driver_id"]), asked(t), ["league", "driver_id"], "label_available_at", "target_cutoff", "prior", "qualifying_position", "mate", 10)
+    return d.select(*EVENT, "driver_id", "share", "comparable")
 
 
 @query("C10_elo_step", """WITH r AS (SELECT *, 1500 + user_id % 7 * 20 AS rating FROM {results} WHERE label_position IS NOT NULL)
@@ -271,21 +305,7 @@ def _(t):
 @query("C13_similar_venue_delta", f"WITH {PRIOR}, {KERNEL}, w AS (SELECT circuit_id AS target_circuit, other, round(weight, 6) AS weight FROM n WHERE k <= 5), c AS (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY prior DESC) AS k FROM p WHERE label_position IS NOT NULL), b AS (SELECT *, avg(label_position) OVER (PARTITION BY league, day, driver_id) AS base FROM c WHERE k <= 40) SELECT league, day, driver_id, round(sum(weight * (label_position - base)) / sum(weight), 6) AS delta FROM b JOIN w ON w.target_circuit = b.target_circuit AND w.other = b.circuit_id GROUP BY ALL")
 def _(t):
     kernel = form.similar(t("profiles"), "circuit_id", ["a", "b"], 1.0, 5).select(F.col("circuit_id").alias("target_circuit"), "other", "weight")
-    h = prior(t).join(t("starts").select(*EVENT, F.col("circuit_id").alias("target_circuit")), EVENT)
-    return form.kernel_delta(h, kernel, [*EVENT, "driver_id"], "prior", "target_circuit", "circuit_id", "label_position", 40)
-
-
-@query("C12_venue_similarity_all_parts")
-def _(t):
-    """Each of the seven venues that host events has one profile, the mean over its share of all parts."""
-    return form.similar(t("all_profiles"), "circuit_id", ["a", "b"], 1.0, 5).withColumn("k", F.col("k").cast("long"))
-
-
-@query("C13_similar_venue_delta_all_parts")
-def _(t):
-    kernel = form.similar(t("all_profiles"), "circuit_id", ["a", "b"], 1.0, 5).select(F.col("circuit_id").alias("target_circuit"), "other", "weight")
-    h = prior(t).join(t("starts").select(*EVENT, F.col("circuit_id").alias("target_circuit")), EVENT)
-    return form.kernel_delta(h, kernel, [*EVENT, "driver_id"], "prior", "target_circuit", "circuit_id", "label_position", 40)
+    return history.kernel_delta(facts(t), asked(t), kernel, ["league", "driver_id"], "label_available_at", "target_cutoff", "prior", "circuit_id", "target_circuit", "label_position", 40, [*EVENT, "driver_id"])
 
 
 @query("C14_practice_relative", "SELECT s.league, s.day, s.driver_id, rank() OVER w AS place, round(best / min(best) OVER (PARTITION BY league, day) - 1, 6) AS gap, round(best - (SELECT avg(m.best) FROM {sessions} m WHERE m.provider = 'a' AND m.league = s.league AND m.day = s.day AND m.constructor_id = s.constructor_id AND m.driver_id <> s.driver_id), 6) AS mate_gap, round((rank() OVER w - 1) / nullif(count(*) OVER (PARTITION BY league, day) - 1, 0), 6) AS share FROM {sessions} s WHERE provider = 'a' WINDOW w AS (PARTITION BY league, day ORDER BY best)")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitrank.operators import asof, laps
-from pitrank.plans.pointintime import EVENT, PRIOR, prior
+from pitrank.operators import asof, history, laps
+from pitrank.plans.pointintime import BOTH, EVENT, PRIOR, asked, facts
 from pitrank.plans.registry import query
 
 KEY = ["session", "user_id"]
@@ -87,11 +87,11 @@ def _(t):
 @query("C27_strategy_features", f"""WITH {PRIOR}, k AS (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY prior DESC) AS i FROM p WHERE label_position IS NOT NULL), q AS (SELECT *, row_number() OVER (PARTITION BY league, day, driver_id ORDER BY prior DESC) AS i FROM p WHERE label_dnf IS NOT NULL)
 SELECT a.league, a.day, a.driver_id, a.m AS mean_finish, b.m AS mean_dnf FROM (SELECT league, day, driver_id, round(avg(label_position), 6) AS m FROM k WHERE i <= 10 GROUP BY ALL) a FULL JOIN (SELECT league, day, driver_id, round(avg(CAST(label_dnf AS INT)), 6) AS m FROM q WHERE i <= 10 GROUP BY ALL) b USING (league, day, driver_id)""".replace("SELECT a.league, a.day, a.driver_id, a.m", "SELECT league, day, driver_id, a.m"))
 def _(t):
-    h, key = prior(t), [*EVENT, "driver_id"]
     def latest(value: str, name: str):
-        own = h.filter(F.col(value).isNotNull()).withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("prior")))).filter("i <= 10")
-        return own.groupBy(*key).agg(F.round(F.avg(F.col(value).cast("int")), 6).alias(name))
-    return latest("label_position", "mean_finish").join(latest("label_dnf", "mean_dnf"), key, "full")
+        d = history.known(facts(t).filter(F.col(value).isNotNull()), asked(t), ["league", "driver_id"], "label_available_at", "target_cutoff", latest={"h": (10, ["prior", value])})
+        return d.filter(F.size("h") > 0).select(*EVENT, "driver_id", F.round(history.mean_of(F.col("h"), lambda x: x[value]), 6).alias(name))
+
+    return latest("label_position", "mean_finish").join(latest("label_dnf", "mean_dnf"), [*EVENT, "driver_id"], "full")
 
 
 @query("C28_forecast_run", "SELECT league, day, CAST(CASE WHEN date_part('hour', cutoff - INTERVAL 12 HOUR) >= 12 THEN date_trunc('day', cutoff - INTERVAL 12 HOUR) + INTERVAL 12 HOUR ELSE date_trunc('day', cutoff - INTERVAL 12 HOUR) END AS VARCHAR) AS run FROM {starts}")
@@ -147,8 +147,9 @@ def _(t):
 
 @query("C35_retirement_prior", f"WITH {PRIOR} SELECT league, day, round((1 + sum(CAST(label_dnf AS INT))) / (2 + count(label_dnf)), 6) AS prior FROM p WHERE label_dnf_available_at < target_cutoff AND label_dnf IS NOT NULL GROUP BY ALL")
 def _(t):
-    h = prior(t).filter(asof.known_by("label_dnf_available_at", "target_cutoff", True)).filter("label_dnf is not null")
-    return h.groupBy(*EVENT).agg(F.round((1 + F.sum(F.col("label_dnf").cast("int"))) / (2 + F.count("label_dnf")), 6).alias("prior"))
+    f = facts(t).filter("label_dnf is not null")
+    d = history.known(f, asked(t, None), ["league"], BOTH, "target_cutoff", {"out": F.col("label_dnf"), "judged": F.lit(1)})
+    return d.filter("judged > 0").select(*EVENT, F.round((1 + F.col("out")) / (2 + F.col("judged")), 6).alias("prior"))
 
 
 @query("C36_forecast_status", """WITH w AS (SELECT s.league, s.day, count(f.precipitation) AS n FROM {starts} s LEFT JOIN {forecast} f ON f.valid_at > date_trunc('hour', s.cutoff) - INTERVAL 6 HOUR AND f.valid_at <= date_trunc('hour', s.cutoff) + INTERVAL 2 HOUR GROUP BY s.league, s.day) SELECT CASE WHEN day <= 1 THEN 'before_archive' WHEN n = 8 THEN 'audited' ELSE 'incomplete' END AS status, count(*) AS events FROM w GROUP BY 1""")
