@@ -119,11 +119,11 @@ def at_most(rows: DataFrame, keys: list[str], p: str, places: int) -> DataFrame:
 
 
 def finals(ranked: DataFrame, totals: DataFrame, points: DataFrame, league: str, event: str, ident: str, scenarios: int, seed: int, draws: int) -> DataFrame:
-    """Each scenario takes one whole draw of every remaining event, adds points by place to the totals, and ranks:
+    """Each scenario takes one whole draw of every remaining event, adds the event's points by place to the totals, and ranks:
     total, place and the number of those with the same total."""
     events = ranked.select(league, event).distinct()
     pick = events.select("*", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario")).withColumn("draw", F.pmod(hashed(F.lit(str(seed)), F.col(event).cast("string"), F.col("scenario").cast("string"), F.lit("pick")), F.lit(draws)).cast("int"))
-    got = pick.join(ranked, [league, event, "draw"]).join(F.broadcast(points), "place", "left").groupBy(league, "scenario", ident).agg(F.sum(F.coalesce("points", F.lit(0.0))).alias("won"))
+    got = pick.join(ranked, [league, event, "draw"]).join(points, [event, "place"], "left").groupBy(league, "scenario", ident).agg(F.sum(F.coalesce("points", F.lit(0.0))).alias("won"))
     d = got.join(totals, [league, ident]).withColumn("total", F.col("won") + F.col("points_now"))
     w = Window.partitionBy(league, "scenario")
     same = F.count("*").over(Window.partitionBy(league, "scenario", "total"))

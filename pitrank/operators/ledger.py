@@ -94,3 +94,11 @@ def final_order(totals: DataFrame, keys: list[str], points: str, ident: str) ->
     """Order by points and id, with a mark where points are tied."""
     w = Window.partitionBy(*keys).orderBy(F.desc(points), ident)
     return totals.withColumn("place", F.row_number().over(w).cast("long")).withColumn("tied_on_points", F.count("*").over(Window.partitionBy(*keys, points)) > 1)
+
+
+def awards(events: DataFrame, rules: DataFrame, season: str, ordinal: str) -> DataFrame:
+    """``events`` with place and points by the rule range that holds their ordinal; the season's last range goes on."""
+    last = rules.groupBy(season).agg(F.max("last_round").alias("_last"))
+    r = F.broadcast(rules.join(last, season))  # a few ranges of places for each season
+    fits = (F.col(ordinal) >= F.col("first_round")) & ((F.col(ordinal) <= F.col("last_round")) | (F.col("last_round") == F.col("_last")))
+    return events.join(r, season).filter(fits).select(*events.columns, "place", "points")

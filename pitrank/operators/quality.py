@@ -198,3 +198,11 @@ def extended(reviewed: DataFrame, found: DataFrame, key: list[str], clock: str,
     """Reviewed rows win; other keys take their latest document."""
     top = found.join(reviewed, key, "left_anti").groupBy(*key).agg(F.max(F.struct(clock, *values)).alias("d"))
     return reviewed.select(*key, *values).withColumn("origin", F.lit("reviewed")).unionByName(top.select(*key, *[F.col(f"d.{v}").alias(v) for v in values], F.lit("latest").alias("origin")))
+
+
+def standings_coherent(places: DataFrame, means: DataFrame, now: DataFrame, keys: list[str], ident: str, tolerance: float = 1e-6) -> DataFrame:
+    """Per entrant whether its shares of places (``p``) sum to 1, none is beyond the field, and its mean points
+    are not below those it has (``points_now``)."""
+    size = means.groupBy(*keys).agg(F.count("*").alias("_n"))
+    d = places.groupBy(*keys, ident).agg(F.sum("p").alias("_p"), F.max("position").alias("_deepest")).join(size, keys).join(means, [*keys, ident]).join(now, [*keys, ident])
+    return d.select(*keys, ident, (F.abs(F.col("_p") - 1) < 1e-5).alias("positions_sum"), (F.col("_deepest") <= F.col("_n")).alias("positions_in_field"), (F.col("mean_points") >= F.col("points_now") - tolerance).alias("keeps_points"))

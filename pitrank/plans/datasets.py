@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitrank.operators import asof, draws, folds, history, ledger, quality
-from pitrank.plans.evaluation import RANKED, ranked
+from pitrank.plans.evaluation import FINALS, RANKED, ranked, remaining
 from pitrank.plans.pointintime import EVENT, PRIOR, _venue, asked, facts, running
 from pitrank.plans.points import LATEST
 from pitrank.plans.registry import query
@@ -176,10 +176,14 @@ def _(t):
     return quality.coherent(draws.distribution(ranked(t), "ev", "driver_id"), m, ["ev"], "driver_id")
 
 
-@query("E25_standings_coherence", "SELECT league, driver_id, sum(points) AS now, sum(points) + 5 >= sum(points) AS coherent FROM {points} WHERE version = 1 GROUP BY ALL")
+@query("E25_standings_coherence", f"""WITH {FINALS}, n AS (SELECT league, count(DISTINCT driver_id) AS entrants FROM z GROUP BY league), s AS (SELECT league, driver_id, unnest(range(place, place + same)) AS position, 1.0 / same AS share FROM z),
+q AS (SELECT league, driver_id, sum(share) / 16 AS total, max(position) AS deepest FROM s GROUP BY ALL), m AS (SELECT league, driver_id, avg(total) AS mean_points FROM z GROUP BY ALL)
+SELECT league, driver_id, abs(q.total - 1) < 1e-6 AS positions_sum, deepest <= entrants AS positions_in_field, mean_points >= c.now - 1e-6 AS keeps_points FROM q JOIN m USING (league, driver_id) JOIN n USING (league) JOIN c USING (league, driver_id)""")
 def _(t):
-    d = t("points").filter("version = 1").groupBy("league", "driver_id").agg(F.sum("points").alias("now")).withColumn("mean", F.col("now") + 5)
-    return d.select("league", "driver_id", "now", (F.col("mean") >= F.col("now")).alias("coherent"))
+    """The forecast of the standings: each entrant's places sum to 1 within the field, and nobody loses points."""
+    r, now, points = remaining(t)
+    d = draws.finals(r, now, points, "league", "ev", "driver_id", 16, 3, 32)
+    return quality.standings_coherent(draws.final_places(d, "league", "driver_id", 16), d.groupBy("league", "driver_id").agg(F.avg("total").alias("mean_points")), now, ["league"], "driver_id")
 
 
 @query("E26_leak_guard", "SELECT league, day, driver_id, 'label_after_cutoff' AS problem FROM {results} WHERE label_available_at > cutoff + INTERVAL 24 HOUR UNION ALL SELECT league, day, driver_id, 'status_uniform' FROM {results} WHERE label_dnf IS NULL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitrank.operators import draws, evaluate
+from pitrank.operators import draws, evaluate, ledger
 from pitrank.plans.pointintime import EVENT
 from pitrank.plans.registry import query
 
@@ -238,12 +238,12 @@ x AS (SELECT u.*, d.draw, {U.format("'5|' || ev || '|' || d.draw || '|' || drive
 r AS (SELECT league, ev, driver_id, draw, retired, row_number() OVER (PARTITION BY ev, draw ORDER BY retired, key DESC, driver_id) AS place FROM x)"""
 
 
-def utilities(t, shape="utilities"):
-    return t(shape).select("league", F.expr("league * 100 + day").alias("ev"), "driver_id", "utility", "p_dnf")
+def utilities(t):
+    return t("utilities").select("league", F.expr("league * 100 + day").alias("ev"), "driver_id", "utility", "p_dnf")
 
 
-def ranked(t, shape="utilities"):
-    return draws.rankings(utilities(t, shape), "ev", "driver_id", "utility", 32, 5, p_dnf="p_dnf")
+def ranked(t):
+    return draws.rankings(utilities(t), "ev", "driver_id", "utility", 32, 5, p_dnf="p_dnf")
 
 
 @query("G01_rankings", f"WITH {RANKED} SELECT ev, driver_id, draw, retired, place FROM r")
@@ -251,11 +251,6 @@ def _(t):
     return ranked(t).withColumn("draw", F.col("draw").cast("long"))
 
 
-@query("G01_rankings_all_days")
-def _(t):
-    return ranked(t, "all_utilities").withColumn("draw", F.col("draw").cast("long"))
-
-
 @query("G02_marginals", f"WITH {RANKED} SELECT ev, driver_id, round(avg(CAST(place = 1 AS INT)), 6) AS win, round(avg(CAST(place <= 3 AS INT)), 6) AS podium, round(avg(place), 6) AS mean_place, round(avg(CAST(retired AS INT)), 6) AS retirement FROM r GROUP BY ev, driver_id")
 def _(t):
     return draws.marginals(ranked(t), "ev", "driver_id")
@@ -301,16 +296,21 @@ def _(t):
 
 
 FINALS = f"""{RANKED}, k AS (SELECT e.league, e.ev, s.scenario, ('0x' || substr(md5('3|' || e.ev || '|' || s.scenario || '|pick'), 1, 8))::BIGINT % 32 AS draw FROM (SELECT DISTINCT league, ev FROM r WHERE ev % 100 > 9) e CROSS JOIN range(16) s(scenario)),
-w AS (SELECT k.league, k.scenario, r.driver_id, sum(coalesce(p.points, 0)) AS won FROM k JOIN r ON r.ev = k.ev AND r.draw = k.draw LEFT JOIN (SELECT place, points FROM {{rules}} WHERE season = 2024 AND first_round = 1) p ON p.place = r.place GROUP BY ALL),
+w AS (SELECT k.league, k.scenario, r.driver_id, sum(coalesce(p.points, 0)) AS won FROM k JOIN r ON r.ev = k.ev AND r.draw = k.draw LEFT JOIN (SELECT s.league * 100 + s.day AS ev, place, points FROM {{starts}} s JOIN {{rules}} u ON u.season = s.season AND s.round >= first_round AND (s.round <= last_round OR last_round = 12)) p ON p.ev = r.ev AND p.place = r.place GROUP BY ALL),
 c AS (SELECT league, driver_id, sum(points) AS now FROM {{points}} WHERE version = 1 AND day <= 9 GROUP BY ALL), t AS (SELECT w.league, w.scenario, w.driver_id, w.won + c.now AS total FROM w JOIN c USING (league, driver_id)),
 z AS (SELECT *, rank() OVER (PARTITION BY league, scenario ORDER BY total DESC) AS place, count(*) OVER (PARTITION BY league, scenario, total) AS same FROM t)"""
 
 
+def event_points(t):
+    """Points by place of every event, by the rule of its round."""
+    return ledger.awards(t("starts").select(F.expr("league * 100 + day").alias("ev"), "season", "round"), t("rules"), "season", "round").select("ev", "place", "points")
+
+
 def remaining(t):
-    """Draws of the events after the ninth day, points in effect until then, and the table of points."""
+    """Draws of the events after the ninth day, points in effect until then, and the points of each event."""
     r = ranked(t).join(utilities(t).select("league", "ev", "driver_id"), ["ev", "driver_id"]).filter("ev % 100 > 9")
     now = t("points").filter("version = 1 and day <= 9").groupBy("league", "driver_id").agg(F.sum("points").alias("points_now"))
-    return r, now, t("rules").filter("season = 2024 and first_round = 1").select("place", "points")
+    return r, now, event_points(t)
 
 
 @query("G09_standings_from_draws", f"""WITH {FINALS}
@@ -339,12 +339,11 @@ def _(t):
     left = s.filter("cutoff >= at").select("league", F.expr("league * 100 + day").alias("ev"))
     p = t("points").join(s.filter("cutoff < at").select(*EVENT, "at"), EVENT).filter("effective_at <= at")
     p = p.groupBy(*EVENT, "driver_id").agg(F.max_by("points", "version").alias("p")).groupBy("league", "driver_id").agg(F.sum("p").alias("n"))
-    u = utilities(t, "all_utilities").select("league", "ev", "driver_id")
+    u = utilities(t).select("league", "ev", "driver_id")
     now = u.join(left, ["league", "ev"]).select("league", "driver_id").union(p.select("league", "driver_id")).distinct()
     now = now.join(p, ["league", "driver_id"], "left").select("league", "driver_id", F.coalesce("n", F.lit(0.0)).alias("points_now"))
-    r = ranked(t, "all_utilities").join(u, ["ev", "driver_id"]).join(left, ["league", "ev"])
-    table = t("rules").filter("season = 2024 and first_round = 1").select("place", "points")
-    return draws.standings(r, now, table, "league", "ev", "driver_id", 16, 3, 32)
+    r = ranked(t).join(u, ["ev", "driver_id"]).join(left, ["league", "ev"])
+    return draws.standings(r, now, event_points(t), "league", "ev", "driver_id", 16, 3, 32)
 
 
 @query("G10_draw_validation", f"WITH {RANKED} SELECT ev, count(*) FILTER (WHERE n <> k OR n <> top) AS broken, count(*) AS draws FROM (SELECT ev, draw, count(*) AS n, count(DISTINCT place) AS k, max(place) AS top FROM r GROUP BY ALL) GROUP BY ev")

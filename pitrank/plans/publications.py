@@ -129,11 +129,6 @@ def _(t):
     return normalise.crosswalk(t("results").withColumn("number", F.expr("n % 20")), ["league", "day"], "number", "driver_id")
 
 
-@query("A14_number_crosswalk_by_event")
-def _(t):
-    return normalise.crosswalk(t("results").withColumn("number", F.expr("n % 20")), ["league", "day"], "number", "driver_id")
-
-
 @query("A15_code_crosswalk", "SELECT s_nationkey AS code, CASE WHEN count(*) = 1 THEN min(s_name) END AS name, count(*) > 1 AS conflict FROM {supplier} GROUP BY s_nationkey")
 def _(t):
     d = t("supplier").select(F.col("s_nationkey").alias("code"), F.col("s_name").alias("name"))

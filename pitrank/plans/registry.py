@@ -11,8 +11,6 @@ from pitrank.plans.fixtures import Tables, with_shapes
 FLAGSHIP = "C01_contiguous_windows"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Queries that were once cut to the first days; their names over all days stay, and give the same rows.
-SIX_DAYS = ("G02_marginals", "G02_distribution", "G03_mixture", "G04_mixture_draws", "G05_two_stage", "G07_race_table", "G08_predicted_order", "G10_draw_validation", "G11_calibrated_marginals")
 
 
 def query(name: str, sql: str | None = None):
@@ -20,8 +18,6 @@ def query(name: str, sql: str | None = None):
 
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
-        if name in SIX_DAYS:
-            QUERIES[f"{name}_all_days"] = lambda spark, folder: f(Tables(spark, folder, {"utilities": "all_utilities"}))
         if sql is not None:
             ORACLE_SQL[name] = with_shapes(sql)
         return f
@@ -30,3 +26,11 @@ def query(name: str, sql: str | None = None):
 
 
 from pitrank.plans import datasets, evaluation, pointintime, points, publications, sessions, streams  # noqa: E402, F401
+
+#: Other names of queries, kept from when these took in only a part of the days or venues.
+ALIASES = {
+    **{f"{name}_all_days": name for name in ("G01_rankings", "G02_marginals", "G02_distribution", "G03_mixture", "G04_mixture_draws", "G05_two_stage", "G07_race_table", "G08_predicted_order", "G10_draw_validation", "G11_calibrated_marginals")},
+    "C12_venue_similarity_all_parts": "C12_venue_similarity", "C13_similar_venue_delta_all_parts": "C13_similar_venue_delta", "A14_number_crosswalk_by_event": "A14_number_crosswalk",
+}
+QUERIES.update({name: QUERIES[of] for name, of in ALIASES.items()})
+ORACLE_SQL.update({name: ORACLE_SQL[of] for name, of in ALIASES.items()})

@@ -329,9 +329,30 @@ def _(t):
     return done[0].union(done[1]).select("doc_id", F.round("q", 4).alias("q"))
 
 
+def order_utility(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """Rows with the utility of their fold's order model."""
+    w = fits.groupBy("fold").agg(*[F.max(F.when(F.col("feature") == f, F.col("weight") / F.col("scale"))).alias(f"_{f}") for f in FEATURES])
+    d = rows.join(F.broadcast(w), "fold", "left")
+    return d.withColumn("order", sum((F.col(f) * F.col(f"_{f}") for f in FEATURES), F.lit(0.0))).drop(*[f"_{f}" for f in FEATURES])
+
+
+def candidates(t) -> DataFrame:
+    """F16: the outputs of every candidate at all test rows: logistic and ridge fits, trees of both kinds, order models."""
+    d, f = matrix(t), cohorts(t)
+    _, forest = forest_of(t, d, f)
+    out = models.out_of_fold(tested(d, f), fold_rows(t, d, f), "fold", FEATURES, "label_position", "label_dnf")
+    out = trees.predicted(trees.binned(order_utility(out, order_fits(t, d, f)), EDGES), forest, "fold", list(KINDS))
+    size = F.count("*").over(Window.partitionBy(*EVENT))
+    return settled(out.withColumn("place_trees", F.col("share") * size).withColumnRenamed("dnf", "p_dnf_trees").drop("bins", "share"))
+
+
 @query("F16_out_of_fold")
 def _(t):
-    return oof(t).select(*KEY, "fold", F.round(folds.utility("probability", "p_win", "n"), 4).alias("logistic"), F.round(folds.utility("position", "place_ridge", "n"), 4).alias("ridge"))
+    """Every candidate's utility, the baseline's, and the retirement probabilities, at every test row."""
+    o = candidates(t)
+    plain = folds.baseline(datasets.with_form(t), EVENT, ["grid", "recent"], "driver_id", "rate").select(*KEY, F.log("p_win").alias("heuristic"), F.col("p_dnf").alias("p_dnf_recent"))
+    u = {"logistic": folds.utility("probability", "p_win", "n"), "ridge": folds.utility("position", "place_ridge", "n"), "trees": folds.utility("position", "place_trees", "n"), "order": F.col("order"), "heuristic": F.col("heuristic")}
+    return o.join(plain, KEY).select(*KEY, "fold", *[F.round(x, 4).alias(name) for name, x in u.items()], *[F.round(p, 4).alias(p) for p in ("p_dnf", "p_dnf_trees", "p_dnf_recent")])
 
 
 RESAMPLES = 20
@@ -369,13 +390,21 @@ def _(t):
 
 
 def predictions_of_all(t) -> DataFrame:
-    """The long table of the backtest: every model's prediction of every test row, places held within 1..n and ranked."""
-    o = oof(t)
-    share = folds.normalised("p_win", EVENT)
-    fitted = o.select(*KEY, share.alias("p_win"), "p_podium", "p_dnf", F.col("place_ridge").alias("expected"))
+    """The long table of the backtest: every model's prediction of every test row, places held within 1..n and ranked.
+
+    The trees' and the order model's chances to win are those of their utilities in an order model (softmax)."""
+    o = candidates(t)
+    w = Window.partitionBy(*EVENT)
+    softmax = lambda d, u: d.withColumn("_top", u).withColumn("_top", F.max("_top").over(w)).withColumn("_e", F.exp(u - F.col("_top"))).withColumn("share", F.col("_e") / F.sum("_e").over(w))
+    none = F.lit(None).cast("double")
+    fitted = o.select(*KEY, folds.normalised("p_win", EVENT).alias("p_win"), "p_podium", "p_dnf", F.col("place_ridge").alias("expected"))
+    grown = softmax(o, -F.col("place_trees")).select(*KEY, F.col("share").alias("p_win"), none.alias("p_podium"), F.col("p_dnf_trees").alias("p_dnf"), F.col("place_trees").alias("expected"))
+    rank = F.row_number().over(w.orderBy(F.desc("order"), "driver_id")).cast("double")
+    ordered = softmax(o, F.col("order")).select(*KEY, F.col("share").alias("p_win"), none.alias("p_podium"), "p_dnf", rank.alias("expected"))
     plain = folds.baseline(datasets.with_form(t), EVENT, ["grid", "recent"], "driver_id", "rate").join(o.select(*KEY), KEY, "left_semi")
-    both = folds.predicted(fitted, EVENT, "driver_id", "linear").unionByName(folds.predicted(plain, EVENT, "driver_id", "heuristic"))
-    return both.select(*KEY, "model", *[F.round(c, 4).alias(c) for c in ("p_win", "p_podium", "p_dnf", "expected")], "place")
+    parts = [folds.predicted(d, EVENT, "driver_id", name) for name, d in (("linear", fitted), ("trees", grown), ("order", ordered), ("heuristic", plain))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.select(*KEY, "model", *[F.round(c, 4).alias(c) for c in ("p_win", "p_podium", "p_dnf", "expected")], "place")
 
 
 @query("F22_predictions")
@@ -567,11 +596,13 @@ def _(t):
     return evaluate.out_of_distribution(v, "vec_id", "embedding", "label", "train")
 
 
-@query("H27_season_forecast_errors", "WITH f AS (SELECT league, driver_id, sum(points) AS final FROM {points} WHERE version = 1 AND season = 2024 GROUP BY ALL), h AS (SELECT league, driver_id, sum(points) * 15.0 / 8 AS forecast FROM {points} WHERE version = 1 AND season = 2024 AND round <= 8 GROUP BY ALL) SELECT league, round(avg(abs(final - coalesce(forecast, 0))), 6) AS mae, count(*) AS n FROM f LEFT JOIN h USING (league, driver_id) GROUP BY league")
+@query("H27_season_forecast_errors", "WITH f AS (SELECT league, season, driver_id, sum(points) AS final FROM {points} WHERE version = 1 GROUP BY ALL), n AS (SELECT league, season, count(*) AS n FROM {starts} GROUP BY ALL), h AS (SELECT league, season, driver_id, sum(points) * any_value(n) / 8.0 AS forecast FROM {points} JOIN n USING (league, season) WHERE version = 1 AND round <= 8 GROUP BY ALL) SELECT league, season, round(avg(abs(final - coalesce(forecast, 0))), 6) AS mae, count(*) AS n FROM f LEFT JOIN h USING (league, season, driver_id) GROUP BY league, season")
 def _(t):
-    p = t("points").filter("version = 1 and season = 2024").groupBy("league", "driver_id")
-    d = p.agg(F.sum("points").alias("final"), (F.coalesce(F.sum(F.when(F.col("round") <= 8, F.col("points"))), F.lit(0.0)) * 15 / 8).alias("forecast"))
-    return d.groupBy("league").agg(F.round(F.avg(F.abs(F.col("final") - F.col("forecast"))), 6).alias("mae"), F.count("*").alias("n"))
+    """Each season's totals against a forecast from its first eight rounds."""
+    key = ["league", "season"]
+    d = t("points").filter("version = 1").groupBy(*key, "driver_id").agg(F.sum("points").alias("final"), F.coalesce(F.sum(F.when(F.col("round") <= 8, F.col("points"))), F.lit(0.0)).alias("half"))
+    d = d.join(t("starts").groupBy(*key).agg(F.count("*").alias("rounds")), key)
+    return d.groupBy(*key).agg(F.round(F.avg(F.abs(F.col("final") - F.col("half") * F.col("rounds") / 8)), 6).alias("mae"), F.count("*").alias("n"))
 
 
 @query("H32_ablation_vs_previous", "WITH s AS (SELECT league, day, stage, -ln(least(greatest(p_win * w + (1 - w) / entrants, 1e-15), 1)) AS loss FROM {predictions} CROSS JOIN (VALUES (0, 0.2), (1, 0.6), (2, 1.0)) v(stage, w) WHERE model = 'grid' AND label_position = 1) SELECT CAST(a.stage AS INT) AS stage, round(avg(a.loss - b.loss), 6) AS delta FROM s a JOIN s b ON a.league = b.league AND a.day = b.day AND a.stage = b.stage + 1 GROUP BY a.stage")

@@ -49,28 +49,46 @@ def test_standings_take_each_leagues_own_cutoff(spark, data):
     assert got and all(r.mean_points >= now[r.league, r.driver_id] for r in got)
     assert abs(sum(r.sole_title for r in got) - len(at)) <= len(at)
     left = {s.day for s in starts if s.cutoff >= at[s.league]}
-    drivers = {(r.league, r.driver_id) for r in t("all_utilities").collect() if r.day in left}
+    drivers = {(r.league, r.driver_id) for r in t("utilities").collect() if r.day in left}
     assert drivers == {(r.league, r.driver_id) for r in got}
 
 
-def test_grid_fit_uses_all_days(spark, data):
+def test_grid_fit_ranks_every_cell_from_the_same_draws(spark, data):
     t = Tables(spark, data)
-    u = defaultdict(list)
-    for r in t("all_utilities").collect():
-        u[r.league * 100 + r.day].append((r.driver_id, r.utility))
-    won = {r.league * 100 + r.day: r.driver_id for r in t("results").filter("label_position = 1").collect()}
-    want = {}
-    for cell, first in enumerate([0.8, 1.0, 1.2]):
-        loss = []
-        for ev, d in won.items():
-            wins = 0
-            for draw in range(8):
-                key = {x: v / first + round(-math.log(-math.log(uniform(9, ev, draw, x, "win"))), 9) for x, v in u[ev]}
-                wins += min(key, key=lambda x: (-key[x], x)) == d
-            loss.append(-math.log(0.9 * wins / 8 + 0.1 / 15))
-        want[cell] = sum(loss) / len(loss)
-    got = {r.cell: r.loss for r in registry.QUERIES["H20_grid_fit"](spark, data).collect()}
-    assert all(abs(got[c] - x) < 1e-5 for c, x in want.items())
+    u, rows = defaultdict(list), {}
+    for r in t("utilities").collect():
+        u[r.league * 100 + r.day].append((r.driver_id, r.utility, r.p_dnf))
+    for r in t("results").collect():
+        rows[r.league * 100 + r.day, r.driver_id] = r.label_position
+    noise = lambda ev, draw, x, salt: round(-math.log(-math.log(uniform(20, ev, draw, x, salt))), 9)
+    days = defaultdict(list)
+    for ev in sorted(u):
+        days[ev // 100].append(ev)
+    scored = [ev for own in days.values() for ev in own[5:]]
+    assert len(scored) > 10
+    got = {(r["first"], r.rest, r.shrink): r for r in registry.QUERIES["H20_grid_fit"](spark, data).collect()}
+    assert len(got) == 8 * 7 * 3 and sum(r.chosen for r in got.values()) == 1
+    for first, rest, shrink in ((0.4, 1.5, 0.0), (1.0, 0.9, 0.05)):
+        losses = []
+        for ev in scored:
+            wins, podiums, n = defaultdict(int), defaultdict(int), len(u[ev])
+            for draw in range(32):
+                out = {x: uniform(20, ev, draw, x, "dnf") < p for x, _, p in u[ev]}
+                best = min(u[ev], key=lambda e: (out[e[0]], -(e[1] / first + noise(ev, draw, e[0], "win")), e[0]))[0]
+                others = sorted((e for e in u[ev] if e[0] != best), key=lambda e: (out[e[0]], -(e[1] / rest + noise(ev, draw, e[0], "rest")), e[0]))
+                wins[best] += 1
+                for x in [best, *[e[0] for e in others[:2]]]:
+                    podiums[x] += 1
+            won, lost = None, []
+            for x, _, _ in u[ev]:
+                place = rows[ev, x]
+                p = min(max((1 - shrink) * podiums[x] / 32 + shrink * min(1, 3 / n), 1e-15), 1 - 1e-15)
+                lost.append(-math.log(p if place is not None and place <= 3 else 1 - p))
+                if place == 1:
+                    won = -math.log(min(max((1 - shrink) * wins[x] / 32 + shrink / n, 1e-15), 1 - 1e-15))
+            if won is not None:
+                losses.append(won + sum(lost) / n / 3)
+        assert abs(got[first, rest, shrink].loss - sum(losses) / len(losses)) < 2e-6
 
 
 def test_number_conflicts_are_found_in_every_event(spark, data):

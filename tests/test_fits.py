@@ -77,8 +77,8 @@ def test_bootstrap_and_trees_and_temperatures_cover_their_test_events(spark, dat
 def test_backtest_has_every_model_on_every_test_row(spark, data):
     rows = registry.QUERIES["F22_predictions"](spark, data).collect()
     fits = {(r.league, r.day, r.driver_id): r for r in registry.QUERIES["F05_logistic_fits"](spark, data).collect()}
-    by = {m: {(r.league, r.day, r.driver_id): r for r in rows if r.model == m} for m in ("linear", "heuristic")}
-    assert set(by["linear"]) == set(by["heuristic"]) == set(fits) and len(rows) == 2 * len(fits)
+    by = {m: {(r.league, r.day, r.driver_id): r for r in rows if r.model == m} for m in ("linear", "trees", "order", "heuristic")}
+    assert all(set(own) == set(fits) for own in by.values()) and len(rows) == 4 * len(fits)
     for own in by.values():
         events = {}
         for (league, day, _), r in own.items():
@@ -88,5 +88,6 @@ def test_backtest_has_every_model_on_every_test_row(spark, data):
             assert all(1 <= r.expected <= len(e) for r in e)
     for k, r in by["linear"].items():
         assert abs(r.p_podium - fits[k].p_podium) < 1e-3 and 0 <= r.p_dnf <= 1
+    assert all(r.p_dnf is not None and 0 <= r.p_dnf <= 1 for r in by["trees"].values())
     metrics = {r.model: r for r in registry.QUERIES["F22_metrics"](spark, data).collect()}
-    assert metrics["linear"].n == metrics["heuristic"].n == len(fits) and all(r.winner_loss > 0 for r in metrics.values())
+    assert {r.n for r in metrics.values()} == {len(fits)} and len(metrics) == 4 and all(r.winner_loss > 0 for r in metrics.values())
