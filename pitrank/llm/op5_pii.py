@@ -4,13 +4,15 @@
    are possessive, and a run of characters is entered at its first one only. A match's place is a running sum of the
    lengths of what lies between matches and of matches before it.
 2. A number group, or a word with a digit or @, is an instance. Its lexical patterns are the two words before it, and
-   the words on both sides of it. Instances that overlap a base span are seeds of its kind; long hexadecimal strings are
-   seeds of a fifth kind, secret.
+   the words on both sides of it. Instances that overlap a base span are seeds of its kind. A fifth kind, secret, is
+   seeded by a quarter of the long hexadecimal strings, chosen by a hash; the other ones are unsure: they count neither
+   for nor against a pattern, until a trusted one finds them.
 3. Patterns and instances form a bipartite graph of distinct edges. In each round a pattern's score for a kind is the mean
-   belief of its instances, those without any counting 0. Patterns of enough believed instances and score are trusted; an
+   belief of its instances, those without any counting 0 (but for unsure ones). Patterns of enough believed instances and score are trusted; an
    unlabelled instance believes the best trusted pattern it occurs with. So instances discovered in one round induce the
    patterns of the next. Seeds keep belief 1.
 4. An occurrence of an unlabelled instance in a pattern that is trusted at the end becomes a span of the pattern's kind.
+   So does one of a secret's seed in a pattern of secrets; elsewhere a long hexadecimal string (a checksum) is no span.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ BASE = {
 _NUMBER = rf"[(+]*+[0-9][0-9()./+-]*+(?![^{_W},;:!?\"'])"
 INSTANCE = rf"(?<![^{_W}])(?:{_NUMBER}(?: {_NUMBER})*+|[^{_W}0-9@]*+[0-9@][^{_W}]*+)"
 SECRET = r"^(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{32,}$"
+SEEDED = 4  #: one of so many strings of that form is a seed
 EDGES = "\"'`()[]{}<>.,;:!?*#$%&|="  #: punctuation that an instance doesn't begin or end with
 _HINT = {"email": "@", "phone": "+"}
 _UNIT = 1_000_000  #: beliefs and scores are whole parts of this, so that sums don't depend on their order
@@ -87,7 +90,8 @@ def _placed(d: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _labelled(base: DataFrame, inner: DataFrame) -> DataFrame:
-    """Instances with ``seed``, the kind of the base span they overlap or 4 for a secret, and ``over``, whether they do."""
+    """Instances with ``seed`` (the kind of the base span they overlap, or 4 for a secret), ``over`` (whether they overlap
+    one) and ``unsure`` (of a secret's form, but no seed)."""
     none = lambda kind: F.lit(None).cast(kind)
     names = ["row", "start", "end", "k", "v", "value", "two", "one", "has_two", "has_one"]
     both = base.select("row", "start", "end", "k", none("long").alias("v"), none("string").alias("value"), none("long").alias("two"), none("long").alias("one"), none("boolean").alias("has_two"), none("boolean").alias("has_one"))
@@ -97,20 +101,21 @@ def _labelled(base: DataFrame, inner: DataFrame) -> DataFrame:
     both = both.withColumn("prev", F.max(F.when(F.col("k").isNotNull(), F.struct("end", "k"))).over(upto)).withColumn("next", F.min(F.when(F.col("k").isNotNull(), F.struct("start", "k"))).over(onwards))
     met = F.expr("case when prev.end > start then prev.k when next.start < end then next.k end")
     out = both.filter("k is null").withColumn("met", met)
-    return out.select("row", "start", "end", "v", "two", "one", "has_two", "has_one", F.col("met").isNotNull().alias("over"), F.coalesce("met", F.when(F.col("value").rlike(SECRET), F.lit(4))).alias("seed"))
+    form, drawn = F.col("value").rlike(SECRET), F.expr(f"crc32(value) % {SEEDED} = 0")
+    return out.select("row", "start", "end", "v", "two", "one", "has_two", "has_one", F.col("met").isNotNull().alias("over"), F.coalesce("met", F.when(form & drawn, F.lit(4))).alias("seed"), (form & ~drawn).alias("unsure"))
 
 
 def _trusted(seen: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
     """Patterns trusted after the last round: p, k and score."""
-    pairs = seen.select("v", F.explode(F.expr("filter(array(case when has_two then two end, case when has_one then one end), x -> x is not null)")).alias("p")).distinct()
+    pairs = seen.select("v", "unsure", F.explode(F.expr("filter(array(case when has_two then two end, case when has_one then one end), x -> x is not null)")).alias("p")).distinct()
     known = seen.filter("seed is not null").groupBy("v").agg(F.min("seed").alias("seed"))
-    edges = cut(pairs.join(known, "v", "left"))
-    size = edges.groupBy("p").agg(F.count("*").alias("n"))
+    edges = cut(pairs.join(known, "v", "left").withColumn("unsure", F.col("unsure") & F.col("seed").isNull()))
+    size = edges.groupBy("p").agg(F.count_if(~F.col("unsure")).alias("n"))
     seeds = known.select("v", F.col("seed").alias("k"), F.lit(_UNIT).cast("long").alias("b"))
     belief, good = seeds, None
     for r in range(rounds):
-        mass = edges.select("p", "v").join(belief, "v").groupBy("p", "k").agg(F.sum("b").alias("b"), F.count("*").alias("s"))
-        good = mass.join(size, "p").withColumn("score", F.expr("b div n")).filter((F.col("score") >= round(confidence * _UNIT)) & (F.col("s") >= support))
+        mass = edges.select("p", "v", "unsure").join(belief, "v").groupBy("p", "k").agg(F.sum("b").alias("b"), F.count("*").alias("s"), F.count_if("unsure").alias("u"))
+        good = mass.join(size, "p").withColumn("score", F.expr("b div (n + u)")).filter((F.col("score") >= round(confidence * _UNIT)) & (F.col("s") >= support))
         good = cut(good.select("p", "k", "score"))
         if r + 1 < rounds:
             best = edges.filter("seed is null").select("p", "v").join(good, "p").groupBy("v").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("x"))
@@ -120,7 +125,7 @@ def _trusted(seen: DataFrame, rounds: int, support: int, confidence: float) -> D
 
 def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
     """Per row: doc_id, base (array of (start, order, end, kind) of the base patterns, by start and kind) and found
-    (the same for secrets and discovered spans). Offsets are code points, the end is exclusive.
+    (the same for discovered spans, secrets among them). Offsets are code points, the end is exclusive.
 
     Null and empty texts have no spans. Rows that repeat (id and text) get the same spans, a null id is like any other.
     ``support`` is the number of distinct believed instances a pattern needs, ``confidence`` the score (above 0.5).
@@ -138,11 +143,10 @@ def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", round
     seen = cut(_labelled(base, inner))
     good = _trusted(seen, rounds, support, confidence)
 
-    hits = [seen.filter(f"seed is null and has_{w}").select("row", "start", "end", F.col(w).alias("p")).join(good, "p").select("row", "start", "end", "k", "score") for w in ("two", "one")]
+    hits = [seen.filter(f"(seed is null or (seed = 4 and not over)) and has_{w}").select("row", "start", "end", "seed", F.col(w).alias("p")).join(good, "p").filter("seed is null or k = 4").select("row", "start", "end", "k", "score") for w in ("two", "one")]
     hits = hits[0].union(hits[1]).groupBy("row", "start", "end").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("x")).select("row", "start", (-F.col("x.k")).alias("k"), "end")
-    extra = seen.filter("seed = 4 and not over").select("row", "start", F.col("seed").alias("k"), "end").union(hits)
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1)
-    all_ = base.withColumn("b", F.lit(True)).unionByName(extra.withColumn("b", F.lit(False)))
+    all_ = base.withColumn("b", F.lit(True)).unionByName(hits.withColumn("b", F.lit(False)))
     span = F.struct("start", F.col("k").alias("o"), "end", name.alias("kind"))
     spans = all_.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("b"), span))).alias("base"), F.array_sort(F.collect_list(F.when(~F.col("b"), span))).alias("found"))
     none = F.expr("cast(array() as array<struct<start: int, o: int, end: int, kind: string>>)")

@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import zlib
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 COMMON = set("the of and to in is that it for was on as with by be this are or an at from le la les de des et un une du en que qui pour dans il est der die das und zu den von ist mit im ein eine dem auf el los las y del se con por para lo".split())
@@ -219,7 +220,7 @@ def _instances(text):
 def discovered(texts, rounds=3, support=3, confidence=0.8):
     """For each text the (start, order, end) of secrets and of what trusted patterns discover."""
     unit = 1_000_000
-    seen = []
+    seen, forms = [], {}
     for row, t in enumerate(texts):
         base = base_spans(t)
         for start, end, value, patterns in _instances(t or ""):
@@ -227,24 +228,29 @@ def discovered(texts, rounds=3, support=3, confidence=0.8):
             later = [(s, o) for s, o, e, _ in base if start <= s < end]
             kind = max(over)[1] if over else min(later)[1] if later else None
             hit = kind is not None
-            if kind is None and re.fullmatch(r"(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}", value):
-                kind = 4
+            unsure = False
+            if re.fullmatch(r"(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}", value):
+                unsure = zlib.crc32(value.encode()) % 4 > 0
+                kind = 4 if kind is None and not unsure else kind
             seen.append((row, start, end, value, patterns, hit, kind))
+            forms[value] = unsure
     known = {}
     for _, _, _, value, _, _, kind in seen:
         if kind is not None:
             known[value] = min(kind, known.get(value, 9))
     edges = {(p, value) for _, _, _, value, patterns, _, _ in seen for p in patterns}
-    size = collections.Counter(p for p, _ in edges)
+    unsure = {v for v, x in forms.items() if x and v not in known}
+    size = collections.Counter(p for p, v in edges if v not in unsure)
     belief, good = {v: (k, unit) for v, k in known.items()}, {}
     for _ in range(rounds):
-        mass = collections.defaultdict(lambda: [0, 0])
+        mass = collections.defaultdict(lambda: [0, 0, 0])
         for p, v in edges:
             if v in belief:
                 k, b = belief[v]
                 mass[p, k][0] += b
                 mass[p, k][1] += 1
-        good = {p: (b // size[p], -k) for (p, k), (b, s) in mass.items() if b // size[p] >= round(confidence * unit) and s >= support}
+                mass[p, k][2] += v in unsure
+        good = {p: (b // (size[p] + u), -k) for (p, k), (b, s, u) in mass.items() if b // (size[p] + u) >= round(confidence * unit) and s >= support}
         belief = {v: (k, unit) for v, k in known.items()}
         best = {}
         for p, v in edges:
@@ -253,8 +259,7 @@ def discovered(texts, rounds=3, support=3, confidence=0.8):
         belief |= {v: (-k, score) for v, (score, k) in best.items()}
     out = [set() for _ in texts]
     for row, start, end, _, patterns, hit, kind in seen:
-        if kind == 4 and not hit:
-            out[row].add((start, 4, end))
-        if kind is None and any(p in good for p in patterns):
-            out[row].add((start, -max(good[p] for p in patterns if p in good)[1], end))
+        trusted = [good[p] for p in patterns if p in good and (kind is None or (kind == 4 and not hit and good[p][1] == -4))]
+        if trusted and (kind is None or kind == 4):
+            out[row].add((start, -max(trusted)[1], end))
     return [sorted(x) for x in out]
