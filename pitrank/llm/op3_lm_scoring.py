@@ -13,7 +13,8 @@ the end of a text and hashed groups of words; q is the add-one unigram within a
   class-factored model p as the centre of a conjugate prior of strength a, the gradient is zero in closed form:
   P(word | history) = (n(before, word) + a p(word | history)) / (n(before) + a), where a = 1 + n(before).
 
-Every training word is followed by exactly one token, so the model is a proper distribution over all texts. Counts go
+Every training word is followed by exactly one token, so the model is a proper distribution over all texts. A training
+text's own counts are left out of its score, so that scores of training and held-out texts compare. Counts go
 through one exchange: each block sends its distinct words and pairs to the buckets that own them and gets their totals
 back. Blocks' weights ride along, cut into as many parts as there are buckets.
 """
@@ -193,6 +194,12 @@ def _tell(t: pa.Table) -> pa.Table:
     return pa.table([t["block"], t["bucket"], pa.array(words, pa.binary()), pa.array(pairs, pa.binary()), pa.array([mean.tobytes(), *last], pa.binary()), pa.array([classes.tolist(), *last], pa.list_(pa.int64()))], schema=_TOLD)
 
 
+def _own(text: np.ndarray, keys: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in its own text, 0 outside ``use``."""
+    _, at, count = np.unique(mix(keys + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    return np.where(use, count[at], 0)
+
+
 def _answers(blobs: dict[int, bytes], bucket_of: np.ndarray, order: np.ndarray, edge: np.ndarray) -> np.ndarray:
     out = np.zeros(len(bucket_of), np.float64)
     for b in np.flatnonzero(np.diff(edge)).tolist():
@@ -219,15 +226,16 @@ def _scored(docs: pa.Table, told: pa.Table, model: dict, buckets: int) -> pa.Tab
     pair = _answers(dict(zip(names, told["pairs"].to_pylist(), strict=True)), keys, order, edge)
     n, v, tokens, words = model["n"], model["v"], model["class_tokens"], model["class_words"]
     out = [[], [], [], []]
-    for (_, h, one, text, rows), kind, key in zip(parts, kinds, both, strict=True):
+    for (base, h, one, text, rows), kind, key in zip(parts, kinds, both, strict=True):
         c = count[np.searchsorted(found, h)]
         p = np.empty(len(h))
         for a in range(0, len(h), STEP_TOKENS):
             some = _probabilities(model["weights"], model["bias"], rows[:, a : a + STEP_TOKENS]).astype(np.float64)
             p[a : a + STEP_TOKENS] = some[np.arange(len(some)), kind[a : a + STEP_TOKENS]] / some.sum(axis=1)
-        q = np.where(kind > 0, (c + 1) / (tokens[kind] + words[kind] + 1), 1.0)
-        met = pair[np.searchsorted(keys, key)]
-        before = np.where(one == _START, tokens[0], count[np.minimum(np.searchsorted(found, one), len(found) - 1)])
+        mine = train[base + text]  # a training text is not scored by its own counts
+        q = np.where(kind > 0, (c - _own(text, h, mine) + 1) / (tokens[kind] - _own(text, kind.astype(np.uint64), mine) + words[kind] + 1), 1.0)
+        met = pair[np.searchsorted(keys, key)] - _own(text, key, mine)
+        before = np.where(one == _START, tokens[0], count[np.minimum(np.searchsorted(found, one), len(found) - 1)]) - _own(text, one, mine)
         strength = 1 + before
         p = (met + strength * p * q) / (before + strength)
         size = int(text[-1]) + 1
@@ -247,7 +255,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
     base_score (add-one unigram) and score (the model), both log10 probabilities of the whole text.
 
     A-Z fold; tokens are words between white space and one end per text. Counts and weights come from all rows that are
-    not held out. Null texts count as empty (one token, the end); a null id counts as the id ''; repeated rows count as
+    not held out; a training text's score leaves out its own counts. Null texts count as empty (one token, the end); a null id counts as the id ''; repeated rows count as
     often as they occur; very long texts are read whole, a block may then exceed ``block_bytes``. Without training rows
     counts are 0. Other columns are not read."""
     spark = docs.sparkSession

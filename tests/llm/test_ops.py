@@ -122,6 +122,21 @@ def test_lm_scores_do_not_depend_on_the_layout(docs):
     assert one == two
 
 
+def test_lm_scores_of_training_texts_leave_out_their_own_counts(spark, data):
+    """A text of words that no other one holds scores as if it had been held out; and training scores are near to
+    held-out ones per token."""
+    own = [next(i for i in range(5000, 9000) if (zlib.crc32(str(i).encode()) % 7 == 2) == held) for held in (False, True)]
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    alone = " ".join(f"zq{k % 13}x" for k in range(60))
+    score = {}
+    for i in own:
+        more = docs.union(spark.createDataFrame([(i, alone)], "doc_id long, text string"))
+        score[i] = op3.lm_scores(more).filter(F.col("doc_id") == i).first().score / 61
+    assert abs(score[own[0]] - score[own[1]]) < 0.5  # its own counts would make it more than 2
+    r = {x.held_out: x.s / x.n for x in op3.lm_scores(docs).groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).collect()}
+    assert abs(r[True] - r[False]) < 0.5
+
+
 def test_lm_is_a_distribution_that_beats_its_base(spark, data):
     """After one word, the probabilities of all known words, of one unseen word per class and of the end sum to 1. On
     held-out texts the model is better than the unigram base and than an interpolated bigram."""
@@ -474,7 +489,7 @@ def test_no_two_texts_collide_by_algebra(spark):
     some = [f"q {word(k, x, y)} {word(k, y, x)}" for k in (10, 11, 12) for x, y in ("ab", "th")]
     ids, edge = op7.encoded(pa.array(some, pa.large_string()), model, {})
     assert [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)] == [sp.encode(x) for x in some]
-    assert op4._lengths(pa.array(some, pa.large_string()), op4._encoder(public_tokenizers.path("byte_bpe_50k.json")), {}).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in some]
+    assert op4._lengths(pa.array(some, pa.large_string()), *op4._encoder(public_tokenizers.path("byte_bpe_50k.json")), {}).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in some]
     a, b = word(10, "a", "b"), word(10, "b", "a")
     rows = [(1, " ".join([a] * 20 + [str(i) for i in range(10)])), (2, " ".join([b] * 20 + [str(i) for i in range(20, 30)])), (3, "\n".join([a, a + "x", a])), (4, "\n".join([b, b + "x", b])), (5, word(10, "a ", " a")), (6, word(10, " a", "a "))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
