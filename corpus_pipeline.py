@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir), where docs is what its predecessor kept, and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of ``documents``.
+
+Nulls, empty texts and repeated rows have a result in every stage: rows without text go with the first one, a null doc_id
+stays and is never taken for another one's copy, rows that repeat are judged one by one until near duplicates are removed.
+Texts and lines of any length are taken whole. Empty tables give empty results, and columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -15,29 +19,32 @@ from pitrank.llm import blocks, op2_decontamination, op6_quality_rules, op7_sent
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose rules and posterior say good."""
+    """Keeps the documents whose rules and posterior say good. Null and empty texts, and those of fewer than 50 words, go;
+    equal texts get equal verdicts."""
     return op6_quality_rules.quality_filter(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages of three lines or more; a document left without any word goes."""
+    """Removes repeated passages of three lines or more; a document left without any word goes. The smallest doc_id keeps a
+    passage, a null one comes last, and rows that share a doc_id keep it both."""
     out = op8_line_dedup.line_dedup(docs).filter(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    """Keeps the document with the smallest doc_id of each group of near duplicates: ties are rows that share it, of which
+    one stays. Rows with a null doc_id all stay."""
     return op9_ngram_join.keep_smallest(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item. Items without words and an empty benchmark drop nothing."""
     out = op2_decontamination.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.filter("n_hit = 0").select("row.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the piece ids of the text, their number, and whether they decode to the text."""
+    """doc_id, the piece ids of the text, their number, and whether they decode to the text. A null text would have none."""
     import public_tokenizers
 
     out = op7_sentencepiece.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id", "text"])
