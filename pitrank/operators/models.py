@@ -40,7 +40,8 @@ def event_sums(rows: DataFrame, event: list[str], features: list[str], label: st
 
 def resampled_sums(often: DataFrame, sums: DataFrame, event: list[str], keys: list[str]) -> DataFrame:
     """the sums of each resample, an event counting as often as it was drawn; no row is repeated. Also rows drawn."""
-    size = sums.schema["sums"].dataType and len(sums.first().sums)
+    first = sums.first()
+    size = len(first.sums) if first else 0
     d = often.join(sums, event)
     return d.groupBy(*keys).agg(F.array(*[F.sum(F.col("often") * F.col("sums")[i]) for i in range(size)]).alias("sums"))
 
@@ -102,11 +103,12 @@ def with_fits(rows: DataFrame, fold: str, features: list[str], fits: dict[str, d
     return d.withColumns({n: sum((F.col(f"_b_{n}")[i + 1] * F.col(f) for i, f in enumerate(features)), F.col(f"_b_{n}")[0]) for n in fits}).drop(*[f"_b_{n}" for n in fits])
 
 
-def out_of_fold(rows: DataFrame, train: DataFrame, fold: str, features: list[str], position: str, dnf: str) -> DataFrame:
-    """The models' outputs on test rows (with their fold), fitted on the fold's rows in ``train``."""
+def out_of_fold(rows: DataFrame, train: DataFrame, fold: str, features: list[str], position: str, dnf: str, places: dict) -> DataFrame:
+    """The models' outputs on test rows (with their fold), fitted on the fold's rows in ``train``; ``places`` are
+    the ridge fits by fold."""
     known = train.withColumn("_won", F.coalesce(F.col(position) == 1, F.lit(False)).cast("double")).withColumn("_podium", F.coalesce(F.col(position) <= 3, F.lit(False)).cast("double")).withColumn("_out", F.col(dnf).cast("double")).persist()
     both = logistic_by_fold(known, fold, features, ["_won", "_podium", "_out"])
-    fits = {"p_podium": {k: b for (k, y), b in both.items() if y == "_podium"}, "p_win": {k: b for (k, y), b in both.items() if y == "_won"}, "place_ridge": ridge_by_fold(known, fold, features, position), "p_dnf": {k: b for (k, y), b in both.items() if y == "_out"}}
+    fits = {"p_podium": {k: b for (k, y), b in both.items() if y == "_podium"}, "p_win": {k: b for (k, y), b in both.items() if y == "_won"}, "place_ridge": places, "p_dnf": {k: b for (k, y), b in both.items() if y == "_out"}}
     known.unpersist()
     return with_fits(rows, fold, features, fits).withColumns({p: 1 / (1 + F.exp(-F.col(p))) for p in ("p_win", "p_podium", "p_dnf")})
 

@@ -190,9 +190,16 @@ def tested(d: DataFrame, f: DataFrame) -> DataFrame:
     return d.join(f.select("league", F.col("test").alias("day")).distinct(), EVENT, "left_semi").withColumn("fold", F.col("day"))
 
 
+def ridge_fits(d: DataFrame, f: DataFrame) -> dict:
+    """the ridge fit of every test day, from per-event sums: rows are read once, whatever the number of test days."""
+    events = f.select(F.col("test").alias("fold"), "league", F.col("train").alias("day"), F.lit(1).alias("often"))
+    sums = models.resampled_sums(events, models.event_sums(d, EVENT, FEATURES, "label_position"), EVENT, ["fold"])
+    return {r.fold: models.solved(r.sums, len(FEATURES) + 1) for r in sums.collect()}  # one row for each test day
+
+
 def oof(t) -> DataFrame:
     d, f = matrix(t), cohorts(t)
-    return models.out_of_fold(tested(d, f), fold_rows(t, d, f), "fold", FEATURES, "label_position", "label_dnf")
+    return models.out_of_fold(tested(d, f), fold_rows(t, d, f), "fold", FEATURES, "label_position", "label_dnf", ridge_fits(d, f))
 
 
 @query("F05_logistic_fits")
@@ -202,7 +209,8 @@ def _(t):
 
 @query("F06_ridge_positions")
 def _(t):
-    return oof(t).select(*KEY, "fold", F.round("place_ridge", 4).alias("place"))
+    d, f = matrix(t), cohorts(t)
+    return models.with_fits(tested(d, f), "fold", FEATURES, {"place": ridge_fits(d, f)}).select(*KEY, "fold", F.round("place", 4).alias("place"))
 
 
 EDGES = {"qualifying_position": [k + 0.5 for k in range(1, 20)], "form": [1.0137 + 0.6 * k for k in range(31)], "n": [k + 0.5 for k in range(1, 16)]}
@@ -340,7 +348,7 @@ def candidates(t) -> DataFrame:
     """F16: the outputs of every candidate at all test rows: logistic and ridge fits, trees of both kinds, order models."""
     d, f = matrix(t), cohorts(t)
     _, forest = forest_of(t, d, f)
-    out = models.out_of_fold(tested(d, f), fold_rows(t, d, f), "fold", FEATURES, "label_position", "label_dnf")
+    out = models.out_of_fold(tested(d, f), fold_rows(t, d, f), "fold", FEATURES, "label_position", "label_dnf", ridge_fits(d, f))
     out = trees.predicted(trees.binned(order_utility(out, order_fits(t, d, f)), EDGES), forest, "fold", list(KINDS))
     size = F.count("*").over(Window.partitionBy(*EVENT))
     return settled(out.withColumn("place_trees", F.col("share") * size).withColumnRenamed("dnf", "p_dnf_trees").drop("bins", "share"))
