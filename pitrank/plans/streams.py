@@ -314,7 +314,8 @@ def _(t):
 ORACLE_SQL["F14_sigmoid_calibration"] = SIGMOID.replace("{shapes}", with_shapes("WITH _ AS (SELECT 1 FROM {predictions}) SELECT 1").removeprefix("WITH ").removesuffix("_ AS (SELECT 1 FROM predictions) SELECT 1"))
 
 
-#: Halves of the rows by crc32, made from its polynomial; then the max-min formula of isotonic regression.
+#: Halves of the rows by crc32, made from its polynomial; then the max-min formula of isotonic regression, where the
+#: other half has enough labels.
 ISOTONIC = """WITH t AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
 s AS (SELECT doc_id, y, least(greatest(p, 1e-6), 1 - 1e-6) AS p, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 2 AS half FROM {scores}, t),
 d AS (SELECT half, p, count(*) AS w, sum(y) AS s FROM s GROUP BY half, p),
@@ -322,8 +323,9 @@ c AS (SELECT *, sum(w) OVER o AS cw, sum(s) OVER o AS cs FROM d WINDOW o AS (PAR
 m AS (SELECT a.half, a.p AS i, b.p AS j, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.half, a.p ORDER BY b.p DESC) AS m FROM c a JOIN c b ON a.half = b.half AND b.p >= a.p),
 f AS (SELECT half, j AS p, max(m) AS v FROM m GROUP BY half, j),
 x AS (SELECT s.doc_id, s.p, max(f.p) FILTER (WHERE f.p <= s.p) AS lo, min(f.p) FILTER (WHERE f.p >= s.p) AS hi FROM s JOIN f ON f.half <> s.half GROUP BY s.doc_id, s.p, s.half),
-y AS (SELECT x.*, a.v AS a, b.v AS b FROM x JOIN s USING (doc_id) LEFT JOIN f a ON a.half <> s.half AND a.p = lo LEFT JOIN f b ON b.half <> s.half AND b.p = hi)
-SELECT doc_id, round(least(greatest(CASE WHEN a IS NULL THEN b WHEN b IS NULL OR hi = lo THEN a ELSE a + (b - a) * (p - lo) / (hi - lo) END, 1e-6), 1 - 1e-6), 4) AS q FROM y"""
+g AS (SELECT half, count(*) >= 100 AND least(sum(y), count(*) - sum(y)) >= 10 AND count(DISTINCT p) >= 3 AS enough FROM s GROUP BY half),
+y AS (SELECT x.*, a.v AS a, b.v AS b, enough FROM x JOIN s USING (doc_id) LEFT JOIN g ON g.half <> s.half LEFT JOIN f a ON a.half <> s.half AND a.p = lo LEFT JOIN f b ON b.half <> s.half AND b.p = hi)
+SELECT doc_id, round(CASE WHEN NOT coalesce(enough, false) THEN p ELSE least(greatest(CASE WHEN a IS NULL THEN b WHEN b IS NULL OR hi = lo THEN a ELSE a + (b - a) * (p - lo) / (hi - lo) END, 1e-6), 1 - 1e-6) END, 4) AS q FROM y"""
 
 
 @query("F15_isotonic_calibration", ISOTONIC)
