@@ -102,6 +102,13 @@ def reason_counts(rows: DataFrame, reasons: str) -> DataFrame:
     return rows.select(F.explode(reasons).alias("feature", "reason")).groupBy("feature", "reason").agg(F.count("*").alias("n"))
 
 
+def summarised(rows: DataFrame, event: list[str], value: str) -> DataFrame:
+    """Rows and mean of each event. Values are added up in their own order, not in that of a shuffle, so that the
+    same rows give the same mean every time."""
+    total = F.aggregate(F.array_sort(F.collect_list(value)), F.lit(0.0), lambda a, b: a + b)
+    return rows.groupBy(*event).agg(F.count("*").alias("n"), F.round(F.try_divide(total, F.count(value)), 6).alias(value))
+
+
 def replayed(frozen: DataFrame, again: DataFrame, keys: list[str], values: list[str], end: str, available: str, margin: Column) -> DataFrame:
     """Keys whose frozen values differ from recomputed ones, that only one side has, or whose clock isn't the end of
     the source plus the margin."""

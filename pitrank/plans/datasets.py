@@ -225,7 +225,7 @@ SELECT n.league, n.day, z.n IS DISTINCT FROM n.n OR z.best IS DISTINCT FROM n.be
 WHERE z.n IS DISTINCT FROM n.n OR z.best IS DISTINCT FROM n.best OR s.label_available_at <> s.cutoff + INTERVAL 18 HOUR""")
 def _(t):
     """A frozen copy of session summaries, some changed and some gone, against the retained sessions."""
-    again = t("sessions").filter("provider = 'a'").groupBy(*EVENT).agg(F.count("*").alias("n"), F.round(F.avg("best"), 6).alias("best"))
+    again = quality.summarised(t("sessions").filter("provider = 'a'"), EVENT, "best")
     frozen = again.filter("day % 11 <> 0").withColumn("best", F.expr("case when league % 4 = 1 and day % 5 = 0 then round(best + 0.5, 6) else best end"))
     clocks = t("starts").select(*EVENT, "cutoff", "label_available_at")
     return quality.replayed(frozen.join(clocks, EVENT), again, EVENT, ["n", "best"], "cutoff", "label_available_at", F.expr("INTERVAL 18 HOUR"))

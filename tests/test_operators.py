@@ -75,3 +75,10 @@ def test_ood_verdict_is_brute_force_over_all_rows(spark, data):
     whole = spark.read.parquet(f"{data}/embeddings.parquet").withColumn("train", F.col("label") < 8)
     dealt = {r.vec_id: r.nearest for r in evaluate.nearest(whole, "vec_id", "embedding", "label", "train", 100).collect()}
     assert len(dealt) == len(rows) and all(math.isclose(dealt[r.vec_id], x, abs_tol=1e-9) for r, x in zip(rows, best, strict=True))
+
+
+def test_summaries_of_the_same_rows_are_equal_in_any_order(spark):
+    d = spark.createDataFrame([(1, 1e16), (1, 1.0), (1, -1e16), (2, None), (2, 4.0), (3, None)], "e int, best double")
+    f = lambda x: sorted(map(tuple, quality.summarised(x.coalesce(1), ["e"], "best").collect()))
+    up, down = f(d.orderBy("best")), f(d.orderBy(F.desc("best")))
+    assert up == down == f(d) and up[1:] == [(2, 2, 4.0), (3, 1, None)]
