@@ -166,7 +166,7 @@ def _(t):
     s = t("starts").select("league", "day", "season", "round", "entrants")
     folder = store.scratch(s.sparkSession, "ingest")
     keys = ["season", "round", "league"]
-    done = store.write_changed(s, folder, keys, 2)
+    done = store.write_changed(s, folder, keys, 2, ["season", "round"])
     left = s.select(*keys).join(done, keys, "left_anti").groupBy("season").agg(F.count("*").alias("skipped"))
     rows = s.sparkSession.read.parquet(f"{folder}/rows").groupBy(F.col("season").cast("long").alias("season")).agg(F.count("*").alias("written"), F.sum("entrants").alias("n"))
     return rows.join(left, "season", "left").na.fill(0, ["skipped"])

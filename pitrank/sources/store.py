@@ -47,24 +47,32 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).select(F.col("season").cast("long"), F.col("round").cast("long")).distinct()
 
 
-def write_changed(rows: DataFrame, folder: str, keys: list[str], version: int) -> DataFrame:
+def write_changed(rows: DataFrame, folder: str, keys: list[str], version: int, parts: list[str] | None = None) -> DataFrame:
     """Rewrites the partitions whose rows or schema version changed; the written keys come back.
 
     A partition's fingerprint is the sum of its rows' hashes; it is kept with their number and the schema version in a
-    side table. Partitions that the input no longer has stay as they are, as a season's earlier ones do."""
-    spark = rows.sparkSession
+    side table. Partitions that the input no longer has stay as they are, as a season's earlier ones do.
+
+    Folders are made of ``parts``, some of the keys (all by default), as a folder for each of very many keys costs more
+    than its rows. Every key has its fingerprint all the same. A folder in which a key changed is written anew, with
+    what it holds of keys that the input doesn't have."""
+    spark, parts = rows.sparkSession, parts or keys
     h = F.conv(F.substring(F.col("h"), 1, 8), 16, 10).cast("long")
     new = rows.withColumn("h", row_hash(rows)).groupBy(*keys).agg(F.sum(h).alias("fingerprint"), F.count("*").alias("n"), F.lit(version).alias("version"))
-    changed = new
-    if exists(spark, f"{folder}/fingerprints"):
+    changed, held = new, exists(spark, f"{folder}/fingerprints")
+    if held:
         old = spark.read.parquet(f"{folder}/fingerprints").select(*keys, F.struct("fingerprint", "n", "version").alias("was"))
         changed = new.join(old, keys, "left").filter(~F.struct("fingerprint", "n", "version").eqNullSafe(F.col("was"))).drop("was")
     changed = settled(changed)
-    out = rows.join(changed.select(*keys), keys, "left_semi")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{folder}/rows")
-    written = changed.select(*keys, "fingerprint", "n", "version")
-    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{folder}/fingerprints")
-    return written.select(*keys, "fingerprint", "n")
+    out, written = rows.join(changed.select(*keys), keys, "left_semi"), changed.select(*keys, "fingerprint", "n", "version")
+    if held and set(parts) != set(keys):
+        touched = changed.select(*parts).distinct()
+        rest = lambda d, name: settled(spark.read.schema(d.schema).parquet(f"{folder}/{name}").join(touched, parts, "left_semi").join(changed.select(*keys), keys, "left_anti").select(*d.columns))
+        out, written = out.select(*rows.columns).unionByName(rest(rows, "rows")), written.unionByName(rest(written, "fingerprints"))
+    for d, name in ((out, "rows"), (written, "fingerprints")):
+        d = d if set(parts) == set(keys) else d.hint("rebalance", *[F.col(c) for c in parts])
+        d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{folder}/{name}")
+    return changed.select(*keys, "fingerprint", "n")
 
 
 def append_versions(store: DataFrame | None, incoming: DataFrame, key: list[str], payload: str, at: str) -> DataFrame:

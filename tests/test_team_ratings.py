@@ -103,3 +103,16 @@ def test_partitions_are_rewritten_when_rows_or_the_version_change(spark, tmp_pat
     assert write(d, 1) == [1, 2] and write(d, 1) == [] and write(d, 2) == [1, 2]
     assert write(d.filter("k = 2").withColumn("x", F.lit("d")), 2) == [2]
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/rows").select("k", "x").collect())) == [(1, "a"), (1, "b"), (2, "d")]
+
+
+def test_folders_of_several_keys_rewrite_what_changed_and_keep_the_rest(spark, tmp_path):
+    from pitrank.sources import store
+
+    frame = lambda rows: spark.createDataFrame(rows, "season long, league long, n long")
+    write = lambda rows, version: sorted((r.season, r.league) for r in store.write_changed(frame(rows), str(tmp_path), ["season", "league"], version, ["season"]).collect())
+    kept = lambda: sorted((r.season, r.league, r.n) for r in spark.read.parquet(f"{tmp_path}/rows").collect())
+    first = [(1, 1, 5), (1, 2, 6), (1, 3, 1), (2, 1, 7)]
+    assert write(first, 1) == [r[:2] for r in first] and len(list(tmp_path.glob("rows/season=*"))) == 2 and not list(tmp_path.glob("rows/*/league=*"))
+    assert write(first, 1) == [] and kept() == first
+    assert write([(1, 1, 5), (1, 2, 9), (2, 1, 7)], 1) == [(1, 2)] and kept() == [(1, 1, 5), (1, 2, 9), (1, 3, 1), (2, 1, 7)]
+    assert write([(1, 1, 5), (1, 2, 9), (1, 3, 1), (2, 1, 7)], 1) == [] and write([(2, 1, 7)], 2) == [(2, 1)] and len(kept()) == 4
