@@ -531,14 +531,13 @@ def _(t):
     """The objective of every cell of the two-stage grid over all events that have five earlier ones, and the best cell."""
     k = F.row_number().over(Window.partitionBy("league").orderBy("day"))
     scored = t("starts").select(*EVENT, k.alias("k")).filter("k > 5").select(*EVENT)
-    u = t("utilities").join(scored, EVENT, "left_semi").withColumn("ev", F.expr("league * 100 + day")).select("ev", "driver_id", "utility", "p_dnf")
-    m = draws.two_stage_cells(u, "ev", "driver_id", "utility", GRID_DRAWS, 20, WINNER_TEMPERATURES, REST_TEMPERATURES, "p_dnf")
-    m = m.withColumn("n", F.count("*").over(Window.partitionBy("ev", "first", "rest"))).withColumn("shrink", F.explode(F.array(*map(F.lit, SHRINKAGE))))
+    u = t("utilities").join(scored, EVENT, "left_semi").join(t("results").select(*KEY, "label_position"), KEY).withColumn("ev", F.expr("league * 100 + day"))
+    m = draws.two_stage_cells(u, "ev", "driver_id", "utility", GRID_DRAWS, 20, WINNER_TEMPERATURES, REST_TEMPERATURES, "p_dnf", ("label_position",))
+    m = m.withColumn("shrink", F.explode(F.array(*map(F.lit, SHRINKAGE))))
     keep, equal = 1 - F.col("shrink"), F.col("shrink")
-    shares = m.select("ev", "driver_id", "first", "rest", "shrink", (keep * F.col("win") + equal / F.col("n")).alias("win"), (keep * F.col("podium") + equal * F.least(F.lit(1.0), 3 / F.col("n"))).alias("podium"))
-    truth = t("results").select(F.expr("league * 100 + day").alias("ev"), "driver_id", "label_position")
+    shares = m.select("ev", "label_position", "first", "rest", "shrink", (keep * F.col("win") + equal / F.col("n")).alias("win"), (keep * F.col("podium") + equal * F.least(F.lit(1.0), 3 / F.col("n"))).alias("podium"))
     won, podium = (F.coalesce(c, F.lit(False)) for c in (F.col("label_position") == 1, F.col("label_position") <= 3))
-    grid = evaluate.objective(shares.join(truth, ["ev", "driver_id"]), ["first", "rest", "shrink"], "ev", won, podium)
+    grid = evaluate.objective(shares, ["first", "rest", "shrink"], "ev", won, podium)
     return grid.withColumn("chosen", F.row_number().over(Window.orderBy("loss", "first", "rest", "shrink")) == 1)  # one row for each cell
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import defaultdict
 
+from pitrank.operators import draws
 from pitrank.plans import registry
 from pitrank.plans.fixtures import Tables
 
@@ -97,3 +98,20 @@ def test_number_conflicts_are_found_in_every_event(spark, data):
         of[r.league, r.day, r.n % 20].add(r.driver_id)
     got = {(r.league, r.day, r.number): (r.driver_id, r.conflict) for r in registry.QUERIES["A14_number_crosswalk_by_event"](spark, data).collect()}
     assert got == {k: (None, True) if len(x) > 1 else (min(x), False) for k, x in of.items()}
+
+
+def test_only_entrants_are_shuffled_never_their_draws(spark):
+    d = spark.createDataFrame([(ev, f"e{i}", -0.3 * i, 0.1, i == 2) for ev in (1, 2) for i in range(5)], "ev long, ident string, u double, p double, won boolean")
+    made = {
+        "rankings": draws.rankings(d, "ev", "ident", "u", 8, 3, p_dnf="p").groupBy("ev", "draw").count(),
+        "two stages": draws.two_stage(d, "ev", "ident", "u", 8, 3, 0.8, 1.2).groupBy("ev", "ident").count(),
+        "losses": draws.temperature_losses(d, "ev", "ident", "u", "won", 8, 3, (0.5, 1.0), "p"),
+        "cells": draws.two_stage_cells(d, "ev", "ident", "u", 8, 3, (0.5, 1.0), (0.5, 1.0), "p", ("won",)),
+    }
+    for name, x in made.items():
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > plan.rindex("Generate"), name  # plans are printed from the top
+        assert x.count()
+    sums = made["cells"].groupBy("ev", "first", "rest").sum("win", "podium").collect()
+    assert len(sums) == 8 and all(r["sum(win)"] == 1 and r["sum(podium)"] == 3 for r in sums)
+    assert made["cells"].count() == 8 * 5  # those who never win are listed too
