@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitrank.sources.store import settled
@@ -97,16 +97,24 @@ def fit_orders(events: DataFrame, features: list[str], penalty: float = 1.0, tol
 
 
 def gradients(rows: DataFrame, event: list[str], place: str, ident: str, features: list[str], folds: str, fits: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """fold, events, rows and the largest component of the gradient at the given weights, by windows over the rows: what
-    a fit has to bring to zero, found without its sums."""
-    wide = fits.groupBy("fold").agg(*[F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{c}_{f}") for f in features for c in ("weight", "scale")])
-    d = rows.withColumn("fold", F.explode(folds)).join(F.broadcast(wide), "fold")
-    u = sum((F.col(f) / F.col(f"_scale_{f}") * F.col(f"_weight_{f}") for f in features), F.lit(0.0))
-    key = ["fold", *event]
-    d = d.withColumn("_e", F.exp(u)).withColumn("_stages", F.least(F.count(place).over(Window.partitionBy(*key)), F.count("*").over(Window.partitionBy(*key)) - 1))
-    w = Window.partitionBy(*key).orderBy(F.col(place).isNull(), place, ident)
-    d = d.withColumn("_rank", F.row_number().over(w)).filter("_stages > 0").withColumn("_field", F.sum("_e").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    stage = F.col("_rank") <= F.col("_stages")
-    d = d.withColumn("_g", F.col("_e") * F.sum(F.when(stage, 1 / F.col("_field")).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - stage.cast("int"))
-    g = d.groupBy("fold").agg(F.count_distinct(*event).alias("events"), F.count("*").alias("rows"), *[(F.sum(F.col("_g") * F.col(f) / F.col(f"_scale_{f}")) + penalty * F.max(f"_weight_{f}")).alias(f"_g_{f}") for f in features])
-    return g.select("fold", "events", "rows", F.greatest(F.lit(0.0), *[F.abs(f"_g_{f}") for f in features]).alias("largest"))
+    """fold, events, rows and the largest component of the gradient at the given weights: what a fit has to bring to
+    zero, found without its sums.
+
+    Rows are sorted once, into a field for each event, and never repeated: each fold that learns from an event walks its
+    field from the last place on, keeping the sum of exp(u) and of exp(u) x of those still left."""
+    k, size = len(features), F.col("n").cast("int")
+    wide = fits.groupBy("fold").agg(*[F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{c}{j}") for j, f in enumerate(features) for c in ("weight", "scale")])
+    d = packed(rows, event, place, ident, features, folds).select("x", "stages", "n", F.explode("folds").alias("fold")).join(F.broadcast(wide), "fold")
+    at = lambda i, j: F.col("x")[i * k + j]
+    d = d.withColumn("_e", F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.exp(sum((at(i, j) / F.col(f"_scale{j}") * F.col(f"_weight{j}") for j in range(k)), F.lit(0.0)))))
+
+    def stage(left, i):
+        e = F.col("_e")[i]
+        field, sums = left["e"] + e, [left[f"s{j}"] + e * at(i, j) for j in range(k)]
+        g = [left[f"g{j}"] + F.when(i < F.col("stages"), sums[j] / field - at(i, j)).otherwise(0.0) for j in range(k)]
+        return F.struct(field.alias("e"), *[x.alias(f"{c}{j}") for c, own in (("s", sums), ("g", g)) for j, x in enumerate(own)])
+
+    none = F.struct(F.lit(0.0).alias("e"), *[F.lit(0.0).alias(f"{c}{j}") for c in "sg" for j in range(k)])
+    d = d.withColumn("_g", F.aggregate(F.sequence(size - 1, F.lit(0)), none, stage))
+    g = d.groupBy("fold").agg(F.count("*").alias("events"), F.sum("n").alias("rows"), *[(F.sum(F.col(f"_g.g{j}") / F.col(f"_scale{j}")) + penalty * F.max(f"_weight{j}")).alias(f"_g{j}") for j in range(k)])
+    return g.select("fold", "events", "rows", F.greatest(F.lit(0.0), *[F.abs(f"_g{j}") for j in range(k)]).alias("largest"))

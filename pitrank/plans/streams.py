@@ -291,7 +291,7 @@ def _(t):
 
 @query("F09_gradient_check", f"WITH {FOLDS_SQL}, q AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY league, test) AS k FROM f0) WHERE k >= 5), e AS (SELECT league, day, count(*) AS n FROM {{results}} GROUP BY ALL HAVING count(label_position) > 0 AND count(*) > 1) SELECT q.test AS fold, count(*) AS events, CAST(sum(n) AS BIGINT) AS rows, true AS converged FROM q JOIN e ON e.league = q.league AND e.day = q.train GROUP BY q.test")
 def _(t):
-    """At the weights of each test day's fit no component of the gradient, recomputed by windows, exceeds 1e-6."""
+    """At the weights of each test day's fit no component of the gradient, recomputed from the events' fields, exceeds 1e-6."""
     d, f = matrix(t), cohorts(t)
     rows = d.join(learning(t, f), EVENT)
     g = orders.gradients(rows, EVENT, "label_position", "driver_id", FEATURES, "folds", order_fits(t, d, f))
