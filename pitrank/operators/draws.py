@@ -23,16 +23,21 @@ def exploded(rows: DataFrame, draws: int) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
 
 
-def dealt(rows: DataFrame, keys: list[str], deal: int = 4) -> DataFrame:
+DRAWN = 1 << 20  #: about so many drawn rows are sorted in one task
+
+
+def dealt(rows: DataFrame, keys: list[str], draws: int, deal: int = 4) -> DataFrame:
     """The rows, by event (``keys``). This is the only exchange of a draw query: it moves entrants before they are drawn,
-    and all that follows by event and draw stays in its task. So there are ``deal`` tasks for each shuffle partition."""
-    return rows.repartition(deal * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    and all that follows by event and draw stays in its task. So there are ``deal`` tasks for each shuffle partition, and
+    more where a task would have more than ``DRAWN`` drawn rows; rows are counted for that."""
+    tasks = deal * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(tasks, -(-rows.count() * draws // DRAWN)), *keys)
 
 
 def rankings(rows: DataFrame, event: str, ident: str, utility: str, draws: int, seed: int, temperature: float = 1.0, p_dnf: str | None = None, shrink: float = 0.0) -> DataFrame:
     """In each draw entrants by utility / temperature + Gumbel noise; retired ones go last in their own order; with
     probability ``shrink`` a draw ignores the utilities."""
-    d = exploded(dealt(rows, [event]), draws)
+    d = exploded(dealt(rows, [event], draws), draws)
     flat = uniform(seed, "flat", event, "draw") < shrink
     key = F.when(flat, 0.0).otherwise(F.col(utility) / temperature) + gumbel(seed, "order", event, "draw", ident)
     out = F.lit(False) if p_dnf is None else uniform(seed, "dnf", event, "draw", ident) < F.col(p_dnf)
@@ -43,7 +48,7 @@ def rankings(rows: DataFrame, event: str, ident: str, utility: str, draws: int,
 
 def two_stage(rows: DataFrame, event: str, ident: str, utility: str, draws: int, seed: int, first: float, rest: float) -> DataFrame:
     """The winner by its own temperature, all others by another."""
-    d = exploded(dealt(rows, [event]), draws).withColumn("a", F.col(utility) / first + gumbel(seed, "win", event, "draw", ident)).withColumn("b", F.col(utility) / rest + gumbel(seed, "rest", event, "draw", ident))
+    d = exploded(dealt(rows, [event], draws), draws).withColumn("a", F.col(utility) / first + gumbel(seed, "win", event, "draw", ident)).withColumn("b", F.col(utility) / rest + gumbel(seed, "rest", event, "draw", ident))
     best = F.row_number().over(Window.partitionBy(event, "draw").orderBy(F.desc("a"), ident)) == 1
     d = d.withColumn("wins", best)
     return d.select(event, ident, "draw", F.row_number().over(Window.partitionBy(event, "draw").orderBy(F.desc("wins"), F.desc("b"), ident)).cast("long").alias("place"))
@@ -68,7 +73,7 @@ def temperature_losses(rows: DataFrame, event: str, ident: str, utility: str, wo
     ``by`` keeps apart rows of one event that are predicted several times, with the same noise."""
     keys = [*(by or []), event]
     w = Window.partitionBy(*keys)
-    known = dealt(rows, keys).withColumn("_truth", F.max(F.when(F.col(won), F.col(ident))).over(w)).withColumn("_n", F.count_if(F.col(won)).over(w)).filter("_n = 1")
+    known = dealt(rows, keys, draws).withColumn("_truth", F.max(F.when(F.col(won), F.col(ident))).over(w)).withColumn("_n", F.count_if(F.col(won)).over(w)).filter("_n = 1")
     d = winners_by_temperature(known, [*keys, "_truth"], event, ident, utility, draws, seed, temperatures, p_dnf)
     share = [F.struct(F.lit(float(t)).alias("temperature"), F.avg((F.col(f"t{i}") == F.col("_truth")).cast("int")).alias("p")) for i, t in enumerate(temperatures)]
     d = d.groupBy(*keys).agg(F.array(*share).alias("s")).select(*keys, F.explode("s").alias("s"))
@@ -83,7 +88,7 @@ def two_stage_cells(rows: DataFrame, event: str, ident: str, utility: str, draws
     winner and the first two of the rest. Retired entrants come last. The first draw lists the whole field as well, so
     that entrants who never come that far count 0. (``outer``: for other explosions Spark infers a filter on the array's
     size, and makes the array once more for it.)"""
-    d = noisy(dealt(rows, [event]), event, ident, draws, seed, ["win", "rest"], p_dnf).withColumn("_e", F.struct(F.col(ident).alias("i"), *carry))
+    d = noisy(dealt(rows, [event], draws), event, ident, draws, seed, ["win", "rest"], p_dnf).withColumn("_e", F.struct(F.col(ident).alias("i"), *carry))
     won = [F.struct(F.lit(float(t)).alias("first"), F.min_by("_e", F.struct("_out", -(F.col(utility) / t + F.col("_win")), ident)).alias("w")) for t in firsts]
     top = [F.struct(F.lit(float(t)).alias("rest"), F.slice(F.sort_array(F.collect_list(F.struct(F.col("_out").alias("o"), (-(F.col(utility) / t + F.col("_rest"))).alias("k"), F.col(ident).alias("i"), F.col("_e").alias("e")))), 1, 3)["e"].alias("t")) for t in rests]
     g = d.groupBy(event, "draw").agg(F.array(*won).alias("won"), F.array(*top).alias("top"), F.collect_list(F.when(F.col("draw") == 0, F.col("_e"))).alias("all"), F.count("*").alias("n"))
@@ -108,8 +113,12 @@ def marginals(ranked: DataFrame, event: str, ident: str, podium: int = 3) -> Dat
 
 def distribution(ranked: DataFrame, event: str, ident: str) -> DataFrame:
     """Share of each place."""
-    n = ranked.groupBy(event, ident, "place").agg(F.count("*").alias("c"))
-    return n.select(event, ident, "place", F.round(F.col("c") / F.sum("c").over(Window.partitionBy(event, ident)), 9).alias("p"))
+    return shares(ranked.groupBy(event, ident, "place").agg(F.count("*").alias("c")), event, ident)
+
+
+def shares(counts: DataFrame, event: str, ident: str) -> DataFrame:
+    """Share of each place, from the numbers ``c`` of draws that give it."""
+    return counts.select(event, ident, "place", F.round(F.col("c") / F.sum("c").over(Window.partitionBy(event, ident)), 9).alias("p"))
 
 
 def interval(places: DataFrame, event: str, ident: str, low: float = 0.1, high: float = 0.9) -> DataFrame:

@@ -181,9 +181,17 @@ def cohorts(t) -> DataFrame:
     return folds.rolling_folds(t("starts"), ["league"], "day", "cutoff", "label_available_at", 5).persist()
 
 
+def learners(t, f: DataFrame) -> DataFrame:
+    """For each event the test days (folds) that learn from it, each with its cutoff."""
+    at = t("starts").select("league", F.col("day").alias("test"), F.col("cutoff").alias("at"))
+    return f.join(at, ["league", "test"]).groupBy("league", F.col("train").alias("day")).agg(F.collect_list(F.struct(F.col("test").alias("fold"), "at")).alias("own"))
+
+
 def fold_rows(t, d: DataFrame, f: DataFrame) -> DataFrame:
-    """training rows of all folds; a fold is a test day over all leagues."""
-    return folds.training_rows(d.drop("cutoff"), f, ["league"], "day", t("starts"), "label_dnf", "label_dnf_available_at").withColumnRenamed("test", "fold")
+    """training rows with the folds that learn from them, and those that learn their retirement label as well; a
+    fold is a test day over all leagues. No row is repeated."""
+    rows = d.drop("cutoff").join(learners(t, f), EVENT)
+    return rows.withColumns({"folds": F.col("own.fold"), "dnf_folds": F.filter("own", lambda x: F.col("label_dnf_available_at") <= x["at"])["fold"]}).drop("own")
 
 
 def tested(d: DataFrame, f: DataFrame) -> DataFrame:
@@ -220,10 +228,8 @@ KINDS = {"share": ("share", None), "dnf": ("label_dnf", "label_dnf_available_at"
 
 def tree_cells(t, d: DataFrame, f: DataFrame) -> DataFrame:
     """F02 for trees: labels of both kinds (place over field size, retirement) that each test day may learn from."""
-    at = t("starts").select("league", F.col("day").alias("test"), F.col("cutoff").alias("at"))
-    own = f.join(at, ["league", "test"]).groupBy("league", F.col("train").alias("day")).agg(F.collect_list(F.struct(F.col("test").alias("fold"), "at")).alias("folds"))
     rows = trees.binned(d, EDGES).withColumn("share", F.col("label_position") / F.count("*").over(Window.partitionBy(*EVENT)))
-    return trees.cells(rows.join(own, EVENT), "folds", KINDS)
+    return trees.cells(rows.join(learners(t, f), EVENT), "own", KINDS)
 
 
 def forest_of(t, d: DataFrame, f: DataFrame, number: int = 80):
@@ -467,21 +473,18 @@ def _(t):
     with retirements, lose least on the day's calibration events; win shares and places are those of the draws."""
     d, f = matrix(t), cohorts(t)
     role = folds.calibration_split(f, t("starts"), ["league"], "day", "cutoff", "label_available_at", 1)
-    all_ = fold_rows(t, d, f).persist()
-    rows = all_.join(role.withColumnRenamed("test", "fold"), ["league", "fold", "train"])
-    place = {"place": models.ridge_by_fold(rows.filter("role = 'fit'"), "fold", FEATURES, "label_position")}
-    known = all_.withColumn("_out", F.col("label_dnf").cast("double"))
-    out = {"logit": {k: b for (k, _), b in models.logistic_by_fold(known, "fold", FEATURES, ["_out"]).items()}}
+    place = {"place": ridge_fits(d, role.filter("role = 'fit'"))}
+    out = {"logit": {k: b for (k, _), b in models.logistic_by_fold(fold_rows(t, d, f).withColumn("_out", F.col("label_dnf").cast("int")), FEATURES, {"_out": "dnf_folds"}).items()}}
 
     def composed(x: DataFrame) -> DataFrame:
         x = models.with_fits(x, "fold", FEATURES, place | out)
         return x.withColumns({"ev": F.expr("league * 100 + day"), "utility": F.round(-F.col("place"), 9), "p_dnf": F.round(F.coalesce(1 / (1 + F.exp(-F.col("logit"))), F.lit(0.5)), 9)})
 
-    kept = composed(rows.filter("role = 'calibrate'").withColumnRenamed("train", "day")).withColumn("won", F.coalesce(F.col("label_position") == 1, F.lit(False)))
-    best = best_temperature(draws.temperature_losses(kept, "ev", "driver_id", "utility", "won", DRAWS, 21, TEMPERATURES, "p_dnf", ["fold"]), ["fold"])
+    last = role.filter("role = 'calibrate'").select("league", F.col("test").alias("fold"), F.col("train").alias("day"))
+    kept = composed(d.join(last, EVENT)).withColumn("won", F.coalesce(F.col("label_position") == 1, F.lit(False)))
+    best = settled(best_temperature(draws.temperature_losses(kept, "ev", "driver_id", "utility", "won", DRAWS, 21, TEMPERATURES, "p_dnf", ["fold"]), ["fold"]))
     o = composed(tested(d, f)).join(F.broadcast(best), "fold", "left").withColumn("u", F.col("utility") / F.coalesce("temperature", F.lit(1.0)))
     m = draws.marginals(draws.rankings(o, "ev", "driver_id", "u", DRAWS, 21, p_dnf="p_dnf"), "ev", "driver_id")
-    all_.unpersist()
     return o.select(*KEY, "fold", "ev", "temperature", F.round("p_dnf", 4).alias("p_dnf")).join(m, ["ev", "driver_id"]).select(*KEY, "fold", "temperature", "p_dnf", F.col("win").alias("p_win"), "podium", "mean_place")
 
 

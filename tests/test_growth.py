@@ -1,11 +1,13 @@
 """Shapes of plans that keep tasks and shuffles in proportion to the rows, and the results of what they replaced."""
 
-import datetime as dt
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitrank.operators import orders
+from pitrank.operators import draws, folds, orders
+from pitrank.plans import streams
+from pitrank.plans.fixtures import Tables
 
 
 def plan(d):
@@ -31,3 +33,23 @@ def test_gradients_never_sort_rows_repeated_by_fold(spark):
                 for j in (0, 1):
                     total[j] += (sum(w * x[3 + j] for w, x in zip(e_, own[k:], strict=True)) / sum(e_) - own[k][3 + j]) / 1.5
         assert (by[fold].events, by[fold].rows) == (events, n) and abs(by[fold].largest - max(map(abs, total))) < 1e-9
+
+
+def test_tasks_of_draws_are_dealt_by_size(spark, monkeypatch):
+    d = spark.createDataFrame([(e, f"d{i}", float(i % 3), 0.1 * (i % 2)) for e in range(50) for i in range(4)], "ev int, d string, u double, p double")
+    few = draws.rankings(d, "ev", "d", "u", 8, 3, 0.5, "p")
+    assert few.rdd.getNumPartitions() == 16
+    monkeypatch.setattr(draws, "DRAWN", 32)
+    many = draws.rankings(d, "ev", "d", "u", 8, 3, 0.5, "p")
+    assert many.rdd.getNumPartitions() == 50 and sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_training_rows_of_logistic_fits_are_not_repeated(spark, data):
+    t = Tables(spark, data)
+    d, f = streams.matrix(t), streams.cohorts(t)
+    rows = streams.fold_rows(t, d, f)
+    assert rows.count() == d.join(f.select("league", F.col("train").alias("day")).distinct(), ["league", "day"]).count()
+    plain = folds.training_rows(d.drop("cutoff"), f, ["league"], "day", t("starts"), "label_dnf", "label_dnf_available_at")
+    want = {(r.test, r.league, r.train, r.driver_id): r.label_dnf for r in plain.collect()}
+    got = {(x, r.league, r.day, r.driver_id): r.label_dnf if x in r.dnf_folds else None for r in rows.collect() for x in r.folds}
+    assert got == want
