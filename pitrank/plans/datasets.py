@@ -10,6 +10,7 @@ from pitrank.plans.evaluation import FINALS, RANKED, ranked, remaining
 from pitrank.plans.pointintime import EVENT, PRIOR, _venue, asked, facts, running
 from pitrank.plans.points import LATEST
 from pitrank.plans.registry import query
+from pitrank.sources.store import settled
 
 KEY = [*EVENT, "driver_id"]
 TIER = "CASE WHEN first = 'finished' AND flags < 4 THEN 1 WHEN first IN ('finished', 'retired') THEN 2 ELSE 3 END"
@@ -172,8 +173,11 @@ c AS (SELECT ev, max(abs(s - 1)) AS columns_off FROM (SELECT ev, place, sum(p) A
 SELECT d.ev, round(sum(p) FILTER (WHERE place = 1), 6) AS wins, round(sum(p) FILTER (WHERE place <= 3), 6) AS podiums, sum(p) FILTER (WHERE place <= 3) BETWEEN least(3, any_value(n)) - 1e-9 AND least(3, any_value(n)) + 1e-9 AND any_value(rows_off) < 1e-9 AND any_value(columns_off) < 1e-9 AS coherent
 FROM d JOIN n USING (ev) JOIN c USING (ev) JOIN w USING (ev) GROUP BY d.ev""")
 def _(t):
-    m = ranked(t).groupBy("ev", "driver_id").agg(F.avg((F.col("place") == 1).cast("int")).alias("win"), F.avg((F.col("place") <= 3).cast("int")).alias("podium"))
-    return quality.coherent(draws.distribution(ranked(t), "ev", "driver_id"), m, ["ev"], "driver_id")
+    """Both from the same counts of places, so that draws are made once."""
+    c = settled(ranked(t).groupBy("ev", "driver_id", "place").agg(F.count("*").alias("c")))
+    share = lambda here: F.sum(F.when(here, F.col("c")).otherwise(0)) / F.sum("c")
+    m = c.groupBy("ev", "driver_id").agg(share(F.col("place") == 1).alias("win"), share(F.col("place") <= 3).alias("podium"))
+    return quality.coherent(draws.shares(c, "ev", "driver_id"), m, ["ev"], "driver_id")
 
 
 @query("E25_standings_coherence", f"""WITH {FINALS}, n AS (SELECT league, count(DISTINCT driver_id) AS entrants FROM z GROUP BY league), s AS (SELECT league, driver_id, unnest(range(place, place + same)) AS position, 1.0 / same AS share FROM z),
