@@ -22,8 +22,9 @@ FILES = 4  #: files of one step of a feed; a trigger takes as many
 
 
 def fed(rows: DataFrame, cuts: list[str], closing: DataFrame | None = None, files: int = FILES) -> DataFrame:
-    """The rows as a stream of files, a step for each condition, in that order, and a closing row."""
-    folder = scratch(rows.sparkSession, "feed")
+    """The rows as a stream of files, a step for each condition, in that order, and a closing row. The rows are settled
+    first: each step reads them again, and must not make them again."""
+    folder, rows = scratch(rows.sparkSession, "feed"), settled(rows)
     for c in cuts:
         rows.filter(c).repartition(files).write.mode("append").parquet(folder)
     if closing is not None:

@@ -53,3 +53,16 @@ def test_training_rows_of_logistic_fits_are_not_repeated(spark, data):
     want = {(r.test, r.league, r.train, r.driver_id): r.label_dnf for r in plain.collect()}
     got = {(x, r.league, r.day, r.driver_id): r.label_dnf if x in r.dnf_folds else None for r in rows.collect() for x in r.folds}
     assert got == want
+
+
+def test_feeds_make_their_rows_once(spark):
+    d = spark.range(12).withColumn("x", F.col("id") * 2)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    feed = streams.fed(d.mapInArrow(counted, d.schema), ["id < 4", "id >= 4 and id < 8", "id >= 8"], files=1)
+    assert feed.isStreaming and made.value == 12
