@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pitrank.sources.store import settled
 
 REFRESH = 10
+CELLS, ADDED = 1 << 15, 32  #: cells of a task; tasks up to which the driver adds their sums
 
 
 def bin_of(value: str, edges: list[float]) -> Column:
@@ -31,15 +32,29 @@ def binned(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     return rows.withColumn("bins", F.array(*[bin_of(f, e) for f, e in edges.items()]))
 
 
-def cells(rows: DataFrame, folds: str, kinds: dict[str, tuple[str, str | None]]) -> DataFrame:
+def numbered(rows: DataFrame, folds: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the number of their set of folds (``set``) in place of the array, and the sets by number. There are
+    few sets, as they depend on what was known when. Rows without folds are left out."""
+    sets = settled(rows.filter(F.size(folds) > 0).select(folds).distinct().withColumn("set", F.monotonically_increasing_id()))
+    return rows.join(sets, folds).drop(folds), sets
+
+
+def cells(rows: DataFrame, folds: str, kinds: dict[str, tuple[str, str | None]], sets: DataFrame | None = None) -> DataFrame:
     """fold, kind, bins, n and y (sum of labels) of the known labels that each fold may learn from.
 
-    ``folds`` is an array of structs (fold, at) on each row; a kind names its label and the label's own clock, which has to
-    be within ``at`` (None: the label is as old as the row). Rows are not repeated before they are summed."""
-    own = [F.struct(F.lit(k).alias("kind"), F.col(y).cast("double").alias("y"), F.lit(None).cast("timestamp_ntz").alias("clock") if clock is None else F.col(clock).alias("clock")) for k, (y, clock) in kinds.items()]
-    d = rows.select("bins", F.explode(folds).alias("f"), F.array(*own).alias("own")).select("bins", "f.*", F.explode("own").alias("o"))
-    d = d.filter(F.col("o.y").isNotNull() & (F.col("o.clock").isNull() | (F.col("o.clock") <= F.col("at"))))
-    return d.groupBy("fold", F.col("o.kind").alias("kind"), "bins").agg(F.count("*").cast("double").alias("n"), F.sum("o.y").alias("y"))
+    ``folds`` is an array of structs (fold, at) on each row, or in ``sets``, if rows have the ``set`` of ``numbered``; a kind
+    names its label and the label's own clock, which has to be within ``at`` (None: the label is as old as the row). Rows
+    of equal bins, sets and clocks are summed before they are dealt to the folds, and never repeated themselves."""
+    if sets is None:
+        rows, sets = numbered(rows, folds)
+    clocks = {clock: f"clock{i}" for i, clock in enumerate(sorted({c for _, c in kinds.values() if c is not None}))}
+    labels = [F.col(y).cast("double").alias(f"y{i}") for i, (y, _) in enumerate(kinds.values())]
+    d = rows.select("set", "bins", *[F.col(c).alias(a) for c, a in clocks.items()], *labels)
+    d = d.groupBy("set", "bins", *clocks.values()).agg(*[x for i in range(len(kinds)) for x in (F.count(f"y{i}").alias(f"n{i}"), F.sum(f"y{i}").alias(f"y{i}"))])
+    own = [F.struct(F.lit(k).alias("kind"), F.col(f"n{i}").alias("n"), F.col(f"y{i}").alias("y"), (F.lit(None).cast("timestamp_ntz") if c is None else F.col(clocks[c])).alias("clock")) for i, (k, (_, c)) in enumerate(kinds.items())]
+    d = d.join(sets, "set").select("bins", F.explode(folds).alias("f"), F.array(*own).alias("own")).select("bins", "f.*", F.explode("own").alias("o"))
+    d = d.filter((F.col("o.n") > 0) & (F.col("o.clock").isNull() | (F.col("o.clock") <= F.col("at"))))
+    return d.groupBy("fold", F.col("o.kind").alias("kind"), "bins").agg(F.sum("o.n").cast("double").alias("n"), F.sum("o.y").alias("y"))
 
 
 @dataclass
@@ -62,6 +77,10 @@ class Forest:
             node = 2 * node + 1 + right
         return node
 
+    def part(self, since: int, until: int) -> Forest:
+        """The trees from ``since`` on, small enough to go with a task; without what a sum doesn't need."""
+        return Forest([], self.logistic, self.base, *(x[since:until] for x in (self.feature, self.bin, self.value)), self.depth)
+
     def added(self, bins: np.ndarray, pair: np.ndarray, since: int, until: int) -> np.ndarray:
         """What the trees from ``since`` on add to the scores."""
         out = np.zeros(len(bins))
@@ -74,19 +93,20 @@ def _columns(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, ...]:
     return np.asarray(batch["bins"].flatten()).reshape(-1, features), np.asarray(batch["pair"]), np.asarray(batch["n"]), np.asarray(batch["y"]), np.asarray(batch["score"])
 
 
-def _histogram(d: DataFrame, forest: Forest, since: int, tree: int, level: int, bins: int, features: int) -> np.ndarray:
-    """Sums (gradient, curvature, rows) by pair, node of the level, feature and bin."""
-    sent = d.sparkSession.sparkContext.broadcast(forest)
-    shape = (len(forest.pairs), 2**level, features, bins)
+def _histogram(d: DataFrame, forest: Forest, since: int, tree: int, level: int, bins: int, features: int, tasks: int) -> np.ndarray:
+    """Sums (gradient, curvature, rows) by pair, node of the level, feature and bin. Those of a few tasks are added where
+    they arrive, as a shuffle of so little takes longer than the sums."""
+    f = forest.part(since, tree + 1)
+    shape = (len(f.logistic), 2**level, features, bins)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, total = sent.value, np.zeros((3, int(np.prod(shape))))
+        total = np.zeros((3, int(np.prod(shape))))
         for batch in batches:
             b, pair, n, y, score = _columns(batch, features)
-            score = score + f.added(b, pair, since, tree)
+            score = score + f.added(b, pair, 0, tree - since)
             p = np.where(f.logistic[pair], 1 / (1 + np.exp(-score)), score)
             parts = n * p - y, np.where(f.logistic[pair], n * p * (1 - p), n), n
-            node = f.nodes(b, pair, tree, level) - (2**level - 1)
+            node = f.nodes(b, pair, tree - since, level) - (2**level - 1)
             for j in range(features):
                 key = ((pair * 2**level + node) * features + j) * bins + b[:, j]
                 for i, x in enumerate(parts):
@@ -94,10 +114,11 @@ def _histogram(d: DataFrame, forest: Forest, since: int, tree: int, level: int,
         at = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, total[:, at])], ["key", "g", "h", "n"])
 
-    got = d.mapInArrow(sums, "key long, g double, h double, n double").groupBy("key").agg(F.sum("g"), F.sum("h"), F.sum("n")).toArrow()
-    out = np.zeros((3, int(np.prod(shape))))
-    out[:, np.asarray(got[0])] = [np.asarray(got[i]) for i in (1, 2, 3)]
-    return out.reshape(3, *shape)
+    parts = d.mapInArrow(sums, "key long, g double, h double, n double")
+    if tasks > ADDED:
+        parts = parts.groupBy("key").agg(*[F.sum(x).alias(x) for x in "ghn"])
+    got = parts.toArrow()
+    return np.stack([np.bincount(np.asarray(got["key"]), np.asarray(got[x]), int(np.prod(shape))) for x in "ghn"]).reshape(3, *shape)
 
 
 def _split(hist: np.ndarray, penalty: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +137,8 @@ def _split(hist: np.ndarray, penalty: float, least: int) -> tuple[np.ndarray, np
 def grow(table: DataFrame, logistic: set[str], bins: int, trees: int = 80, depth: int = 3, rate: float = 0.05, penalty: float = 1.0, least: int = 5) -> Forest:
     """Trees for every (fold, kind) of the cells. Kinds in ``logistic`` have labels 0 and 1 and scores in logits; the
     others are means. A split leaves ``least`` rows on both sides; a leaf's step is -rate * G / (H + penalty)."""
-    totals = {(r.fold, r.kind): (r.n, r.y) for r in table.groupBy("fold", "kind").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()}
+    sums = table.groupBy("fold", "kind").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.count("*").alias("cells")).collect()
+    totals, tasks = {(r.fold, r.kind): (r.n, r.y) for r in sums}, -(-sum(r.cells for r in sums) // CELLS)
     totals = {k: v for k, v in totals.items() if k[1] not in logistic or 0 < v[1] < v[0]}  # both classes are needed
     pairs = sorted(totals)
     mean = np.array([totals[p][1] / totals[p][0] for p in pairs])
@@ -128,11 +150,11 @@ def grow(table: DataFrame, logistic: set[str], bins: int, trees: int = 80, depth
         return forest
     spark = table.sparkSession
     names = spark.createDataFrame([(*p, i, float(b)) for i, (p, b) in enumerate(zip(pairs, base, strict=True))], "fold long, kind string, pair long, score double")
-    d = settled(table.withColumn("fold", F.col("fold").cast("long")).join(F.broadcast(names), ["fold", "kind"]).select("pair", "bins", "n", "y", "score"))
+    d = settled(table.withColumn("fold", F.col("fold").cast("long")).join(F.broadcast(names), ["fold", "kind"]).select("pair", "bins", "n", "y", "score").repartition(tasks))
     features, since = len(d.select("bins").first().bins), 0
     for t in range(trees):
         for level in range(depth):
-            hist = _histogram(d, forest, since, t, level, bins, features)
+            hist = _histogram(d, forest, since, t, level, bins, features, tasks)
             first = 2**level - 1
             forest.feature[t, :, first : 2 * first + 1], forest.bin[t, :, first : 2 * first + 1] = _split(hist, penalty, least)
         node = np.arange(2 ** (depth - 1))
@@ -148,21 +170,24 @@ def grow(table: DataFrame, logistic: set[str], bins: int, trees: int = 80, depth
 
 
 def _moved(d: DataFrame, forest: Forest, since: int, until: int, features: int) -> DataFrame:
-    sent = d.sparkSession.sparkContext.broadcast(forest)
+    f = forest.part(since, until)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, pair, _, _, score = _columns(batch, features)
-            yield batch.set_column(batch.schema.get_field_index("score"), "score", pa.array(score + sent.value.added(b, pair, since, until)))
+            yield batch.set_column(batch.schema.get_field_index("score"), "score", pa.array(score + f.added(b, pair, 0, until - since)))
 
     return d.mapInArrow(run, d.schema)
 
 
 def predicted(rows: DataFrame, forest: Forest, fold: str, kinds: list[str]) -> DataFrame:
-    """``rows`` (with their bins and fold) with each kind's prediction: a mean, or a probability; null without a fit."""
+    """``rows`` (with their bins and fold) with each kind's prediction: a mean, or a probability; null without a fit.
+
+    Rows of equal bins and fold have equal predictions, so trees are walked once for each such cell."""
     sent = rows.sparkSession.sparkContext.broadcast(forest)
     number = {p: i for i, p in enumerate(forest.pairs)}
-    schema = StructType([*rows.schema.fields, *(StructField(k, DoubleType()) for k in kinds)])
+    cells = rows.select(fold, "bins").distinct()
+    schema = StructType([*cells.schema.fields, *(StructField(k, DoubleType()) for k in kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
@@ -179,7 +204,7 @@ def predicted(rows: DataFrame, forest: Forest, fold: str, kinds: list[str]) -> D
                 out = out.append_column(k, pa.array(p, mask=~has))
             yield out
 
-    return rows.mapInArrow(run, schema)
+    return rows.join(cells.mapInArrow(run, schema), [fold, "bins"], "left").select(*rows.columns, *kinds)
 
 
 def leaves(table: DataFrame, forest: Forest) -> DataFrame:

@@ -1,11 +1,12 @@
 """Shapes of plans that keep tasks and shuffles in proportion to the rows, and the results of what they replaced."""
 
+import datetime as dt
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitrank.operators import draws, folds, orders
+from pitrank.operators import draws, folds, orders, trees
 from pitrank.plans import streams
 from pitrank.plans.fixtures import Tables
 
@@ -66,3 +67,51 @@ def test_feeds_make_their_rows_once(spark):
 
     feed = streams.fed(d.mapInArrow(counted, d.schema), ["id < 4", "id >= 4 and id < 8", "id >= 8"], files=1)
     assert feed.isStreaming and made.value == 12
+
+
+def test_cells_are_summed_before_they_are_dealt_to_folds(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    own = [[(f, day(f)) for f in range(4, 29)], [(f, day(f)) for f in range(9, 29)], []]
+    rows = [([i % 3], None if i % 5 == 0 else float(i % 7), i % 4 == 0, day(3 + i % 8) if i % 6 else None, own[i % 10 if i % 10 < 3 else 0]) for i in range(4000)]
+    d = spark.createDataFrame(rows, "bins array<int>, place double, dnf boolean, known timestamp_ntz, own array<struct<fold:long,at:timestamp_ntz>>")
+    kinds = {"place": ("place", None), "dnf": ("dnf", "known")}
+    got = trees.cells(d, "own", kinds)
+    dealt = plan(got)
+    assert dealt.rindex("Generate explode(own") < dealt.rindex("Aggregate [set")  # the aggregate feeds the explode
+    want = {}
+    for bins, place, dnf, known, x in rows:
+        for f, at in x:
+            for kind, y, ok in (("place", place, True), ("dnf", float(dnf), known is None or known <= at)):
+                if y is not None and ok:
+                    n, total = want.get((f, kind, bins[0]), (0, 0.0))
+                    want[f, kind, bins[0]] = n + 1, total + y
+    assert {(r.fold, r.kind, r.bins[0]): (r.n, r.y) for r in got.collect()} == want
+
+
+def test_trees_are_walked_once_for_each_cell(spark):
+    d = spark.range(3000).select((F.col("id") % 2).alias("fold"), F.array((F.col("id") % 3).cast("int")).alias("bins"), F.col("id").alias("x"))
+    forest = trees.grow(spark.createDataFrame([(f, "place", [b], 10.0, 10.0 * b + f) for f in (0, 1) for b in range(3)], "fold long, kind string, bins array<int>, n double, y double"), set(), 3, trees=2)
+    got = trees.predicted(d.union(spark.createDataFrame([(7, [0], -1)], d.schema)), forest, "fold", ["place"])
+    shape = plan(got)
+    assert "MapInArrow" in shape and "Aggregate [fold" in shape[shape.index("MapInArrow") :]
+    by = {}
+    for r in got.collect():
+        by.setdefault((r.fold, r.bins[0]), []).append(r.place)
+    assert {k: len(v) for k, v in by.items()} == {**{(f, b): 500 for f in (0, 1) for b in range(3)}, (7, 0): 1} and by[7, 0] == [None]
+    assert all(len(set(v)) == 1 for v in by.values()) and by[0, 0][0] < by[0, 1][0] < by[0, 2][0]
+
+
+def test_sums_of_many_tasks_are_those_of_few(spark, monkeypatch):
+    table = spark.createDataFrame([(f, k, [a, b], 6.0, float((a * 3 + b + f) % 5)) for f in (1, 2) for k in ("place", "dnf") for a in range(4) for b in range(4)], "fold long, kind string, bins array<int>, n double, y double")
+    few = trees.grow(table, {"dnf"}, 4, trees=12)
+    monkeypatch.setattr(trees, "CELLS", 5)
+    monkeypatch.setattr(trees, "ADDED", 3)
+    many = trees.grow(table, {"dnf"}, 4, trees=12)
+    assert (few.feature == many.feature).all() and (few.bin == many.bin).all() and abs(few.value - many.value).max() < 1e-12
+
+
+def test_queries_of_fits_read_their_rows_once(spark, data):
+    t = Tables(spark, data)
+    streams.matrix(t)
+    assert streams.learners(t, streams.cohorts(t)).count() and "starts" not in t.made
+    assert sorted(streams.starts(t).select("league", "day", "cutoff", "label_available_at").collect()) == sorted(t("starts").select("league", "day", "cutoff", "label_available_at").collect())
