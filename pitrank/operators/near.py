@@ -71,8 +71,9 @@ def _least(own: pa.Table, others: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return out
 
 
-def needed(d: DataFrame, at: np.ndarray, seen: dict[int, tuple[int, float]]) -> DataFrame:
-    """Asking rows with the block to compare them with (tk, tp) and their bound; the own block is done already."""
+def asking(d: DataFrame, at: np.ndarray, seen: dict[int, tuple[int, float]]) -> DataFrame:
+    """Asking rows, each once, with their bound from the own block and the pivots (``to``) whose training rows may be nearer;
+    -1 stands for the bound itself."""
     radius = np.array([seen[k][1] if k in seen else -1.0 for k in range(max(1, len(at)))])
 
     def within(t: pa.Table) -> pa.Table:
@@ -80,28 +81,29 @@ def needed(d: DataFrame, at: np.ndarray, seen: dict[int, tuple[int, float]]) ->
         first = _least(own, t.filter(t["t"]))
         gap = _gaps(_matrix(own["v"]), at) if len(at) and own.num_rows else np.zeros((own.num_rows, 1))
         wanted = (gap - radius <= first[:, None] * (1 + 1e-9) + 1e-6) & (radius >= 0)
-        row, k = np.nonzero(wanted)
-        part = [list(range(seen[x][0])) for x in k.tolist()]
-        me = t["k"][0].as_py(), t["part"][0].as_py()
-        row = np.repeat(row, [len(p) for p in part])
-        tk, tp = np.repeat(k, [len(p) for p in part]), np.array([p for x in part for p in x], np.int64)
-        other = np.flatnonzero((tk != me[0]) | (tp != me[1]))
-        row = np.concatenate([np.arange(own.num_rows), row[other]])
-        none = np.full(own.num_rows, -1)
-        out = own.take(pa.array(row)).select(["id", "v", "e", "k", "part"])
-        for name, x in (("tk", np.concatenate([none, tk[other]])), ("tp", np.concatenate([none, tp[other]]))):
-            out = out.append_column(name, pa.array(x.astype(np.int32)))
-        return out.append_column("bound", pa.array(first[row]))
+        wanted = np.concatenate([np.ones((own.num_rows, 1), bool), wanted], axis=1)
+        ends = np.concatenate([[0], wanted.sum(axis=1).cumsum()])
+        to = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((np.nonzero(wanted)[1] - 1).astype(np.int32)))
+        return own.select(["id", "v", "e", "k", "part"]).append_column("bound", pa.array(first)).append_column("to", to)
 
     kind = dict(d.dtypes)["id"]
-    return d.groupBy("k", "part").applyInArrow(within, f"id {kind}, v array<double>, e string, k int, part int, tk int, tp int, bound double")
+    return d.groupBy("k", "part").applyInArrow(within, f"id {kind}, v array<double>, e string, k int, part int, bound double, to array<int>")
+
+
+def needed(d: DataFrame, at: np.ndarray, seen: dict[int, tuple[int, float]]) -> DataFrame:
+    """Asking rows with the block to compare them with (tk, tp) and their bound; the own block is done already. Rows are
+    repeated for their blocks only where they are read, one at a time, and neither in Python nor in the checkpoint."""
+    parts = F.array(*[F.lit(seen[k][0] if k in seen else 1) for k in range(max(1, len(at)))])
+    asks = settled(asking(d, at, seen)).withColumn("tk", F.explode("to")).drop("to")
+    there = F.when(F.col("tk") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.get(parts, F.col("tk")) - 1))
+    return asks.withColumn("tp", F.explode(there)).filter((F.col("tk") != F.col("k")) | (F.col("tp") != F.col("part")))
 
 
 def nearest(rows: DataFrame, ident: str, vector: str, event: str, train: str, block: int = 1 << 12, ask: str | None = None) -> DataFrame:
     """The distance of every row (of those that ``ask`` marks) to the nearest training row of another event; rows
     without one are left out. A task holds two blocks of about ``block`` rows."""
     d, at, seen = dealt(rows, ident, vector, event, train, block, ask)
-    asks = settled(needed(d, at, seen))
+    asks = needed(d, at, seen)
     pairs = asks.filter("tk >= 0").select(F.col("k").alias("ak"), F.col("part").alias("ap"), "tk", "tp").distinct()
     there = d.filter("t").select("v", "e", F.col("k").alias("tk"), F.col("part").alias("tp")).join(pairs, ["tk", "tp"])
 

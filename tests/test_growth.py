@@ -6,7 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitrank.operators import draws, folds, orders, trees
+from pitrank.operators import draws, folds, near, orders, trees
 from pitrank.plans import streams
 from pitrank.plans.fixtures import Tables
 
@@ -115,3 +115,20 @@ def test_queries_of_fits_read_their_rows_once(spark, data):
     streams.matrix(t)
     assert streams.learners(t, streams.cohorts(t)).count() and "starts" not in t.made
     assert sorted(streams.starts(t).select("league", "day", "cutoff", "label_available_at").collect()) == sorted(t("starts").select("league", "day", "cutoff", "label_available_at").collect())
+
+
+def test_asking_rows_leave_python_once(spark):
+    g = random.Random(5)
+    rows = [(i, [g.gauss(0, 1) for _ in range(24)], i % 3, i % 4 > 0) for i in range(600)]
+    d, at, seen = near.dealt(spark.createDataFrame(rows, "id int, v array<double>, e int, t boolean"), "id", "v", "e", "t", 5, None)
+    asks = near.asking(d, at, seen)
+    assert sorted(r.id for r in asks.select("id").collect()) == list(range(600))  # not once for each block
+    assert max(r.n for r in asks.selectExpr("size(to) as n").collect()) <= len(at) + 1
+    out = near.needed(d, at, seen)
+    blocks = sum(n for n, _ in seen.values())
+    assert blocks > 120 and out.count() > 600 * 50 and out.filter("tk = k and tp = part").count() == 0 and out.filter("tk < 0").count() == 600
+    want = {(r.id, k, p) for r in asks.collect() for k in r.to if k >= 0 for p in range(seen[k][0]) if (k, p) != (r.k, r.part)}
+    assert {(r.id, r.tk, r.tp) for r in out.filter("tk >= 0").select("id", "tk", "tp").collect()} == want
+    got = {r.id: r.nearest for r in near.nearest(spark.createDataFrame(rows, "id int, v array<double>, e int, t boolean"), "id", "v", "e", "t", block=5).collect()}
+    least = lambda x: min(sum((a - b) ** 2 for a, b in zip(x[1], y[1], strict=True)) ** 0.5 for y in rows if y[3] and y[2] != x[2])
+    assert len(got) == 600 and all(abs(got[x[0]] - least(x)) < 1e-9 for x in rows[::7])
