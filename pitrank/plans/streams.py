@@ -146,18 +146,18 @@ def _(t):
 
 def attached(t) -> DataFrame:
     """Late labels of all events, whose frozen versions come in other steps than their labels."""
-    p = t("publications").filter("version <= 2").groupBy(*EVENT, "version").agg(F.min("available_at").cast("timestamp").alias("at"), F.min("cutoff").cast("timestamp").alias("start"))
-    labels = t("starts").select(*EVENT, F.col("label_available_at").cast("timestamp").alias("label_at"), F.col("entrants").cast("string").alias("value"))
+    p = t("publications").filter("version <= 2").groupBy(*EVENT, "version").agg(F.min("available_at").cast("timestamp").alias("at"), F.min("cutoff").cast("timestamp").alias("start"), F.count("*").alias("roster"))
+    labels = t("starts").filter("label_available_at IS NOT NULL").select(*EVENT, F.col("label_available_at").cast("timestamp").alias("label_at"), F.col("entrants").cast("string").alias("value"))
     last = p.limit(1).withColumns({"league": F.lit(-1).cast("long"), "at": F.col("at") + F.expr("INTERVAL 3 YEAR")})
     frozen, late = fed(p, CUTS, last), fed(labels, [CUTS[1], CUTS[2], CUTS[0]])
-    return drained(machines.late_labels(frozen, late, EVENT, "version", "start", "at", "value", "label_at", "40 days")).filter("league >= 0")
+    return drained(machines.late_labels(frozen, late, EVENT, "version", "start", "at", "value", "label_at", "40 days", roster="roster")).filter("league >= 0")
 
 
-@query("S08_late_labels", "SELECT s.league, s.day, s.entrants, 1 AS labelled FROM {starts} s")
+@query("S08_late_labels", "SELECT s.league, s.day, s.entrants, CASE WHEN s.label_available_at IS NOT NULL THEN 1 END AS labelled, CASE WHEN s.label_available_at <= s.cutoff + INTERVAL 48 HOUR THEN 1 END AS on_time, CASE WHEN s.label_available_at IS NOT NULL THEN s.entrants END AS label, strftime(s.label_available_at, '%Y-%m-%d %H:%M:%S') AS label_at FROM {starts} s")
 def _(t):
-    """Every event's label, those of 72 hours too."""
-    got = attached(t).filter("what = 'attached'").select(*EVENT, F.col("value").cast("long").alias("entrants"), F.lit(1).alias("labelled"))
-    return got.distinct()
+    """Every frozen event with its field, whether its label has come, however late, whether within 48 hours, and the label."""
+    out = machines.labelled(attached(t), EVENT, "48 HOUR")
+    return out.select(*EVENT, F.col("roster").cast("long").alias("entrants"), "labelled", "on_time", F.col("label").cast("long").alias("label"), F.date_format("label_at", "yyyy-MM-dd HH:mm:ss").alias("label_at"))
 
 
 @query("S08_labels_by_version", "SELECT p.league, p.day, p.version, CAST(s.entrants AS VARCHAR) AS value, strftime(s.label_available_at, '%Y-%m-%d %H:%M:%S') AS label_at, CAST((SELECT count(*) FROM range(1, 12) n(n) WHERE s.cutoff + INTERVAL 6 HOUR * (2 ** n - 1) <= s.label_available_at) AS BIGINT) AS attempts FROM (SELECT DISTINCT league, day, version FROM {publications} WHERE version <= 2) p JOIN {starts} s USING (league, day)")

@@ -193,8 +193,8 @@ class Labels(_Machine):
             n += 1
         return n
 
-    def _row(self, key, what: str, at: int, version=None, value=None, attempts=None) -> Row:
-        return Row(**{c: key[i] for i, c in enumerate(self.keys)}, what=what, version=version, value=value, at=at, attempts=attempts)
+    def _row(self, key, start: int, what: str, at: int, version=None, value=None, attempts=None) -> Row:
+        return Row(**{c: key[i] for i, c in enumerate(self.keys)}, start=start, what=what, version=version, value=value, at=at, attempts=attempts)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         s = self.recall()
@@ -203,10 +203,11 @@ class Labels(_Machine):
             if r["kind"] == "frozen" and r["version"] not in frozen:
                 frozen.append(r["version"])
                 s["start"] = r["start"]
-                out += [self._row(key, "attached", at, r["version"], value, self.due(s["start"], at)) for at, value in labels]
+                out.append(self._row(key, s["start"], "frozen", r["at"], r["version"], r["value"]))
+                out += [self._row(key, s["start"], "attached", at, r["version"], value, self.due(s["start"], at)) for at, value in labels]
             elif r["kind"] == "label" and [r["at"], r["value"]] not in labels:
                 labels.append([r["at"], r["value"]])
-                out += [self._row(key, "attached", r["at"], v, r["value"], self.due(s["start"], r["at"])) for v in frozen]
+                out += [self._row(key, s["start"], "attached", r["at"], v, r["value"], self.due(s["start"], r["at"])) for v in frozen]
         if labels or not frozen:
             self.alarm(s, None)
         elif s.get("alarm") is None:
@@ -221,7 +222,7 @@ class Labels(_Machine):
         s["alarm"] = None
         while not s["labels"] and at <= now:  # the watermark may have passed several retries at once
             s["attempts"] += 1
-            out.append(self._row(key, "retry", at, attempts=s["attempts"]))
+            out.append(self._row(key, s["start"], "retry", at, attempts=s["attempts"]))
             at += self.retry * 2 ** s["attempts"]
         if not s["labels"]:
             self.alarm(s, at)
@@ -229,16 +230,32 @@ class Labels(_Machine):
         return iter(out)
 
 
-def late_labels(frozen: DataFrame, labels: DataFrame, keys: list[str], version: str, start: str, clock: str, value: str, label_at: str, delay: str, retry_hours: int = 6) -> DataFrame:
-    """Every label attached to every frozen version of its event (what = attached, with the label's clock and the
-    retries due by then), and a row for each retry of an event that has started without a label (what = retry).
+def late_labels(frozen: DataFrame, labels: DataFrame, keys: list[str], version: str, start: str, clock: str, value: str, label_at: str, delay: str, retry_hours: int = 6, roster: str | None = None) -> DataFrame:
+    """Every frozen version, once (what = frozen, with its clock and, as value, its ``roster``), every label attached to
+    every frozen version of its event (what = attached, with the label's clock and the retries due by then), and a row for
+    each retry of an event that has started without a label (what = retry). All rows have the event's start.
 
     Labels are held until a frozen version comes, and frozen versions until a label does, for as long as the stream's
     checkpoint; no label is too late, as only frozen rows move the watermark. Replays attach nothing twice. A later
     version of a label is attached as well."""
-    a = frozen.select(*keys, F.lit("frozen").alias("kind"), F.col(version).cast("long").alias("version"), F.lit(None).cast("string").alias("value"), F.expr(f"unix_millis(`{start}`)").alias("start"), F.expr(f"unix_millis(`{clock}`)").alias("at"), F.col(clock).alias("_clock"))
+    a = frozen.select(*keys, F.lit("frozen").alias("kind"), F.col(version).cast("long").alias("version"), (F.col(roster) if roster else F.lit(None)).cast("string").alias("value"), F.expr(f"unix_millis(`{start}`)").alias("start"), F.expr(f"unix_millis(`{clock}`)").alias("at"), F.col(clock).alias("_clock"))
     b = labels.select(*keys, F.lit("label").alias("kind"), F.lit(None).cast("long").alias("version"), F.col(value).cast("string").alias("value"), F.lit(None).cast("long").alias("start"), F.expr(f"unix_millis(`{label_at}`)").alias("at"), F.lit(None).cast("timestamp").alias("_clock"))
     d = a.unionByName(b).withWatermark("_clock", delay)
-    kinds = _fields(frozen, keys).add("what", "string").add("version", "long").add("value", "string").add("at", "long").add("attempts", "long")
+    kinds = _fields(frozen, keys).add("start", "long").add("what", "string").add("version", "long").add("value", "string").add("at", "long").add("attempts", "long")
     out = d.groupBy(*keys).transformWithState(Labels(keys, retry_hours * HOUR), kinds, "Append", "EventTime")
-    return out.withColumn("at", F.timestamp_millis("at"))
+    return out.withColumns({"start": F.timestamp_millis("start"), "at": F.timestamp_millis("at")})
+
+
+def labelled(rows: DataFrame, keys: list[str], within: str) -> DataFrame:
+    """A row for each event with a frozen version, from what ``late_labels`` has written: the roster of its latest
+    version, whether a label has come, however late, whether one came within a time of the start, and the first one with its
+    clock. An event without a label stays, with nulls."""
+    label = F.col("what") == "attached"
+    on_time = label & (F.col("at") <= F.col("start") + F.expr(f"INTERVAL {within}"))
+    out = rows.groupBy(*keys).agg(
+        F.max_by("value", F.when(F.col("what") == "frozen", F.col("version"))).alias("roster"),
+        F.max(F.when(label, 1)).alias("labelled"),
+        F.max(F.when(on_time, 1)).alias("on_time"),
+        F.min(F.when(label, F.struct("at", "value"))).alias("first"),
+    )
+    return out.select(*keys, "roster", "labelled", "on_time", F.col("first.value").alias("label"), F.col("first.at").alias("label_at"))

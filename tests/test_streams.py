@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from pitrank.plans import fixtures, registry
 from pitrank.plans.streams import drained, fed
 from pitrank.streaming import machines
 from pitrank.streaming import publications as stream
@@ -70,3 +71,23 @@ def test_labels_meet_frozen_versions_in_either_order_and_are_retried(spark):
     again = [((r["at"] - hours(2)).total_seconds() / 3600, r.attempts) for r in sorted(got, key=lambda r: r["at"]) if r.what == "retry" and r.event == 3]
     assert again[:4] == [(6, 1), (18, 2), (42, 3), (90, 4)]  # each wait is twice the one before
     assert sorted((r.version, r.value) for r in got if r.what == "attached") == [(1, "x"), (2, "x")]  # 63 hours after the start, behind the watermark
+
+
+def test_events_stay_without_a_label_and_late_labels_are_told_from_those_on_time(spark):
+    rows = [(1, 1, "frozen", "19", 0), (1, 2, "frozen", "20", 1), (1, 1, "attached", "x", 50), (1, 2, "attached", "x", 50), (1, None, "retry", None, 8)]  # 48 hours after the start
+    rows += [(2, 1, "frozen", "18", 0), (2, 1, "attached", "z", 80), (2, 1, "attached", "y", 74)]  # 72 and 78 hours
+    rows += [(3, 1, "frozen", "17", 0), (3, None, "retry", None, 8)]
+    d = spark.createDataFrame([(e, hours(2), w, v, x, hours(h)) for e, v, w, x, h in rows], "event int, start timestamp, what string, version long, value string, at timestamp")
+    got = machines.labelled(d, ["event"], "48 HOUR").orderBy("event").collect()
+    assert list(map(tuple, got)) == [(1, "20", 1, 1, "x", hours(50)), (2, "18", 1, None, "y", hours(74)), (3, "17", None, None, None, None)]
+
+
+def test_late_labels_has_all_events_whether_or_when_their_labels_come(spark, data, monkeypatch):
+    clock = "CASE (league + day) % 4 WHEN 0 THEN NULL WHEN 1 THEN min(cutoff) + INTERVAL 48 HOUR WHEN 2 THEN min(cutoff) + INTERVAL 49 HOUR ELSE min(cutoff) + INTERVAL 900 HOUR END"
+    monkeypatch.setitem(fixtures.SHAPES, "starts", fixtures.SHAPES["starts"].replace("max(label_available_at)", clock))
+    starts = fixtures.Tables(spark, data)("starts").collect()
+    assert {(s.league + s.day) % 4 for s in starts} == {0, 1, 2, 3}
+    after = lambda s: {0: None, 1: 48, 2: 49, 3: 900}[(s.league + s.day) % 4]
+    want = {(s.league, s.day): (s.entrants, after(s) and 1, 1 if after(s) == 48 else None, after(s) and s.entrants, after(s) and str(s.cutoff + dt.timedelta(hours=after(s)))) for s in starts}
+    got = registry.QUERIES["S08_late_labels"](spark, data).collect()
+    assert len(got) == len(want) and {(r.league, r.day): (r.entrants, r.labelled, r.on_time, r.label, r.label_at) for r in got} == want
